@@ -75,9 +75,6 @@ class Words:
         h = (total[self.end] - total[self.start]) * _pow(_BASE_INV, n)[self.start]
         return mix(h + (self.end - self.start).astype(_U) * _BASE)
 
-    def bytes_of(self, i: int) -> memoryview:
-        return memoryview(self.data)
-
 
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and len + 1 offsets into them; nulls are empty."""
@@ -129,7 +126,7 @@ def grams(h: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, _U)
-    out = np.full(n, _U(salt * 2 + 1) * _BASE, _U)
+    out = np.full(n, (salt * 2 + 1) * int(_BASE) % 2**64, _U)
     for i in range(k):
         out *= _BASE
         out += h[i : i + n]

@@ -10,9 +10,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import contained_items, contaminated
 from .exact_dedup import exact_dedup
 from .html_text import extract_text
+from .near_dedup import near_dedup
+from .packing import pack_documents
 from .secrets import scan_secrets
+from .substring_dedup import substring_dedup
 from .toxicity import score_toxicity
 from .url_filter import Rule, filter_urls
 
@@ -40,6 +44,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup(table(spark, folder, "documents"))
+
+
+def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(table(spark, folder, "documents"))
+
+
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminated(contained_items(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
+
+
 def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(table(spark, folder, "documents"))
 
@@ -85,9 +101,23 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op5_exact_dedup, op6_html_extraction, op7_secret_scan, op8_url_filter, op9_toxicity)
+    for f in (
+        op1_substring_dedup,
+        op2_best_fit_packing,
+        op3_decontamination,
+        op5_exact_dedup,
+        op6_html_extraction,
+        op7_secret_scan,
+        op8_url_filter,
+        op9_toxicity,
+        op10_near_dedup,
+    )
 }
 
 _SQL_EXACT = r"""
@@ -128,4 +158,80 @@ select h.page_id, host, path, rule,
 from h left join fit using (page_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": _SQL_EXACT, "op8_url_filter": _SQL_URL}
+_SQL_CONTAINED = r"""
+with t as (
+  select 'd' as side, doc_id as id, text from documents
+  union all select 'i', item_id, text from benchmark
+), w as (
+  select side, id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[0-9a-z\x{80}-\x{10FFFF}]+') as w
+  from t
+), s as (
+  select distinct side, id, unnest(case
+           when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))
+           when len(w) > 0 then ['=' || array_to_string(w, ' ')] else [] end) as g
+  from w
+), i as (select id as item, g, count(*) over (partition by id) as q from s where side = 'i'
+), hit as (
+  select s.id, item, any_value(q) as q, count(*) as n from s join i on s.g = i.g where side = 'd'
+  group by s.id, item having 100 * count(*) >= 80 * any_value(q)
+), best as (
+  select id, count(*) as n_items, string_agg(item::varchar, ',' order by item) as item_ids,
+         arg_min(item, (-(n / q), item)) as best_item_id, round(max(n / q), 6) as best_share
+  from hit group by id
+)
+select doc_id, n_items is not null as contaminated, coalesce(n_items, 0) as n_items,
+       coalesce(item_ids, '') as item_ids, best_item_id, best_share
+from documents left join best on doc_id = id
+"""
+
+_SQL_NEAR = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x20\x09-\x0D]+') as w
+  from documents
+), s as (
+  select distinct doc_id, unnest(case
+           when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))
+           when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g
+  from w
+), z as (select doc_id, count(*) as n from s group by doc_id
+), c as (
+  select a.doc_id as a, b.doc_id as b, count(*) as k
+  from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2
+), l as (
+  select a, b from c join z x on x.doc_id = a join z y on y.doc_id = b where 100 * k >= 85 * (x.n + y.n - k)
+), e as (select a, b from l union all select b, a from l
+), r as (
+  select doc_id, doc_id as root from documents
+  union select e.b, r.root from r join e on e.a = r.doc_id
+), m as (select doc_id, min(root) as component_id from r group by doc_id)
+select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept
+from m left join z using (doc_id)
+"""
+
+_SQL_SUBSTRING = r"""
+with d as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+), s as (
+  select doc_id, unnest(range(1, len(w) - 33)) as i, w from d where len(w) >= 35
+), g as (
+  select doc_id, i, count(*) over (partition by array_to_string(w[i:i+34], ' ')) as n from s
+), c as (
+  select distinct doc_id, unnest(range(i, i + 35)) as j from g where n > 1
+), k as (select doc_id, list(j) as gone from c group by doc_id)
+select d.doc_id, len(w) as n_words, coalesce(len(gone), 0) as n_removed,
+       sha256(coalesce(array_to_string(list_filter(w, lambda x, i: gone is null or not list_contains(gone, i)), ' '), ''))
+         as kept_sha256
+from d left join k using (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": _SQL_SUBSTRING,
+    "op3_decontamination": _SQL_CONTAINED,
+    "op10_near_dedup": _SQL_NEAR,
+    "op5_exact_dedup": _SQL_EXACT,
+    "op8_url_filter": _SQL_URL,
+}
