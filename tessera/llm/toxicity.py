@@ -23,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._words import WHITE, Words, chunks, tokenize
+from ._words import WHITE, Words, chunks
 
 _U32 = np.uint32
 SIZES = (3, 4, 5, 6)
 BUCKET_BITS = 18
+_BLOCK = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -37,13 +38,13 @@ class Settings:
     characters are not used for training (they are scored like all others); n-grams
     that are seen fewer than ``least`` times in training are left out."""
 
-    most: int = 4000
-    longest: int = 200_000
+    most: int = 3000
+    longest: int = 12_000
     segment: int = 16
     dim: int = 4
-    least: int = 5
-    rounds: int = 60
-    warm: int = 8
+    least: int = 6
+    rounds: int = 90
+    warm: int = 30
     rates: tuple[float, float, float] = (2.0, 0.05, 0.2)
     decay: float = 1e-7
     seed: int = 7
@@ -123,61 +124,118 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
 
 
+def _sums(values: np.ndarray, take: np.ndarray, share: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Sums of ``values[take] * share`` between starts, some blocks at a time to bound memory."""
+    out = np.empty((len(start), values.shape[1]), np.float32)
+    lo = 0
+    while lo < len(start):
+        hi = max(lo + 1, int(np.searchsorted(start, start[lo] + _BLOCK)))
+        a, b = int(start[lo]), int(start[hi]) if hi < len(start) else len(take)
+        out[lo:hi] = np.add.reduceat(values[take[a:b]] * share[a:b, None], start[lo:hi] - a)
+        lo = hi
+    return out
+
+
 class _Bags:
     """Means of rows by a ragged index, and their gradient back to the rows.
 
-    ``share`` is what each entry counts in its bag's mean."""
+    Entries are ordered by bag; ``share`` is what each counts in its bag's mean."""
 
     def __init__(self, ids: np.ndarray, bag: np.ndarray, share: np.ndarray, bags: int):
-        self.ids, self.bag, self.share, self.bags = ids, bag, share.astype(np.float32)[:, None], bags
-        self.has, self.start = np.unique(bag, return_index=True)
-        self.order = np.argsort(ids, kind="stable")
-        self.used, self.cuts = np.unique(ids[self.order], return_index=True)
-        self.back_bag, self.back_share = bag[self.order], self.share[self.order]
+        self.ids, self.share, self.bags = ids.astype(np.int32), share.astype(np.float32), bags
+        self.start = np.flatnonzero(np.append(True, bag[1:] != bag[:-1]))
+        self.has = bag[self.start]
+        order = np.argsort(ids, kind="stable").astype(np.int32)
+        back = self.ids[order]
+        self.cuts = np.flatnonzero(np.append(True, back[1:] != back[:-1]))
+        self.used = back[self.cuts]
+        del back
+        self.back_bag, self.back_share = bag.astype(np.int32)[order], self.share[order]
 
     def mean(self, values: np.ndarray) -> np.ndarray:
         out = np.zeros((self.bags, values.shape[1]), np.float32)
-        out[self.has] = np.add.reduceat(values[self.ids] * self.share, self.start)
+        out[self.has] = _sums(values, self.ids, self.share, self.start)
         return out
 
     def back(self, grad: np.ndarray, rows: int) -> np.ndarray:
         """Gradient of the rows, given that of the bags' means."""
         out = np.zeros((rows, grad.shape[1]), np.float32)
-        out[self.used] = np.add.reduceat(grad[self.back_bag] * self.back_share, self.cuts)
+        out[self.used] = _sums(grad, self.back_bag, self.back_share, self.cuts)
         return out
 
 
+class _Vocabulary:
+    """The words of the training texts: number of each token, tokens of each text, n-grams of each word."""
+
+    def __init__(self, texts: list[str], least: int):
+        parts = list(chunks(pa.array(texts, pa.large_string()), WHITE, lower=True))
+        count = np.concatenate([np.diff(w.first) for w in parts]) if parts else np.zeros(0, np.int64)
+        self.has = count > 0
+        self.first = np.concatenate(([0], np.cumsum(count[self.has])))
+        hashes = np.concatenate([w.hashes() for w in parts]) if parts else np.zeros(0, np.uint64)
+        _, at, token = np.unique(hashes, return_index=True, return_inverse=True)
+        order = np.argsort(at)  # words in order of first occurrence
+        rank = np.empty(len(at), np.int32)
+        rank[order] = np.arange(len(at), dtype=np.int32)
+        self.token, at = rank[token], at[order]
+        self.size = len(at)
+        self.padded: list[tuple[int, Padded]] = []
+        base = done = 0
+        for w in parts:
+            new = at[done : int(np.searchsorted(at, base + len(w.start)))] - base
+            if len(new):
+                self.padded.append((done, Padded.of(Words(0, 1, w.data, w.start[new], w.end[new], np.array([0, len(new)])))))
+            done += len(new)
+            base += len(w.start)
+        often = np.bincount(self.token, minlength=self.size)
+        seen, whole = np.zeros(1 << BUCKET_BITS), np.zeros(self.size)
+        for bucket, owner in self._pieces():
+            seen += np.bincount(bucket, often[owner], 1 << BUCKET_BITS)
+            whole += np.bincount(owner, minlength=self.size)
+        ids, owners = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        for pieces in self._by_chunk():
+            bucket, owner = (np.concatenate(x) for x in zip(*((b[k], o[k]) for b, o in pieces for k in [seen[b] >= least]), strict=True))
+            order = np.argsort(owner, kind="stable")
+            ids.append(bucket[order])
+            owners.append(owner[order])
+        ids, self.owner = np.concatenate(ids), np.concatenate(owners)
+        self.padded, owners = [], []
+        self.used = np.flatnonzero(np.bincount(ids, minlength=1 << BUCKET_BITS))
+        rank = np.zeros(1 << BUCKET_BITS, np.int32)
+        rank[self.used] = np.arange(len(self.used))
+        self.ids = rank[ids]
+        self.share = (1 / whole)[self.owner].astype(np.float32)
+
+    def _by_chunk(self) -> Iterator[Iterator[tuple[np.ndarray, np.ndarray]]]:
+        for base, padded in self.padded:
+            owner = np.repeat(
+                np.arange(len(padded.lead), dtype=np.int32) + base, np.diff(np.append(padded.lead, len(padded.data) - 7))
+            )
+            yield ((bucket[ok].astype(np.int32), owner[ok]) for bucket, ok in padded.buckets())
+
+    def _pieces(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for pieces in self._by_chunk():
+            yield from pieces
+
+
 def train(texts: Iterable[str], labels: Iterable[int], settings: Settings = Settings()) -> Model:
     """Fit on texts with labels 0/1; without both classes the score is the share of 1."""
     texts, y = list(texts), np.asarray(list(labels), float)
     share = float(y.mean()) if len(y) else 0.0
-    raw = [t.encode() for t in texts]
-    off = np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
-    words = tokenize(np.frombuffer(b"".join(raw), np.uint8), off, 0, len(raw), WHITE, True)
-    has = np.diff(words.first) > 0
-    y = y[has]
-    if not len(y) or y.min() == y.max():
+    known = _Vocabulary(texts, settings.least)
+    y = y[known.has]
+    if not len(y) or y.min() == y.max() or not len(known.used):
         edge = min(max(share, 1e-9), 1 - 1e-9)
         return Model(np.zeros(1 << BUCKET_BITS, np.float32), float(np.log(edge / (1 - edge))), settings.segment)
-    _, at, word = np.unique(words.hashes(), return_index=True, return_inverse=True)
-    known = Words(0, 1, words.data, words.start[at], words.end[at], np.array([0, len(at)]))
-    padded = Padded.of(known)
-    owner = np.repeat(np.arange(len(at)), np.diff(np.append(padded.lead, len(padded.data) - 7)))
-    parts = [(b[ok], owner[ok]) for b, ok in padded.buckets()]
-    ids, owner = (np.concatenate(x) for x in zip(*parts, strict=True))
-    share = 1 / np.bincount(owner, minlength=len(at))[owner]
-    seen = np.bincount(ids, np.bincount(word, minlength=len(at))[owner], 1 << BUCKET_BITS)
-    keep = seen[ids] >= settings.least
-    ids, owner, share = ids[keep].astype(np.int64), owner[keep], share[keep]
-    order = np.argsort(owner, kind="stable")
-    used, ids = np.unique(ids[order], return_inverse=True)
-    grams = _Bags(ids, owner[order], share[order], len(at))
-    start, first = segments(words.first, settings.segment)
-    size = np.diff(np.append(start, len(word)))
+    used, token, size = known.used, known.token, known.size
+    grams = _Bags(known.ids, known.owner, known.share, size)
+    start, first = segments(known.first, settings.segment)
+    del known
+    length = np.diff(np.append(start, len(token)))
     pieces = np.diff(np.append(first, len(start)))
     doc = np.repeat(np.arange(len(y)), pieces)
-    piece = np.repeat(np.arange(len(start)), size)
-    tokens = _Bags(word, piece, 1 / size[piece], len(start))
+    piece = np.repeat(np.arange(len(start)), length)
+    tokens = _Bags(token, piece, 1 / length[piece], len(start))
 
     rng = np.random.default_rng(settings.seed)
     table = rng.normal(0, 0.02, (len(used), settings.dim)).astype(np.float32)
@@ -205,15 +263,16 @@ def train(texts: Iterable[str], labels: Iterable[int], settings: Settings = Sett
         grad = np.zeros_like(middle)
         grad[take] = p @ soft.T
         grads = [
-            grams.back(tokens.back(grad, len(at)), len(used)) + settings.decay * table,
+            grams.back(tokens.back(grad, size), len(used)) + settings.decay * table,
             middle[take].T @ p + settings.decay * soft,
             p.sum(0),
         ]
+        slow = min(1.0, 1.5 * (1 - (step - 1) / settings.rounds))
         # one step size for each array and not for each number: what many documents share moves most
         for i, (value, g) in enumerate(zip((table, soft, bias), grads, strict=True)):
             scale[i] = max(0.9 * scale[i], float(np.abs(g).max()), 1e-12)
             speed[i] = 0.8 * speed[i] + g / scale[i]
-            value -= settings.rates[i] * speed[i]
+            value -= settings.rates[i] * slow * speed[i]
     weight = np.zeros(1 << BUCKET_BITS, np.float32)
     weight[used] = table @ (soft[:, 1] - soft[:, 0])
     prior = np.log(y.sum() / (len(y) - y.sum()))  # the loss weighs both classes alike; scores follow their shares
