@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .decontaminate import contained_items, contaminated
 from .exact_dedup import exact_dedup
 from .html_text import extract_text
+from .line_dedup import removed_lines
 from .near_dedup import near_dedup
 from .packing import pack_documents
 from .secrets import scan_secrets
@@ -56,6 +57,16 @@ def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contaminated(contained_items(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
 
 
+def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = removed_lines(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id",
+        F.col("n_lines").cast("long").alias("n_lines"),
+        F.size("removed").cast("long").alias("n_removed"),
+        F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"),
+    )
+
+
 def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(table(spark, folder, "documents"))
 
@@ -111,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_substring_dedup,
         op2_best_fit_packing,
         op3_decontamination,
+        op4_line_dedup,
         op5_exact_dedup,
         op6_html_extraction,
         op7_secret_scan,
@@ -228,7 +240,35 @@ select d.doc_id, len(w) as n_words, coalesce(len(gone), 0) as n_removed,
 from d left join k using (doc_id)
 """
 
+_SQL_LINES = r"""
+with d as (
+  select doc_id, string_split(text, chr(10)) as ls from documents where text is not null
+), l as (
+  select doc_id, unnest(range(0, len(ls))) as i, unnest(ls) as raw from d
+), w as (
+  select doc_id, i, list_sort(list_distinct(regexp_extract_all(raw, '[^\x20\x09-\x0D]+'))) as ws from l
+), k as (
+  select array_to_string(ws, ' ') as s, any_value(ws) as ws, min((doc_id, i)) as first, any_value(len(ws)) as n
+  from w where len(ws) >= 3 group by 1
+), t as (
+  select s, first, n, unnest(ws) as x from k
+), p as (
+  select a.s, count(*) as c, any_value(a.n) as n, any_value(b.n) as m
+  from t a join t b on a.x = b.x and b.first < a.first and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  group by a.s, b.s having 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))
+), g as (select distinct s from p
+), r as (
+  select doc_id, i from w join k on k.s = array_to_string(w.ws, ' ')
+  where len(w.ws) >= 3 and ((doc_id, i) <> first or exists (select 1 from g where g.s = k.s))
+), a as (
+  select doc_id, count(*) as n_removed, string_agg(i::varchar, ',' order by i) as removed_lines from r group by doc_id
+)
+select doc_id, len(ls) as n_lines, coalesce(n_removed, 0) as n_removed, coalesce(removed_lines, '') as removed_lines
+from d left join a using (doc_id)
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_line_dedup": _SQL_LINES,
     "op1_substring_dedup": _SQL_SUBSTRING,
     "op3_decontamination": _SQL_CONTAINED,
     "op10_near_dedup": _SQL_NEAR,
