@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,15 +22,31 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder; survives lost executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+def cut(df: DataFrame, dealt: bool = False) -> DataFrame:
+    """``df`` computed once and kept in the shared folder; survives lost executors.
 
+    With ``dealt`` it is planned without adaptive execution, so that Spark knows how its
+    last shuffle dealt the rows and can join on the same key without shuffling them anew.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    if not dealt:
+        return df.checkpoint()
+    name = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        return df.checkpoint()
+    finally:
+        spark.conf.set(name, before)
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished phases that nothing refers to any more."""
-    import gc
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished phases that nothing refers to any more.
+
+    Two collections: the first frees plans, the second the shuffles that they held.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.1)

@@ -230,7 +230,8 @@ def substring_dedup(
         source.select("text")
         .mapInArrow(_texts(window), "k1 long, k2 int, z binary")
         .groupBy("k1", "k2")
-        .agg(F.first("z").alias("z"), F.count(F.lit(1)).alias("copies"))
+        .agg(F.first("z").alias("z"), F.count(F.lit(1)).alias("copies")),
+        dealt=True,
     )
     release(spark)
 
@@ -258,7 +259,9 @@ def substring_dedup(
         .agg(F.collect_list("start").alias("starts"))
     )
     changed = cut(
-        texts.select("k1", "k2", "z").join(starts, ["k1", "k2"]).mapInArrow(_remaining(window), "k1 long, k2 int, gone long, left string")
+        texts.join(starts, ["k1", "k2"])
+        .select("k1", "k2", "z", "starts")
+        .mapInArrow(_remaining(window), "k1 long, k2 int, gone long, left string")
     )
     release(spark)
 
