@@ -4,8 +4,8 @@ A line is the set of its distinct words.  Words are ordered from rare to common
 a count sketch of fixed size over all words of all documents.  Two sets of Jaccard
 similarity t or more share a word among the first ``n - ceil(t n) + 1`` of each
 (prefix filter), have sizes within t of each other (length filter), enough words
-left behind the shared one (positional filter) and few differing bits in a bitmap
-of their words.  What passes is verified on the words themselves.
+left behind the shared one (positional filter) and few differing bits in parity
+bitmaps of their words.  What passes is verified on the words themselves.
 
 Equal sets are folded into one, at the place of its first line.  The words of all
 prefixes are then grouped; every set is first compared with the earliest set of
@@ -18,7 +18,9 @@ Everything is DataFrame expressions; no Python runs on the executors.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,41 +33,57 @@ WHITE = "[\\x20\\x09-\\x0D]+"
 @dataclass(frozen=True)
 class Settings:
     """Least similarity in percent; lines of fewer distinct words than ``least`` are never
-    removed; sketch cells; occurrences of a word from which its group is salted."""
+    removed; sketch cells; occurrences of a word from which its group is salted; passes
+    over the words of the prefixes, to bound the disk that their shuffles take."""
 
     percent: int = 80
     least: int = 3
-    cells: int = 1 << 16
+    cells: int = 1 << 20
     hot: int = 100_000
+    passes: int = 4
 
 
 def words_of(line: Column) -> Column:
     return F.array_remove(F.split(line, WHITE), "")
 
 
-def _rarity(docs: DataFrame, settings: Settings) -> list[int]:
-    """A class of each sketch cell: four times the binary logarithm of its count."""
+def _rarity(docs: DataFrame, settings: Settings) -> DataFrame:
+    """One row, one array: a class of each sketch cell, four times the binary logarithm of its count."""
+    spark = docs.sparkSession
     cell = F.pmod(F.xxhash64("word"), F.lit(settings.cells).cast("long"))
     words = docs.select(F.explode(F.split("text", WHITE)).alias("word"))
-    counts = words.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()
-    out = [0] * settings.cells
-    for r in counts:
-        out[r["cell"]] = int(4 * (r["n"]).bit_length() + 4 * (r["n"] / (1 << r["n"].bit_length())) - 4)
-    return out
+    counts = words.groupBy(cell.alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    every = spark.range(settings.cells).join(counts, "id", "left")
+    rank = F.floor(4 * F.log2(F.coalesce("n", F.lit(0)) + 1)).cast("tinyint").alias("rank")
+    ordered = F.sort_array(F.collect_list(F.struct(F.col("id"), rank)))
+    return cut(every.agg(ordered.alias("r")).select(F.col("r.rank").alias("ranks")))
 
 
-def _tokens(line: Column, rarity: list[int], settings: Settings) -> Column:
+def _tokens(line: Column, ranks: Column, settings: Settings) -> Column:
     """The distinct words of a line as sorted numbers: rarity class, then hash."""
-    classes = F.split(F.lit(",".join(map(str, rarity))), ",").cast("array<bigint>")
 
     def number(word: Column) -> Column:
         h = F.xxhash64(word)
-        rank = F.get(classes, F.pmod(h, F.lit(settings.cells).cast("long")).cast("int"))
-        return F.shiftleft(rank, 48).bitwiseOR(F.shiftrightunsigned(h, 16))
+        rank = F.get(ranks, F.pmod(h, F.lit(settings.cells).cast("long")).cast("int"))
+        return F.shiftleft(rank.cast("long"), 48).bitwiseOR(F.shiftrightunsigned(h, 16))
 
     return F.sort_array(F.array_distinct(F.transform(words_of(line), number)))
 
 
+def _parity(half: int) -> Column:
+    """64 bits, each the parity of the words of ``t`` that hash to it (half the words each).
+
+    Words that two sets share cancel, so their parities differ in at most as many bits
+    as the sets differ in words."""
+
+    def flip(a: Column, x: Column) -> Column:
+        side = F.shiftright(x, 6).bitwiseAND(1)
+        one = side if half else 1 - side
+        return a.bitwiseXOR(F.call_function("shiftleft", one, x.bitwiseAND(63).cast("int")))
+
+    return F.aggregate("t", F.lit(0).cast("long"), flip)
+
+
 def _need(percent: int, n: str) -> str:
     """SQL for the least overlap that a set of n words has with any similar one."""
     return f"int(({n} * {percent} + 99) div 100)"
@@ -79,7 +97,7 @@ def _may_match(s: Settings) -> Column:
     return F.expr(
         f"100 * least(n, n2) >= {p} * greatest(n, n2)"
         f" and least(i, i2) + 1 + least(n - i - 1, n2 - i2 - 1) >= {overlap}"
-        f" and bit_count(bits ^ bits2) <= n + n2 - 2 * {overlap}"
+        f" and bit_count(bits ^ bits2) + bit_count(more ^ more2) <= n + n2 - 2 * {overlap}"
     )
 
 
@@ -98,45 +116,37 @@ def removed_lines(
     source = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     rarity = _rarity(source, settings)
     split = source.select("id", F.xxhash64("text").alias("mark"), F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    lines = split.select("id", "mark", "line", _tokens(F.col("raw"), rarity, settings).alias("t"))
+    ranked = split.withColumn("ranks", rarity.scalar())  # one value, which Spark inlines into the next expression
+    lines = ranked.select("id", "mark", "line", _tokens(F.col("raw"), F.col("ranks"), settings).alias("t"))
     place = F.struct(F.col("id").isNull().alias("none"), "id", "mark", "line")
     lines = lines.withColumns(
         {
             "n": F.size("t"),
             "h1": F.xxhash64("t"),
             "h2": F.xxhash64(F.lit(7), "t"),
-            "bits": F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int")))),
+            "bits": _parity(0),
+            "more": _parity(1),
             "prefix": F.expr(f"slice(t, 1, size(t) - {_need(settings.percent, 'size(t)')} + 1)"),
         }
     ).drop("t")
-    every = cut(lines.select("id", "mark", "line", "n", "h1", "h2", "bits", "prefix").where(f"n >= {settings.least}"))
+    # filtered behind the cut: before it, Spark would compute the words a second time for the filter
+    every = cut(lines.select("id", "mark", "line", "n", "h1", "h2", "bits", "more", "prefix")).where(f"n >= {settings.least}")
     sets = cut(
         every.groupBy("h1", "h2", "n")
-        .agg(F.min(F.struct(place.alias("place"), "bits", "prefix")).alias("m"))
-        .select("h1", "h2", "n", "m.place", "m.bits", "m.prefix")
+        .agg(F.min(F.struct(place.alias("place"), "bits", "more", "prefix")).alias("m"))
+        .select("h1", "h2", "n", "m.place", "m.bits", "m.more", "m.prefix")
         .orderBy("place")
         .withColumn("set", F.monotonically_increasing_id())
     )
+    every = cut(every.select("id", "mark", "line", "n", "h1", "h2"))
     release(docs.sparkSession)
 
-    grams = sets.select("set", "n", "bits", F.posexplode("prefix").alias("i", "word"))
-    parts = F.expr(f"cast(ceil(pow(2D, shiftright(word, 48) / 4D) / {settings.hot}D) as long)")
-    salted = grams.withColumn("salt", F.pmod(F.xxhash64("set"), F.greatest(F.lit(1).cast("long"), parts)))
-    group = Window.partitionBy("word", "salt").orderBy("set")
-    first = F.first(F.struct("set", "n", "i", "bits")).over(group.rowsBetween(Window.unboundedPreceding, 0))
-    headed = salted.withColumn("head", first).where("set <> head.set")
-    near = headed.select("set", "n", "i", "bits", F.col("head.set").alias("set2"), F.col("head.n").alias("n2"), F.col("head.i").alias("i2"), F.col("head.bits").alias("bits2"))
-    settled = _verified(near.where(_may_match(settings)).select("set", "set2").distinct(), sets, source, settings)
-    release(docs.sparkSession)
-
-    common = grams.groupBy("word").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("word")
-    shared = cut(grams.join(common, "word"))
-    release(docs.sparkSession)
-    open_ = shared.join(settled, "set", "left_anti")
-    other = shared.select("word", F.col("set").alias("set2"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("bits").alias("bits2"))
-    rest = open_.join(other, "word").where("set2 < set").where(_may_match(settings)).select("set", "set2").distinct()
+    grams = sets.select("set", "n", "bits", "more", F.posexplode("prefix").alias("i", "word"))
+    passes = [grams.where(F.pmod("word", F.lit(settings.passes)) == b) for b in range(settings.passes)]
+    heads = _together(_headed(p, settings) for p in passes)
+    settled = _verified(heads, sets, source, settings)
+    rest = _together(_with_earlier(p, settled, settings) for p in passes)
     more = _verified(rest, sets, source, settings)
-    release(docs.sparkSession)
 
     gone = settled.unionByName(more).distinct().withColumn("gone", F.lit(True))
     of_set = sets.select("h1", "h2", "n", "place", "set").join(gone, "set", "left").select("h1", "h2", "n", "place", F.coalesce("gone", F.lit(False)).alias("gone"))
@@ -157,9 +167,37 @@ def removed_lines(
     )
 
 
+def _headed(grams: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs (set, set2) of each set and the earliest of a word's group that may match it.
+
+    A group of a common word is split by a salt, each part with its own earliest set."""
+    parts = F.expr(f"cast(ceil(pow(2D, shiftright(word, 48) / 4D) / {settings.hot}D) as long)")
+    salted = grams.withColumn("salt", F.pmod(F.xxhash64("set"), F.greatest(F.lit(1).cast("long"), parts)))
+    group = Window.partitionBy("word", "salt").orderBy("set").rowsBetween(Window.unboundedPreceding, 0)
+    head = salted.withColumn("head", F.first(F.struct("set", "n", "i", "bits", "more")).over(group))
+    pairs = head.where("set <> head.set").select("*", *(F.col(f"head.{c}").alias(f"{c}2") for c in ("set", "n", "i", "bits", "more")))
+    return pairs.where(_may_match(settings)).select("set", "set2").distinct()
+
+
+def _with_earlier(grams: DataFrame, settled: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs (set, set2) of each unsettled set and every earlier set of its groups that may match it."""
+    other = grams.select("word", *(F.col(c).alias(f"{c}2") for c in ("set", "n", "i", "bits", "more")))
+    pairs = grams.join(settled, "set", "left_anti").join(other, "word").where("set2 < set").where(_may_match(settings))
+    return pairs.select("set", "set2").distinct()
+
+
+def _together(parts: Iterator[DataFrame]) -> DataFrame:
+    """The distinct rows of all parts, each computed by itself so that its shuffles can go before the next."""
+    done = []
+    for part in parts:
+        done.append(cut(part))
+        spark, part = part.sparkSession, None
+        release(spark)
+    return cut(reduce(DataFrame.unionByName, done).distinct())
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, source: DataFrame, settings: Settings) -> DataFrame:
     """The sets (set) of the pairs (set, set2) that are similar enough, by their words."""
-    pairs = cut(pairs)
     asked = pairs.select("set").unionByName(pairs.select(F.col("set2").alias("set"))).distinct()
     at = asked.join(sets.select("set", "place"), "set").select("set", F.col("place.id").alias("id"), F.col("place.mark").alias("mark"), F.col("place.line").alias("line"))
     wanted = at.groupBy("id", "mark").agg(F.collect_list(F.struct("set", "line")).alias("wanted"))
@@ -171,7 +209,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, source: DataFrame, settings: Se
     ok = both.withColumn("k", F.size(F.array_intersect("words", "words2"))).where(
         f"100 * k >= {settings.percent} * (size(words) + size(words2) - k)"
     )
-    return cut(ok.select("set").distinct())
+    found = cut(ok.select("set").distinct())
+    release(source.sparkSession)
+    return found
 
 
 def without_lines(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
