@@ -304,15 +304,17 @@ def score_toxicity(
     label_col: str = "toxic",
     score_col: str = "toxicity",
     settings: Settings = Settings(),
+    training_docs: DataFrame | None = None,
 ) -> DataFrame:
     """``docs`` with a score from 0 to 1, higher when label 1 is likelier.
 
-    Every row of ``docs`` is scored, whole texts.  Null, empty and white texts
+    Every row of ``docs`` is scored, whole texts; labels belong to the texts of
+    ``training_docs`` (by default ``docs``).  Null, empty and white texts
     get the score of an empty bag; without labels of both classes all scores are
     the share of label 1 (0 without labels).  Repeated rows repeat the score.
     A column named ``score_col`` is replaced.
     """
-    rows = sorted(training_rows(docs, labels, settings, id_col, text_col, label_col), key=lambda r: (r["id"], r["text"]))
+    rows = sorted(training_rows(docs if training_docs is None else training_docs, labels, settings, id_col, text_col, label_col), key=lambda r: (r["id"], r["text"]))
     model = train([r["text"] for r in rows], [r["label"] for r in rows], settings)
     held = docs.sparkSession.sparkContext.broadcast((model.weight, model.bias, model.segment))
 
