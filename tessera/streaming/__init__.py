@@ -1,0 +1 @@
+"""Nothing: all operators are batch; rounds and transactions are in plans and operators."""
