@@ -9,7 +9,8 @@ bitmaps of their words.  What passes is verified on the words themselves.
 
 Equal sets are folded into one, at the place of its first line.  The words of all
 prefixes are then grouped; every set is first compared with the earliest set of
-each group only, which settles groups of copies by one pair a member.  Sets that
+each group and with its two predecessors only, which settles groups of copies by a
+few pairs a member.  Sets that
 this leaves unsettled are joined with all earlier sets of their groups, so no
 match is lost.  Groups of common words are split by a salt in the first step.
 
@@ -168,14 +169,18 @@ def removed_lines(
 
 
 def _headed(grams: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs (set, set2) of each set and the earliest of a word's group that may match it.
+    """Pairs (set, set2) of each set and the earliest of a word's group, and the two just before
+    it, that may match it.
 
     A group of a common word is split by a salt, each part with its own earliest set."""
     parts = F.expr(f"cast(ceil(pow(2D, shiftright(word, 48) / 4D) / {settings.hot}D) as long)")
     salted = grams.withColumn("salt", F.pmod(F.xxhash64("set"), F.greatest(F.lit(1).cast("long"), parts)))
-    group = Window.partitionBy("word", "salt").orderBy("set").rowsBetween(Window.unboundedPreceding, 0)
-    head = salted.withColumn("head", F.first(F.struct("set", "n", "i", "bits", "more")).over(group))
-    pairs = head.where("set <> head.set").select("*", *(F.col(f"head.{c}").alias(f"{c}2") for c in ("set", "n", "i", "bits", "more")))
+    line = Window.partitionBy("word", "salt").orderBy("set")
+    one = F.struct("set", "n", "i", "bits", "more")
+    first = F.first(one).over(line.rowsBetween(Window.unboundedPreceding, 0))
+    asked = F.array(first, *(F.lag(one, k).over(line) for k in (1, 2)))
+    rows = salted.withColumn("other", F.explode(F.array_distinct(asked))).where("other is not null and other.set <> set")
+    pairs = rows.select("*", *(F.col(f"other.{c}").alias(f"{c}2") for c in ("set", "n", "i", "bits", "more")))
     return pairs.where(_may_match(settings)).select("set", "set2").distinct()
 
 
