@@ -250,7 +250,9 @@ def substring_dedup(
         .select("k1", "k2", "copies", "z", "fps")
         .mapInArrow(_windows(window, gram), "h1 long, h2 int, copies long, k1 long, k2 int, start int")
     )
-    repeated = windows.groupBy("h1", "h2").agg(F.sum("copies").alias("n")).where("n > 1").select("h1", "h2")
+    # written, so that both sides of the join below are plain shuffles and a common window can be split
+    repeated = cut(windows.groupBy("h1", "h2").agg(F.sum("copies").alias("n")).where("n > 1").select("h1", "h2"))
+    release(spark)
     starts = (
         windows.where("copies = 1")
         .select("h1", "h2", "k1", "k2", "start")
