@@ -179,7 +179,7 @@ def _headed(grams: DataFrame, settings: Settings) -> DataFrame:
     one = F.struct("set", "n", "i", "bits", "more")
     first = F.first(one).over(line.rowsBetween(Window.unboundedPreceding, 0))
     asked = F.array(first, *(F.lag(one, k).over(line) for k in (1, 2)))
-    rows = salted.withColumn("other", F.explode(F.array_distinct(asked))).where("other is not null and other.set <> set")
+    rows = salted.withColumn("asked", asked).withColumn("other", F.explode(F.array_distinct("asked"))).where("other is not null and other.set <> set")
     pairs = rows.select("*", *(F.col(f"other.{c}").alias(f"{c}2") for c in ("set", "n", "i", "bits", "more")))
     return pairs.where(_may_match(settings)).select("set", "set2").distinct()
 
