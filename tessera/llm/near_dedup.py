@@ -10,10 +10,13 @@ similarity 0.85 miss all chunks with probability 4e-6.  Links are confirmed on
 full sets.
 
 Equal sets are first folded into one node.  In an index bucket, members are
-compared with the bucket's first member only, which links a group of n copies by
-n - 1 pairs; then buckets whose members still lie in different components are
-compared across components.  So no link between components is lost and no bucket
-is expanded into all pairs of what is known to be connected.
+compared with a few members only (the first, the last and two by a hash that all
+buckets share), which links a group of n copies by a few pairs each; then buckets
+whose members still lie in different components are compared across components.
+So no link between components is lost and no bucket is expanded into all pairs of
+what is known to be connected.  Before texts are fetched, pairs must pass an exact
+bound: each node has the parities of its shingles over 1024 bits, and two sets differ
+in at least as many shingles as their parities differ in bits.
 """
 
 from __future__ import annotations
@@ -33,6 +36,7 @@ from ._spark import cut, release
 from ._words import WHITE, Words, chunks, grams, mix
 
 _U = np.uint64
+_LANES = 16
 
 
 @dataclass(frozen=True)
@@ -87,31 +91,53 @@ def _signatures(sets: np.ndarray, bounds: np.ndarray, plan: Plan) -> np.ndarray:
     return out
 
 
+def _parities(sets: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each document (n shingles each), 64 * _LANES parities: how often a bit is hit, modulo 2."""
+    width = 64 * _LANES
+    doc = np.repeat(np.arange(len(n)), n)
+    count = np.bincount(doc * width + (sets >> _U(20)).astype(np.int64) % width, minlength=len(n) * width)
+    return np.packbits((count & 1).astype(np.uint8), bitorder="little").view(np.int64).reshape(len(n), _LANES)
+
+
+def _parities_allow(plan: Plan):
+    """Sets of n and m shingles, similar enough, differ in few shingles, so in few parities (odd, odd2)."""
+    bits = " + ".join(f"bit_count(odd[{i}] ^ odd2[{i}])" for i in range(_LANES))
+    return F.expr(f"({bits}) * {100 + plan.percent} <= (n + m) * {100 - plan.percent}")
+
+
 def _sketch(plan: Plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, one, two, sign = [], [], [], []
+            size, one, two, sign, parity = [], [], [], [], []
             for words in chunks(batch.column(1), WHITE, lower=True):
                 sets, bounds = shingle_sets(words, plan.shingle)
                 n = np.diff(bounds)
                 has = n > 0
                 a, b = np.zeros(len(n), _U), np.zeros(len(n), _U)
                 signs: list[bytes | None] = [None] * len(n)
+                odd = np.zeros((len(n), _LANES), np.int64)
                 if has.any():
                     start = bounds[:-1][has]
                     a[has] = np.add.reduceat(mix(sets), start)
                     b[has] = np.add.reduceat(mix(sets ^ _U(0xA5A5A5A55A5A5A5A)), start)
+                    odd = _parities(sets, n)
                     for i, s in zip(np.flatnonzero(has).tolist(), _signatures(sets, bounds, plan), strict=True):
                         signs[i] = s.tobytes()
                 size.append(n)
                 one.append(a.view(np.int64))
                 two.append(b.view(np.int64))
                 sign += signs
+                parity.append(odd)
             if not size:
                 continue
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(np.concatenate(x)) for x in (size, one, two)), pa.array(sign, pa.binary())],
-                ["id", "n", "s1", "s2", "sign"],
+                [
+                    batch.column(0),
+                    *(pa.array(np.concatenate(x)) for x in (size, one, two)),
+                    pa.array(sign, pa.binary()),
+                    pa.FixedSizeListArray.from_arrays(np.concatenate(parity).ravel(), _LANES).cast(pa.list_(pa.int64())),
+                ],
+                ["id", "n", "s1", "s2", "sign", "odd"],
             )
 
     return run
@@ -177,11 +203,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     source = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    sketch = cut(source.mapInArrow(_sketch(plan), f"id {kind}, n long, s1 long, s2 long, sign binary"))
+    sketch = cut(source.mapInArrow(_sketch(plan), f"id {kind}, n long, s1 long, s2 long, sign binary, odd array<long>"))
     nodes = cut(
         sketch.where("n > 0")
         .groupBy("s1", "s2", "n")
-        .agg(F.min("id").alias("least"), F.min("sign").alias("sign"))
+        .agg(F.min("id").alias("least"), F.min("sign").alias("sign"), F.first("odd").alias("odd"))
         .withColumn("nid", F.monotonically_increasing_id())
     )
     index = _index(nodes, plan)
@@ -189,10 +215,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         source.mapInArrow(_texts(plan), "s1 long, s2 long, z binary").groupBy("s1", "s2").agg(F.first("z").alias("z"))
     )
 
-    heads = index.groupBy("key").agg(F.min("nid").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    sizes = nodes.select(F.col("nid").alias("head"), F.col("n").alias("m"))
-    pairs = index.join(heads.select("key", "head"), "key").where("nid <> head").select("nid", "n", "head").distinct()
-    pairs = pairs.join(sizes, "head").select(F.col("head").alias("a"), F.col("nid").alias("b"), F.col("n"), F.col("m"))
+    by_hash = [F.min_by("nid", F.xxhash64("nid", F.lit(r))) for r in (1, 2)]
+    heads = index.groupBy("key").agg(
+        F.array_distinct(F.array(F.min("nid"), F.max("nid"), *by_hash)).alias("heads"), F.count(F.lit(1)).alias("size")
+    ).where("size > 1")
+    met = index.join(heads.select("key", "heads"), "key").select("nid", F.explode("heads").alias("head")).where("nid <> head")
+    met = met.select(F.least("nid", "head").alias("a"), F.greatest("nid", "head").alias("b")).distinct()
+    sketches = nodes.select(F.col("nid").alias("a"), "n", "odd")
+    others = nodes.select(F.col("nid").alias("b"), F.col("n").alias("m"), F.col("odd").alias("odd2"))
+    pairs = met.join(sketches, "a").join(others, "b").where(_sizes_allow(plan)).where(_parities_allow(plan)).select("a", "b")
     links = _confirmed(pairs, nodes, texts, plan)
     roots = cut(components(links))
     release(spark)
@@ -203,13 +234,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select("key", "nid", "n", F.coalesce("root", "nid").alias("root"))
     )
     open_ = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    left = placed.join(open_, "key")
-    right = left.select("key", F.col("nid").alias("nid2"), F.col("n").alias("m"), F.col("root").alias("root2"))
+    left = placed.join(open_, "key").join(nodes.select("nid", "odd"), "nid")
+    right = left.select("key", *(F.col(c).alias(d) for c, d in (("nid", "nid2"), ("n", "m"), ("root", "root2"), ("odd", "odd2"))))
     across = (
         left.join(right, "key")
         .where(F.col("root") < F.col("root2"))
         .where(_sizes_allow(plan))
-        .select(F.col("nid").alias("a"), F.col("nid2").alias("b"), "n", "m")
+        .where(_parities_allow(plan))
+        .select(F.col("nid").alias("a"), F.col("nid2").alias("b"))
         .distinct()
     )
     more = _confirmed(across, nodes, texts, plan)
@@ -244,9 +276,9 @@ def _sizes_allow(plan: Plan):
 
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
-    """The pairs (a, b, n, m) whose full sets pass, as a written table (a, b)."""
+    """The pairs (a, b) whose full sets pass, as a written table (a, b)."""
     names = nodes.select("nid", "s1", "s2")
-    near = pairs.where(_sizes_allow(plan)).select("a", "b")
+    near = pairs
     for end in ("a", "b"):
         key = names.select(F.col("nid").alias(end), F.col("s1").alias(f"{end}1"), F.col("s2").alias(f"{end}2"))
         near = near.join(key, end)
