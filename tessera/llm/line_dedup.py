@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from ._spark import cut, release
 
 WHITE = "[\\x20\\x09-\\x0D]+"
+BITS = ("bits0", "bits1", "bits2", "bits3")
+_SET = ("set", "n", "i", *BITS)
 
 
 @dataclass(frozen=True)
@@ -71,16 +73,15 @@ def _tokens(line: Column, ranks: Column, settings: Settings) -> Column:
     return F.sort_array(F.array_distinct(F.transform(words_of(line), number)))
 
 
-def _parity(half: int) -> Column:
-    """64 bits, each the parity of the words of ``t`` that hash to it (half the words each).
+def _parity(part: int) -> Column:
+    """64 bits, each the parity of the words of ``t`` that hash to it (a quarter of the words each).
 
     Words that two sets share cancel, so their parities differ in at most as many bits
     as the sets differ in words."""
 
     def flip(a: Column, x: Column) -> Column:
-        side = F.shiftright(x, 6).bitwiseAND(1)
-        one = side if half else 1 - side
-        return a.bitwiseXOR(F.call_function("shiftleft", one, x.bitwiseAND(63).cast("int")))
+        own = F.when(F.shiftright(x, 6).bitwiseAND(3) == part, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
+        return a.bitwiseXOR(F.call_function("shiftleft", own, x.bitwiseAND(63).cast("int")))
 
     return F.aggregate("t", F.lit(0).cast("long"), flip)
 
@@ -92,13 +93,16 @@ def _need(percent: int, n: str) -> str:
 
 def _may_match(s: Settings) -> Column:
     """Length, positional and bitmap filter for sets (n, i, bits) and (n2, i2, bits2) that share
-    the word at places i and i2 of their orders."""
+    the word at places i and i_2 of their orders.
+
+    The positional filter is that of the first word that two sets share: all others lie
+    behind it in both.  A later shared word may fail it, the first does not."""
     p = s.percent
-    overlap = f"int(ceil({p} * (n + n2) / {100 + p}D - 1e-9))"
+    overlap = f"int(ceil({p} * (n + n_2) / {100 + p}D - 1e-9))"
     return F.expr(
-        f"100 * least(n, n2) >= {p} * greatest(n, n2)"
-        f" and least(i, i2) + 1 + least(n - i - 1, n2 - i2 - 1) >= {overlap}"
-        f" and bit_count(bits ^ bits2) + bit_count(more ^ more2) <= n + n2 - 2 * {overlap}"
+        f"100 * least(n, n_2) >= {p} * greatest(n, n_2)"
+        f" and least(n - i, n_2 - i_2) >= {overlap}"
+        f" and {' + '.join(f'bit_count({b} ^ {b}_2)' for b in BITS)} <= n + n_2 - 2 * {overlap}"
     )
 
 
@@ -125,24 +129,23 @@ def removed_lines(
             "n": F.size("t"),
             "h1": F.xxhash64("t"),
             "h2": F.xxhash64(F.lit(7), "t"),
-            "bits": _parity(0),
-            "more": _parity(1),
+            **{b: _parity(i) for i, b in enumerate(BITS)},
             "prefix": F.expr(f"slice(t, 1, size(t) - {_need(settings.percent, 'size(t)')} + 1)"),
         }
     ).drop("t")
     # filtered behind the cut: before it, Spark would compute the words a second time for the filter
-    every = cut(lines.select("id", "mark", "line", "n", "h1", "h2", "bits", "more", "prefix")).where(f"n >= {settings.least}")
+    every = cut(lines.select("id", "mark", "line", "n", "h1", "h2", *BITS, "prefix")).where(f"n >= {settings.least}")
     sets = cut(
         every.groupBy("h1", "h2", "n")
-        .agg(F.min(F.struct(place.alias("place"), "bits", "more", "prefix")).alias("m"))
-        .select("h1", "h2", "n", "m.place", "m.bits", "m.more", "m.prefix")
+        .agg(F.min(F.struct(place.alias("place"), *BITS, "prefix")).alias("m"))
+        .select("h1", "h2", "n", "m.place", *(f"m.{b}" for b in BITS), "m.prefix")
         .orderBy("place")
         .withColumn("set", F.monotonically_increasing_id())
     )
     every = cut(every.select("id", "mark", "line", "n", "h1", "h2"))
     release(docs.sparkSession)
 
-    grams = sets.select("set", "n", "bits", "more", F.posexplode("prefix").alias("i", "word"))
+    grams = sets.select("set", "n", *BITS, F.posexplode("prefix").alias("i", "word"))
     passes = [grams.where(F.pmod("word", F.lit(settings.passes)) == b) for b in range(settings.passes)]
     heads = _together(_headed(p, settings) for p in passes)
     settled = _verified(heads, sets, source, settings)
@@ -176,19 +179,19 @@ def _headed(grams: DataFrame, settings: Settings) -> DataFrame:
     parts = F.expr(f"cast(ceil(pow(2D, shiftright(word, 48) / 4D) / {settings.hot}D) as long)")
     salted = grams.withColumn("salt", F.pmod(F.xxhash64("set"), F.greatest(F.lit(1).cast("long"), parts)))
     line = Window.partitionBy("word", "salt").orderBy("set")
-    one = F.struct("set", "n", "i", "bits", "more")
+    one = F.struct(*_SET)
     first = F.first(one).over(line.rowsBetween(Window.unboundedPreceding, 0))
     asked = F.array(first, *(F.lag(one, k).over(line) for k in (1, 2)))
     rows = salted.withColumn("asked", asked).withColumn("other", F.explode(F.array_distinct("asked"))).where("other is not null and other.set <> set")
-    pairs = rows.select("*", *(F.col(f"other.{c}").alias(f"{c}2") for c in ("set", "n", "i", "bits", "more")))
-    return pairs.where(_may_match(settings)).select("set", "set2").distinct()
+    pairs = rows.select("*", *(F.col(f"other.{c}").alias(f"{c}_2") for c in _SET))
+    return pairs.where(_may_match(settings)).select("set", F.col("set_2").alias("set2")).distinct()
 
 
 def _with_earlier(grams: DataFrame, settled: DataFrame, settings: Settings) -> DataFrame:
     """Pairs (set, set2) of each unsettled set and every earlier set of its groups that may match it."""
-    other = grams.select("word", *(F.col(c).alias(f"{c}2") for c in ("set", "n", "i", "bits", "more")))
-    pairs = grams.join(settled, "set", "left_anti").join(other, "word").where("set2 < set").where(_may_match(settings))
-    return pairs.select("set", "set2").distinct()
+    other = grams.select("word", *(F.col(c).alias(f"{c}_2") for c in _SET))
+    pairs = grams.join(settled, "set", "left_anti").join(other, "word").where("set_2 < set").where(_may_match(settings))
+    return pairs.select("set", F.col("set_2").alias("set2")).distinct()
 
 
 def _together(parts: Iterator[DataFrame]) -> DataFrame:
