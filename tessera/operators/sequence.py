@@ -100,7 +100,7 @@ def partition(pieces: Sequence[str | None], units: Sequence[str], budget: int =
 
     Returns the unit of each piece (-1: left unknown) and whether that is decisive:
     nothing unknown or skipped and no other partition ranks as high.  None if the
-    budget of states is spent."""
+    budget of states is spent or the lists are too long to search."""
     memo: dict[tuple[int, int], list[tuple[tuple, tuple[int, ...]]]] = {}
     spent = 0
 
@@ -131,7 +131,7 @@ def partition(pieces: Sequence[str | None], units: Sequence[str], budget: int =
 
     try:
         ways = solve(0, 0)
-    except OverflowError:
+    except (OverflowError, RecursionError):
         return None
     if not ways:
         return None

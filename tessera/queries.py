@@ -167,8 +167,8 @@ def accepted_votes(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""
 with m as (select o_orderkey as source_id, o_orderkey + 1 as target_id, 0.9::double as confidence from orders
-           where o_orderkey % 20 = 0 and o_orderkey + 1 in (select o_orderkey from orders)),
-c as (select distinct case when l_suppkey % 2 = 0 then 's' else 't' end as side, l_suppkey as caller,
+           where o_orderkey % 2 = 0 and o_orderkey + 1 in (select o_orderkey from orders)),
+c as (select distinct case when l_suppkey % 2 = 0 then 's' else 't' end as side, 1000000 + l_suppkey as caller,
              case when l_suppkey % 2 = 0 then l_orderkey - l_orderkey % 2 else l_orderkey - l_orderkey % 2 + 1 end as callee from lineitem),
 o as (select side, callee, min(caller) as caller from c
       where not (side = 's' and caller in (select source_id from m)) and not (side = 't' and caller in (select target_id from m))
@@ -177,11 +177,11 @@ select s.caller as source_id, t.caller as target_id, 0.5 * confidence as weight
 from m join o s on s.side = 's' and s.callee = m.source_id join o t on t.side = 't' and t.callee = m.target_id""")
 def sole_caller_vote(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders").select("o_orderkey")
-    m = orders.where("o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("source_id"), (F.col("o_orderkey") + 1).alias("target_id"))
+    m = orders.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("source_id"), (F.col("o_orderkey") + 1).alias("target_id"))
     m = m.join(orders.select(F.col("o_orderkey").alias("target_id")), "target_id", "left_semi").withColumn("confidence", F.lit(0.9))
     even = F.col("l_suppkey") % 2 == 0
     base = F.col("l_orderkey") - F.col("l_orderkey") % 2
-    c = table(spark, folder, "lineitem").select(F.when(even, "s").otherwise("t").alias("side"), F.col("l_suppkey").alias("caller"), F.when(even, base).otherwise(base + 1).alias("callee"))
+    c = table(spark, folder, "lineitem").select(F.when(even, "s").otherwise("t").alias("side"), (F.col("l_suppkey") + 1000000).alias("caller"), F.when(even, base).otherwise(base + 1).alias("callee"))
     return voting.sole_caller_votes(m, c)
 
 
@@ -332,5 +332,458 @@ def size_compatible_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return fuzzy.size_compatible(version(rows, "id", 0), version(rows, "id", 1))
 
 
+# --- intervals -----------------------------------------------------------------
+
+_R = """
+r as (select user_id, event_type as unit, ts, event_id, cast(floor(value) as bigint) as s, cast(floor(value) as bigint) + 5 as e from events)"""
+#: SQL for the merged ranges of a relation (k, s, e)
+_MERGE = """(select k, min(s) as s, max(e) as e from (
+  select *, sum(o) over (partition by k order by s, e rows unbounded preceding) as g from (
+    select *, case when s <= max(e) over (partition by k order by s, e rows between unbounded preceding and 1 preceding) then 0 else 1 end as o
+    from {0})) group by k, g)"""
+
+
+def ranges(spark: SparkSession, folder: str) -> DataFrame:
+    low = F.floor("value").cast("long")
+    return table(spark, folder, "events").select(
+        "user_id", F.col("event_type").alias("unit"), "ts", "event_id", low.alias("start"), (low + 5).alias("end")
+    )
+
+
+_A = "(select user_id as k, s, e from r where unit in ('click', 'view'))"
+_B = "(select user_id as k, s, e from r where unit not in ('click', 'view'))"
+
+
+def two_sets(spark: SparkSession, folder: str) -> list[DataFrame]:
+    rows = ranges(spark, folder)
+    first = F.col("unit").isin("click", "view")
+    return [rows.where(c).select("user_id", "start", "end") for c in (first, ~first)]
+
+
+@query(f"""with {_R} select k as user_id, s as start, e as "end" from {_MERGE.format('(select user_id as k, s, e from r)')}""")
+def interval_merge(spark: SparkSession, folder: str) -> DataFrame:
+    return intervals.merged(ranges(spark, folder), ["user_id"])
+
+
+@query(f"""with {_R}, a as (select * from {_MERGE.format(_A)}), b as (select * from {_MERGE.format(_B)}),
+x as (select a.k, greatest(a.s, b.s) as s, least(a.e, b.e) as e from a join b on a.k = b.k and a.s < b.e and b.s < a.e)
+select k as user_id, s as start, e as "end" from {_MERGE.format('x')}""")
+def interval_intersect(spark: SparkSession, folder: str) -> DataFrame:
+    return intervals.intersect(*two_sets(spark, folder), ["user_id"])
+
+
+_DIFFERENCE = f"""a as (select * from {_MERGE.format(_A)}), b as (select * from {_MERGE.format(_B)}),
+c as (select k, s as p from a union select k, e from a union select k, s from b union select k, e from b),
+seg as (select k, p as s, lead(p) over (partition by k order by p) as e from c),
+d as (select * from seg where e is not null and exists (select 1 from a where a.k = seg.k and a.s <= seg.s and seg.e <= a.e)
+      and not exists (select 1 from b where b.k = seg.k and b.s <= seg.s and seg.e <= b.e))"""
+
+
+@query(f"""with {_R}, {_DIFFERENCE} select k as user_id, s as start, e as "end" from {_MERGE.format('d')}""")
+def interval_difference(spark: SparkSession, folder: str) -> DataFrame:
+    return intervals.difference(*two_sets(spark, folder), ["user_id"])
+
+
+@query(f"""with {_R}, a as (select * from {_MERGE.format(_A)}), b as (select * from {_MERGE.format(_B)}),
+k as (select k from a union select k from b)
+select k as user_id, not exists (select 1 from (select s, e from a where a.k = k.k except select s, e from b where b.k = k.k))
+  and not exists (select 1 from (select s, e from b where b.k = k.k except select s, e from a where a.k = k.k)) as same from k""")
+def interval_same_ground(spark: SparkSession, folder: str) -> DataFrame:
+    return intervals.same_ground(*two_sets(spark, folder), ["user_id"])
+
+
+@query(f"""with {_R}, p as (select user_id, event_id, s + 2 as pos from r),
+h as (select p.user_id, p.event_id, p.pos, min(unit) as lo, max(unit) as hi from p join r on r.user_id = p.user_id and r.s <= p.pos and p.pos < r.e group by 1, 2, 3)
+select user_id, event_id as id, pos as "at", case when lo = hi then lo end as owner from h""")
+def owner_at_point(spark: SparkSession, folder: str) -> DataFrame:
+    rows = ranges(spark, folder)
+    points = rows.select("user_id", F.col("event_id").alias("id"), (F.col("start") + 2).alias("at"))
+    return intervals.owners_at(points, rows, ["user_id"])
+
+
+_HALVES = """
+h as (select user_id, unit, s, e, extract(day from ts) <= 15 as early from r),
+o as (select *, max(e) over (partition by user_id, early order by s, e, unit rows between unbounded preceding and 1 preceding) as pe,
+             min(s) over (partition by user_id, early order by s, e, unit rows between 1 following and unbounded following) as ns from h),
+c as (select user_id, unit, s, e, early from o where coalesce(pe <= s, true) and coalesce(ns >= e, true)),
+cut as (select user_id, s as p from c union select user_id, e from c),
+seg as (select user_id, p as s, lead(p) over (partition by user_id order by p) as e from cut)"""
+
+
+def halves(spark: SparkSession, folder: str) -> list[DataFrame]:
+    rows = ranges(spark, folder).withColumn("early", F.dayofmonth("ts") <= 15)
+    clear = intervals.disjoint_only(rows, ["user_id", "early"])
+    return [clear.where(c).select("user_id", "unit", "start", "end") for c in ("early", "not early")]
+
+
+@query(f"""with {_R}, {_HALVES},
+t as (select seg.user_id, seg.s, seg.e, b.unit as f, a.unit as t from seg
+      left join c b on b.user_id = seg.user_id and b.early and b.s <= seg.s and seg.e <= b.e
+      left join c a on a.user_id = seg.user_id and not a.early and a.s <= seg.s and seg.e <= a.e
+      where seg.e is not null and a.unit is distinct from b.unit),
+m as (select *, case when s = lag(e) over w then 0 else 1 end as o from t window w as (partition by user_id, f, t order by s)),
+g as (select *, sum(o) over (partition by user_id, f, t order by s rows unbounded preceding) as g from m)
+select user_id, min(s) as start, max(e) as "end", f as from_unit, t as to_unit from g group by user_id, f, t, g""")
+def ownership_transfers(spark: SparkSession, folder: str) -> DataFrame:
+    return intervals.transfers(*halves(spark, folder), ["user_id"])
+
+
+@query(f"""with {_R}, m as (select * from r where unit = 'purchase')
+select distinct r.user_id, r.unit, r.s as start, r.e as "end" from r join m on m.user_id = r.user_id and r.unit <> 'purchase' and r.s <= m.e and m.s <= r.e""")
+def neighbour_read_set(spark: SparkSession, folder: str) -> DataFrame:
+    rows = ranges(spark, folder).select("user_id", "unit", "start", "end")
+    return intervals.neighbours(rows.where("unit = 'purchase'"), rows, ["user_id"])
+
+
+@query(f"""with {_R}, q as (select user_id as k, unit, s, e from r),
+d as (select k, unit, s, e, row_number() over (partition by k order by e - s desc, s) as n from
+  (select k, unit, min(s) as s, max(e) as e from (
+    select *, sum(o) over (partition by k, unit order by s, e rows unbounded preceding) as g from (
+      select *, case when s <= max(e) over (partition by k, unit order by s, e rows between unbounded preceding and 1 preceding) then 0 else 1 end as o from q))
+   group by k, unit, g))
+select k as user_id, s as start, e as "end" from d where n = 1""")
+def dominant_range(spark: SparkSession, folder: str) -> DataFrame:
+    merged = intervals.merged(ranges(spark, folder), ["user_id", "unit"])
+    return islands.dominant(merged, ["user_id"]).select("user_id", "start", "end")
+
+
+@query(f"""with {_R}, g as (select *, s - lag(e) over (partition by user_id order by s, e) as gap from r)
+select user_id, bool_and(coalesce(gap between 0 and 31, true)) as tiled, min(s) as start, max(e) as "end" from g group by 1""")
+def range_tiling(spark: SparkSession, folder: str) -> DataFrame:
+    return islands.tiling(ranges(spark, folder), ["user_id"])
+
+
+# --- runs ------------------------------------------------------------------------
+
+_RUNS = """
+n as (select user_id, event_id, ts, event_type as unit, cast(floor(value) as bigint) as size,
+             case when event_type is distinct from lag(event_type) over w or row_number() over w = 1 then 1 else 0 end as o
+      from events window w as (partition by user_id order by ts, event_id)),
+q as (select *, sum(o) over (partition by user_id order by ts, event_id rows unbounded preceding) as run from n)"""
+
+
+def ordered_events(spark: SparkSession, folder: str, unknown: str | None = None) -> DataFrame:
+    rows = table(spark, folder, "events")
+    unit = F.col("event_type") if unknown is None else F.nullif(F.col("event_type"), F.lit(unknown))
+    return rows.select("user_id", "event_id", "ts", F.col("event_id").alias("at"), unit.alias("unit"), F.floor("value").cast("long").alias("size"))
+
+
+_KEYS, _ORDER = ["user_id"], ["ts", "event_id"]
+
+
+@query(f"""with {_RUNS} select user_id, run, unit, count(*) as members, min(event_id) as start, max(event_id) as "end" from q group by 1, 2, 3""")
+def unit_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return islands.unit_runs(ordered_events(spark, folder), _KEYS, _ORDER)
+
+
+_OPEN_RUNS = _RUNS.replace("event_type as unit", "nullif(event_type, 'view') as unit").replace(
+    "event_type is distinct from lag(event_type)", "nullif(event_type, 'view') is distinct from lag(nullif(event_type, 'view'))"
+)
+
+
+@query(f"""with {_OPEN_RUNS},
+a as (select user_id, run, unit, count(*) as members, sum(size) as bytes, min(event_id) as s, max(event_id) as e from q group by 1, 2, 3),
+b as (select *, unit is null and coalesce(lag(unit) over w = lead(unit) over w, false) and bytes <= 512 as br, lag(unit) over w as lu from a window w as (partition by user_id order by run)),
+c as (select *, case when br then lu else unit end as owner, case when br then bytes else 0 end as bb from b),
+d as (select *, case when owner is distinct from lag(owner) over w or row_number() over w = 1 then 1 else 0 end as o from c window w as (partition by user_id order by run)),
+f as (select *, sum(o) over (partition by user_id order by run rows unbounded preceding) as r2 from d)
+select user_id, r2 as run, owner as unit, sum(members) as members, sum(bb) as bridged, min(s) as start, max(e) as "end" from f where owner is not null group by 1, 2, 3""")
+def bridged_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return islands.bridged_runs(ordered_events(spark, folder, "view"), _KEYS, _ORDER)
+
+
+@query(f"""with {_RUNS}, a as (select user_id, run, unit, count(*) as members, min(event_id) as s, max(event_id) as e from q group by 1, 2, 3)
+select user_id, run, unit, members, s as start, e as "end", lag(unit) over w as left_unit, lead(unit) over w as right_unit, count(*) over (partition by user_id, unit) as fragments,
+ case when count(*) over (partition by user_id, unit) > 1 then 'candidate' when members >= 2 then 'confident' else 'probable' end as tier
+from a window w as (partition by user_id order by run)""")
+def run_edges(spark: SparkSession, folder: str) -> DataFrame:
+    return islands.edges(unit_runs(spark, folder), _KEYS)
+
+
+@query(f"""with {_OPEN_RUNS}, a as (select user_id, run, unit, count(*) as members, min(event_id) as s, max(event_id) as e from q group by 1, 2, 3),
+b as (select *, lag(unit) over w as lu, lead(unit) over w as ru from a window w as (partition by user_id order by run))
+select user_id, members, s as start, e as "end", lu as left_unit, ru as right_unit from b where unit is null and members >= 2 and lu <> ru""")
+def orphan_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return islands.orphan_clusters(ordered_events(spark, folder, "view"), _KEYS, _ORDER)
+
+
+@query("""
+with e as (select user_id, event_id, event_type as unit, cast(floor(value / 50) as bigint) as size, ts from events),
+n as (select *, lag(unit) over w as lu, lead(unit) over w as ru, lag(size) over w as ls, lead(size) over w as rs from e window w as (partition by user_id order by ts, event_id))
+select user_id, event_id, unit, size, lu as left_unit, ru as right_unit from n where lu = ru and unit <> lu and (size = ls or size = rs)""")
+def competing_slot_veto(spark: SparkSession, folder: str) -> DataFrame:
+    size = F.floor(F.col("value") / 50).cast("long")
+    rows = table(spark, folder, "events").select("user_id", "event_id", "ts", F.col("event_type").alias("unit"), size.alias("size"))
+    return islands.competing_slots(rows, _KEYS, _ORDER).select("user_id", "event_id", "unit", "size", "left_unit", "right_unit")
+
+
+@query(f"""with {_RUNS}, k as (select user_id, unit as before, lead(unit) over (partition by user_id order by ts, event_id) as after from q)
+select before, after, count(*) as times from k where before <> after group by 1, 2""")
+def adjacency_edges(spark: SparkSession, folder: str) -> DataFrame:
+    return islands.adjacency(ordered_events(spark, folder), _KEYS, _ORDER)
+
+
+@query(f"""with {_RUNS} select s.scenario, user_id, event_id, run,
+ case s.scenario when 'nothing' then false when 'everything' then true when 'isolated' then run % 2 = 0 else run % 5 in (2, 3, 4) end as hidden
+from q cross join (values ('nothing'), ('everything'), ('isolated'), ('consecutive')) s(scenario)""")
+def mask_windows(spark: SparkSession, folder: str) -> DataFrame:
+    rows, out = ordered_events(spark, folder), None
+    for scenario in ("nothing", "everything", "isolated", "consecutive"):
+        part = islands.mask_windows(rows, _KEYS, _ORDER, scenario).select(F.lit(scenario).alias("scenario"), "user_id", "event_id", "run", "hidden")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+# --- graphs and transactions --------------------------------------------------------
+
+
+@query("""
+with recursive n as (select distinct event_type as before, lead(event_type) over (partition by user_id order by ts, event_id) as after from events),
+e as (select before as a, after as b from n where before <> after),
+p as (select a, b from e union select p.a, e.b from p join e on p.b = e.a)
+select x.a as unit, least(x.a, min(x.b)) as component from p x join p y on x.a = y.b and x.b = y.a where x.a <> x.b group by x.a""")
+def order_cycles(spark: SparkSession, folder: str) -> DataFrame:
+    """Event types on cycles of the order in which users' events follow each other."""
+    rows = ordered_events(spark, folder)
+    return graph.cyclic(islands.adjacency(rows, _KEYS, _ORDER))
+
+
+@query("""
+with recursive f as (select s_suppkey as id, s_nationkey as section, cast(floor(s_acctbal) as bigint) as s, cast(floor(s_acctbal) as bigint) + 60 as e, s_suppkey % 37 as unit from supplier),
+l as (select a.id as a, b.id as b from f a join f b on a.id <> b.id and (a.unit = b.unit and a.section = b.section or a.section = b.section and a.s <= b.e and b.s <= a.e)),
+r as (select id, id as root from f union select l.b, r.root from r join l on l.a = r.id)
+select id as node, min(root) as component from r group by 1""")
+def footprint_components(spark: SparkSession, folder: str) -> DataFrame:
+    low = F.floor("s_acctbal").cast("long")
+    unit = F.concat_ws("/", F.col("s_nationkey"), F.col("s_suppkey") % 37)
+    rows = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("section"), low.alias("start"), (low + 60).alias("end"), unit.alias("unit"))
+    return graph.components(graph.footprint_links(rows, ["section"]), rows.select(F.col("id").alias("node")).distinct())
+
+
+def changes(spark: SparkSession, folder: str) -> list[DataFrame]:
+    """A world of suppliers' ranges, and transactions that move each nation's first supplier."""
+    low = F.floor(F.col("s_acctbal") + 1000).cast("long")
+    world = table(spark, folder, "supplier").select(F.col("s_suppkey").cast("string").alias("unit"), F.col("s_nationkey").alias("section"), low.alias("start"), (low + 20).alias("end"))
+    first = world.withColumn("k", F.row_number().over(Window.partitionBy("section").orderBy("start", "unit"))).where("k = 1").drop("k")
+    before = first.select(F.col("section").alias("txn"), "unit", F.lit("before").alias("phase"), "section", "start", "end")
+    stale = F.when(F.col("txn") % 7 == 0, F.col("start") + 1).otherwise(F.col("start"))
+    after = before.withColumn("phase", F.lit("after")).withColumn("start", F.col("start") + 5).withColumn("end", F.col("end") + 5)
+    return [world, before.withColumn("start", stale).unionByName(after)]
+
+
+@query("""
+with w as (select s_suppkey, s_nationkey as section, cast(floor(s_acctbal + 1000) as bigint) as s from supplier),
+f as (select distinct section from w)
+select section as txn, 'world differs' as reason from f where section % 7 = 0""")
+def transaction_refusals(spark: SparkSession, folder: str) -> DataFrame:
+    return transactions.refused(*changes(spark, folder))
+
+
+@query("""
+select cast(s_suppkey as varchar) as unit, s_nationkey as section, cast(floor(s_acctbal + 1000) as bigint) as start, cast(floor(s_acctbal + 1000) as bigint) + 20 as "end" from supplier""")
+def transaction_apply_undo(spark: SparkSession, folder: str) -> DataFrame:
+    """Good transactions applied and undone: the world as it was."""
+    world, moves = changes(spark, folder)
+    good = moves.join(transactions.refused(world, moves).select("txn"), "txn", "left_anti")
+    return transactions.undone(transactions.applied(world, good), good)
+
+
+@query("""
+with w as (select s_suppkey, s_nationkey as section, cast(floor(s_acctbal + 1000) as bigint) as s, row_number() over (partition by s_nationkey order by cast(floor(s_acctbal + 1000) as bigint), cast(s_suppkey as varchar)) as k from supplier)
+select cast(s_suppkey as varchar) as unit, section, s + case when k = 1 and section % 7 <> 0 then 5 else 0 end as start, s + 20 + case when k = 1 and section % 7 <> 0 then 5 else 0 end as "end" from w""")
+def transaction_apply(spark: SparkSession, folder: str) -> DataFrame:
+    world, moves = changes(spark, folder)
+    good = moves.join(transactions.refused(world, moves).select("txn"), "txn", "left_anti")
+    return transactions.applied(world, good)
+
+
+# --- resolution, renames, audits ---------------------------------------------------------
+
+
+@query("""
+with p as (select p_name as old, p_brand as new, cast(p_size as varchar) as unit, case when p_partkey % 3 = 0 then 1 else 2 end as strength from part),
+ex as (select distinct p_name as name from part where p_partkey % 5 <> 0 union select p_brand from part where p_brand in ('Brand#11', 'Brand#12')),
+de as (select p_brand as name, cast(p_size as varchar) as unit from part where p_partkey % 2 = 0),
+t as (select *, max(strength) over (partition by old) as top from p),
+o as (select old, min(new) as new, max(new) as hi, min(unit) as unit from t where strength = top group by 1),
+f as (select *, case when new <> hi then 'units disagree' when old not in (select name from ex) then 'not in symbols file'
+   when new in (select name from ex) then 'name already taken'
+   when new in (select name from de) and not exists (select 1 from de where de.name = o.new and de.unit = o.unit) then 'name defined by another unit''s source' end as first from o)
+select old, case when new = hi then new end as new,
+  coalesce(first, case when sum(case when first is null then 1 else 0 end) over (partition by new) > 1 then 'name claimed by several symbols' else 'resolved' end) as status from f""")
+def proposal_resolution(spark: SparkSession, folder: str) -> DataFrame:
+    part = table(spark, folder, "part")
+    unit = F.col("p_size").cast("string")
+    proposals = part.select(F.col("p_name").alias("old"), F.col("p_brand").alias("new"), unit.alias("unit"), F.when(F.col("p_partkey") % 3 == 0, 1).otherwise(2).alias("strength"))
+    brands = part.where(F.col("p_brand").isin("Brand#11", "Brand#12")).select(F.col("p_brand").alias("name"))
+    existing = part.where("p_partkey % 5 <> 0").select(F.col("p_name").alias("name")).unionByName(brands)
+    defined = part.where("p_partkey % 2 = 0").select(F.col("p_brand").alias("name"), unit.alias("unit"))
+    return resolve.resolved(proposals, existing, defined)
+
+
+@query("""
+with o as (select s_nationkey * 100 + s_suppkey % 100 as place, s_name as name from supplier),
+n as (select place, case when place % 3 = 0 then name || '_80000000' when place % 3 = 1 then name else 'renamed ' || (place % 40) end as name from o),
+a as (select place, min(name) as old from o group by 1 having count(*) = 1), b as (select place, min(name) as new from n group by 1 having count(*) = 1),
+r as (select old, new from a join b using (place) where old <> new),
+h as (select name, count(*) as c from o group by 1)
+select r.old, r.new, case when regexp_matches(r.new, '._[0-9A-F]{8}$') then 'address-derived' when count(*) over (partition by r.new) > 1 then 'duplicate new name'
+  when x.c is null and y.c is not null then 'already applied' when x.c is null then 'not in target' when x.c > 1 then 'ambiguous in target' else 'apply' end as status
+from r left join h x on x.name = r.old left join h y on y.name = r.new""")
+def rename_sync(spark: SparkSession, folder: str) -> DataFrame:
+    old = table(spark, folder, "supplier").select((F.col("s_nationkey") * 100 + F.col("s_suppkey") % 100).alias("place"), F.col("s_name").alias("name"))
+    new = F.when(F.col("place") % 3 == 0, F.concat("name", F.lit("_80000000"))).when(F.col("place") % 3 == 1, F.col("name")).otherwise(F.concat(F.lit("renamed "), F.col("place") % 40))
+    found = resolve.renames_between(old, old.select("place", new.alias("name")))
+    return resolve.rename_plan(found.select("old", "new"), old.select("name"))
+
+
+@query("""
+with s as (select c_nationkey as unit, sum(c_acctbal) as source_bytes from customer where c_custkey % 2 = 0 group by 1),
+t as (select c_nationkey as unit, sum(c_acctbal) as target_bytes from customer where c_custkey % 2 = 1 group by 1)
+select unit, round(source_bytes, 2) as source_bytes, round(target_bytes, 2) as target_bytes from s join t using (unit) where target_bytes < 0.5 * source_bytes""")
+def stunted_units(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "customer").select("c_custkey", F.col("c_nationkey").alias("unit"), F.col("c_acctbal").alias("bytes"))
+    out = resolve.stunted(version(rows, "c_custkey", 0), version(rows, "c_custkey", 1))
+    return out.select("unit", F.round("source_bytes", 2).alias("source_bytes"), F.round("target_bytes", 2).alias("target_bytes"))
+
+
+@query("""
+with s as (select c_nationkey as unit, min(c_mktsegment) as source_module from customer where c_custkey % 2 = 0 group by 1),
+t as (select c_nationkey as unit, min(c_mktsegment) as target_module from customer where c_custkey % 2 = 1 group by 1)
+select * from s join t using (unit) where source_module <> target_module""")
+def relocated_units(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "customer").select("c_custkey", F.col("c_nationkey").alias("unit"), F.col("c_mktsegment").alias("module"))
+    return resolve.relocated(version(rows, "c_custkey", 0), version(rows, "c_custkey", 1))
+
+
+# --- scores -----------------------------------------------------------------------------------
+
+_LEDGER = f"""
+cutall as (select user_id, s as p from r union select user_id, e from r),
+sg as (select user_id, p as s, lead(p) over (partition by user_id order by p) as e from cutall),
+z as (select sg.*, exists (select 1 from r where r.user_id = sg.user_id and unit in ('click', 'view') and r.s <= sg.s and sg.e <= r.e) as t,
+  exists (select 1 from r where r.user_id = sg.user_id and unit in ('click', 'purchase') and extract(day from ts) <= 15 and r.s <= sg.s and sg.e <= r.e) as b,
+  exists (select 1 from r where r.user_id = sg.user_id and unit in ('click', 'purchase') and extract(day from ts) > 10 and r.s <= sg.s and sg.e <= r.e) as a,
+  exists (select 1 from r where r.user_id = sg.user_id and unit not in ('click', 'view') and r.s <= sg.s and sg.e <= r.e) as f,
+  exists (select 1 from r where r.user_id = sg.user_id and unit <> 'signup' and r.s <= sg.s and sg.e <= r.e) as c from sg where sg.e is not null),
+m as (select user_id, sum(case when t and b then e - s else 0 end) as retained, sum(case when t and a then e - s else 0 end) as attributed,
+  sum(case when t and a and not b then e - s else 0 end) as gained, sum(case when t and b and not a then e - s else 0 end) as lost,
+  sum(case when t and not a then e - s else 0 end) as missed, sum(case when f and b then e - s else 0 end) as wrong_before,
+  sum(case when f and a then e - s else 0 end) as wrong_after, sum(case when f and a and not b then e - s else 0 end) as newly_wrong,
+  sum(case when a and not c then e - s else 0 end) as unknown, sum(case when a <> b then e - s else 0 end) as changed,
+  sum(case when a <> t then e - s else 0 end) as inexact from z group by 1)"""
+_OUTCOME = """case when changed = 0 then 'abstained' when newly_wrong > 0 then 'incorrect' when inexact = 0 then 'exact' when attributed > 0 then 'partial' else 'unowned' end"""
+
+
+@query(f"with {_R}, {_LEDGER} select *, {_OUTCOME} as outcome from m")
+def ownership_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    rows = ranges(spark, folder)
+    day, unit = F.dayofmonth("ts"), F.col("unit")
+    held = unit.isin("click", "purchase")
+    truth, foreign = rows.where(unit.isin("click", "view")), rows.where(~unit.isin("click", "view"))
+    book = score.ledger(truth, rows.where(held & (day <= 15)), rows.where(held & (day > 10)), foreign, rows.where("unit <> 'signup'"), ["user_id"])
+    return book.withColumn("outcome", score.outcome())
+
+
+@query(f"""with {_R}, {_LEDGER}
+select {_OUTCOME} as outcome, substr(sha256(cast(user_id as varchar)), 1, 1) < '8' as held_out, count(*) as users, sum(attributed) as attributed, sum(newly_wrong) as newly_wrong from m group by 1, 2""")
+def outcome_populations(spark: SparkSession, folder: str) -> DataFrame:
+    rows = ownership_ledger(spark, folder).withColumn("held_out", score.held_out(F.col("user_id").cast("string")))
+    return rows.groupBy("outcome", "held_out").agg(F.count(F.lit(1)).alias("users"), F.sum("attributed").alias("attributed"), F.sum("newly_wrong").alias("newly_wrong"))
+
+
+@query("""
+select substr(sha256(cast(doc_id as varchar)), 1, 1) < '8' as held_out, count(*) as total, sum(quality) as good, sum(toxic) as toxic from labels group by 1""")
+def heldout_partition_measures(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "labels").withColumn("held_out", score.held_out(F.col("doc_id").cast("string")))
+    return rows.groupBy("held_out").agg(F.count(F.lit(1)).alias("total"), F.sum("quality").alias("good"), F.sum("toxic").alias("toxic"))
+
+
+@query("""
+with x as (select d.source as tier, l.doc_id is not null as checked, coalesce(l.quality = 1, false) as correct, l.doc_id is null and d.n_chars > 2000 as missed
+  from documents d left join labels l using (doc_id)),
+a as (select tier, count(*) as total, sum(checked::int) as checked, sum(correct::int) as correct, sum(missed::int) as missed from x group by 1)
+select *, round(case when checked > 0 then correct / checked else 0.0 end, 6) as precision, round(case when checked + missed > 0 then correct / (checked + missed) else 0.0 end, 6) as recall from a""")
+def tier_precision_recall(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    rows = docs.join(labels.select("doc_id", "quality"), "doc_id", "left").select(
+        F.col("source").alias("tier"), F.col("quality").isNotNull().alias("checked"), F.coalesce(F.col("quality") == 1, F.lit(False)).alias("correct"),
+        (F.col("quality").isNull() & (F.col("n_chars") > 2000)).alias("missed"),
+    )
+    return score.precision_recall(rows, "tier")
+
+
+#: Words of a message and the kind that they tell, first match wins.
+REFUSALS = [
+    ("undefined", "undefined-symbol"), ("multiply", "duplicate-symbol"), ("overlap", "overlap"), ("timeout", "timeout"), ("password", "secret"),
+    ("token", "secret"), ("error", "other-error"),
+]
+
+
+@query("""
+with k as (select conv_id, turn, case when contains(lower(text), 'undefined') then 'undefined-symbol' when contains(lower(text), 'multiply') then 'duplicate-symbol'
+  when contains(lower(text), 'overlap') then 'overlap' when contains(lower(text), 'timeout') then 'timeout' when contains(lower(text), 'password') then 'secret'
+  when contains(lower(text), 'token') then 'secret' when contains(lower(text), 'error') then 'other-error' else 'unclassified' end as kind from conversations)
+select kind, count(*) as messages, count(distinct conv_id) as conversations from k group by 1""")
+def refusal_classification(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").withColumn("kind", prints.first_rule(F.col("text"), REFUSALS, "unclassified"))
+    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("messages"), F.count_distinct("conv_id").alias("conversations"))
+
+
+# --- sequences --------------------------------------------------------------------------------------
+
+
+@query()
+def lcs_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Call sequences of each customer's first two orders, aligned."""
+    orders = table(spark, folder, "orders")
+    k = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    orders = orders.select("o_orderkey", "o_custkey", k.alias("k")).where("k <= 2")
+    items = calls(spark, folder).select("owner", F.struct("ord", F.concat_ws("/", "kind", F.col("callee") % 10).alias("v")).alias("x"))
+    lists = items.groupBy("owner").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["v"]).alias("v"))
+    both = orders.join(lists, F.col("o_orderkey") == F.col("owner"))
+    a = both.where("k = 1").select(F.col("o_custkey").alias("pair"), F.col("v").alias("a"))
+    b = both.where("k = 2").select(F.col("o_custkey").alias("pair"), F.col("v").alias("b"))
+    return sequence.align_lists(a.join(b, "pair"))
+
+
+@query()
+def order_spine(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each customer's orders by date, those on a longest run of rising order keys."""
+    rows = table(spark, folder, "orders").select("o_custkey", F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("at"), "o_orderkey")
+    return sequence.spine(rows, "o_custkey", "at", "o_orderkey")
+
+
+@query("""
+with o as (select l_orderkey % 500 as k, l_linenumber::bigint as source, min(l_quantity)::bigint as target, max(l_quantity)::bigint as hi from lineitem group by 1, 2),
+d as (select *, target - source as delta, lag(target - source) over w as pd, lag(target) over w as pt from o window w as (partition by k order by source)),
+a as (select k, count(*) as points, sum(case when pd is null or delta <> pd then 1 else 0 end) as shifts, bool_and(target = hi) as f, bool_and(coalesce(target > pt, true)) as r, bool_and(delta = 0) as z from d group by 1)
+select k, points, shifts, f and r and shifts <= 2 and not z as accepted from a""")
+def offset_transform(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "lineitem").select((F.col("l_orderkey") % 500).alias("k"), F.col("l_linenumber").cast("long").alias("source"), F.col("l_quantity").cast("long").alias("target"))
+    return sequence.offset_transforms(rows, "k")
+
+
+@query()
+def joint_partition(spark: SparkSession, folder: str) -> DataFrame:
+    """Each user's events as ordered pieces, assigned to the user's units in order of first sight."""
+    line = Window.partitionBy("user_id").orderBy(*_ORDER)
+    rows = ordered_events(spark, folder, "view").withColumn("k", F.row_number().over(line))
+    lists = rows.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("k", "unit"))).alias("x")).select("user_id", F.transform("x", lambda x: x["unit"]).alias("pieces"))
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            out = []
+            for user, pieces in zip(batch["user_id"], batch["pieces"], strict=True):
+                units = list(dict.fromkeys(p for p in pieces if p is not None))
+                found = sequence.partition(list(pieces), units)
+                out.append((user, ",".join(map(str, found[0])) if found else None, bool(found and found[1])))
+            yield pd.DataFrame(out, columns=["user_id", "assignment", "decisive"])
+
+    return lists.mapInPandas(run, "user_id long, assignment string, decisive boolean")
+
+
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     return unique_body_anchor(spark, folder)
