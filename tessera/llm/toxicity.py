@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ._words import WHITE, Words, chunks
 
 _U32 = np.uint32
-SIZES = (3, 4, 5, 6)
+SIZES = (3, 4, 5)
 BUCKET_BITS = 18
 _BLOCK = 1 << 19
 
@@ -38,7 +38,7 @@ class Settings:
     characters are not used for training (they are scored like all others); n-grams
     that are seen fewer than ``least`` times in training are left out."""
 
-    most: int = 3000
+    most: int = 2000
     longest: int = 12_000
     segment: int = 16
     dim: int = 4
@@ -142,7 +142,7 @@ class _Bags:
     Entries are ordered by bag; ``share`` is what each counts in its bag's mean."""
 
     def __init__(self, ids: np.ndarray, bag: np.ndarray, share: np.ndarray, bags: int):
-        self.ids, self.share, self.bags = ids.astype(np.int32), share.astype(np.float32), bags
+        self.ids, self.share, self.bags = ids.astype(np.int32, copy=False), share.astype(np.float32, copy=False), bags
         self.start = np.flatnonzero(np.append(True, bag[1:] != bag[:-1]))
         self.has = bag[self.start]
         order = np.argsort(ids, kind="stable").astype(np.int32)
@@ -150,7 +150,7 @@ class _Bags:
         self.cuts = np.flatnonzero(np.append(True, back[1:] != back[:-1]))
         self.used = back[self.cuts]
         del back
-        self.back_bag, self.back_share = bag.astype(np.int32)[order], self.share[order]
+        self.back_bag, self.back_share = bag.astype(np.int32, copy=False)[order], self.share[order]
 
     def mean(self, values: np.ndarray) -> np.ndarray:
         out = np.zeros((self.bags, values.shape[1]), np.float32)
