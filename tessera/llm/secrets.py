@@ -55,7 +55,7 @@ _CANDIDATE_BYTE[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrst
 
 def random_windows(s: str, window: int, bits: float) -> Iterator[tuple[int, int]]:
     """Merged (start, end) of the windows of ``s`` with at least ``bits`` of entropy a character."""
-    cost = [0.0, *(c * math.log2(c) for c in range(1, window + 1))]
+    cost = [0.0, *(c * math.log2(c) for c in range(1, window + 2))]  # a window has one more while it moves
     counts: dict[str, int] = {}
     total, begin, end = 0.0, -1, -1
     for i, c in enumerate(s):
