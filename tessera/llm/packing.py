@@ -3,7 +3,8 @@
 Several sequence lengths are permitted.  Pieces are placed in falling order of
 size, each into the open bin that it leaves least room in (best fit).  If none has
 room, a bin of the size with the least cost per token is opened, the tokens being
-those that the bin can hope for: its own piece and what is still to be placed.
+those that a bin of that size would take: its first piece and, largest first, the
+pieces still to be placed that fit.
 In the end every bin shrinks to the least permitted length that holds its
 contents.
 
@@ -44,26 +45,22 @@ def pack(sizes: Sequence[int], lengths: Lengths = Lengths()) -> tuple[list[int],
     Sizes are from 0 to the largest permitted length."""
     permitted = sorted(lengths.permitted)
     order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
-    left = sum(sizes)
+    falling = [-sizes[i] for i in order]
     bins, offsets = [0] * len(sizes), [0] * len(sizes)
-    capacity: list[int] = []
     filled: list[int] = []
     room: list[tuple[int, int]] = []  # (free tokens, bin), sorted
-    for i in order:
+    for place, i in enumerate(order):
         size = sizes[i]
-        left -= size
         at = bisect_left(room, (size, -1))
         if at < len(room):
             free, b = room.pop(at)
         else:
-            b = len(capacity)
-            best = min(
+            b = len(filled)
+            filled.append(0)
+            free = min(
                 (c for c in permitted if c >= size),
-                key=lambda c: (lengths.cost(c) / max(1, min(c, size + left)), c),
+                key=lambda c: (lengths.cost(c) / max(1, _would_take(falling, place, c)), c),
             )
-            capacity.append(best)
-            filled.append(0)
-            free = best
         bins[i], offsets[i] = b, filled[b]
         filled[b] += size
         if free > size:
@@ -71,6 +68,20 @@ def pack(sizes: Sequence[int], lengths: Lengths = Lengths()) -> tuple[list[int],
     return bins, offsets, [next(c for c in permitted if c >= f) for f in filled]
 
 
+def _would_take(falling: list[int], place: int, capacity: int) -> int:
+    """Tokens in a bin that opens with the piece at ``place`` and then takes the largest that fit.
+
+    ``falling`` has the negated sizes in order."""
+    free, at = capacity + falling[place], place + 1
+    while free > 0:
+        at = bisect_left(falling, -free, at)
+        if at >= len(falling) or not falling[at]:
+            break
+        free += falling[at]
+        at += 1
+    return capacity - free
+
+
 def word_tokens(text: Column) -> Column:
     """Length of a text in words, plus one separator."""
     words = F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+"))
