@@ -43,7 +43,7 @@ class Settings:
     least: int = 3
     cells: int = 1 << 20
     hot: int = 100_000
-    passes: int = 4
+    passes: int = 8
 
 
 def words_of(line: Column) -> Column:
@@ -134,15 +134,14 @@ def removed_lines(
         }
     ).drop("t")
     # filtered behind the cut: before it, Spark would compute the words a second time for the filter
-    every = cut(lines.select("id", "mark", "line", "n", "h1", "h2", *BITS, "prefix")).where(f"n >= {settings.least}")
-    sets = cut(
-        every.groupBy("h1", "h2", "n")
-        .agg(F.min(F.struct(place.alias("place"), *BITS, "prefix")).alias("m"))
-        .select("h1", "h2", "n", "m.place", *(f"m.{b}" for b in BITS), "m.prefix")
-        .orderBy("place")
-        .withColumn("set", F.monotonically_increasing_id())
-    )
-    every = cut(every.select("id", "mark", "line", "n", "h1", "h2"))
+    whole = cut(lines.select("id", "mark", "line", "n", "h1", "h2", *BITS, "prefix")).where(f"n >= {settings.least}")
+    folded = whole.groupBy("h1", "h2", "n").agg(F.min(F.struct(place.alias("place"), *BITS, "prefix")).alias("m"))
+    folded = cut(folded.select("h1", "h2", "n", "m.place", *(f"m.{b}" for b in BITS), "m.prefix"))
+    every = cut(whole.select("id", "mark", "line", "n", "h1", "h2"))
+    del whole, lines
+    release(docs.sparkSession)
+    sets = cut(folded.orderBy("place").withColumn("set", F.monotonically_increasing_id()))
+    del folded
     release(docs.sparkSession)
 
     grams = sets.select("set", "n", *BITS, F.posexplode("prefix").alias("i", "word"))
