@@ -31,8 +31,8 @@ def best_and_next(rows: DataFrame, key: str, candidate: str, score: str) -> Data
 
     A lone candidate's runner-up counts as 0."""
     line = Window.partitionBy(key).orderBy(F.col(score).desc(), candidate)
-    ranked = rows.select(key, candidate, score, F.row_number().over(line).alias("k"), F.lead(score).over(line).alias("runner_up"), F.count(F.lit(1)).over(Window.partitionBy(key)).alias("field"))
-    best = ranked.where("k = 1").drop("k").withColumn("runner_up", F.coalesce("runner_up", F.lit(0.0)))
+    ranked = rows.select(key, candidate, score, F.row_number().over(line).alias("__k"), F.lead(score).over(line).alias("runner_up"), F.count(F.lit(1)).over(Window.partitionBy(key)).alias("field"))
+    best = ranked.where("__k = 1").drop("__k").withColumn("runner_up", F.coalesce("runner_up", F.lit(0.0)))
     return best.withColumn("margin", F.round(F.col(score) - F.col("runner_up"), 6))
 
 

@@ -25,10 +25,10 @@ def mutual_best(tallied: DataFrame) -> DataFrame:
 
     def top(side: str) -> DataFrame:
         line = Window.partitionBy(side).orderBy(F.col("weight").desc(), "source_id", "target_id")
-        ranked = tallied.withColumn("k", F.row_number().over(line)).where("k <= 2")
+        ranked = tallied.withColumn("__k", F.row_number().over(line)).where("__k <= 2")
         return ranked.groupBy(side).agg(
-            F.max(F.when(F.col("k") == 1, F.col("weight"))).alias(f"{side}_best"),
-            F.coalesce(F.max(F.when(F.col("k") == 2, F.col("weight"))), F.lit(0.0)).alias(f"{side}_next"),
+            F.max(F.when(F.col("__k") == 1, F.col("weight"))).alias(f"{side}_best"),
+            F.coalesce(F.max(F.when(F.col("__k") == 2, F.col("weight"))), F.lit(0.0)).alias(f"{side}_next"),
         )
 
     rows = tallied.join(top("source_id"), "source_id").join(top("target_id"), "target_id")
@@ -74,8 +74,8 @@ def layout_votes(matches: DataFrame, source: DataFrame, target: DataFrame, keys:
     line = Window.partitionBy(*keys).orderBy("sp")
     gaps = at.select(*keys, "sp", "tp", F.lead("sp").over(line).alias("sq"), F.lead("tp").over(line).alias("tq"))
     gaps = gaps.where("sq - sp = tq - tp and sq - sp > 1")
-    steps = gaps.select(*keys, "sp", "tp", F.explode(F.sequence(F.lit(1), (F.col("sq") - F.col("sp") - 1).cast("int"))).alias("k"))
-    steps = steps.select(*keys, (F.col("sp") + F.col("k")).alias("sp"), (F.col("tp") + F.col("k")).alias("tp"))
+    steps = gaps.select(*keys, "sp", "tp", F.explode(F.sequence(F.lit(1), (F.col("sq") - F.col("sp") - 1).cast("int"))).alias("__step"))
+    steps = steps.select(*keys, (F.col("sp") + F.col("__step")).alias("sp"), (F.col("tp") + F.col("__step")).alias("tp"))
     s = source.select(*keys, F.col("id").alias("source_id"), F.col("pos").alias("sp"))
     t = target.select(*keys, F.col("id").alias("target_id"), F.col("pos").alias("tp"))
     return steps.join(s, [*keys, "sp"]).join(t, [*keys, "tp"]).select("source_id", "target_id", F.lit(weight).alias("weight"))
