@@ -81,11 +81,11 @@ def unique_literal_anchor(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-with u as (select p_partkey % 2 as v, p_name as name, min(p_partkey) as id from part group by 1, 2 having count(*) = 1)
+with u as (select p_partkey % 2 as v, p_name || '/' || p_brand || '/' || p_size as name, min(p_partkey) as id from part group by 1, 2 having count(*) = 1)
 select s.id as source_id, t.id as target_id, 'name' as method, cast(1.0 as double) as confidence
 from u s join u t on s.name = t.name and s.v = 0 and t.v = 1""")
 def name_anchor(spark: SparkSession, folder: str) -> DataFrame:
-    part = table(spark, folder, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    part = table(spark, folder, "part").select(F.col("p_partkey").alias("id"), F.concat_ws("/", "p_name", "p_brand", "p_size").alias("name"))
     return anchors.one_to_one(version(part, "id", 0), version(part, "id", 1), "name", "name", 1.0)
 
 
@@ -185,34 +185,40 @@ def sole_caller_vote(spark: SparkSession, folder: str) -> DataFrame:
     return voting.sole_caller_votes(m, c)
 
 
-_POS = """
-p as (select doc_id, lang, doc_id % 2 as v, row_number() over (partition by lang, doc_id % 2 order by doc_id) as pos from documents)"""
-
-
-@query(f"""with {_BODY_ANCHOR}, {_POS},
-a as (select s.lang, s.pos as sp, t.pos as tp from body join p s on s.doc_id = source_id join p t on t.doc_id = target_id and t.lang = s.lang),
-g as (select lang, sp, tp, lead(sp) over w as sq, lead(tp) over w as tq from a window w as (partition by lang order by sp)),
-k as (select lang, sp, tp, unnest(range(1, sq - sp)) as d from g where sq - sp = tq - tp and sq - sp > 1)
-select s.doc_id as source_id, t.doc_id as target_id, 0.5::double as weight
-from k join p s on s.v = 0 and s.lang = k.lang and s.pos = sp + d join p t on t.v = 1 and t.lang = k.lang and t.pos = tp + d""")
+@query("""
+with p as (select event_id as id, user_id, event_id % 2 as v, event_type || '/' || cast(floor(value / 5) as bigint) as name,
+             row_number() over (partition by user_id, event_id % 2 order by ts, event_id) as pos from events),
+u as (select v, user_id, name, min(id) as id from p group by 1, 2, 3 having count(*) = 1),
+m as (select s.id as source_id, t.id as target_id from u s join u t on s.v = 0 and t.v = 1 and s.user_id = t.user_id and s.name = t.name),
+a as (select s.user_id, s.pos as sp, t.pos as tp from m join p s on s.id = source_id join p t on t.id = target_id),
+g as (select user_id, sp, tp, lead(sp) over w as sq, lead(tp) over w as tq from a window w as (partition by user_id order by sp)),
+k as (select user_id, sp, tp, unnest(range(1, sq - sp)) as d from g where sq - sp = tq - tp and sq - sp > 1)
+select s.id as source_id, t.id as target_id, 0.5::double as weight
+from k join p s on s.v = 0 and s.user_id = k.user_id and s.pos = sp + d join p t on t.v = 1 and t.user_id = k.user_id and t.pos = tp + d""")
 def equal_gap_layout_vote(spark: SparkSession, folder: str) -> DataFrame:
-    source, target = (positions(spark, folder, v) for v in (0, 1))
-    return voting.layout_votes(unique_body_anchor(spark, folder).select("source_id", "target_id"), source, target, ["lang"])
+    rows = event_entities(spark, folder)
+    source, target = (version(rows, "id", v) for v in (0, 1))
+    matches = anchors.one_to_one(source, target, "name", "name", 1.0).select("source_id", "target_id")
+    return voting.layout_votes(matches, source.select("user_id", "id", "pos"), target.select("user_id", "id", "pos"), ["user_id"])
 
 
-def positions(spark: SparkSession, folder: str, v: int) -> DataFrame:
-    docs = version(table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "lang"), "id", v)
-    return docs.withColumn("pos", F.row_number().over(Window.partitionBy("lang").orderBy("id")).cast("long"))
+def event_entities(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as entities of two versions: named by user, type and rough value, placed by time."""
+    line = Window.partitionBy("user_id", F.pmod("event_id", F.lit(2))).orderBy("ts", "event_id")
+    name = F.concat_ws("/", "user_id", "event_type", F.floor(F.col("value") / 5).cast("long"))
+    return table(spark, folder, "events").select(
+        F.col("event_id").alias("id"), "user_id", name.alias("name"), F.row_number().over(line).cast("long").alias("pos")
+    )
 
 
 @query()
 def propagate_fixpoint(spark: SparkSession, folder: str) -> DataFrame:
-    source, target = (positions(spark, folder, v) for v in (0, 1))
-    literal = unique_literal_anchor(spark, folder)
-    body = unique_body_anchor(spark, folder)
-    start = body.unionByName(anchors.unclaimed(literal, body))
-    links = line_votes(spark, folder)
-    return fixpoint.propagate(start, [lambda m: voting.layout_votes(m.select("source_id", "target_id"), source, target, ["lang"]), lambda m: links])
+    """Events matched by name, then by votes of equal gaps until nothing is added."""
+    rows = event_entities(spark, folder)
+    source, target = (version(rows, "id", v) for v in (0, 1))
+    start = anchors.one_to_one(source, target, "name", "name", 1.0)
+    places = [side.select("user_id", "id", "pos") for side in (source, target)]
+    return fixpoint.propagate(start, [lambda m: voting.layout_votes(m.select("source_id", "target_id"), *places, ["user_id"])])
 
 
 @query("""
@@ -267,13 +273,12 @@ def plausible_similarity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _SHINGLES = """
-t as (select 'd' as k, doc_id as id, regexp_extract_all(text, '[^ \\n]+') as w from documents
-      union all select 'i', item_id, regexp_extract_all(text, '[^ \\n]+') from benchmark),
+t as (select doc_id % 2 as k, doc_id as id, regexp_extract_all(text, '[^ \\n]+') as w from documents),
 s as (select distinct k, id, unnest(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))) as shingle from t where len(w) >= 8),
 n as (select k, id, count(*) as n from s group by 1, 2),
-c as (select a.id as a_id, b.id as b_id, count(*) as common from s a join s b on a.k = 'i' and b.k = 'd' and a.shingle = b.shingle group by 1, 2),
+c as (select a.id as a_id, b.id as b_id, count(*) as common from s a join s b on a.k = 0 and b.k = 1 and a.shingle = b.shingle group by 1, 2),
 j as (select a_id, b_id, common, x.n as a_n, y.n as b_n, round(common / (x.n + y.n - common), 6) as similarity
-      from c join n x on x.k = 'i' and x.id = a_id join n y on y.k = 'd' and y.id = b_id where y.n / x.n between 0.6 and 1.6)"""
+      from c join n x on x.k = 0 and x.id = a_id join n y on y.k = 1 and y.id = b_id where y.n / x.n between 0.6 and 1.6)"""
 
 
 def shingle_rows(df: DataFrame, key: str) -> DataFrame:
@@ -283,8 +288,8 @@ def shingle_rows(df: DataFrame, key: str) -> DataFrame:
 
 @query(f"with {_SHINGLES} select * from j")
 def shingle_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    items, docs = table(spark, folder, "benchmark"), table(spark, folder, "documents")
-    return fuzzy.scored(fuzzy.shared_shingles(shingle_rows(items, "item_id"), shingle_rows(docs, "doc_id")))
+    docs = shingle_rows(table(spark, folder, "documents"), "doc_id")
+    return fuzzy.scored(fuzzy.shared_shingles(version(docs, "id", 0), version(docs, "id", 1)))
 
 
 @query(f"""with {_SHINGLES},
@@ -648,11 +653,11 @@ def stunted_units(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-with s as (select c_nationkey as unit, min(c_mktsegment) as source_module from customer where c_custkey % 2 = 0 group by 1),
-t as (select c_nationkey as unit, min(c_mktsegment) as target_module from customer where c_custkey % 2 = 1 group by 1)
+with s as (select c_nationkey * 100 + c_custkey // 2 % 20 as unit, min(c_mktsegment) as source_module from customer where c_custkey % 2 = 0 group by 1),
+t as (select c_nationkey * 100 + c_custkey // 2 % 20 as unit, min(c_mktsegment) as target_module from customer where c_custkey % 2 = 1 group by 1)
 select * from s join t using (unit) where source_module <> target_module""")
 def relocated_units(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "customer").select("c_custkey", F.col("c_nationkey").alias("unit"), F.col("c_mktsegment").alias("module"))
+    rows = table(spark, folder, "customer").select("c_custkey", (F.col("c_nationkey") * 100 + F.floor(F.col("c_custkey") / 2) % 20).alias("unit"), F.col("c_mktsegment").alias("module"))
     return resolve.relocated(version(rows, "c_custkey", 0), version(rows, "c_custkey", 1))
 
 
