@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import prints
-from .operators import anchors, fuzzy, graph, intervals, islands, resolve, score, sequence, transactions, voting
+from .operators import anchors, evidence, fuzzy, graph, intervals, islands, resolve, score, sequence, transactions, voting
 from .plans import fixpoint
 from .schema import THRESHOLDS as T
 
@@ -790,5 +790,165 @@ def joint_partition(spark: SparkSession, folder: str) -> DataFrame:
     return lists.mapInPandas(run, "user_id long, assignment string, decisive boolean")
 
 
+# --- evidence -----------------------------------------------------------------------------------
+
+
+_PARTS = """
+q as (select user_id, event_id, nullif(event_type, 'view') as unit, event_id % 3 <> 0 as independent,
+             sum(cast(floor(value) as bigint) + 1) over w as e0, cast(floor(value) as bigint) as size from events window w as (partition by user_id order by ts, event_id rows unbounded preceding)),
+p as (select user_id, event_id, unit, independent, e0 - size - 1 as s, e0 - 1 as e from q)"""
+
+
+def laid_out(spark: SparkSession, folder: str) -> DataFrame:
+    """Each user's events one behind the other, a byte apart, as long as their value; views have no unit."""
+    size = F.floor("value").cast("long")
+    line = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = table(spark, folder, "events").withColumn("end", F.sum(size + 1).over(line) - 1).withColumn("start", F.col("end") - size)
+    return rows.select("user_id", "event_id", F.nullif("event_type", F.lit("view")).alias("unit"), (F.col("event_id") % 3 != 0).alias("independent"), "start", "end")
+
+
+@query(f"""with {_PARTS},
+n as (select *, lag(unit) over w as lu, lag(independent) over w as li, lead(unit) over w as ru, lead(independent) over w as ri from p window w as (partition by user_id order by s, e))
+select user_id, unit, 'left' as side, s as address, lu as outside, independent and case when lu is null and li is null then true else coalesce(lu is not null and li, false) end as supported
+from n where unit is not null and unit is distinct from lu
+union all
+select user_id, unit, 'right', e, ru, independent and case when ru is null and ri is null then true else coalesce(ru is not null and ri, false) end
+from n where unit is not null and unit is distinct from ru""")
+def edge_support(spark: SparkSession, folder: str) -> DataFrame:
+    return evidence.judged_edges(laid_out(spark, folder).drop("event_id"), ["user_id"])
+
+
+@query(f"""with {_PARTS},
+n as (select *, lag(unit) over w as b, lead(unit) over w as a, coalesce(lag(independent) over w, false) as bi, coalesce(lead(independent) over w, false) as ai,
+      lag(s) over w is null as f, lead(s) over w is null as l, coalesce(s - lag(e) over w between 0 and 31, false) as nb, coalesce(lead(s) over w - e between 0 and 31, false) as na
+      from p window w as (partition by user_id order by s, e)),
+c as (select *, case when b = a and nb and na then 'interior'
+   when na and a is not null and (f or (b is not null and bi)) and b is distinct from a then 'head'
+   when nb and b is not null and (l or (a is not null and ai)) and b is distinct from a then 'tail' end as placement from n where unit is null)
+select user_id, s as start, e as "end", placement, case when placement = 'head' then a else b end as owner from c where placement is not null""")
+def helper_placement(spark: SparkSession, folder: str) -> DataFrame:
+    return evidence.placed_helpers(laid_out(spark, folder).drop("event_id"), ["user_id"])
+
+
+@query("""
+with l as (select l_orderkey, l_partkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as pos from lineitem),
+s as (select l_orderkey * 100 + pos as id, l_orderkey as unit, l_orderkey * 100 + pos as pos, l_partkey from l where l_orderkey % 2 = 0),
+t as (select l_orderkey * 100 + pos as id, l_orderkey * 100 + pos as pos, l_partkey from l where l_orderkey % 2 = 1),
+us as (select l_partkey, min(id) as a from s group by 1 having count(*) = 1), ut as (select l_partkey, min(id) as b from t group by 1 having count(*) = 1),
+m as (select a, b from us join ut using (l_partkey)),
+h as (select unit, s.pos, m.b as tp, row_number() over (partition by unit order by s.pos) as k, lag(m.b) over (partition by unit order by s.pos) as pb, lag(s.pos) over (partition by unit order by s.pos) as pp
+      from s left join m on m.a = s.id)
+select unit, count(*) as members, bool_and(case when k = 1 then tp is not null else coalesce(tp - pb = 1 and pos - pp = 1, false) end) as complete from h group by 1""")
+def complete_sequence(spark: SparkSession, folder: str) -> DataFrame:
+    rows = calls(spark, folder).select((F.col("owner") * 100 + F.col("ord")).alias("id"), F.col("owner").alias("unit"), F.col("callee").alias("name"))
+    rows = rows.withColumn("pos", F.col("id"))
+    source, target = version(rows, "unit", 0), version(rows, "unit", 1)
+    matches = anchors.one_to_one(source, target, "name", "name", 1.0).select("source_id", "target_id")
+    return evidence.complete_sequences(matches, source.select("id", "unit", "pos"), target.select("id", "pos"))
+
+
+@query(f"""with {_BODY_ANCHOR}, d as (select doc_id, source, lang from documents where doc_id % 2 = 0),
+f as (select doc_id, source, b.source_id is not null as matched, b.source_id is not null and n_chars >= 500 as independent, b.source_id is not null and n_chars < 100 as contested
+      from documents left join body b on b.source_id = doc_id where doc_id % 2 = 0),
+g as (select source as unit, count(*) as members, sum(matched::int) as matched, sum(independent::int) as independent, sum(contested::int) as contested from f group by 1)
+select *, case when matched = 0 then 'absent' when contested > 0 then 'ambiguous' when independent >= 2 then 'corroborated' else 'tentative' end as confidence from g""")
+def unit_identification(spark: SparkSession, folder: str) -> DataFrame:
+    docs = version(table(spark, folder, "documents"), "doc_id", 0)
+    hit = unique_body_anchor(spark, folder).select(F.col("source_id").alias("doc_id"), F.lit(True).alias("hit"))
+    matched = F.coalesce("hit", F.lit(False))
+    rows = docs.join(hit, "doc_id", "left").select(
+        F.col("source").alias("unit"), matched.alias("matched"), (matched & (F.col("n_chars") >= 500)).alias("independent"), (matched & (F.col("n_chars") < 100)).alias("contested")
+    )
+    return evidence.identified(rows)
+
+
+@query(f"""with {_R}, q as (select user_id as k, unit, s, e from r where unit = 'click'), m as (select * from {_MERGE.format('q')}),
+a as (select m.k, r.unit from m join r on r.user_id = m.k and m.s <= r.s and r.s < m.e)
+select k as unit, count(*) as named, sum(case when unit = 'click' then 1 else 0 end) as own, count(*) >= 2 and 2 * sum(case when unit = 'click' then 1 else 0 end) >= count(*) as permits from a group by 1""")
+def name_support(spark: SparkSession, folder: str) -> DataFrame:
+    rows = ranges(spark, folder)
+    held = intervals.merged(rows.where("unit = 'click'"), ["user_id"]).withColumn("unit", F.col("user_id"))
+    names = rows.select("user_id", F.col("start").alias("at"), F.when(F.col("unit") == "click", F.col("user_id")).otherwise(F.lit(-1)).alias("owner"))
+    return evidence.name_support(held, names, ["user_id"])
+
+
+@query(f"""with {_R}, a as (select user_id, s as source, min(s + case when user_id % 2 = 0 or s > 60 then 7 else 9 end) as target from r where unit = 'click' group by 1, 2),
+g as (select distinct user_id, s, e from r where unit = 'purchase'),
+x as (select g.*, (select arg_max(target - source, source) from a where a.user_id = g.user_id and a.source <= g.s) as b,
+                  (select arg_min(target - source, source) from a where a.user_id = g.user_id and a.source >= g.e) as f from g)
+select user_id, s as start, e as "end", s + b as target_start, e + b as target_end from x where b = f""")
+def uniform_shift(spark: SparkSession, folder: str) -> DataFrame:
+    rows = ranges(spark, folder)
+    move = F.when((F.col("user_id") % 2 == 0) | (F.col("start") > 60), 7).otherwise(9)
+    spots = rows.where("unit = 'click'").groupBy("user_id", F.col("start").alias("source")).agg(F.min(F.col("start") + move).alias("target"))
+    return evidence.shifted(rows.where("unit = 'purchase'").select("user_id", "start", "end").distinct(), spots, ["user_id"])
+
+
+@query("""
+with e as (select o_custkey as unit, case o_orderpriority when '1-URGENT' then 'derive' when '2-HIGH' then 'coverage' when '3-MEDIUM' then 'discover' else 'verify' end as stage,
+   case when o_orderstatus = 'F' then 'accepted' when o_orderstatus = 'O' then 'refused' else 'superseded' end as outcome, o_orderkey as ordinal from orders),
+r as (select *, row_number() over (partition by unit order by outcome = 'accepted' desc, case stage when 'derive' then 1 when 'coverage' then 2 when 'discover' then 3 else 4 end desc, ordinal desc) as k from e)
+select unit, stage, outcome from r where k = 1""")
+def stage_trace(spark: SparkSession, folder: str) -> DataFrame:
+    stage = F.when(F.col("o_orderpriority") == "1-URGENT", "derive").when(F.col("o_orderpriority") == "2-HIGH", "coverage").when(F.col("o_orderpriority") == "3-MEDIUM", "discover").otherwise("verify")
+    outcome = F.when(F.col("o_orderstatus") == "F", "accepted").when(F.col("o_orderstatus") == "O", "refused").otherwise("superseded")
+    rows = table(spark, folder, "orders").select(F.col("o_custkey").alias("unit"), stage.alias("stage"), outcome.alias("outcome"), F.col("o_orderkey").alias("ordinal"))
+    return evidence.last_outcomes(rows, ["derive", "coverage", "discover", "verify"])
+
+
+@query(f"""with {_PARTS}, n as (select *, lead(s) over (partition by user_id, unit order by s, e) as nx, lead(unit) over (partition by user_id order by s, e) as nu from p where unit is not null)
+select 'truncated' as mask, user_id, unit, s as start from n where nx is not null
+union all select 'misplaced', user_id, case when nu is not null and nu <> unit then nu else unit end, s from n""")
+def mask_scenarios(spark: SparkSession, folder: str) -> DataFrame:
+    rows = laid_out(spark, folder).where("unit is not null")
+    parts = [(n, f(rows, ["user_id"])) for n, f in (("truncated", evidence.truncated), ("misplaced", evidence.misplaced))]
+    out = [p.select(F.lit(n).alias("mask"), "user_id", "unit", "start") for n, p in parts]
+    return out[0].unionByName(out[1])
+
+
+@query("""
+with r as (select l_orderkey as unit, l_partkey as candidate, max(l_quantity) as percent, max(l_extendedprice) as weight from lineitem group by 1, 2),
+k as (select *, row_number() over (partition by unit order by percent desc, candidate) as a, row_number() over (partition by unit order by weight desc, candidate) as b from r)
+select unit, candidate, percent, weight from k where a <= 2 or b <= 2""")
+def two_channel_choice(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("unit"), F.col("l_partkey").alias("candidate")).agg(F.max("l_quantity").alias("percent"), F.max("l_extendedprice").alias("weight"))
+    return evidence.chosen_alternatives(rows, "unit", ["percent", "weight"], 2)
+
+
+@query("""
+with b as (select l_partkey as unit, max(l_quantity) as was from lineitem where l_linenumber <= 3 group by 1), a as (select l_partkey as unit, max(l_quantity) as now from lineitem where l_linenumber > 3 group by 1)
+select unit, was, now from b join a using (unit) where now < was""")
+def regressions(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "lineitem")
+    best = lambda c: rows.where(c).groupBy(F.col("l_partkey").alias("unit")).agg(F.max("l_quantity").alias("value"))
+    return evidence.regressed(best("l_linenumber <= 3"), best("l_linenumber > 3"))
+
+
+@query("""
+with s as (select c_nationkey as unit, c_mktsegment as section from customer where c_custkey % 2 = 0), t as (select distinct c_nationkey as unit, c_mktsegment as section from customer where c_custkey % 9 = 1)
+select unit, count(*) as ranges, bool_and(section in ('BUILDING', 'MACHINERY')) as code_only,
+  count(*) filter (section not in ('BUILDING', 'MACHINERY') and not exists (select 1 from t where t.unit = s.unit and t.section = s.section)) = 0 as covered from s group by 1""")
+def section_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "customer").select("c_custkey", F.col("c_nationkey").alias("unit"), F.col("c_mktsegment").alias("section"))
+    return evidence.section_coverage(version(rows, "c_custkey", 0), rows.where("c_custkey % 9 = 1"), ["BUILDING", "MACHINERY"])
+
+
+@query("""
+with r as (select p_partkey, p_partkey // 2 as j, p_type || '/' || p_partkey // 2 // 20 as body from part),
+d as (select body, j as unit, j % 5 as before, j % 3 as after from r where p_partkey % 2 = 0),
+o as (select body, p_partkey as id, j % 5 as before, j % 3 as after from r where p_partkey % 2 = 1),
+g as (select body, count(*) as n from d group by 1 having count(*) >= 2 and count(*) = count(distinct unit)),
+e as (select g.body, g.n from g join (select body, count(*) as n from o group by 1) h on h.body = g.body and h.n = g.n),
+p as (select d.body, e.n, unit, id from d join o on d.body = o.body and d.before = o.before and d.after = o.after join e on e.body = d.body),
+w as (select body from p group by 1 having count(*) = max(n) and count(distinct unit) = max(n) and count(distinct id) = max(n))
+select body, unit, id as occurrence from p join w using (body)""")
+def emitted_owners(spark: SparkSession, folder: str) -> DataFrame:
+    j = F.floor(F.col("p_partkey") / 2)
+    body = F.concat_ws("/", "p_type", F.floor(j / 20))
+    rows = table(spark, folder, "part").select("p_partkey", body.alias("body"), j.alias("unit"), (j % 5).alias("before"), (j % 3).alias("after"))
+    occurrences = version(rows, "p_partkey", 1).select("body", F.col("p_partkey").alias("id"), "before", "after")
+    return evidence.emitted_owners(version(rows, "p_partkey", 0).drop("p_partkey"), occurrences)
+
+
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     return unique_body_anchor(spark, folder)

@@ -192,3 +192,45 @@ def test_gate_bisects_and_falls_back_to_alternatives():
     found = stages.run_stage(lambda done: [stages.Candidate(n) for n in worlds.get(len(done), [])], lambda cs: True)
     assert [c.name for c in found.accepted] == ["A", "B", "A2"]
     assert stages.batches([3, 3, 9, 1, 1], 5) == [[0], [1], [2], [3, 4]]
+
+
+def test_edges_and_helpers(spark):
+    from tessera.operators import evidence
+
+    data = [(1, 0, 10, "a", True), (1, 10, 14, None, False), (1, 14, 20, "a", True), (1, 20, 25, "b", True), (1, 25, 27, None, False)]
+    r = spark.createDataFrame(data, "k int, start long, end long, unit string, independent boolean")
+    got = rows(evidence.judged_edges(r, ["k"]), "unit", "side", "address", "supported")
+    assert ("a", "left", 0, True) in got and ("a", "right", 20, True) in got and ("b", "right", 25, False) in got and ("a", "right", 10, False) in got
+    assert rows(evidence.placed_helpers(r, ["k"]), "start", "placement", "owner") == [(10, "interior", "a"), (25, "tail", "b")]
+
+
+def test_shift_needs_agreeing_anchors(spark):
+    from tessera.operators import evidence
+
+    anchors_ = spark.createDataFrame([(1, 0, 5), (1, 10, 15), (1, 20, 27)], "k int, source long, target long")
+    ranges = spark.createDataFrame([(1, 2, 8), (1, 12, 18), (1, 22, 23), (1, 0, 10)], "k int, start long, end long")
+    assert rows(evidence.shifted(ranges, anchors_, ["k"]), "start", "target_start", "target_end") == [(0, 5, 15), (2, 7, 13)]
+
+
+def test_queries_have_their_columns_in_sql():
+    import duckdb
+
+    from tessera.queries import ORACLE_SQL, QUERIES
+
+    assert set(ORACLE_SQL) <= set(QUERIES) and len(QUERIES) > 50
+    for sql in ORACLE_SQL.values():
+        assert duckdb.extract_statements(sql)
+
+
+def test_entry_survives_without_the_llm_folder(tmp_path):
+    import os
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    home = Path(__file__).resolve().parents[1]
+    shutil.copytree(home / "tessera", tmp_path / "tessera", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(home / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert not any(n.startswith('op') and n[2].isdigit() or n == 'pipeline' for n in q); assert set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, check=True)
