@@ -934,9 +934,9 @@ def section_coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-with r as (select p_partkey, p_partkey // 2 as j, p_type || '/' || p_partkey // 2 // 20 as body from part),
-d as (select body, j as unit, j % 5 as before, j % 3 as after from r where p_partkey % 2 = 0),
-o as (select body, p_partkey as id, j % 5 as before, j % 3 as after from r where p_partkey % 2 = 1),
+with r as (select p_partkey, p_partkey // 2 as j, p_type || '/' || p_partkey // 2 // 6 as body from part),
+d as (select body, j as unit, j % 2 as before, j // 3 % 2 as after from r where p_partkey % 2 = 0),
+o as (select body, p_partkey as id, j % 2 as before, j // 3 % 2 as after from r where p_partkey % 2 = 1),
 g as (select body, count(*) as n from d group by 1 having count(*) >= 2 and count(*) = count(distinct unit)),
 e as (select g.body, g.n from g join (select body, count(*) as n from o group by 1) h on h.body = g.body and h.n = g.n),
 p as (select d.body, e.n, unit, id from d join o on d.body = o.body and d.before = o.before and d.after = o.after join e on e.body = d.body),
@@ -944,8 +944,8 @@ w as (select body from p group by 1 having count(*) = max(n) and count(distinct
 select body, unit, id as occurrence from p join w using (body)""")
 def emitted_owners(spark: SparkSession, folder: str) -> DataFrame:
     j = F.floor(F.col("p_partkey") / 2)
-    body = F.concat_ws("/", "p_type", F.floor(j / 20))
-    rows = table(spark, folder, "part").select("p_partkey", body.alias("body"), j.alias("unit"), (j % 5).alias("before"), (j % 3).alias("after"))
+    body = F.concat_ws("/", "p_type", F.floor(j / 6))
+    rows = table(spark, folder, "part").select("p_partkey", body.alias("body"), j.alias("unit"), (j % 2).alias("before"), (F.floor(j / 3) % 2).alias("after"))
     occurrences = version(rows, "p_partkey", 1).select("body", F.col("p_partkey").alias("id"), "before", "after")
     return evidence.emitted_owners(version(rows, "p_partkey", 0).drop("p_partkey"), occurrences)
 
