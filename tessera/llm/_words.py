@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
+CHUNK_TEXTS = 512
 
 _U = np.uint64
 _RNG = np.random.default_rng(20240611)
@@ -117,6 +118,7 @@ def chunks(column: pa.Array, white: np.ndarray = WHITE, lower: bool = False) ->
     lo = 0
     while lo < len(off) - 1:
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + CHUNK_BYTES, "right")) - 1)
+        hi = min(hi, lo + CHUNK_TEXTS)
         yield tokenize(data, off, lo, hi, white, lower)
         lo = hi
 
