@@ -91,18 +91,18 @@ def _need(percent: int, n: str) -> str:
     return f"int(({n} * {percent} + 99) div 100)"
 
 
-def _may_match(s: Settings) -> Column:
-    """Length, positional and bitmap filter for sets (n, i, bits) and (n2, i2, bits2) that share
-    the word at places i and i_2 of their orders.
+def _may_match(s: Settings, one: str, two: str) -> Column:
+    """Length, positional and bitmap filter for two sets, given as prefixes of their columns n, i
+    and bits, that share the word at places i of their orders.
 
     The positional filter is that of the first word that two sets share: all others lie
     behind it in both.  A later shared word may fail it, the first does not."""
-    p = s.percent
-    overlap = f"int(ceil({p} * (n + n_2) / {100 + p}D - 1e-9))"
+    p, n, m = s.percent, f"{one}.n", f"{two}.n"
+    overlap = f"int(ceil({p} * ({n} + {m}) / {100 + p}D - 1e-9))"
     return F.expr(
-        f"100 * least(n, n_2) >= {p} * greatest(n, n_2)"
-        f" and least(n - i, n_2 - i_2) >= {overlap}"
-        f" and {' + '.join(f'bit_count({b} ^ {b}_2)' for b in BITS)} <= n + n_2 - 2 * {overlap}"
+        f"100 * least({n}, {m}) >= {p} * greatest({n}, {m})"
+        f" and least({n} - {one}.i, {m} - {two}.i) >= {overlap}"
+        f" and {' + '.join(f'bit_count({one}.{b} ^ {two}.{b})' for b in BITS)} <= {n} + {m} - 2 * {overlap}"
     )
 
 
@@ -144,12 +144,13 @@ def removed_lines(
     del folded
     release(docs.sparkSession)
 
-    grams = sets.select("set", "n", *BITS, F.posexplode("prefix").alias("i", "word"))
-    passes = [grams.where(F.pmod("word", F.lit(settings.passes)) == b) for b in range(settings.passes)]
-    heads = _together(_headed(p, settings) for p in passes)
+    words = range(settings.passes)
+    heads = _together(_headed(_grams(sets, b, settings), settings) for b in words)
     settled = _verified(heads, sets, source, settings)
-    rest = _together(_with_earlier(p, settled, settings) for p in passes)
+    marked = cut(sets.join(settled.withColumn("settled", F.lit(True)), "set", "left").withColumn("open", F.col("settled").isNull()))
+    rest = _together(_with_earlier(_grams(marked, b, settings), settings) for b in words)
     more = _verified(rest, sets, source, settings)
+    del marked
 
     gone = settled.unionByName(more).distinct().withColumn("gone", F.lit(True))
     of_set = sets.select("h1", "h2", "n", "place", "set").join(gone, "set", "left").select("h1", "h2", "n", "place", F.coalesce("gone", F.lit(False)).alias("gone"))
@@ -170,6 +171,12 @@ def removed_lines(
     )
 
 
+def _grams(sets: DataFrame, part: int, settings: Settings) -> DataFrame:
+    """The prefix words of one pass, with their sets."""
+    grams = sets.select(*(c for c in sets.columns if c in (*_SET, "open")), F.posexplode("prefix").alias("i", "word"))
+    return grams.where(F.pmod("word", F.lit(settings.passes)) == part)
+
+
 def _headed(grams: DataFrame, settings: Settings) -> DataFrame:
     """Pairs (set, set2) of each set and the earliest of a word's group, and the two just before
     it, that may match it.
@@ -178,26 +185,32 @@ def _headed(grams: DataFrame, settings: Settings) -> DataFrame:
     parts = F.expr(f"cast(ceil(pow(2D, shiftright(word, 48) / 4D) / {settings.hot}D) as long)")
     salted = grams.withColumn("salt", F.pmod(F.xxhash64("set"), F.greatest(F.lit(1).cast("long"), parts)))
     line = Window.partitionBy("word", "salt").orderBy("set")
-    one = F.struct(*_SET)
-    first = F.first(one).over(line.rowsBetween(Window.unboundedPreceding, 0))
-    asked = F.array(first, *(F.lag(one, k).over(line) for k in (1, 2)))
-    rows = salted.withColumn("asked", asked).withColumn("other", F.explode(F.array_distinct("asked"))).where("other is not null and other.set <> set")
-    pairs = rows.select("*", *(F.col(f"other.{c}").alias(f"{c}_2") for c in _SET))
-    return pairs.where(_may_match(settings)).select("set", F.col("set_2").alias("set2")).distinct()
+    own = F.struct(*_SET)
+    asked = {"head": F.first(own).over(line.rowsBetween(Window.unboundedPreceding, 0)), "last": F.lag(own, 1).over(line), "next": F.lag(own, 2).over(line)}
+    rows = salted.select(own.alias("own"), *(c.alias(n) for n, c in asked.items()))
+    hits = [F.when((F.col(f"{n}.set") < F.col("own.set")) & _may_match(settings, "own", n), F.col(f"{n}.set")) for n in asked]
+    found = rows.select(F.col("own.set").alias("set"), F.explode(F.array_distinct(F.array_compact(F.array(*hits)))).alias("set2"))
+    return found.distinct()
 
 
-def _with_earlier(grams: DataFrame, settled: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs (set, set2) of each unsettled set and every earlier set of its groups that may match it."""
-    other = grams.select("word", *(F.col(c).alias(f"{c}_2") for c in _SET))
-    pairs = grams.join(settled, "set", "left_anti").join(other, "word").where("set_2 < set").where(_may_match(settings))
-    return pairs.select("set", F.col("set_2").alias("set2")).distinct()
+def _with_earlier(grams: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs (set, set2) of each open set and every earlier set of its groups that may match it.
+
+    Both sides of the join are one shuffle; so that it stays one, the condition on the open
+    side names both sides and is not pushed below it."""
+    both = grams.alias("a").join(grams.alias("b"), F.expr("a.word = b.word and b.set < a.set and (a.open or b.open and b.set < 0)") & _may_match(settings, "a", "b"))
+    return both.select(F.col("a.set").alias("set"), F.col("b.set").alias("set2")).distinct()
 
 
 def _together(parts: Iterator[DataFrame]) -> DataFrame:
-    """The distinct rows of all parts, each computed by itself so that its shuffles can go before the next."""
+    """The distinct rows (set, set2) of all parts, each computed by itself so that its shuffles can go before the next.
+
+    A written table remembers what its plan implied about columns that it no longer has,
+    which a union of such tables stumbles over; the absolute values, of numbers from 0 up,
+    keep that from it."""
     done = []
     for part in parts:
-        done.append(cut(part))
+        done.append(cut(part).select(*(F.abs(c).alias(c) for c in ("set", "set2"))))
         spark, part = part.sparkSession, None
         release(spark)
     return cut(reduce(DataFrame.unionByName, done).distinct())
