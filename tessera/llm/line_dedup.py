@@ -20,7 +20,7 @@ Everything is DataFrame expressions; no Python runs on the executors.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -37,13 +37,15 @@ _SET = ("set", "n", "i", *BITS)
 class Settings:
     """Least similarity in percent; lines of fewer distinct words than ``least`` are never
     removed; sketch cells; occurrences of a word from which its group is salted; passes
-    over the words of the prefixes, to bound the disk that their shuffles take."""
+    over the words of the prefixes, to bound the disk that their shuffles take (fewer if a pass
+    would have fewer than ``pass_words``)."""
 
     percent: int = 80
     least: int = 3
     cells: int = 1 << 20
     hot: int = 100_000
     passes: int = 8
+    pass_words: int = 1_000_000
 
 
 def words_of(line: Column) -> Column:
@@ -144,6 +146,8 @@ def removed_lines(
     del folded
     release(docs.sparkSession)
 
+    total = sets.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    settings = replace(settings, passes=max(1, min(settings.passes, total // settings.pass_words)))
     words = range(settings.passes)
     heads = _together(_headed(_grams(sets, b, settings), settings) for b in words)
     settled = _verified(heads, sets, source, settings)

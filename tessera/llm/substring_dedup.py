@@ -7,7 +7,7 @@ batch becomes a sorted immutable run, is merge-joined with the runs of earlier
 batches, and runs of one level are compacted into one of the next.
 
 A fingerprint that occurs at two places only nominates the windows around it.
-They are verified by a 96-bit hash of all 35 words, counted over all nominated
+They are verified by two hashes (64 and 31 bits) of all 35 words, counted over all nominated
 windows of all documents, old and new.
 
 Documents of one word sequence are folded first: each of their windows repeats, so
@@ -102,7 +102,7 @@ def _selected(words: Words, window: int, gram: int) -> tuple[np.ndarray, np.ndar
 
 
 def _window_hashes(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes (64 and 32 bits) of each window of word hashes."""
+    """Two independent hashes (64 and 31 bits) of each window of word hashes."""
     one = grams(h, window, salt=3)
     two = grams(mix(h ^ _U(0x5851F42D4C957F2D)), window, salt=5)
     return one.view(np.int64), (two >> _U(33)).astype(np.int32)
