@@ -126,7 +126,7 @@ def brute_lines(rows, percent=80, least=3):
 def test_line_dedup(spark):
     rows = corpus(seed=5)
     docs = frame(spark, rows)
-    found = line_dedup.removed_lines(docs, settings=line_dedup.Settings(passes=3, pass_words=1, hot=3, cells=64))
+    found = line_dedup.removed_lines(docs, settings=line_dedup.Settings(passes=3, hot=3, cells=64))
     got = sorted((r.doc_id, r.n_lines, list(r.removed)) for r in found.collect())
     assert got == brute_lines(rows)
     left = line_dedup.without_lines(docs, found)
