@@ -3,6 +3,8 @@
 Beside three patterns (assignments, access keys, long hex runs) the scan slides
 a window over every candidate string, a maximal run of characters of one class,
 and keeps the Shannon entropy of the window up to date by incremental counts.
+Runs of one case and digits must change between letters and digits three times;
+runs of 12 to 19 characters, without a sign beside them, have windows of 12.
 Windows at or above the class's threshold merge into spans of kind ``entropy``,
 unless an allow-list pattern covers them.  Scanning is one pass per text without
 a shuffle; it runs in Arrow-fed Python because offsets are in code points.
@@ -42,9 +44,24 @@ class CharClass:
     bits: float
 
 
+#: Three changes between letters and digits, which words with a number at one end do not have.
+_LOWER = r"[a-z][0-9]+[a-z]+[0-9]|[0-9][a-z]+[0-9]+[a-z]"
+_UPPER = r"[A-Z][0-9]+[A-Z]+[0-9]|[0-9][A-Z]+[0-9]+[A-Z]"
+
+
+def _short(chars: str) -> str:
+    """A whole run of 12 to 19 of the characters."""
+    return rf"(?<![{chars}])[{chars}]{{12,19}}(?![{chars}])"
+
+
 CLASSES = (
     CharClass("hex", r"[0-9a-fA-F]{20,}", (r"[0-9]", r"[a-fA-F]"), 20, 3.0),
     CharClass("base64", r"[A-Za-z0-9+/_=-]{20,}", (r"[0-9]", r"[A-Z]", r"[a-z]"), 20, 3.8),
+    CharClass("lower", r"[a-z0-9]{20,}", (_LOWER,), 20, 3.4),
+    CharClass("upper", r"[A-Z0-9]{20,}", (_UPPER,), 20, 3.4),
+    CharClass("short lower", _short("a-z0-9"), (_LOWER,), 12, 3.0),
+    CharClass("short upper", _short("A-Z0-9"), (_UPPER,), 12, 3.0),
+    CharClass("short mixed", _short("A-Za-z0-9"), (r"[0-9]", r"[A-Z]", r"[a-z]"), 12, 3.25),
 )
 #: What is never reported by entropy: UUIDs, and anything inside a URL.
 ALLOW = (r"\b[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\b", r"[a-z][a-z0-9+.-]*://[^\s\"'<>]+")
@@ -83,6 +100,7 @@ class Scanner:
     def __init__(self, classes: Sequence[CharClass] = CLASSES, allow: Sequence[str] = ALLOW):
         self.classes = [(re.compile(c.run), [re.compile(n) for n in c.needs], c) for c in classes]
         self.allow = [re.compile(a) for a in allow]
+        self.least = min([ACCESS_LEAST, *(c.window for c in classes)])
 
     def base(self, text: str) -> list[tuple[int, int, int]]:
         found = []
@@ -116,20 +134,20 @@ class Scanner:
 
     def scan(self, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
         """Base spans, and all spans, each ordered by start and then kind."""
-        if not has_long_run(text):
+        if not has_long_run(text, self.least):
             base = sorted(x for x in self._short(text))
             return base, base
         base = self.base(text)
         return base, sorted(base + self.entropy(text))
 
     def _short(self, text: str) -> Iterator[tuple[int, int, int]]:
-        """Base spans of a text without a run of 20 candidate characters: only assignments fit."""
+        """Base spans of a text without a run long enough for a key, hex run or window: only assignments fit."""
         low = text.lower()
         if any(w in low for w in ("passw", "secret", "token", "api")):
             yield from ((m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_LEAST)
 
 
-def has_long_run(text: str, least: int = 20) -> bool:
+def has_long_run(text: str, least: int) -> bool:
     """Whether some run of candidate characters is long enough for a key, hex run or window."""
     d = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     gaps = np.flatnonzero(~_CANDIDATE_BYTE[d])

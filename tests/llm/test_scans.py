@@ -47,6 +47,21 @@ def test_entropy_windows_and_allow_list():
         assert not [s for s in secrets.Scanner().scan(allowed)[1] if s[1] == 3]
 
 
+@pytest.mark.parametrize("chars", ["abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"])
+@pytest.mark.parametrize(("length", "share"), [(12, 0.55), (16, 0.7), (20, 0.8), (32, 0.95), (40, 0.98)])
+def test_random_tokens_of_each_alphabet_are_found(chars, length, share):
+    rng = random.Random(length)
+    scanner = secrets.Scanner()
+    tokens = ["".join(rng.choice(chars) for _ in range(length)) for _ in range(300)]
+    found = [any(k == 3 for _, k, _ in scanner.scan(f"see key-{t} here")[1]) for t in tokens]
+    assert sum(found) >= share * len(found)
+
+
+def test_words_with_numbers_are_not_random():
+    for text in ("internationalization2024", "windows10professional", "SECTION12345678", "v2beta1 utf8mb4 sha256sum", "thequickbrownfox2jumps", "released20240131"):
+        assert secrets.Scanner().scan(text)[1] == [], text
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text("abcd01", max_size=60), st.integers(2, 8))
 def test_incremental_entropy_equals_counting(s, window):
