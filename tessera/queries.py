@@ -740,16 +740,15 @@ def refusal_classification(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def lcs_alignment(spark: SparkSession, folder: str) -> DataFrame:
-    """Call sequences of each customer's first two orders, aligned."""
+    """Call sequences of each order and the next one of its customer, aligned; pair is the key of the earlier order."""
     orders = table(spark, folder, "orders")
-    k = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
-    orders = orders.select("o_orderkey", "o_custkey", k.alias("k")).where("k <= 2")
+    after = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    orders = orders.select(F.col("o_orderkey").alias("pair"), after.alias("next")).where("next is not null")
     items = calls(spark, folder).select("owner", F.struct("ord", F.concat_ws("/", "kind", F.col("callee") % 10).alias("v")).alias("x"))
     lists = items.groupBy("owner").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["v"]).alias("v"))
-    both = orders.join(lists, F.col("o_orderkey") == F.col("owner"))
-    a = both.where("k = 1").select(F.col("o_custkey").alias("pair"), F.col("v").alias("a"))
-    b = both.where("k = 2").select(F.col("o_custkey").alias("pair"), F.col("v").alias("b"))
-    return sequence.align_lists(a.join(b, "pair"))
+    a = lists.select(F.col("owner").alias("pair"), F.col("v").alias("a"))
+    b = lists.select(F.col("owner").alias("next"), F.col("v").alias("b"))
+    return sequence.align_lists(orders.join(a, "pair").join(b, "next").select("pair", "a", "b"))
 
 
 @query()

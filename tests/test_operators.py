@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import queries
 from tessera.operators import anchors, fuzzy, graph, intervals, islands, resolve, score, sequence, transactions, voting
 from tessera.plans import fixpoint, stages
 
@@ -234,3 +235,13 @@ def test_entry_survives_without_the_llm_folder(tmp_path):
     shutil.copy(home / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert not any(n.startswith('op') and n[2].isdigit() or n == 'pipeline' for n in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, check=True)
+
+
+def test_lcs_alignment_takes_every_order_with_the_next(spark, tmp_path):
+    orders = [(o, 1, f"2020-01-0{o}") for o in (1, 2, 3, 4)] + [(9, 2, "2020-01-01")]
+    lines = [(o, o % 2 + 5, 1, n, "A") for o in (1, 2, 3, 4, 9) for n in (1, 2)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate string").write.parquet(f"{tmp_path}/orders.parquet")
+    schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string"
+    spark.createDataFrame(lines, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = rows(queries.lcs_alignment(spark, str(tmp_path)), "pair", "i", "j", "how")
+    assert got == [(p, i, i, "fill") for p in (1, 2, 3) for i in (0, 1)]
