@@ -42,18 +42,37 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, folder: str) ->
     return kept.withColumn("n_chars", changed)
 
 
+def _placed(docs: DataFrame) -> DataFrame:
+    """place and text of each row; places order rows by id, null ids last, and then by a hash of the text."""
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("mark"))
+    return docs.select(place.alias("place"), "text")
+
+
+def _at(docs: DataFrame, places: DataFrame, how: str) -> DataFrame:
+    """``docs`` joined (left_anti or left_semi) with the rows of ``places``, null ids included."""
+    named = places.select(F.col("place.id").alias("__id"), F.col("place.mark").alias("__mark"))
+    hit = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__mark"))
+    return docs.join(named, hit, how)
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """The document of the smallest id of each group of near-duplicates, and all others."""
-    groups = near_dedup(docs)
-    gone = cut(groups.where(~F.col("kept")).select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The document of the smallest id of each group of near-duplicates, and all others.
+
+    Null ids are the largest; of rows that share an id the one of the smallest hash of
+    its text stays, and of rows that share id and text any one.  Rows without words all stay."""
+    groups = near_dedup(_placed(docs), id_col="place").where("n_shingles > 0")
+    decided = groups.groupBy("place").agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    decided = cut(decided.where("not kept or n > 1"))
+    left, twice = _at(docs, decided, "left_anti"), decided.where("kept")
+    if twice.isEmpty():
+        return left
+    return left.unionByName(_at(docs, twice, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
-    found = contained_items(docs, table(spark, folder, "benchmark"))
-    gone = cut(found.where(F.size("hits") > 0).select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that contain no benchmark item, judged row by row, whatever their ids."""
+    found = contained_items(_placed(docs), table(spark, folder, "benchmark"), id_col="place")
+    return _at(docs, cut(found.where(F.size("hits") > 0).select("place").distinct()), "left_anti")
 
 
 def packed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

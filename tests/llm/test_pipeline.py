@@ -63,3 +63,16 @@ def test_empty_documents(spark, folder):
     for _, stage in pipeline.STAGES:
         out = stage(spark, docs, folder)
         assert out.count() == 0
+
+
+def test_decisions_reach_rows_of_null_and_repeated_ids(spark, folder):
+    rng = random.Random(4)
+    item = spark.read.parquet(f"{folder}/benchmark.parquet").first().text
+    one, two, three = (prose(rng, 60) for _ in range(3))
+    leak = prose(rng, 30) + " " + item
+    rows = [(1, one), (None, one), (2, two), (2, three), (3, three), (4, one + " more"), (5, leak), (5, prose(rng, 50)), (None, leak + " x"), (None, None), (None, ""), (6, "same row twice over"), (6, "same row twice over")]
+    docs = frame(spark, rows, False)
+    near = sorted(((r.doc_id, r.text) for r in dict(pipeline.STAGES)["near dedup"](spark, docs, folder).collect()), key=str)
+    assert near == sorted([r for i, r in enumerate(rows) if i not in (1, 4, 5, 8, 12)], key=str)
+    clean = sorted(((r.doc_id, r.text) for r in dict(pipeline.STAGES)["decontamination"](spark, docs, folder).collect()), key=str)
+    assert clean == sorted([r for i, r in enumerate(rows) if i not in (6, 8)], key=str)
