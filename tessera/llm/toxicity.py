@@ -8,9 +8,9 @@ book.  Embeddings and softmax are trained jointly in numpy by Adam, the loss
 being taken at each document's currently highest segment.  Since a misspelt or
 inflected word shares most n-grams with the words seen, it shares their score.
 
-Training uses a bounded sample of labelled rows on the driver; the trained model
-is one fixed-size table (2**18 floats) whatever the corpus.  Scoring is one pass
-over whole texts without a shuffle.
+Training uses a bounded sample of labelled rows in one task of an executor; the
+driver only sees the trained model, one fixed-size table (2**18 floats) whatever
+the corpus.  Scoring is one pass over whole texts without a shuffle.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import cut
 from ._words import WHITE, Words, chunks
 
 _U32 = np.uint32
@@ -33,10 +34,10 @@ _BLOCK = 1 << 19
 
 @dataclass(frozen=True)
 class Settings:
-    """Bounds and hyperparameters.  ``most`` is the bound of training rows of each class
-    (the first in the order of a hash of their id); longer texts than ``longest``
-    characters are not used for training (they are scored like all others); n-grams
-    that are seen fewer than ``least`` times in training are left out."""
+    """Bounds and hyperparameters.  Training takes at most ``most`` labelled ids of each
+    class, the first in the order of a hash among those with a text of at most ``longest``
+    characters, and one such text of each; so its memory is bounded.  All texts are scored.
+    N-grams that are seen fewer than ``least`` times in training are left out."""
 
     most: int = 2000
     longest: int = 12_000
@@ -279,21 +280,47 @@ def train(texts: Iterable[str], labels: Iterable[int], settings: Settings = Sett
     return Model(weight, float(bias[1] - bias[0] + prior), settings.segment)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, settings: Settings, id_col: str, text_col: str, label_col: str) -> list:
-    """At most 2 * settings.most rows (text, label); each labelled id counts once, with its highest label."""
+def training_rows(docs: DataFrame, labels: DataFrame, settings: Settings, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """At most 2 * settings.most rows (id, text, label); each labelled id counts once, with its
+    highest label and, where several rows share it, with the text of least hash."""
     known = (
         labels.where(labels[label_col].isin(0, 1) & labels[id_col].isNotNull())
         .groupBy(labels[id_col].alias("id"))
         .agg(F.max(label_col).cast("int").alias("label"))
     )
+    texts = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).where(
+        F.col("text").isNotNull() & (F.length("text") <= settings.longest)
+    )
+    usable = known.join(texts.select("id"), "id", "left_semi")
     chosen = None
     for label in (0, 1):
-        rows = known.where(f"label = {label}").orderBy(F.xxhash64("id"), "id").limit(settings.most)
+        rows = usable.where(f"label = {label}").orderBy(F.xxhash64("id"), "id").limit(settings.most)
         chosen = rows if chosen is None else chosen.unionByName(rows)
-    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where(
-        F.col("text").isNotNull() & (F.length("text") <= settings.longest)
-    )
-    return texts.join(F.broadcast(chosen), "id").select("id", "text", "label").collect()
+    found = texts.join(F.broadcast(cut(chosen)), "id")
+    one = F.min(F.struct(F.xxhash64("text").alias("mark"), "text")).alias("one")
+    return found.groupBy("id", "label").agg(one).select("id", "one.text", "label")
+
+
+def _fit(settings: Settings):
+    """One row (weight, bias) from all rows (id, text, label) of the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
+        if rows:
+            model = train([r[1] for r in rows], [r[2] for r in rows], settings)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([model.weight.tobytes()], pa.binary()), pa.array([model.bias], pa.float64())], ["weight", "bias"]
+            )
+
+    return run
+
+
+def fitted(rows: DataFrame, settings: Settings = Settings()) -> Model:
+    """The model of the bounded rows (id, text, label), trained in one task of an executor."""
+    found = rows.coalesce(1).mapInArrow(_fit(settings), "weight binary, bias double").first()
+    if found is None:
+        return train([], [], settings)
+    return Model(np.frombuffer(found["weight"], np.float32), found["bias"], settings.segment)
 
 
 def score_toxicity(
@@ -314,8 +341,8 @@ def score_toxicity(
     the share of label 1 (0 without labels).  Repeated rows repeat the score.
     A column named ``score_col`` is replaced.
     """
-    rows = sorted(training_rows(docs if training_docs is None else training_docs, labels, settings, id_col, text_col, label_col), key=lambda r: (r["id"], r["text"]))
-    model = train([r["text"] for r in rows], [r["label"] for r in rows], settings)
+    rows = training_rows(docs if training_docs is None else training_docs, labels, settings, id_col, text_col, label_col)
+    model = fitted(rows.select("id", "text", "label"), settings)
     held = docs.sparkSession.sparkContext.broadcast((model.weight, model.bias, model.segment))
 
     @F.arrow_udf("double")

@@ -258,6 +258,43 @@ def test_toxicity_finds_unseen_misspellings(spark):
     assert all(0 <= s <= 1 for s in got.values()) and got[9000] == got[9001] == got[9002]
 
 
+def test_training_rows_are_bounded_and_refilled(spark):
+    rows = [(i, "short text") for i in range(30)] + [(0, f"other {k}") for k in range(50)] + [(31, "x" * 200), (None, "n"), (32, None)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(33)] + [(4, 1), (5, None), (None, 1)], "doc_id long, toxic int")
+    bounds = toxicity.Settings(most=6, longest=100)
+    got = toxicity.training_rows(frame(spark, rows), labels, bounds, "doc_id", "text", "toxic").collect()
+    assert len(got) == len({r.id for r in got}) == 12 and sum(r.label for r in got) == 6
+    every = toxicity.training_rows(frame(spark, rows), labels, toxicity.Settings(longest=100), "doc_id", "text", "toxic").collect()
+    assert sorted(r.id for r in every) == list(range(30)) and {r.id: r.label for r in every}[4] == 1
+
+
+def test_scores_are_those_of_a_model_trained_and_applied_by_hand(spark):
+    """Against brute force: each segment's mean of its words' means, the highest of a text."""
+    docs, labels = toxic_rows(300)
+    got = {r.doc_id: r.toxicity for r in toxicity.score_toxicity(frame(spark, docs), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    rows = sorted((d, t, y) for (d, t), (_, y) in zip(docs, labels, strict=True))
+    model = toxicity.train([t for _, t, _ in rows], [y for _, _, y in rows])
+
+    def word(w):
+        h, value, count = 0, 0.0, 0
+        b = b" " + w.encode() + b" "
+        for k in toxicity.SIZES:
+            for i in range(len(b) - k + 1):
+                h = 0
+                for c in b[i : i + k]:
+                    h = (h * 16777619 + c + 1) % 2**32
+                h = (h ^ h >> 15) * 2654435761 % 2**32
+                value, count = value + model.weight[h >> 32 - toxicity.BUCKET_BITS], count + 1
+        return value / max(count, 1)
+
+    for d, t in docs[::9]:
+        ws = t.lower().split()
+        parts = max(1, (len(ws) + 8) // 16)
+        cuts = [k * len(ws) // parts for k in range(parts + 1)]
+        best = max(sum(map(word, ws[a:b])) / (b - a) for a, b in zip(cuts, cuts[1:], strict=False))
+        assert got[d] == pytest.approx(1 / (1 + 2.718281828459045 ** -(best + model.bias)), rel=1e-4)
+
+
 def test_toxicity_without_both_classes(spark):
     docs = frame(spark, corpus()[:6])
     none = spark.createDataFrame([], "doc_id long, toxic int")
