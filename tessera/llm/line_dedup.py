@@ -4,86 +4,121 @@ A line is the set of its distinct words.  Words are ordered from rare to common
 a count sketch of fixed size over all words of all documents.  Two sets of Jaccard
 similarity t or more share a word among the first ``n - ceil(t n) + 1`` of each
 (prefix filter), have sizes within t of each other (length filter), enough words
-left behind the shared one (positional filter) and few differing bits in parity
-bitmaps of their words.  What passes is verified on the words themselves.
+left behind the shared one (positional filter) and few differing bits among the
+parities of their words.  What passes is verified on the words themselves.
 
-Equal sets are folded into one, at the place of its first line.  The words of all
-prefixes are then grouped; every set is first compared with the earliest set of
-each group and with its two predecessors only, which settles groups of copies by a
-few pairs a member.  Sets that
-this leaves unsettled are joined with all earlier sets of their groups, so no
-match is lost.  Groups of common words are split by a salt in the first step.
+Lines of the same characters are first folded into one, by their MD5, at the place
+of the first.  The sets that share a prefix word are its group.  Groups of at most
+``Settings.common`` sets are joined with themselves.  In larger ones every set is
+first compared with the earliest set and with its two predecessors, which settles
+groups of copies by a few pairs a member; sets that this leaves unsettled are then
+joined with all earlier sets of their groups.
+So no match is lost, and no group is expanded into all its pairs.
 
 Everything is DataFrame expressions; no Python runs on the executors.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._spark import cut, release
 
 WHITE = "[\\x20\\x09-\\x0D]+"
-BITS = ("bits0", "bits1", "bits2", "bits3")
-_SET = ("set", "n", "i", *BITS)
+_GRAM = ("nid", "n", "i", "bits")
+#: the rarity class of a word stands in the top byte of its number, its hash below
+_CLASS_AT = 56
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Least similarity in percent; lines of fewer distinct words than ``least`` are never
-    removed; sketch cells; occurrences of a word from which its group is salted; passes
-    over the words of the prefixes, to bound the disk that their shuffles take."""
+    """Least similarity in percent; sketch cells (a power of two); sets beyond which a word's
+    group is not joined with itself at once; how many such words are broadcast at most;
+    occurrences for each part that the group of a very common word is salted into; bits of the filter that picks lines to verify
+    (a power of two; when it is full it lets every line pass, and the join behind it decides)."""
 
     percent: int = 80
-    least: int = 3
     cells: int = 1 << 20
+    common: int = 512
+    held: int = 100_000
     hot: int = 100_000
-    passes: int = 8
+    filter_bits: int = 1 << 24
 
 
 def words_of(line: Column) -> Column:
     return F.array_remove(F.split(line, WHITE), "")
 
 
-def _rarity(docs: DataFrame, settings: Settings) -> DataFrame:
-    """One row, one array: a class of each sketch cell, four times the binary logarithm of its count."""
-    spark = docs.sparkSession
-    cell = F.pmod(F.xxhash64("word"), F.lit(settings.cells).cast("long"))
-    words = docs.select(F.explode(F.split("text", WHITE)).alias("word"))
+def _long(x: Column | int) -> Column:
+    return (x if isinstance(x, Column) else F.lit(x)).cast("long")
+
+
+def _dense(spark: SparkSession, known: DataFrame, size: int, default: Column) -> DataFrame:
+    """One row, one array: ``value`` of each id from 0 to size - 1."""
+    every = spark.range(size).join(known, "id", "left").select("id", F.coalesce("value", default).alias("value"))
+    ordered = F.sort_array(F.collect_list(F.struct("id", "value")))
+    return cut(every.agg(ordered.alias("r")).select(F.col("r.value").alias("values")))
+
+
+def _class(count: Column) -> Column:
+    """Rarity class: four times the binary logarithm of a count."""
+    return F.floor(4 * F.log2(count + 1))
+
+
+def _rarity(source: DataFrame, settings: Settings) -> DataFrame:
+    """One row, one array: the class of each sketch cell, already in its place of a word's number."""
+    cell = F.xxhash64("word").bitwiseAND(settings.cells - 1)
+    words = source.select(F.explode(F.split("text", WHITE)).alias("word"))
     counts = words.groupBy(cell.alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    every = spark.range(settings.cells).join(counts, "id", "left")
-    rank = F.floor(4 * F.log2(F.coalesce("n", F.lit(0)) + 1)).cast("tinyint").alias("rank")
-    ordered = F.sort_array(F.collect_list(F.struct(F.col("id"), rank)))
-    return cut(every.agg(ordered.alias("r")).select(F.col("r.rank").alias("ranks")))
+    shifted = F.shiftleft(_class(F.col("n")).cast("long"), _CLASS_AT)
+    return _dense(source.sparkSession, counts.select("id", shifted.alias("value")), settings.cells, _long(0))
+
+
+def _lines(source: DataFrame) -> DataFrame:
+    """id, mark (a hash of the text), line number and line of each text."""
+    return source.select("id", F.xxhash64("text").alias("mark"), F.posexplode(F.split("text", "\n")).alias("line", "raw"))
 
 
-def _tokens(line: Column, ranks: Column, settings: Settings) -> Column:
-    """The distinct words of a line as sorted numbers: rarity class, then hash."""
+def _digest() -> Column:
+    return F.unhex(F.md5("raw"))
 
-    def number(word: Column) -> Column:
-        h = F.xxhash64(word)
-        rank = F.get(ranks, F.pmod(h, F.lit(settings.cells).cast("long")).cast("int"))
-        return F.shiftleft(rank.cast("long"), 48).bitwiseOR(F.shiftrightunsigned(h, 16))
 
-    return F.sort_array(F.array_distinct(F.transform(words_of(line), number)))
+def _numbers(ranks: Column, marks: list[Column], settings: Settings) -> Column:
+    """The distinct words of a line as numbers (rarity class, then hash), sorted together with ``marks``."""
 
+    def number(h: Column) -> Column:
+        rank = F.get(ranks, h.bitwiseAND(settings.cells - 1).cast("int"))
+        return rank.bitwiseOR(F.shiftrightunsigned(h, 64 - _CLASS_AT))
 
-def _parity(part: int) -> Column:
-    """64 bits, each the parity of the words of ``t`` that hash to it (a quarter of the words each).
+    hashes = F.array_distinct(F.transform(words_of(F.col("raw")), lambda w: F.xxhash64(w)))
+    return F.sort_array(F.concat(F.transform(hashes, number), F.array(*marks)))
+
+
+def _parity(words: Column) -> Column:
+    """64 bits, each the parity of the words that hash to it.
 
     Words that two sets share cancel, so their parities differ in at most as many bits
     as the sets differ in words."""
 
     def flip(a: Column, x: Column) -> Column:
-        own = F.when(F.shiftright(x, 6).bitwiseAND(3) == part, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
-        return a.bitwiseXOR(F.call_function("shiftleft", own, x.bitwiseAND(63).cast("int")))
+        return a.bitwiseXOR(F.call_function("shiftleft", _long(1), x.bitwiseAND(63).cast("int")))
+
+    return F.aggregate(words, _long(0), flip)
 
-    return F.aggregate("t", F.lit(0).cast("long"), flip)
+
+def _quarters(ranks: DataFrame) -> list[int]:
+    """Numbers that cut the words of a line, on average, into four parts, from rare to common."""
+    total = F.sum(F.pow(F.lit(2.0), F.col("class") / 4))
+    rows = ranks.select(F.explode(F.transform("values", lambda v: F.shiftrightunsigned(v, _CLASS_AT))).alias("class")).groupBy("class").agg(total.alias("n")).collect()
+    below, cuts, whole = 0.0, [], sum(r["n"] for r in rows)
+    for r in sorted(rows, key=lambda r: r["class"]):
+        below += r["n"]
+        while len(cuts) < 3 and below >= whole * (len(cuts) + 1) / 4:
+            cuts.append((r["class"] + 1) << _CLASS_AT)
+    return list(dict.fromkeys(cuts))
 
 
 def _need(percent: int, n: str) -> str:
@@ -92,20 +127,56 @@ def _need(percent: int, n: str) -> str:
 
 
 def _may_match(s: Settings) -> Column:
-    """Length, positional and bitmap filter for sets (n, i, bits) and (n2, i2, bits2) that share
+    """Length, positional and parity filter for sets (n, i, bits) and (n_2, i_2, bits_2) that share
     the word at places i and i_2 of their orders.
 
     The positional filter is that of the first word that two sets share: all others lie
     behind it in both.  A later shared word may fail it, the first does not."""
     p = s.percent
-    overlap = f"int(ceil({p} * (n + n_2) / {100 + p}D - 1e-9))"
     return F.expr(
         f"100 * least(n, n_2) >= {p} * greatest(n, n_2)"
-        f" and least(n - i, n_2 - i_2) >= {overlap}"
-        f" and {' + '.join(f'bit_count({b} ^ {b}_2)' for b in BITS)} <= n + n_2 - 2 * {overlap}"
+        f" and least(n - i, n_2 - i_2) >= {_overlap(p)}"
+        f" and bit_count(bits ^ bits_2) <= n + n_2 - 2 * {_overlap(p)}"
     )
 
 
+def _overlap(percent: int) -> str:
+    """SQL for the least overlap of similar sets of n and n_2 words."""
+    return f"int(({percent} * (n + n_2) + {99 + percent}) div {100 + percent})"
+
+
+def _place() -> Column:
+    """Order of lines: by id, null ids last, then by a hash of the text and by line number."""
+    return F.struct(F.col("id").isNull().alias("none"), "id", "mark", "line")
+
+
+def _folded(source: DataFrame, settings: Settings) -> DataFrame:
+    """One row for each different line that has words: nid, digest, place of the first, copies, n, lanes, prefix, bits.
+
+    ``lanes`` are the parities of the rarest quarter of words, the next, and so on; ``bits`` is their sum."""
+    ranks = _rarity(source, settings)
+    marks = [F.lit(c).cast("long") for c in _quarters(ranks)]
+    k = len(marks)
+    lines = _lines(source).withColumn("ranks", ranks.scalar())  # one value, inlined into what follows
+    lines = lines.select(_place().alias("place"), _digest().alias("digest"), _numbers(F.col("ranks"), marks, settings).alias("t"))
+    # in steps, for Spark would compute an array again for each use in one step
+    lines = lines.select("*", *(F.array_position("t", m).cast("int").alias(f"p{i}") for i, m in enumerate(marks)))
+    ends = [F.lit(0), *(F.col(f"p{i}") for i in range(k)), F.size("t") + 1]
+    parts = [F.slice("t", x + 1, y - x - 1).alias(f"a{i}") for i, (x, y) in enumerate(zip(ends, ends[1:], strict=False))]
+    lines = lines.select("place", "digest", (F.size("t") - k).alias("n"), *parts)
+    every = [f"a{i}" for i in range(k + 1)]
+    least = F.expr(f"n - {_need(settings.percent, 'n')} + 1")
+    prefix = F.slice(F.concat(*every), F.lit(1), F.when(F.col("n") > 0, least).otherwise(0))
+    lines = lines.select("place", "digest", "n", F.array(*map(_parity, every)).alias("lanes"), prefix.alias("prefix"))
+    # equal lines have equal n, lanes and prefix, so any of them will do
+    folded = lines.groupBy("digest").agg(
+        F.min("place").alias("place"), F.count(F.lit(1)).alias("copies"), F.first(F.struct("n", "lanes", "prefix")).alias("s")
+    )
+    bits = F.aggregate("lanes", _long(0), lambda a, x: a.bitwiseXOR(x)).alias("bits")
+    folded = folded.select("digest", "place", "copies", "s.*").where("n > 0")
+    return cut(folded.select(F.monotonically_increasing_id().alias("nid"), "*", bits))
+
+
 def removed_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()
 ) -> DataFrame:
@@ -113,53 +184,41 @@ def removed_lines(
 
     Lines are separated by \\n.  A line is removed if an earlier one, by (id, line
     number), has a similar enough set of words, whether that one is removed or not.
-    Lines of fewer than ``least`` distinct words stay; null texts have no lines.
+    Lines without words stay; null texts have no lines.
     Null ids come last; documents that share an id are ordered by a hash of their
     text.  Rows that repeat id and text count as one document and get one result.
     ``mark`` is that hash, to find the document again.
     """
+    spark = docs.sparkSession
     source = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    rarity = _rarity(source, settings)
-    split = source.select("id", F.xxhash64("text").alias("mark"), F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    ranked = split.withColumn("ranks", rarity.scalar())  # one value, which Spark inlines into the next expression
-    lines = ranked.select("id", "mark", "line", _tokens(F.col("raw"), F.col("ranks"), settings).alias("t"))
-    place = F.struct(F.col("id").isNull().alias("none"), "id", "mark", "line")
-    lines = lines.withColumns(
-        {
-            "n": F.size("t"),
-            "h1": F.xxhash64("t"),
-            "h2": F.xxhash64(F.lit(7), "t"),
-            **{b: _parity(i) for i, b in enumerate(BITS)},
-            "prefix": F.expr(f"slice(t, 1, size(t) - {_need(settings.percent, 'size(t)')} + 1)"),
-        }
-    ).drop("t")
-    # filtered behind the cut: before it, Spark would compute the words a second time for the filter
-    whole = cut(lines.select("id", "mark", "line", "n", "h1", "h2", *BITS, "prefix")).where(f"n >= {settings.least}")
-    folded = whole.groupBy("h1", "h2", "n").agg(F.min(F.struct(place.alias("place"), *BITS, "prefix")).alias("m"))
-    folded = cut(folded.select("h1", "h2", "n", "m.place", *(f"m.{b}" for b in BITS), "m.prefix"))
-    every = cut(whole.select("id", "mark", "line", "n", "h1", "h2"))
-    del whole, lines
-    release(docs.sparkSession)
-    sets = cut(folded.orderBy("place").withColumn("set", F.monotonically_increasing_id()))
-    del folded
-    release(docs.sparkSession)
-
-    grams = sets.select("set", "n", *BITS, F.posexplode("prefix").alias("i", "word"))
-    passes = [grams.where(F.pmod("word", F.lit(settings.passes)) == b) for b in range(settings.passes)]
-    heads = _together(_headed(p, settings) for p in passes)
-    settled = _verified(heads, sets, source, settings)
-    rest = _together(_with_earlier(p, settled, settings) for p in passes)
-    more = _verified(rest, sets, source, settings)
-
-    gone = settled.unionByName(more).distinct().withColumn("gone", F.lit(True))
-    of_set = sets.select("h1", "h2", "n", "place", "set").join(gone, "set", "left").select("h1", "h2", "n", "place", F.coalesce("gone", F.lit(False)).alias("gone"))
+    sets = _folded(source, settings)
+    release(spark)
+
+    grams = sets.select("nid", "n", "bits", F.posexplode("prefix").alias("i", "word"))
+    # a word that the sketch counts once is in no other line
+    grams = grams.where(F.shiftrightunsigned("word", _CLASS_AT) > _class(_long(1)))
+    large = _large(grams, settings)
+    few = cut(_among_small(grams.join(large, "word", "left_anti"), settings))
+    release(spark)
+    common = grams.join(large, "word", "left_semi").join(sets.select("nid", "place"), "nid")
+    few = cut(few.unionByName(_headed(common, settings)).groupBy("nid", "nid_2").agg(F.sum("shared").alias("shared")))
+    release(spark)
+    gone = _verified(few, sets, source, settings)
+    rest = cut(_with_earlier(common, gone, settings))
+    release(spark)
+    gone = gone.unionByName(_verified(rest, sets, source, settings)).distinct().withColumn("gone", F.lit(True))
+
+    twice = sets.where("copies > 1").select("nid", "digest", "place")
+    hit = sets.join(gone, "nid").select("nid", "digest", "place", "gone")
+    known = cut(
+        twice.join(hit.select("nid"), "nid", "left_anti").withColumn("gone", F.lit(False)).unionByName(hit).select("digest", "place", "gone")
+    )
+    own = _lines(source).select("id", "mark", "line", _place().alias("own"), _digest().alias("digest"))
     out = (
-        every.select("id", "mark", "line", "n", "h1", "h2")
-        .distinct()
-        .join(of_set, ["h1", "h2", "n"])
-        .where(F.col("gone") | (place != F.col("place")))
+        own.join(known, "digest")
+        .where(F.col("gone") | (F.col("own") != F.col("place")))
         .groupBy("id", "mark")
-        .agg(F.sort_array(F.collect_list("line")).alias("removed"))
+        .agg(F.sort_array(F.collect_set("line")).alias("removed"))
     )
     counts = source.where("text is not null").select("id", F.xxhash64("text").alias("mark"), F.size(F.split("text", "\n")).alias("n_lines")).distinct()
     out = out.select(F.col("id").alias("id2"), F.col("mark").alias("mark2"), "removed")
@@ -170,55 +229,104 @@ def removed_lines(
     )
 
 
+def _second(grams: DataFrame, *more: str) -> DataFrame:
+    return grams.select("word", *(F.col(c).alias(f"{c}_2") for c in (*_GRAM, *more)))
+
+
+def _large(grams: DataFrame, settings: Settings) -> DataFrame:
+    """The words of more than ``settings.common`` sets, counted where the sketch does not rule it out.
+
+    Broadcast while they are few, else joined."""
+    asked = grams.where(F.shiftrightunsigned("word", _CLASS_AT) >= _class(_long(settings.common)))
+    words = cut(asked.groupBy("word").count().where(F.col("count") > settings.common).select("word"))
+    return F.broadcast(words) if words.count() <= settings.held else words
+
+
+def _among_small(grams: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs (nid, nid_2) of sets that share a word and may match, and how many such words."""
+    dealt = grams.repartition("word")  # one shuffle for both sides
+    pairs = dealt.join(_second(dealt), "word").where("nid_2 < nid").where(_may_match(settings))
+    return _counted(pairs)
+
+
+def _counted(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("nid", "nid_2").agg(F.count(F.lit(1)).alias("shared"))
+
+
 def _headed(grams: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs (set, set2) of each set and the earliest of a word's group, and the two just before
-    it, that may match it.
-
-    A group of a common word is split by a salt, each part with its own earliest set."""
-    parts = F.expr(f"cast(ceil(pow(2D, shiftright(word, 48) / 4D) / {settings.hot}D) as long)")
-    salted = grams.withColumn("salt", F.pmod(F.xxhash64("set"), F.greatest(F.lit(1).cast("long"), parts)))
-    line = Window.partitionBy("word", "salt").orderBy("set")
-    one = F.struct(*_SET)
+    """Pairs of each set and the earliest of a word's group, and the two just before it, that may match it.
+
+    A group of a very common word is split by a salt, each part with its own earliest set."""
+    parts = F.expr(f"cast(ceil(pow(2D, shiftrightunsigned(word, {_CLASS_AT}) / 4D) / {settings.hot}D) as long)")
+    salted = grams.withColumn("salt", F.pmod(F.xxhash64("nid"), F.greatest(_long(1), parts)))
+    line = Window.partitionBy("word", "salt").orderBy("place")
+    one = F.struct(*_GRAM)
     first = F.first(one).over(line.rowsBetween(Window.unboundedPreceding, 0))
     asked = F.array(first, *(F.lag(one, k).over(line) for k in (1, 2)))
-    rows = salted.withColumn("asked", asked).withColumn("other", F.explode(F.array_distinct("asked"))).where("other is not null and other.set <> set")
-    pairs = rows.select("*", *(F.col(f"other.{c}").alias(f"{c}_2") for c in _SET))
-    return pairs.where(_may_match(settings)).select("set", F.col("set_2").alias("set2")).distinct()
+    rows = salted.withColumn("asked", asked).withColumn("other", F.explode(F.array_distinct("asked"))).where("other is not null and other.nid <> nid")
+    pairs = rows.select("*", *(F.col(f"other.{c}").alias(f"{c}_2") for c in _GRAM)).where(_may_match(settings))
+    return _counted(pairs.select(F.greatest("nid", "nid_2").alias("nid"), F.least("nid", "nid_2").alias("nid_2")))
+
+
+def _with_earlier(grams: DataFrame, gone: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs of each unsettled set and every earlier set of its groups that may match it."""
+    pairs = grams.join(gone, "nid", "left_anti").join(_second(grams, "place"), "word").where("place_2 < place").where(_may_match(settings))
+    return _counted(pairs)
 
 
-def _with_earlier(grams: DataFrame, settled: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs (set, set2) of each unsettled set and every earlier set of its groups that may match it."""
-    other = grams.select("word", *(F.col(c).alias(f"{c}_2") for c in _SET))
-    pairs = grams.join(settled, "set", "left_anti").join(other, "word").where("set_2 < set").where(_may_match(settings))
-    return pairs.select("set", F.col("set_2").alias("set2")).distinct()
+def _picked(wanted: DataFrame, source: DataFrame, settings: Settings) -> DataFrame:
+    """``wanted`` (nid, place) with the distinct words of the lines, by one pass over the texts."""
+    size = settings.filter_bits >> 6
 
+    def bit(*at: Column) -> Column:
+        return F.xxhash64(*at).bitwiseAND(settings.filter_bits - 1)
 
-def _together(parts: Iterator[DataFrame]) -> DataFrame:
-    """The distinct rows of all parts, each computed by itself so that its shuffles can go before the next."""
-    done = []
-    for part in parts:
-        done.append(cut(part))
-        spark, part = part.sparkSession, None
-        release(spark)
-    return cut(reduce(DataFrame.unionByName, done).distinct())
+    def one(b: Column) -> Column:
+        return F.call_function("shiftleft", _long(1), b.bitwiseAND(63).cast("int"))
+
+    asked = wanted.select(bit(F.col("place.mark"), F.col("place.line")).alias("b"))
+    lanes = asked.groupBy(F.shiftright("b", 6).alias("id")).agg(F.bit_or(one(F.col("b"))).alias("value"))
+    held = _dense(source.sparkSession, lanes, size, _long(0))
+    lines = _lines(source).withColumn("held", held.scalar()).withColumn("b", bit(F.col("mark"), F.col("line")))
+    lane = F.get("held", F.shiftright("b", 6).cast("int"))
+    lines = lines.where(lane.bitwiseAND(one(F.col("b"))) != 0).select(F.col("id").alias("lid"), F.col("mark").alias("lmark"), F.col("line").alias("lline"), "raw")
+    hit = F.col("lid").eqNullSafe(F.col("place.id")) & (F.col("lmark") == F.col("place.mark")) & (F.col("lline") == F.col("place.line"))
+    found = cut(lines.join(wanted, hit).select("nid", F.array_distinct(words_of(F.col("raw"))).alias("words")))
+    if found.count() > wanted.count():  # rows that repeat id and text
+        found = cut(found.dropDuplicates(["nid"]))
+    return found
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, source: DataFrame, settings: Settings) -> DataFrame:
-    """The sets (set) of the pairs (set, set2) that are similar enough, by their words."""
-    asked = pairs.select("set").unionByName(pairs.select(F.col("set2").alias("set"))).distinct()
-    at = asked.join(sets.select("set", "place"), "set").select("set", F.col("place.id").alias("id"), F.col("place.mark").alias("mark"), F.col("place.line").alias("line"))
-    wanted = at.groupBy("id", "mark").agg(F.collect_list(F.struct("set", "line")).alias("wanted"))
-    texts = source.select(F.col("id").alias("tid"), F.xxhash64("text").alias("tmark"), "text")
-    hit = F.col("tid").eqNullSafe(F.col("id")) & (F.col("tmark") == F.col("mark"))
-    picked = texts.join(wanted, hit).select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
-    words = cut(picked.select("w.set", F.array_distinct(words_of(F.get("lines", F.col("w.line")))).alias("words")).dropDuplicates(["set"]))
-    both = pairs.join(words, "set").join(words.select(F.col("set").alias("set2"), F.col("words").alias("words2")), "set2")
-    ok = both.withColumn("k", F.size(F.array_intersect("words", "words2"))).where(
-        f"100 * k >= {settings.percent} * (size(words) + size(words2) - k)"
-    )
-    found = cut(ok.select("set").distinct())
+    """The sets (nid) that are similar enough to an earlier one of their pairs, by their words.
+
+    Each set is first held against the one that shares most words of the prefixes with it,
+    which settles most; then the others against all of theirs."""
+    if pairs.isEmpty():
+        return pairs.select("nid")
+    asked = pairs.select("nid").unionByName(pairs.select(F.col("nid_2").alias("nid"))).distinct()
+    wanted = cut(asked.join(sets.select("nid", "place", "n", "lanes"), "nid"))
+    others = wanted.select(*(F.col(c).alias(f"{c}_2") for c in wanted.columns))
+    differ = F.aggregate(F.zip_with("lanes", "lanes_2", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
+    later = F.col("place_2") < F.col("place")
+    ends = [F.when(later, F.col(x)).otherwise(F.col(y)) for x, y in (("nid", "nid_2"), ("nid_2", "nid"))]
+    placed = pairs.join(wanted, "nid").join(others, "nid_2").where(differ <= F.expr(f"n + n_2 - 2 * {_overlap(settings.percent)}"))
+    placed = cut(placed.select(ends[0].alias("nid"), ends[1].alias("nid_2"), "shared"))
+    left = placed.select("nid").unionByName(placed.select(F.col("nid_2").alias("nid"))).distinct()
+    words = _picked(cut(wanted.join(left, "nid").select("nid", "place")), source, settings)
+    best = placed.groupBy("nid").agg(F.max(F.struct("shared", "nid_2")).alias("m")).select("nid", "m.nid_2")
+    gone = _similar(best, words, settings)
+    gone = gone.unionByName(_similar(placed.join(gone, "nid", "left_anti").select("nid", "nid_2"), words, settings))
     release(source.sparkSession)
-    return found
+    return gone
+
+
+def _similar(pairs: DataFrame, words: DataFrame, settings: Settings) -> DataFrame:
+    """The sets nid of the pairs whose words are similar enough to those of nid_2."""
+    others = words.select(F.col("nid").alias("nid_2"), F.col("words").alias("words_2"))
+    both = pairs.join(words, "nid").join(others, "nid_2").withColumn("k", F.size(F.array_intersect("words", "words_2")))
+    ok = both.where(f"100 * k >= {settings.percent} * (size(words) + size(words_2) - k)")
+    return cut(ok.select("nid").distinct())
 
 
 def without_lines(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -249,7 +249,7 @@ with d as (
   select doc_id, i, list_sort(list_distinct(regexp_extract_all(raw, '[^\x20\x09-\x0D]+'))) as ws from l
 ), k as (
   select array_to_string(ws, ' ') as s, any_value(ws) as ws, min((doc_id, i)) as first, any_value(len(ws)) as n
-  from w where len(ws) >= 3 group by 1
+  from w where len(ws) >= 1 group by 1
 ), t as (
   select s, first, n, unnest(ws) as x from k
 ), p as (
@@ -259,7 +259,7 @@ with d as (
 ), g as (select distinct s from p
 ), r as (
   select doc_id, i from w join k on k.s = array_to_string(w.ws, ' ')
-  where len(w.ws) >= 3 and ((doc_id, i) <> first or exists (select 1 from g where g.s = k.s))
+  where len(w.ws) >= 1 and ((doc_id, i) <> first or exists (select 1 from g where g.s = k.s))
 ), a as (
   select doc_id, count(*) as n_removed, string_agg(i::varchar, ',' order by i) as removed_lines from r group by doc_id
 )

@@ -108,7 +108,7 @@ def test_near_dedup_links_chains_of_variants(spark):
     assert got == brute_near(rows)
 
 
-def brute_lines(rows, percent=80, least=3):
+def brute_lines(rows, percent=80):
     lines = []
     for d, t in rows:
         for i, raw in enumerate(t.split("\n") if t is not None else []):
@@ -117,16 +117,20 @@ def brute_lines(rows, percent=80, least=3):
     lines.sort(key=lambda x: x[:2])
     for x, (d, i, a) in enumerate(lines):
         for _, _, b in lines[:x]:
-            if len(a) >= least and len(b) >= least and 100 * len(a & b) >= percent * len(a | b):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
                 gone[d].append(i)
                 break
     return sorted((d, len(t.split("\n")), sorted(gone[d])) for d, t in rows if t is not None)
 
 
-def test_line_dedup(spark):
-    rows = corpus(seed=5)
+prose_ = "some longer line of words which only one number at its end sets apart"
+
+
+@pytest.mark.parametrize(("common", "held"), [(2, 0), (3, 1000), (512, 1000)])
+def test_line_dedup(spark, common, held):
+    rows = corpus(seed=5) + [(4000 + i, f"Read more\n{w} {w}\n- \n\nRead  more {w}\n{prose_} {i}") for i, w in enumerate(("a", "b", "a", "c"))]
     docs = frame(spark, rows)
-    found = line_dedup.removed_lines(docs, settings=line_dedup.Settings(passes=3, hot=3, cells=64))
+    found = line_dedup.removed_lines(docs, settings=line_dedup.Settings(common=common, held=held, hot=3, cells=64, filter_bits=1 << 10))
     got = sorted((r.doc_id, r.n_lines, list(r.removed)) for r in found.collect())
     assert got == brute_lines(rows)
     left = line_dedup.without_lines(docs, found)
