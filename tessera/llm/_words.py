@@ -7,6 +7,7 @@ fixed seeds and are equal on every executor.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,11 +18,14 @@ CHUNK_BYTES = 1 << 20
 CHUNK_TEXTS = 512
 
 _U = np.uint64
-_RNG = np.random.default_rng(20240611)
-_BYTE = _RNG.integers(1, 2**64, 256, dtype=_U)
 _BASE = _U(0x9E3779B97F4A7C15)
-_BASE_INV = _U(pow(0x9E3779B97F4A7C15, -1, 2**64))
-_MIX = [_U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)]
+#: Two scramblings of 64-bit values, fixed: shifts and multipliers.
+_MIXERS = (
+    (30, 0xBF58476D1CE4E5B9, 27, 0x94D049BB133111EB, 31),
+    (33, 0xFF51AFD7ED558CCD, 29, 0xC4CEB9FE1A85EC53, 32),
+)
+#: Words longer than this are hashed one by one.
+_LONG_WORD = 256
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -30,26 +34,18 @@ NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_powers: dict[int, np.ndarray] = {}
+#: The first 0 to 8 bytes of a little-endian lane.
+_LANE = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
 
 
-def _pow(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**n modulo 2**64."""
-    have = _powers.get(int(base))
-    if have is None or len(have) <= n:
-        have = np.full(max(n, CHUNK_BYTES) + 2, base, _U)
-        have[0] = 1
-        have = _powers[int(base)] = np.multiply.accumulate(have)
-    return have
-
-
-def mix(h: np.ndarray) -> np.ndarray:
-    """A bijective scrambling of 64-bit values."""
-    h = h ^ (h >> _U(30))
-    h = h * _MIX[0]
-    h ^= h >> _U(27)
-    h *= _MIX[1]
-    h ^= h >> _U(31)
+def mix(h: np.ndarray, which: int = 0) -> np.ndarray:
+    """A bijective scrambling of 64-bit values; the second is independent of the first."""
+    a, p, b, q, c = _MIXERS[which]
+    h = h ^ (h >> _U(a))
+    h *= _U(p)
+    h ^= h >> _U(b)
+    h *= _U(q)
+    h ^= h >> _U(c)
     return h
 
 
@@ -68,13 +64,26 @@ class Words:
     end: np.ndarray
     first: np.ndarray
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        n = len(self.data)
-        total = np.zeros(n + 1, _U)
-        np.cumsum(_BYTE[self.data] * _pow(_BASE, n)[:n], out=total[1:])
-        h = (total[self.end] - total[self.start]) * _pow(_BASE_INV, n)[self.start]
-        return mix(h + (self.end - self.start).astype(_U) * _BASE)
+    def hashes(self, which: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word's bytes; both hashes (0 and 1) together are one of 128 bits.
+
+        A word's bytes pass eight at a time through a full scrambling, with its length, so
+        words of one length of up to eight bytes never share a hash."""
+        size = self.end - self.start
+        padded = np.zeros(len(self.data) + 8, np.uint8)
+        padded[:-8] = self.data
+        lanes = np.ndarray(len(self.data) + 1, "<u8", padded, strides=(1,))
+        seed = size.astype(_U) * _BASE
+        h = mix(seed ^ (lanes[self.start] & _LANE[np.minimum(size, 8)]), which)
+        more, done = np.flatnonzero((size > 8) & (size <= _LONG_WORD)), 8
+        while len(more):
+            left = size[more] - done
+            h[more] = mix(h[more] ^ (lanes[self.start[more] + done] & _LANE[np.minimum(left, 8)]), which)
+            more, done = more[left > 8], done + 8
+        for i in np.flatnonzero(size > _LONG_WORD).tolist():
+            word = self.data[self.start[i] : self.end[i]].tobytes()
+            h[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8, salt=bytes([which])).digest(), "little")
+        return h
 
 
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -22,9 +22,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._marks import FILTER_BITS, among, dense
 from ._spark import cut, release
 
 WHITE = "[\\x20\\x09-\\x0D]+"
@@ -37,15 +38,15 @@ _CLASS_AT = 56
 class Settings:
     """Least similarity in percent; sketch cells (a power of two); sets beyond which a word's
     group is not joined with itself at once; how many such words are broadcast at most;
-    occurrences for each part that the group of a very common word is salted into; bits of the filter that picks lines to verify
-    (a power of two; when it is full it lets every line pass, and the join behind it decides)."""
+    occurrences for each part that the group of a very common word is salted into; bits of the
+    filter that picks lines to verify."""
 
     percent: int = 80
     cells: int = 1 << 20
     common: int = 512
     held: int = 100_000
     hot: int = 100_000
-    filter_bits: int = 1 << 24
+    filter_bits: int = FILTER_BITS
 
 
 def words_of(line: Column) -> Column:
@@ -56,13 +57,6 @@ def _long(x: Column | int) -> Column:
     return (x if isinstance(x, Column) else F.lit(x)).cast("long")
 
 
-def _dense(spark: SparkSession, known: DataFrame, size: int, default: Column) -> DataFrame:
-    """One row, one array: ``value`` of each id from 0 to size - 1."""
-    every = spark.range(size).join(known, "id", "left").select("id", F.coalesce("value", default).alias("value"))
-    ordered = F.sort_array(F.collect_list(F.struct("id", "value")))
-    return cut(every.agg(ordered.alias("r")).select(F.col("r.value").alias("values")))
-
-
 def _class(count: Column) -> Column:
     """Rarity class: four times the binary logarithm of a count."""
     return F.floor(4 * F.log2(count + 1))
@@ -74,7 +68,7 @@ def _rarity(source: DataFrame, settings: Settings) -> DataFrame:
     words = source.select(F.explode(F.split("text", WHITE)).alias("word"))
     counts = words.groupBy(cell.alias("id")).agg(F.count(F.lit(1)).alias("n"))
     shifted = F.shiftleft(_class(F.col("n")).cast("long"), _CLASS_AT)
-    return _dense(source.sparkSession, counts.select("id", shifted.alias("value")), settings.cells, _long(0))
+    return dense(source.sparkSession, counts.select("id", shifted.alias("value")), settings.cells)
 
 
 def _lines(source: DataFrame) -> DataFrame:
@@ -276,20 +270,9 @@ def _with_earlier(grams: DataFrame, gone: DataFrame, settings: Settings) -> Data
 
 def _picked(wanted: DataFrame, source: DataFrame, settings: Settings) -> DataFrame:
     """``wanted`` (nid, place) with the distinct words of the lines, by one pass over the texts."""
-    size = settings.filter_bits >> 6
-
-    def bit(*at: Column) -> Column:
-        return F.xxhash64(*at).bitwiseAND(settings.filter_bits - 1)
-
-    def one(b: Column) -> Column:
-        return F.call_function("shiftleft", _long(1), b.bitwiseAND(63).cast("int"))
-
-    asked = wanted.select(bit(F.col("place.mark"), F.col("place.line")).alias("b"))
-    lanes = asked.groupBy(F.shiftright("b", 6).alias("id")).agg(F.bit_or(one(F.col("b"))).alias("value"))
-    held = _dense(source.sparkSession, lanes, size, _long(0))
-    lines = _lines(source).withColumn("held", held.scalar()).withColumn("b", bit(F.col("mark"), F.col("line")))
-    lane = F.get("held", F.shiftright("b", 6).cast("int"))
-    lines = lines.where(lane.bitwiseAND(one(F.col("b"))) != 0).select(F.col("id").alias("lid"), F.col("mark").alias("lmark"), F.col("line").alias("lline"), "raw")
+    asked = F.xxhash64("place.mark", "place.line")
+    lines = among(_lines(source), F.xxhash64("mark", "line"), wanted, asked, settings.filter_bits)
+    lines = lines.select(F.col("id").alias("lid"), F.col("mark").alias("lmark"), F.col("line").alias("lline"), "raw")
     hit = F.col("lid").eqNullSafe(F.col("place.id")) & (F.col("lmark") == F.col("place.mark")) & (F.col("lline") == F.col("place.line"))
     found = cut(lines.join(wanted, hit).select("nid", F.array_distinct(words_of(F.col("raw"))).alias("words")))
     if found.count() > wanted.count():  # rows that repeat id and text

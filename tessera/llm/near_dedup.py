@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._components import components
+from ._marks import among
 from ._pack import pack, unpack
 from ._spark import cut, release
 from ._words import WHITE, Words, chunks, grams, mix
@@ -59,26 +60,28 @@ class Plan:
         return rng.integers(0, 2**64, self.values, dtype=_U), rng.integers(0, 2**64, self.values, dtype=_U) | _U(1)
 
 
-def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of the chunk's documents, each sorted, and their bounds.
+def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of the chunk's documents: hashes, each document's sorted, a second,
+    independent hash of each, and the bounds of the documents.
 
     Fewer than k words are one shingle, no words none."""
-    h = words.hashes()
-    g = grams(h, k)
+    h, h2 = words.hashes(), words.hashes(1)
+    g, g2 = grams(h, k), grams(h2, k)
     first = words.first.tolist()
-    out, size = [], np.zeros(len(first) - 1, np.int64)
+    out, more, size = [np.zeros(0, _U)], [np.zeros(0, _U)], np.zeros(len(first) - 1, np.int64)
     for i in range(len(size)):
         a, b = first[i], first[i + 1]
         if b - a >= k:
-            s = np.unique(g[a : b - k + 1])
+            s, at = np.unique(g[a : b - k + 1], return_index=True)
+            t = g2[a : b - k + 1][at]
         elif b > a:
-            s = grams(h[a:b], b - a, salt=1)
+            s, t = grams(h[a:b], b - a, salt=1), grams(h2[a:b], b - a, salt=1)
         else:
             continue
         out.append(s)
+        more.append(t)
         size[i] = len(s)
-    bounds = np.concatenate(([0], np.cumsum(size)))
-    return (np.concatenate(out) if out else np.zeros(0, _U)), bounds
+    return np.concatenate(out), np.concatenate(more), np.concatenate(([0], np.cumsum(size)))
 
 
 def _signatures(sets: np.ndarray, bounds: np.ndarray, plan: Plan) -> np.ndarray:
@@ -110,7 +113,7 @@ def _sketch(plan: Plan):
         for batch in batches:
             size, one, two, sign, parity = [], [], [], [], []
             for words in chunks(batch.column(1), WHITE, lower=True):
-                sets, bounds = shingle_sets(words, plan.shingle)
+                sets, second, bounds = shingle_sets(words, plan.shingle)
                 n = np.diff(bounds)
                 has = n > 0
                 a, b = np.zeros(len(n), _U), np.zeros(len(n), _U)
@@ -119,7 +122,7 @@ def _sketch(plan: Plan):
                 if has.any():
                     start = bounds[:-1][has]
                     a[has] = np.add.reduceat(mix(sets), start)
-                    b[has] = np.add.reduceat(mix(sets ^ _U(0xA5A5A5A55A5A5A5A)), start)
+                    b[has] = np.add.reduceat(mix(second), start)
                     odd = _parities(sets, n)
                     for i, s in zip(np.flatnonzero(has).tolist(), _signatures(sets, bounds, plan), strict=True):
                         signs[i] = s.tobytes()
@@ -133,25 +136,26 @@ def _sketch(plan: Plan):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(2),
                     *(pa.array(np.concatenate(x)) for x in (size, one, two)),
                     pa.array(sign, pa.binary()),
                     pa.FixedSizeListArray.from_arrays(np.concatenate(parity).ravel(), _LANES).cast(pa.list_(pa.int64())),
                 ],
-                ["id", "n", "s1", "s2", "sign", "odd"],
+                ["id", "mark", "n", "s1", "s2", "sign", "odd"],
             )
 
     return run
 
 
 def _texts(plan: Plan):
-    """(s1, s2, packed text) of each document that has shingles."""
+    """(s1, s2, packed text) of each document that has shingles, given id, text and mark."""
     sketch = _sketch(Plan(plan.shingle, plan.percent, 1, 1, 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in sketch(iter([batch])):
-                out = pa.RecordBatch.from_arrays([row.column(2), row.column(3), pack(batch.column(1))], ["s1", "s2", "z"])
-                yield out.filter(pa.array(np.asarray(row.column(1)) > 0))
+                out = pa.RecordBatch.from_arrays([row.column(3), row.column(4), pack(batch.column(1))], ["s1", "s2", "z"])
+                yield out.filter(pa.array(np.asarray(row.column(2)) > 0))
 
     return run
 
@@ -159,11 +163,11 @@ def _texts(plan: Plan):
 def _confirm(plan: Plan):
     """The links (a, b) whose full sets are similar enough."""
 
-    def sets_of(column: pa.Array) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
+    def sets_of(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        out: list[tuple[np.ndarray, np.ndarray]] = []
         for words in chunks(unpack(column), WHITE, lower=True):
-            sets, bounds = shingle_sets(words, plan.shingle)
-            out += [sets[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            sets, second, bounds = shingle_sets(words, plan.shingle)
+            out += [(sets[a:b], second[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,8 +175,9 @@ def _confirm(plan: Plan):
             for lo in range(0, whole.num_rows, 256):
                 batch = whole.slice(lo, 256)
                 ok = []
-                for x, y in zip(sets_of(batch.column(2)), sets_of(batch.column(3)), strict=True):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
+                for (x, x2), (y, y2) in zip(sets_of(batch.column(2)), sets_of(batch.column(3)), strict=True):
+                    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+                    both = int((x2[i] == y2[j]).sum())
                     ok.append(100 * both >= plan.percent * (len(x) + len(y) - both))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok))
 
@@ -201,20 +206,16 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeat id and text repeat the result.  Other columns are ignored.
     """
     spark = docs.sparkSession
-    source = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    source = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
     kind = source.schema["id"].dataType.simpleString()
-    sketch = cut(source.mapInArrow(_sketch(plan), f"id {kind}, n long, s1 long, s2 long, sign binary, odd array<long>"))
+    sketch = cut(source.mapInArrow(_sketch(plan), f"id {kind}, mark long, n long, s1 long, s2 long, sign binary, odd array<long>"))
     nodes = cut(
         sketch.where("n > 0")
         .groupBy("s1", "s2", "n")
-        .agg(F.min("id").alias("least"), F.min("sign").alias("sign"), F.first("odd").alias("odd"))
+        .agg(F.min("id").alias("least"), F.min("sign").alias("sign"), F.first("odd").alias("odd"), F.first("mark").alias("mark"))
         .withColumn("nid", F.monotonically_increasing_id())
     )
     index = _index(nodes, plan)
-    texts = (
-        source.mapInArrow(_texts(plan), "s1 long, s2 long, z binary").groupBy("s1", "s2").agg(F.first("z").alias("z"))
-    )
-
     by_hash = [F.min_by("nid", F.xxhash64("nid", F.lit(r))) for r in (1, 2)]
     heads = index.groupBy("key").agg(
         F.array_distinct(F.array(F.min("nid"), F.max("nid"), *by_hash)).alias("heads"), F.count(F.lit(1)).alias("size")
@@ -224,7 +225,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sketches = nodes.select(F.col("nid").alias("a"), "n", "odd")
     others = nodes.select(F.col("nid").alias("b"), F.col("n").alias("m"), F.col("odd").alias("odd2"))
     pairs = met.join(sketches, "a").join(others, "b").where(_sizes_allow(plan)).where(_parities_allow(plan)).select("a", "b")
-    links = _confirmed(pairs, nodes, texts, plan)
+    links = _confirmed(cut(pairs), nodes, source, plan)
     roots = cut(components(links))
     release(spark)
 
@@ -244,7 +245,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select(F.col("nid").alias("a"), F.col("nid2").alias("b"))
         .distinct()
     )
-    more = _confirmed(across, nodes, texts, plan)
+    more = _confirmed(cut(across), nodes, source, plan)
     root_of = roots.select("node", "root")
     for end in ("a", "b"):
         more = more.join(root_of, F.col(end) == F.col("node"), "left").withColumn(end, F.coalesce("root", end)).drop("node", "root")
@@ -275,14 +276,18 @@ def _sizes_allow(plan: Plan):
     return F.least("n", "m") * 100 >= F.greatest("n", "m") * plan.percent
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
-    """The pairs (a, b) whose full sets pass, as a written table (a, b)."""
-    names = nodes.select("nid", "s1", "s2")
+def _confirmed(pairs: DataFrame, nodes: DataFrame, source: DataFrame, plan: Plan) -> DataFrame:
+    """The pairs (a, b) whose full sets pass, as a written table (a, b); only their texts are fetched."""
+    if pairs.isEmpty():
+        return pairs
+    asked = pairs.select(F.col("a").alias("nid")).unionByName(pairs.select(F.col("b").alias("nid"))).distinct()
+    wanted = cut(nodes.select("nid", "s1", "s2", "mark").join(asked, "nid"))
+    picked = among(source, F.col("mark"), wanted, F.col("mark"))
+    texts = picked.mapInArrow(_texts(plan), "s1 long, s2 long, z binary").groupBy("s1", "s2").agg(F.first("z").alias("z"))
+    texts = cut(wanted.join(texts, ["s1", "s2"]).select("nid", "z"))
     near = pairs
     for end in ("a", "b"):
-        key = names.select(F.col("nid").alias(end), F.col("s1").alias(f"{end}1"), F.col("s2").alias(f"{end}2"))
-        near = near.join(key, end)
-    for end in ("a", "b"):
-        near = near.join(texts.withColumnRenamed("z", f"z{end}"), (F.col(f"{end}1") == F.col("s1")) & (F.col(f"{end}2") == F.col("s2"))).drop("s1", "s2")
-    near = near.select("a", "b", "za", "zb")
-    return cut(near.mapInArrow(_confirm(plan), "a long, b long"))
+        near = near.join(texts.select(F.col("nid").alias(end), F.col("z").alias(f"z{end}")), end)
+    found = cut(near.select("a", "b", "za", "zb").mapInArrow(_confirm(plan), "a long, b long"))
+    release(source.sparkSession)
+    return found

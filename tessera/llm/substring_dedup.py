@@ -7,7 +7,8 @@ batch becomes a sorted immutable run, is merge-joined with the runs of earlier
 batches, and runs of one level are compacted into one of the next.
 
 A fingerprint that occurs at two places only nominates the windows around it.
-They are verified by two hashes (64 and 31 bits) of all 35 words, counted over all nominated
+They are verified by two hashes (64 and 31 bits) of all 35 words, which come from
+independent hashes of each word, counted over all nominated
 windows of all documents, old and new.
 
 Documents of one word sequence are folded first: each of their windows repeats, so
@@ -18,17 +19,18 @@ once, compressed; later phases meet them where they lie.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._pack import pack, unpack
 from ._spark import cut, release
-from ._words import WHITE, Words, chunks, grams, mix, string_buffers, within
+from ._words import WHITE, Words, chunks, grams, string_buffers, within
 
 _U = np.uint64
 _POS = _U((1 << 24) - 1)
@@ -36,33 +38,66 @@ _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
 class FingerprintIndex:
-    """Sorted runs (fp, n) of fingerprint counts; ``fanout`` runs of a level merge into one of the next."""
-
-    def __init__(self, fanout: int = 2):
-        self.fanout = fanout
-        self.levels: list[list[DataFrame]] = []
+    """Sorted runs (fp, n) of fingerprint counts; ``fanout`` runs of a level merge into one of the next.
+
+    With a ``folder`` the runs are Parquet tables in it, and a log of its versions says which
+    runs are in force, so that a later session opens the index as it was after the last batch."""
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, fanout: int = 2):
+        self.spark, self.folder, self.fanout = spark, folder, fanout
+        self.levels: list[list[tuple[str, DataFrame]]] = []
+        self.version = 0
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str, fanout: int = 2) -> FingerprintIndex:
+        """The index that was saved in ``folder``."""
+        index = cls(spark, folder, fanout)
+        log = spark.read.parquet(f"{folder}/log")
+        rows = log.join(log.agg(F.max("version").alias("version")), "version").orderBy("level", "place").collect()
+        for r in rows:  # one row for each run: as many as levels times fanout
+            index._place(r["name"], spark.read.parquet(f"{folder}/{r['name']}"), r["level"])
+            index.version = r["version"]
+        return index
 
     def runs(self) -> list[DataFrame]:
-        return [run for level in self.levels for run in level]
+        return [run for level in self.levels for _, run in level]
 
     def ingest(self, fingerprints: DataFrame) -> DataFrame:
-        """Add a batch (column fp); the fingerprints (fp) of it that are repeated so far.
+        """Add a batch (column fp); the fingerprints (fp) of it that are repeated so far, written.
 
         The new run is merge-joined with every earlier run before it is added."""
-        run = cut(fingerprints.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).sortWithinPartitions("fp"))
+        name, run = self._written(fingerprints.groupBy("fp").agg(F.count(F.lit(1)).alias("n")))
         seen = [run.where("n > 1").select("fp")]
         seen += [run.select("fp").join(old.select("fp").hint("merge"), "fp", "left_semi") for old in self.runs()]
-        self._add(run, 0)
-        return reduce(DataFrame.unionByName, seen).distinct()
+        found = cut(reduce(DataFrame.unionByName, seen).distinct())
+        self._place(name, run, 0)
+        level = 0
+        while len(self.levels[level]) >= self.fanout:
+            merged = self._written(_merged([run for _, run in self.levels[level]]))
+            self.levels[level] = []
+            level += 1
+            self._place(*merged, level)
+        self._log()
+        return found
 
-    def _add(self, run: DataFrame, level: int) -> None:
+    def _place(self, name: str, run: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(run)
-        if len(self.levels[level]) >= self.fanout:
-            merged = cut(_merged(self.levels[level]).sortWithinPartitions("fp"))
-            self.levels[level] = []
-            self._add(merged, level + 1)
+        self.levels[level].append((name, run))
+
+    def _written(self, run: DataFrame) -> tuple[str, DataFrame]:
+        run, name = run.sortWithinPartitions("fp"), f"run-{uuid.uuid4().hex}"
+        if self.folder is None:
+            return name, cut(run)
+        run.write.parquet(f"{self.folder}/{name}")
+        return name, self.spark.read.parquet(f"{self.folder}/{name}")
+
+    def _log(self) -> None:
+        if self.folder is not None:
+            self.version += 1
+            rows = [(self.version, k, i, name) for k, level in enumerate(self.levels) for i, (name, _) in enumerate(level)]
+            log = self.spark.createDataFrame(rows, "version int, level int, place int, name string")
+            log.coalesce(1).write.mode("append").parquet(f"{self.folder}/log")
 
     def repeated(self) -> DataFrame:
         """All fingerprints (fp) that occur at two places or more."""
@@ -101,10 +136,10 @@ def _selected(words: Words, window: int, gram: int) -> tuple[np.ndarray, np.ndar
     return h, g, within(words.first, window, n), chosen
 
 
-def _window_hashes(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes (64 and 31 bits) of each window of word hashes."""
+def _window_hashes(words: Words, h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes (64 and 31 bits) of each window, from the two hashes of its words."""
     one = grams(h, window, salt=3)
-    two = grams(mix(h ^ _U(0x5851F42D4C957F2D)), window, salt=5)
+    two = grams(words.hashes(1), window, salt=5)
     return one.view(np.int64), (two >> _U(33)).astype(np.int32)
 
 
@@ -175,7 +210,7 @@ def _windows(window: int, gram: int):
                         a, b = int(words.first[i]), int(words.first[i + 1]) - window + 1
                         if b > a:
                             ok[a:b] &= np.isin(g[chosen[a:b]].view(np.int64), np.array(nominated[words.lo + i], np.int64))
-                    one, two = _window_hashes(h, window)
+                    one, two = _window_hashes(words, h, window)
                     at = np.flatnonzero(ok)
                     local = np.searchsorted(words.first, at, "right") - 1
                     doc = words.lo + local
@@ -212,7 +247,14 @@ def _remaining(window: int):
 
 
 def substring_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, gram: int = 12, batches: int = 2
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    window: int = 35,
+    gram: int = 12,
+    batches: int = 2,
+    index: FingerprintIndex | None = None,
+    history: DataFrame | None = None,
 ) -> DataFrame:
     """One row per input row: id, n_words, n_removed, kept_sha256.
 
@@ -221,27 +263,34 @@ def substring_dedup(
     all judged on the input; the rest is joined by single spaces.  Null, empty and
     shorter texts have no window and keep all words.  Rows that repeat a text,
     whatever their ids, are other places to each other.  Other columns are ignored.
+
+    Without an ``index`` the documents are ingested in ``batches`` parts into a new one.
+    With one, they are a further batch: ``history`` has the documents (text_col) of its
+    earlier runs, against which windows are verified; its rows get no result.
     """
     spark = docs.sparkSession
     source = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     every = cut(source.mapInArrow(_documents, f"id {kind}, n long, k1 long, k2 int, sha binary"))
+    packed = source.select("text").mapInArrow(_texts(window), "k1 long, k2 int, z binary").withColumn("fresh", F.lit(True))
+    if history is not None:
+        old = history.select(history[text_col].cast("string").alias("text")).mapInArrow(_texts(window), "k1 long, k2 int, z binary")
+        packed = packed.unionByName(old.withColumn("fresh", F.lit(False)))
     texts = cut(
-        source.select("text")
-        .mapInArrow(_texts(window), "k1 long, k2 int, z binary")
-        .groupBy("k1", "k2")
-        .agg(F.first("z").alias("z"), F.count(F.lit(1)).alias("copies")),
+        packed.groupBy("k1", "k2").agg(F.first("z").alias("z"), F.count(F.lit(1)).alias("copies"), F.max("fresh").alias("fresh")),
         dealt=True,
     )
     release(spark)
 
-    index = FingerprintIndex()
-    for b in range(batches):
-        batch = texts.where(F.pmod("k1", F.lit(batches)) == b).select("k1", "k2", "z")
-        index.ingest(batch.mapInArrow(_fingerprints(window, gram), "fp long, k1 long, k2 int").select("fp"))
+    if index is None:
+        index, parts = FingerprintIndex(spark), [texts.where(F.pmod("k1", F.lit(batches)) == b) for b in range(batches)]
+    else:
+        parts = [texts.where("fresh")]
+    prints = [p.select("k1", "k2", "z").mapInArrow(_fingerprints(window, gram), "fp long, k1 long, k2 int").select("fp") for p in parts]
+    repeats = reduce(DataFrame.unionByName, [index.ingest(p) for p in prints]).distinct()
     places = texts.select("k1", "k2", "z").mapInArrow(_fingerprints(window, gram), "fp long, k1 long, k2 int")
     nominated = cut(
-        places.join(index.repeated(), "fp").groupBy("k1", "k2").agg(F.collect_set("fp").alias("fps"))
+        places.join(repeats, "fp").groupBy("k1", "k2").agg(F.collect_set("fp").alias("fps"))
     )
     release(spark)
 

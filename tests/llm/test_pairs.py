@@ -4,9 +4,10 @@ import hashlib
 import re
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 
-from tessera.llm import line_dedup, near_dedup, substring_dedup
+from tessera.llm import _words, line_dedup, near_dedup, substring_dedup
 from tessera.llm.exact_dedup import exact_dedup
 
 from .fixtures import corpus, frame
@@ -43,8 +44,32 @@ def test_substring_dedup(spark):
     assert any(r[2] for r in got)
 
 
+def thue_morse(bits):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(1 << bits))
+
+
+@pytest.mark.parametrize("bits", [10, 11, 12])
+def test_words_that_polynomials_confuse_differ(spark, bits):
+    one = thue_morse(bits)
+    two = one.translate(str.maketrans("ab", "ba"))
+    same = " ".join(f"w{i}" for i in range(34))
+    got = substring_dedup.substring_dedup(frame(spark, [(1, f"{same} {one}"), (2, f"{same} {two}")], False)).collect()
+    assert [r.n_removed for r in got] == [0, 0]
+    near = near_dedup.near_dedup(frame(spark, [(1, one), (2, two)], False)).collect()
+    assert all(r.kept for r in near)
+
+
+def test_hashes_of_words_follow_the_whole_word():
+    text = " ".join(["a", "b", "ab", "a" * 8, "a" * 9, "a" * 16, "a" * 17, "a" * 256, "a" * 257, "a" * 999, "a" * 998 + "b", "b" + "a" * 998, "é", "\x00", "\x00\x00"])
+    words = next(_words.chunks(pa.array([text])))
+    for which in (0, 1):
+        assert len(set(words.hashes(which).tolist())) == 15
+    again = next(_words.chunks(pa.array(["x " + text])))
+    assert again.hashes()[1:].tolist() == words.hashes().tolist()
+
+
 def test_index_finds_repeats_across_batches_and_compacts(spark):
-    index = substring_dedup.FingerprintIndex(fanout=2)
+    index = substring_dedup.FingerprintIndex(spark, fanout=2)
     batch = lambda *v: spark.createDataFrame([(x,) for x in v], "fp long")
     assert [r.fp for r in index.ingest(batch(1, 2, 2, 3)).collect()] == [2]
     assert sorted(r.fp for r in index.ingest(batch(3, 4)).collect()) == [3]
@@ -53,6 +78,20 @@ def test_index_finds_repeats_across_batches_and_compacts(spark):
     assert sorted(r.fp for r in index.repeated().collect()) == [1, 2, 3, 4]
 
 
+def test_a_second_batch_is_held_against_a_stored_first_one(spark, tmp_path):
+    rows = corpus(seed=12)
+    first, second = rows[::2], rows[1::2]
+    folder = str(tmp_path / "index")
+    substring_dedup.substring_dedup(frame(spark, first), index=substring_dedup.FingerprintIndex(spark, folder)).collect()
+    index = substring_dedup.FingerprintIndex.open(spark, folder)
+    got = substring_dedup.substring_dedup(frame(spark, second), index=index, history=frame(spark, first)).collect()
+    ids = {d for d, _ in second}
+    assert sorted(map(tuple, got)) == [r for r in brute_windows(rows) if r[0] in ids]
+    assert sum(r.n_removed for r in got) > sum(r[2] for r in brute_windows(second))
+    third = substring_dedup.FingerprintIndex.open(spark, folder)
+    assert third.version == 2 and [len(level) for level in third.levels] == [0, 1]
+
+
 def test_exact_dedup(spark):
     rows = corpus() + [(1, "twice"), (1, "twice"), (None, "twice"), (2, "a\tb"), (9, "a  b"), (8, " a b")]
     got = sorted(map(tuple, exact_dedup(frame(spark, rows), bits=1).collect()), key=str)
