@@ -2,12 +2,14 @@
 
 An item is contained in a document if at least ``percent`` of its distinct word
 shingles occur there.  Banded MinHash cannot find that in long documents (an item
-of 40 words inside 20,000 has Jaccard similarity 0.002), so each item keeps the
-sketch that its size calls for: its ``q - need + 1`` least shingle hashes, a
-bottom-k MinHash.  A document with ``need`` of the item's q shingles has at least
-one of those, so the search misses nothing.  Items are partitioned by size class;
-a class is only asked of documents large enough to contain its smallest item.
-Candidates are verified at once on the full shingle set of document and item.
+of 40 words inside 20,000 has Jaccard similarity 0.002), so each item keeps a
+bottom-k MinHash sketch of the size that its own size calls for, and the share of
+the sketch that a document holds is an estimate of the item's containment.  Of an
+item's q shingles a document that contains it lacks at most ``q - need``; so with a
+sketch of ``2 (q - need) + 1`` values, at least half of them are hit, and asking for
+that many misses nothing.  Items are partitioned by size; a partition is only asked
+of documents with enough shingles to contain its smallest item.
+Candidates are verified at once on the full shingle sets of document and item.
 
 Items come to the executors in blocks of bounded size, each by one pass over the
 documents; documents are never shuffled.
@@ -32,11 +34,23 @@ _FILTER_BITS = 20
 
 @dataclass
 class SizeClass:
-    """Sketches of the items of one size class: sorted hashes, and whose they are."""
+    """Sketches of the items of one size class: sorted hashes, whose they are, and how many
+    of an item's must be hit; ``least``: shingles of the smallest document that can contain one."""
 
     least: int
     probes: np.ndarray
     owner: np.ndarray
+    members: np.ndarray
+    hits: np.ndarray
+
+    def likely(self, hashes: np.ndarray) -> list[int]:
+        """Items of which enough of the sketch is among the distinct hashes of one document."""
+        lo, hi = np.searchsorted(self.probes, hashes), np.searchsorted(self.probes, hashes, "right")
+        hit = np.flatnonzero(hi > lo)
+        if not len(hit):
+            return []
+        found = np.bincount(np.concatenate([self.owner[a:b] for a, b in zip(lo[hit].tolist(), hi[hit].tolist(), strict=True)]), minlength=len(self.members))
+        return self.members[found >= self.hits].tolist()
 
 
 class Items:
@@ -55,36 +69,32 @@ class Items:
                 by_class.setdefault(q.bit_length(), []).append(i)
         self.classes = []
         self.seen = np.zeros(1 << _FILTER_BITS, bool)
-        for members in by_class.values():
-            sketch = [np.sort(self.sets[i])[: size[i] - self.need[i] + 1] for i in members]
+        for _, group in sorted(by_class.items()):
+            members = np.array(group, np.int64)
+            spare = size[members] - self.need[members]
+            length = np.minimum(size[members], 2 * spare + 1)
+            sketch = [np.sort(self.sets[i])[:m] for i, m in zip(group, length.tolist(), strict=True)]
             probes = np.concatenate(sketch)
-            owner = np.repeat(members, [len(s) for s in sketch])
+            owner = np.repeat(np.arange(len(group)), length)
             order = np.argsort(probes, kind="stable")
-            self.classes.append(SizeClass(int(self.need[members].min()), probes[order], owner[order]))
+            self.classes.append(SizeClass(int(self.need[members].min()), probes[order], owner[order], members, length - spare))
             self.seen[(probes >> _U(64 - _FILTER_BITS)).astype(np.int64)] = True
 
-    def candidates(self, hashes: np.ndarray) -> list[int]:
-        """Items with a sketch value among the hashes of one document."""
-        out: set[int] = set()
-        for c in self.classes:
-            if len(hashes) >= 1:
-                lo, hi = np.searchsorted(c.probes, hashes), np.searchsorted(c.probes, hashes, "right")
-                for a, b in zip(lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-                    out.update(c.owner[a:b].tolist())
-        return sorted(out)
+    def fitting(self, size: int) -> list[SizeClass]:
+        """The size classes that have an item which a document of so many shingles can contain."""
+        return [c for c in self.classes if size >= c.least]
 
     def contained(self, hits: np.ndarray, whole: np.ndarray) -> list[tuple[int, int]]:
         """(item, common shingles) of the items contained in a document.
 
         hits: its shingles that pass the filter; whole: all its distinct shingles."""
         out = []
-        large = [c for c in self.classes if len(whole) >= c.least]
-        if large:
-            for i in self.candidates(hits):
+        for c in self.fitting(len(whole)):
+            for i in c.likely(hits):
                 both = len(np.intersect1d(self.sets[i], whole, assume_unique=True))
                 if both >= self.need[i]:
                     out.append((i, both))
-        return out
+        return sorted(out)
 
 
 def document_sets(words: Words, k: int) -> Iterator[np.ndarray]:

@@ -6,7 +6,7 @@ and keeps the Shannon entropy of the window up to date by incremental counts.
 Runs of one case and digits must change between letters and digits three times;
 runs of 12 to 19 characters, without a sign beside them, have windows of 12.
 Windows at or above the class's threshold merge into spans of kind ``entropy``,
-unless an allow-list pattern covers them.  Scanning is one pass per text without
+unless a URL or an allow-list pattern covers them.  Scanning is one pass per text without
 a shuffle; it runs in Arrow-fed Python because offsets are in code points.
 """
 
@@ -14,8 +14,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -63,13 +65,32 @@ CLASSES = (
     CharClass("short upper", _short("A-Z0-9"), (_UPPER,), 12, 3.0),
     CharClass("short mixed", _short("A-Za-z0-9"), (r"[0-9]", r"[A-Z]", r"[a-z]"), 12, 3.25),
 )
-#: What is never reported by entropy: UUIDs, and anything inside a URL.
-ALLOW = (r"\b[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\b", r"[a-z][a-z0-9+.-]*://[^\s\"'<>]+")
+#: What is never reported by entropy, beside anything inside a URL: UUIDs.
+ALLOW = (r"\b[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\b",)
+_REST_OF_URL = re.compile(r"[^\s\"'<>]+")
+_SCHEME = frozenset("abcdefghijklmnopqrstuvwxyz0123456789+.-")
 
 _CANDIDATE_BYTE = np.zeros(256, bool)
 _CANDIDATE_BYTE[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"]] = True
 
 
+def url_spans(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of each URL: a lower-case letter, scheme characters, ://, and what follows up to
+    white space, a quote or an angle bracket.  Time is linear: schemes are read back from the ://."""
+    done, at = 0, text.find("://")
+    while at >= 0:
+        start = at
+        while start > done and text[start - 1] in _SCHEME:
+            start -= 1
+        while start < at and not "a" <= text[start] <= "z":
+            start += 1
+        rest = _REST_OF_URL.match(text, at + 3) if start < at else None
+        if rest:
+            yield start, rest.end()
+        done = rest.end() if rest else at + 3
+        at = text.find("://", done)
+
+
 def random_windows(s: str, window: int, bits: float) -> Iterator[tuple[int, int]]:
     """Merged (start, end) of the windows of ``s`` with at least ``bits`` of entropy a character."""
     cost = [0.0, *(c * math.log2(c) for c in range(1, window + 2))]  # a window has one more while it moves
@@ -121,10 +142,12 @@ class Scanner:
                         spans.append((m.start() + a, m.start() + b))
         if not spans:
             return []
-        allowed = [m.span() for p in self.allow for m in p.finditer(text)]
+        allowed = sorted([*url_spans(text), *(m.span() for p in self.allow for m in p.finditer(text))])
+        starts, reach = [x for x, _ in allowed], list(accumulate((y for _, y in allowed), max))
         merged: list[list[int]] = []
         for a, b in sorted(spans):
-            if any(x <= a and b <= y for x, y in allowed):
+            k = bisect_right(starts, a)
+            if k and reach[k - 1] >= b:  # some allowed span begins no later and ends no earlier
                 continue
             if merged and a <= merged[-1][1]:
                 merged[-1][1] = max(merged[-1][1], b)

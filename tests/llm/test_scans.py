@@ -2,8 +2,10 @@
 
 import random
 import re
+import time
 from itertools import product
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -62,6 +64,25 @@ def test_words_with_numbers_are_not_random():
         assert secrets.Scanner().scan(text)[1] == [], text
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text("ab1+:/ <Z", max_size=24).map(lambda t: t.replace("::", "://")))
+def test_urls_of_the_allow_list_are_those_of_the_pattern(text):
+    assert list(secrets.url_spans(text)) == [m.span() for m in re.finditer(r"[a-z][a-z0-9+.-]*://[^\s\"'<>]+", text)]
+
+
+def test_long_texts_take_linear_time():
+    key = "aZ3kQ9vLx2Wm8Rt5Yp7Nc4Hb6Jd1"
+    for text in ("a" * 1_000_000, "ab1." * 250_000, "https://x.y/" + "a" * 1_000_000, "u://a " * 150_000, f"{key} " * 30_000):
+        began = time.perf_counter()
+        _, spans = secrets.Scanner().scan(f"{text} {key}")
+        assert spans[-1] == (len(text) + 1, 3, len(text) + 1 + len(key))
+        assert time.perf_counter() - began < 20
+
+
+def test_secrets_of_an_empty_table(spark):
+    assert secrets.scan_secrets(frame(spark, [], False).limit(0)).collect() == []
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text("abcd01", max_size=60), st.integers(2, 8))
 def test_incremental_entropy_equals_counting(s, window):
@@ -179,6 +200,35 @@ def test_contained_items(spark, block):
     assert flags.where("contaminated").count() == sum(bool(x) for _, x in rows)
 
 
+def test_small_documents_never_ask_large_classes():
+    rng = random.Random(5)
+    items = decontaminate.Items(list(range(8)), [prose(rng, n) for n in (6, 9, 12, 30, 60, 100, 300, 700)], 5, 80)
+    assert [c.least for c in items.classes] == sorted(c.least for c in items.classes) and len(items.classes) >= 5
+    for size in (1, 2, 8, 30, 100, 700):
+        assert all(c.least <= size for c in items.fitting(size))
+    assert not items.fitting(1) and len(items.fitting(700)) == len(items.classes) > len(items.fitting(30))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 120), st.integers(0, 10**6))
+def test_sketches_miss_no_contained_item(n, seed):
+    rng = random.Random(seed)
+    items = decontaminate.Items([0], [prose(rng, n + 4)], 5, 80)
+    (whole,), q = items.sets, len(items.sets[0])
+    have = np.array(sorted(rng.sample(whole.tolist(), -(-q * 80 // 100))), np.uint64)
+    assert items.contained(have, have) == [(0, len(have))]
+    if len(have) > 1:
+        assert items.contained(have[1:], have[1:]) == []
+
+
+def test_repeated_item_ids_give_a_hit_for_each_row(spark):
+    rng = random.Random(3)
+    one, two = prose(rng, 30), prose(rng, 30)
+    items = spark.createDataFrame([(1, one), (1, one), (1, two), (2, two)], "item_id long, text string")
+    got = decontaminate.contained_items(frame(spark, [(1, f"{one} {prose(rng, 40)}"), (2, two), (2, two)]), items).collect()
+    assert sorted((r.doc_id, [h.item for h in r.hits]) for r in got) == [(1, [1, 1]), (2, [1, 2]), (2, [1, 2])]
+
+
 def test_no_items(spark):
     docs = frame(spark, corpus()[:4])
     none = spark.createDataFrame([], "item_id long, text string")
