@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 #: Elements whose contents are never text, and such as hold raw text up to their end tag.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "noembed", "noframes", "xmp", "template"}
-DROPPED = RAW | {"head", "svg", "math", "select", "button", "object", "canvas", "audio", "video", "datalist"}
+DROPPED = RAW | {"head", "svg", "select", "object", "canvas", "audio", "video", "datalist"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = set(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure "
@@ -41,6 +41,8 @@ LISTS = {"ul", "ol", "dl", "menu", "table"}
 
 BOILER_TAGS = {"nav": 8.0, "header": 5.0, "footer": 9.0, "aside": 8.0, "form": 9.0, "menu": 8.0, "dialog": 9.0,
                "fieldset": 9.0, "legend": 9.0, "label": 3.0, "address": 2.0}
+#: Ties of neighbours in page order (over 1 + their distance), and of siblings of one tag and class or of others.
+NEIGHBOUR, ALIKE, UNLIKE = 0.8, 2.0, 0.5
 CONTENT_TAGS = {"article": 4.0, "main": 3.0}
 _BOILER_NAME = re.compile(
     r"(?:^|[^a-z])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|header|masthead|footer|foot|"
@@ -49,6 +51,8 @@ _BOILER_NAME = re.compile(
     r"related\w*|recommend\w*|breadcrumb\w*|pagination|pager|toolbar|copyright|legal|disclaimer|search\w*|form|"
     r"skip\w*|tags?|outbrain|taboola)(?:$|[^a-z])"
 )
+#: Names that an article's own parts may have too.
+_DOUBTFUL_NAME = re.compile(r"(?:^|[^a-z])(?:legal|disclaimer|copyright|foot|header|tags?|form|search\w*|reply|replies|discussion)(?:$|[^a-z])")
 _CONTENT_NAME = re.compile(
     r"(?:^|[^a-z])(?:article\w*|content|main|post|entry|story\w*|body|text|page-content|post-content|prose)(?:$|[^a-z])"
 )
@@ -57,11 +61,11 @@ _ROLES = {"navigation": 8.0, "banner": 6.0, "contentinfo": 9.0, "complementary":
 
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"(?=[\s/>]|\Z)|'[^']*'(?=[\s/>]|\Z))*)(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)"  # a quote that is not closed ends with the tag
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S,
 )
-_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 
 
@@ -70,6 +74,7 @@ class Node:
     """An open element: its bias towards boilerplate (+) or content (-), and whether its text is dropped."""
 
     tag: str
+    look: str
     number: int
     depth: int
     bias: float
@@ -98,7 +103,9 @@ def _bias(tag: str, attributes: str, inside: bool) -> tuple[float, bool]:
         for m in _NAMES.finditer(attributes):
             name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
             if name in ("class", "id"):
-                if _BOILER_NAME.search(value):
+                if inside and _DOUBTFUL_NAME.search(value) and not _BOILER_NAME.search(_DOUBTFUL_NAME.sub(" ", value)):
+                    score += 3.0
+                elif _BOILER_NAME.search(value):
                     score += 8.0 if tag not in ("body", "html") else 0.0
                 elif _CONTENT_NAME.search(value):
                     score -= 2.0
@@ -113,7 +120,7 @@ def _bias(tag: str, attributes: str, inside: bool) -> tuple[float, bool]:
 
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page in page order."""
-    root = Node("", 0, 0, 0.0, False, None)
+    root = Node("", "", 0, 0, 0.0, False, None)
     top, count = root, 0
     out: list[Block] = []
     parts: list[str] = []
@@ -140,15 +147,13 @@ def blocks_of(page: str) -> list[Block]:
         if m is None:
             add(page[at:])
             break
-        if m.end() == n and page[-1] != ">" and m[2] and ("\"" in m[0] or "'" in m[0]):
-            loose = _LOOSE.match(page, m.start())  # an unclosed quote must not swallow the rest
-            m = loose or m
         add(page[at : m.start()])
         at = m.end()
-        tag = (m[2] or "").lower()
+        ends, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if not tag:
             continue
-        if m[1]:
+        tag = tag.lower()
+        if ends:
             if tag == "a":
                 linked = max(0, linked - 1)
             if tag == "p" or tag in BLOCK:
@@ -178,10 +183,11 @@ def blocks_of(page: str) -> list[Block]:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        bias, hidden = _bias(tag, m[3], top.inside)
+        bias, hidden = _bias(tag, attributes, top.inside)
+        hidden |= tag == "button" and not _in_p(top)
         count += 1
         top = Node(
-            tag, count, top.depth + 1, top.bias + bias, top.dropped or hidden or tag in DROPPED, top,
+            tag, attributes.strip(), count, top.depth + 1, top.bias + bias, top.dropped or hidden or tag in DROPPED, top,
             top.inside or tag in CONTENT_TAGS,
         )
         if tag == "a":
@@ -225,10 +231,11 @@ def ties(blocks: Sequence[Block]) -> list[tuple[int, int, float]]:
     for i, b in enumerate(blocks):
         home = b.node.parent if b.node.parent is not None else b.node
         if i:
-            edges.append((i - 1, i, 0.8 / (1 + _distance(blocks[i - 1].node, b.node))))
+            edges.append((i - 1, i, NEIGHBOUR / (1 + _distance(blocks[i - 1].node, b.node))))
         j = last.get(home.number)
         if j is not None:
-            edges.append((j, i, 1.0))
+            a = blocks[j].node
+            edges.append((j, i, ALIKE if (a.tag, a.look) == (b.node.tag, b.node.look) else UNLIKE))
         last[home.number] = i
     return edges
 

@@ -168,6 +168,65 @@ def test_minimum_cut_is_least(data):
     assert total(html_text.minimum_cut([float(c) for c in costs], [(i, j, float(w)) for i, j, w in edges])) == pytest.approx(best)
 
 
+LONG = "This sentence of a paragraph is long enough to count as a part of the text of an article, with commas."
+CUTS = {
+    "short lines among paragraphs": (
+        f"<body><div><p>{LONG}</p><p>Why not</p><p>{LONG}</p><p>{LONG}</p></div></body>",
+        [LONG, "Why not", LONG, LONG],
+    ),
+    "a long item of a list of links": (
+        "<body><div>" + f"<p>{LONG}</p>" * 3 + "</div><ul>" + "".join(f"<li><a href=/{i}>More of part {i}</a></li>" for i in range(3))
+        + "<li>One item without any link, of middle length.</li>" + "".join(f"<li><a href=/{i}>More of part {i}</a></li>" for i in range(3, 6)) + "</ul></body>",
+        [LONG] * 3,
+    ),
+}
+
+
+@pytest.mark.parametrize("name", CUTS)
+def test_the_cut_decides_where_the_classifier_alone_errs(name):
+    page, want = CUTS[name]
+    blocks = html_text.blocks_of(page)
+    alone = [b.text for b, c in zip(blocks, html_text.classify(blocks), strict=True) if c < 0]
+    assert alone != want
+    assert html_text.main_text(page).split("\n") == want
+
+
+ELEMENTS = [f"<p>{LONG}</p>", "<p>Short</p>", "<p class=ad>Buy this now and pay later.</p>", "<ul><li><a href=/>Home</a><li>Item of text.</ul>", f"<div><p>{LONG[:60]}</p><h2>Head</h2></div>", "<nav><a href=/>x</a></nav>", f"<article><p>{LONG}</p><p>Yes</p></article>"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(ELEMENTS), max_size=6))
+def test_labels_of_pages_are_of_least_cost(parts):
+    page = "<body>" + "".join(parts) + "</body>"
+    blocks = html_text.blocks_of(page)
+    costs, edges = html_text.classify(blocks), html_text.ties(blocks)
+
+    def total(label):
+        own = sum(max(c, 0) if x else max(-c, 0) for c, x in zip(costs, label, strict=True))
+        return own + sum(w for i, j, w in edges if label[i] != label[j])
+
+    best = min((total(x) for x in product((False, True), repeat=len(blocks))), default=0)
+    label = html_text.minimum_cut(costs, edges)
+    assert total(label) == pytest.approx(best)
+    assert html_text.main_text(page) == "\n".join(b.text for b, x in zip(blocks, label, strict=True) if x)
+
+
+def test_article_content_stays_and_markup_goes():
+    inside = f"<p>{LONG} Press the <button>Save</button> key, then <math><mi>x</mi></math> is set.</p><button>Share</button><div class=legal><p>{LONG * 3}</p></div>"
+    text = html_text.main_text(f"<body><nav>Menu</nav><article>{inside}</article></body>")
+    assert text == f"{LONG} Press the Save key, then x is set.\n{LONG * 3}"
+    for quote in ('<p class="y>', "<p class='y>", '<p class="y>and <a href="z">', '<p title="a > b">'):
+        got = html_text.main_text(f"<article><p>{LONG}</p>{quote}Hello world, this is text.</article>")
+        assert got.startswith(LONG + "\n") and got.endswith("Hello world, this is text.") and "<" not in got and "class" not in got
+
+
+def test_pages_of_an_empty_table_repeated_rows_and_a_long_page(spark):
+    assert html_text.extract_text(spark.createDataFrame([], "page_id long, html string")).collect() == []
+    page = "<article>" + f"<p>{LONG}</p>" * 3000 + "</article>"
+    got = html_text.extract_text(spark.createDataFrame([(1, page), (1, page)], "page_id long, html string")).collect()
+    assert [r.text.count("\n") for r in got] == [2999, 2999]
+
+
 def test_extract_text(spark):
     pages = spark.createDataFrame([(1, PAGE, "old"), (2, None, "old")], "page_id long, html string, text string")
     got = {r.page_id: r.text for r in html_text.extract_text(pages).collect()}
