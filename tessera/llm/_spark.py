@@ -41,6 +41,12 @@ def cut(df: DataFrame, dealt: bool = False) -> DataFrame:
         spark.conf.set(name, before)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a written table, in whatever store its path names."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished phases that nothing refers to any more.
 
