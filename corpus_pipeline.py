@@ -13,15 +13,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._spark import cut, shared_folder
+from tessera.llm._spark import cut, remove, shared_folder
 from tessera.llm.decontaminate import contained_items
 from tessera.llm.line_dedup import removed_lines, without_lines
-from tessera.llm.near_dedup import near_dedup
+from tessera.llm.near_dedup import Plan, near_dedup
 from tessera.llm.packing import pack_documents
 from tessera.llm.queries import TOXIC_AT, not_held_out, table
 from tessera.llm.toxicity import score_toxicity
 
 
+#: Five words and 0.8; sets that similar miss all chunks of the index with probability 9e-5.
+NEAR = Plan(shingle=5, percent=80)
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that score below the threshold; the model learns from the labels of the input table."""
     source = table(spark, folder, "documents").select("doc_id", "text")
@@ -60,7 +64,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, folder: str) -> Data
 
     Null ids are the largest; of rows that share an id the one of the smallest hash of
     its text stays, and of rows that share id and text any one.  Rows without words all stay."""
-    groups = near_dedup(_placed(docs), id_col="place").where("n_shingles > 0")
+    groups = near_dedup(_placed(docs), id_col="place", plan=NEAR).where("n_shingles > 0")
     decided = groups.groupBy("place").agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     decided = cut(decided.where("not kept or n > 1"))
     left, twice = _at(docs, decided, "left_anti"), decided.where("kept")
@@ -93,10 +97,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, folder: str) -> DataFrame:
-    """All stages on ``documents``; each result but the last is written to the shared folder."""
+    """All stages on ``documents``; each result but the last is written to the shared folder.
+
+    A table goes when the next one is written; the last one stays, for the result reads it."""
     docs = table(spark, folder, "documents")
     home = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, folder).write.parquet(f"{home}/{i}")
         docs = spark.read.parquet(f"{home}/{i}")
+        if i:
+            remove(spark, f"{home}/{i - 1}")
     return STAGES[-1][1](spark, docs, folder)
