@@ -46,7 +46,7 @@ def test_stages(spark, folder):
                 assert after[d].text == (t and "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]))
                 assert t is None or after[d].n_chars == len(after[d].text)
         elif name == "near dedup":
-            assert sorted(after) == sorted(r[0] for r in brute_near(before) if r[3])
+            assert sorted(after) == sorted(r[0] for r in brute_near(before, k=5, percent=80) if r[3])
         else:
             assert sorted(after) == [d for d, hits in brute_contained(before, items) if not hits]
         docs = spark.createDataFrame(list(after.values()), docs.schema)
