@@ -287,7 +287,8 @@ def substring_dedup(
     else:
         parts = [texts.where("fresh")]
     prints = [p.select("k1", "k2", "z").mapInArrow(_fingerprints(window, gram), "fp long, k1 long, k2 int").select("fp") for p in parts]
-    repeats = reduce(DataFrame.unionByName, [index.ingest(p) for p in prints]).distinct()
+    # written, so that both sides of the join below are plain shuffles and a common fingerprint can be split
+    repeats = cut(reduce(DataFrame.unionByName, [index.ingest(p) for p in prints]).distinct())
     places = texts.select("k1", "k2", "z").mapInArrow(_fingerprints(window, gram), "fp long, k1 long, k2 int")
     nominated = cut(
         places.join(repeats, "fp").groupBy("k1", "k2").agg(F.collect_set("fp").alias("fps"))
