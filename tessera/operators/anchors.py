@@ -38,7 +38,9 @@ def agreed(pairs: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def by_literals(source: DataFrame, target: DataFrame, confidence: float = 0.90) -> DataFrame:
-    """Pairs that share literals (id, literal) unique on each side, all of which agree both ways."""
+    """Pairs that share literals (id, literal) unique on each side, all of which agree both ways.
+
+    Whether the sizes of a pair may belong together is judged afterwards (``voting.plausible_only``)."""
     s = unique_index(source, "literal").withColumnRenamed("id", "source_id")
     t = unique_index(target, "literal").withColumnRenamed("id", "target_id")
     links = s.join(t, "literal").select("source_id", "target_id")

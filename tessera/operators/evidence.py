@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import THRESHOLDS as T
+from .intervals import owners_at
 
 
 def judged_edges(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -29,30 +30,33 @@ def judged_edges(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def placed_helpers(rows: DataFrame, keys: Sequence[str], padding: int = T.padding) -> DataFrame:
-    """Rows without a unit whose neighbours place them: interior, head or tail of a unit.
-
-    Interior: both neighbours are one unit's and within the padding.  Head or tail: one
-    neighbour is a unit's, and the other an independent member of another or nothing."""
+    """Rows without a unit and the units whose interior, head or tail their neighbours make them.
+
+    rows: (keys, start, end, unit, independent, ambiguous, source, first, last); ``source`` is the
+    place of the matched source row, first and last say whether it is its unit's outermost.
+    A neighbour within the padding and not ambiguous is a member of its unit; it bounds other
+    units if it is independent and outermost on the side that faces the helper, as the end of the
+    group does.  Interior: both neighbours are members, in source order.  Head or tail: one is a
+    member and outermost on that side, and the other bounds."""
     line = Window.partitionBy(*keys).orderBy("start", "end")
-    rows = rows.withColumns(
-        {
-            "before": F.lag("unit").over(line), "after": F.lead("unit").over(line),
-            "before_sure": F.lag("independent").over(line), "after_sure": F.lead("independent").over(line),
-            "first": F.lag("start").over(line).isNull(), "last": F.lead("start").over(line).isNull(),
-            "near_before": (F.col("start") - F.lag("end").over(line)).between(0, padding),
-            "near_after": (F.lead("start").over(line) - F.col("end")).between(0, padding),
-        }
-    )
-    free = lambda unit, sure, end: F.col(end) | (F.col(unit).isNotNull() & F.coalesce(F.col(sure), F.lit(False)))
-    near = lambda c: F.coalesce(F.col(c), F.lit(False))
-    place = (
-        F.when((F.col("before") == F.col("after")) & near("near_before") & near("near_after"), "interior")
-        .when(near("near_after") & F.col("after").isNotNull() & free("before", "before_sure", "first") & ~F.col("before").eqNullSafe(F.col("after")), "head")
-        .when(near("near_before") & F.col("before").isNotNull() & free("after", "after_sure", "last") & ~F.col("before").eqNullSafe(F.col("after")), "tail")
-    )
-    owner = F.when(place == "head", F.col("after")).otherwise(F.col("before"))
-    out = rows.where("unit is null").withColumn("placement", place).where("placement is not null")
-    return out.select(*keys, "start", "end", "placement", owner.alias("owner"))
+    beside = {}
+    for side, move in (("before", F.lag), ("after", F.lead)):
+        gap = F.col("start") - F.lag("end").over(line) if side == "before" else F.lead("start").over(line) - F.col("end")
+        beside |= {f"{side}_{c}": move(c).over(line) for c in ("unit", "independent", "ambiguous", "source")}
+        beside[f"{side}_outer"] = move("last" if side == "before" else "first").over(line)
+        beside[f"{side}_end"] = move("start").over(line).isNull()
+        beside[f"{side}_near"] = F.coalesce(gap <= padding, F.lit(False))
+    rows = rows.withColumns(beside).where("unit is null")
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    member = {s: F.col(f"{s}_unit").isNotNull() & F.col(f"{s}_near") & ~flag(f"{s}_ambiguous") for s in ("before", "after")}
+    bounds = {s: F.col(f"{s}_end") | (member[s] & flag(f"{s}_independent") & flag(f"{s}_outer")) for s in ("before", "after")}
+    differ = ~F.col("before_unit").eqNullSafe(F.col("after_unit"))
+    inside = member["before"] & member["after"] & (F.col("before_unit") == F.col("after_unit")) & (F.col("before_source") < F.col("after_source"))
+    tail = member["before"] & flag("before_outer") & bounds["after"] & differ
+    head = member["after"] & flag("after_outer") & bounds["before"] & differ
+    one = lambda when, name, unit: F.when(when, F.struct(F.lit(name).alias("placement"), F.col(unit).alias("owner")))
+    found = F.array_compact(F.array(one(inside, "interior", "before_unit"), one(tail, "tail", "before_unit"), one(head, "head", "after_unit")))
+    return rows.select(*keys, "start", "end", F.explode(found).alias("x")).select(*keys, "start", "end", "x.placement", "x.owner")
 
 
 def complete_sequences(matches: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
@@ -81,15 +85,16 @@ def identified(rows: DataFrame) -> DataFrame:
     )
 
 
-def name_support(ranges: DataFrame, names: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per unit: names inside its ranges, those that it defines itself, and whether that permits a claim.
+def name_support(ranges: DataFrame, names: DataFrame, strong: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per unit: its strong functions, those named inside its ranges, all names there, and whether that permits a claim.
 
-    ranges: (keys, unit, start, end), disjoint; names: (keys, at, owner).  Permitted: two
-    named or more, and half of them its own."""
-    at = names.join(ranges, list(keys)).where("start <= at and at < end")
-    own = F.sum((F.col("owner") == F.col("unit")).cast("long")).alias("own")
-    out = at.groupBy("unit").agg(F.count(F.lit(1)).alias("named"), own)
-    return out.withColumn("permits", (F.col("named") >= 2) & (2 * F.col("own") >= F.col("named")))
+    ranges: (keys, unit, start, end), disjoint; names: (keys, id, at, named) with the unit whose
+    strong function it is; strong: (unit, strong).  Permitted: two members or more, at least
+    half of the unit's strong functions, and at most twice as many names as it has of them."""
+    at = owners_at(names, ranges, keys).where("owner is not null").select(F.col("owner").alias("unit"), "named")
+    counts = at.groupBy("unit").agg(F.count(F.lit(1)).alias("span"), F.sum((F.col("named") == F.col("unit")).cast("long")).alias("members"))
+    out = strong.join(counts, "unit", "left").select("unit", "strong", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("members", "span")))
+    return out.withColumn("permits", F.expr("members >= 2 and 2 * members >= strong and span <= 2 * strong"))
 
 
 def shifted(ranges: DataFrame, anchors: DataFrame, keys: Sequence[str]) -> DataFrame:

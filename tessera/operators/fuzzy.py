@@ -9,19 +9,23 @@ from ..schema import THRESHOLDS as T
 
 
 def shared_shingles(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs with at least one shingle in common: (a_id, b_id, common, a_n, b_n).
+    """Pairs with at least one shingle in common: (a_id, b_id, common, a_n, b_n, a_length, b_length).
 
-    a, b: (id, shingle), distinct.  The join is on the shingle; sizes join as counts."""
-    na = a.groupBy("id").agg(F.count(F.lit(1)).alias("a_n")).withColumnRenamed("id", "a_id")
-    nb = b.groupBy("id").agg(F.count(F.lit(1)).alias("b_n")).withColumnRenamed("id", "b_id")
-    hit = a.withColumnRenamed("id", "a_id").join(b.withColumnRenamed("id", "b_id"), "shingle")
+    a, b: (id, shingle, length), distinct; length is that of the token list.  The join is on
+    the shingle; numbers of shingles and lengths join as counts."""
+
+    def named(rows: DataFrame, side: str) -> DataFrame:
+        counts = rows.groupBy("id").agg(F.count(F.lit(1)).alias(f"{side}_n"), F.max("length").alias(f"{side}_length"))
+        return counts.withColumnRenamed("id", f"{side}_id")
+
+    hit = a.select(F.col("id").alias("a_id"), "shingle").join(b.select(F.col("id").alias("b_id"), "shingle"), "shingle")
     common = hit.groupBy("a_id", "b_id").agg(F.count(F.lit(1)).alias("common"))
-    return common.join(na, "a_id").join(nb, "b_id")
+    return common.join(named(a, "a"), "a_id").join(named(b, "b"), "b_id")
 
 
 def scored(pairs: DataFrame) -> DataFrame:
-    """Pairs within the length band, with their Jaccard similarity."""
-    band = (F.col("b_n") / F.col("a_n")).between(T.length_low, T.length_high)
+    """Pairs of source (a) and target (b) within the band of lengths, source over target, with their Jaccard similarity."""
+    band = (F.col("a_length") / F.col("b_length")).between(T.length_low, T.length_high)
     similarity = F.col("common") / (F.col("a_n") + F.col("b_n") - F.col("common"))
     return pairs.where(band).withColumn("similarity", F.round(similarity, 6))
 
@@ -37,10 +41,10 @@ def best_and_next(rows: DataFrame, key: str, candidate: str, score: str) -> Data
 
 
 def with_lead(pairs: DataFrame) -> DataFrame:
-    """The best partner of each a_id that is similar enough, leads enough and is wanted by no other."""
-    best = best_and_next(pairs, "a_id", "b_id", "similarity").where((F.col("similarity") >= T.similarity) & (F.col("margin") >= T.lead))
-    once = best.groupBy("b_id").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("b_id")
-    return best.join(once, "b_id", "left_semi")
+    """The best source (a_id) of each target (b_id) that is similar enough, leads enough and is wanted by no other."""
+    best = best_and_next(pairs, "b_id", "a_id", "similarity").where((F.col("similarity") >= T.similarity) & (F.col("margin") >= T.lead))
+    once = best.groupBy("a_id").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("a_id")
+    return best.join(once, "a_id", "left_semi")
 
 
 def decided(best: DataFrame) -> DataFrame:

@@ -27,17 +27,28 @@ def unit_runs(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Dat
 def bridged_runs(rows: DataFrame, keys: Sequence[str], order: Sequence[str], budget: int = T.bridge) -> DataFrame:
     """Runs in which rows without a unit are bridged.
 
-    A stretch of such rows is bridged if the same unit resumes behind it and the
-    rows' sizes sum to at most the budget; other rows without a unit stand alone."""
-    runs = number_runs(rows, keys, order).groupBy(*keys, "run", "unit").agg(
-        F.count(F.lit(1)).alias("members"), F.sum("size").alias("bytes"), F.min("at").alias("start"), F.max("at").alias("end")
+    rows also have ``candidate`` (a unit that weak evidence names) and ``claimed`` (another
+    owner holds the row already).  A stretch of rows without a unit is bridged if the same unit
+    resumes behind it, no row names another candidate, no row without a candidate is claimed, and
+    the sizes of the rows between two candidates sum to at most the budget each time."""
+    numbered = number_runs(rows, keys, order)
+    line = Window.partitionBy(*keys, "run").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    blind = F.col("candidate").isNull()
+    parts = numbered.withColumn("part", F.count("candidate").over(line)).groupBy(*keys, "run", "unit", "part").agg(
+        F.count(F.lit(1)).alias("members"), F.sum("size").alias("bytes"), F.sum(F.when(blind, F.col("size")).otherwise(0)).alias("blind"),
+        F.min("candidate").alias("candidate"), F.bool_or(blind & F.col("claimed")).alias("claimed"), F.min("at").alias("start"), F.max("at").alias("end"),
+    )
+    runs = parts.groupBy(*keys, "run", "unit").agg(
+        F.sum("members").alias("members"), F.sum("bytes").alias("bytes"), F.max("blind").alias("blind"), F.min("candidate").alias("lo"),
+        F.max("candidate").alias("hi"), F.bool_or("claimed").alias("claimed"), F.min("start").alias("start"), F.max("end").alias("end"),
     )
     line = Window.partitionBy(*keys).orderBy("run")
-    same = F.lag("unit").over(line) == F.lead("unit").over(line)
-    bridged = F.col("unit").isNull() & F.coalesce(same, F.lit(False)) & (F.col("bytes") <= budget)
-    runs = runs.withColumn("owner", F.when(bridged, F.lag("unit").over(line)).otherwise(F.col("unit")))
+    before, after = F.lag("unit").over(line), F.lead("unit").over(line)
+    own = F.col("lo").isNull() | ((F.col("lo") == before) & (F.col("hi") == before))
+    bridged = F.col("unit").isNull() & F.coalesce(before == after, F.lit(False)) & own & ~F.col("claimed") & (F.col("blind") <= budget)
+    runs = runs.withColumn("owner", F.when(bridged, before).otherwise(F.col("unit")))
     runs = runs.withColumn("bridged", F.when(bridged, F.col("bytes")).otherwise(F.lit(0)))
-    again = number_runs(runs.withColumn("unit", F.col("owner")).withColumnRenamed("run", "part"), keys, ["part"])
+    again = number_runs(runs.withColumn("unit", F.col("owner")).withColumnRenamed("run", "piece"), keys, ["piece"])
     return again.where("unit is not null").groupBy(*keys, "run", "unit").agg(
         F.sum("members").alias("members"), F.sum("bridged").alias("bridged"), F.min("start").alias("start"), F.max("end").alias("end")
     )
@@ -81,22 +92,25 @@ def adjacency(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Dat
     return pairs.groupBy("before", "after").agg(F.count(F.lit(1)).alias("times"))
 
 
-def mask_windows(rows: DataFrame, keys: Sequence[str], order: Sequence[str], scenario: str) -> DataFrame:
-    """rows with ``hidden``: nothing, everything, every other run, or three of five runs."""
-    rows = number_runs(rows, keys, order)
+def all_masks(runs: DataFrame) -> DataFrame:
+    """Numbered runs once for each scenario, with ``hidden``: nothing, everything, every other run, or three of five."""
     hidden = {
         "nothing": F.lit(False),
         "everything": F.lit(True),
         "isolated": F.pmod("run", F.lit(2)) == 0,
         "consecutive": F.pmod("run", F.lit(5)).isin(2, 3, 4),
-    }[scenario]
-    return rows.withColumn("hidden", hidden)
+    }
+    one = F.explode(F.array(*(F.struct(F.lit(name).alias("scenario"), h.alias("hidden")) for name, h in hidden.items())))
+    return runs.withColumn("__mask", one).select(*runs.columns, "__mask.scenario", "__mask.hidden")
+
 
+def dominant(ranges: DataFrame, keys: Sequence[str], code: Sequence[str] = T.code_sections) -> DataFrame:
+    """Of each group's aligned ranges, the largest of each code section and all of the others.
 
-def dominant(ranges: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The largest range of each group; ties go to the first start."""
-    line = Window.partitionBy(*keys).orderBy((F.col("end") - F.col("start")).desc(), "start")
-    return ranges.withColumn("__k", F.row_number().over(line)).where("__k = 1").drop("__k")
+    ranges: (keys, section, start, end, misaligned, ord); of several largest the last by ``ord`` stays."""
+    line = Window.partitionBy(*keys, "section").orderBy((F.col("end") - F.col("start")).desc(), F.col("ord").desc())
+    rows = ranges.where(~F.col("misaligned")).withColumn("__k", F.row_number().over(line))
+    return rows.where((F.col("__k") == 1) | ~F.col("section").isin(*code)).drop("__k")
 
 
 def tiling(ranges: DataFrame, keys: Sequence[str], padding: int = T.padding) -> DataFrame:

@@ -5,32 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import prints
 from ..schema import THRESHOLDS as T
 
 #: Strength of each method; all others count 2.
 STRENGTH = {"function-position": 1}
 
 
-def resolved(proposals: DataFrame, existing: DataFrame, defined: DataFrame) -> DataFrame:
+def resolved(proposals: DataFrame, existing: DataFrame, defined: DataFrame, owners: DataFrame) -> DataFrame:
     """A status for each old name.
 
-    proposals: (old, new, unit, strength); existing: (name) in the file; defined: (name,
-    unit) of names that a unit's source defines.  Only the strongest proposals of an
-    old name count; then, in this order: units disagree, old name not in the file, new
-    name taken, defined elsewhere, wanted by several old names."""
+    proposals: (old, new, unit, strength); existing: (name, place) in the file; defined: (name,
+    unit) of names that a unit's source defines; owners: (place, unit) of places that a unit owns.
+    Only the strongest proposals of an old name count; then, in this order: units disagree, old
+    name not in the file, new name taken at another place, defined by units that do not own the
+    old name's place (where that has an owner), wanted by several old names."""
     top = F.max("strength").over(Window.partitionBy("old"))
     strong = proposals.withColumn("__top", top).where("strength = __top")
-    one = strong.groupBy("old").agg(F.min("new").alias("new"), F.max("new").alias("hi"), F.min("unit").alias("unit"))
-    names = existing.select("name").distinct()
-    row = one.join(names.select(F.col("name").alias("old"), F.lit(True).alias("known")), "old", "left")
-    row = row.join(names.select(F.col("name").alias("new"), F.lit(True).alias("taken")), "new", "left")
-    others = defined.select(F.col("name").alias("new"), F.col("unit").alias("owner")).groupBy("new").agg(F.collect_set("owner").alias("owners"))
-    row = row.join(others, "new", "left")
-    elsewhere = F.col("owners").isNotNull() & ~F.coalesce(F.array_contains("owners", F.col("unit")), F.lit(False))
+    one = strong.groupBy("old").agg(F.min("new").alias("new"), F.max("new").alias("hi"))
+    places = existing.groupBy("name").agg(F.min("place").alias("place"))
+    row = one.join(places.select(F.col("name").alias("old"), "place"), "old", "left")
+    row = row.join(places.select(F.col("name").alias("new"), F.col("place").alias("other")), "new", "left")
+    row = row.join(owners.groupBy("place").agg(F.min("unit").alias("here")), "place", "left")
+    claims = defined.select(F.col("name").alias("new"), "unit").groupBy("new").agg(F.collect_set("unit").alias("claimants"))
+    row = row.join(claims, "new", "left")
+    elsewhere = F.col("here").isNotNull() & F.col("claimants").isNotNull() & ~F.array_contains("claimants", F.col("here"))
     status = (
         F.when(F.col("new") != F.col("hi"), "units disagree")
-        .when(F.col("known").isNull(), "not in symbols file")
-        .when(F.col("taken"), "name already taken")
+        .when(F.col("place").isNull(), "not in symbols file")
+        .when(F.col("other") != F.col("place"), "name already taken")
         .when(elsewhere, "name defined by another unit's source")
     )
     row = row.withColumn("first", status)
@@ -59,7 +62,7 @@ def rename_plan(renames: DataFrame, target: DataFrame) -> DataFrame:
     wanted = F.count(F.lit(1)).over(Window.partitionBy("new"))
     absent = F.col("n_old").isNull()
     status = (
-        F.when(F.col("new").rlike("._[0-9A-F]{8}$"), "address-derived")
+        F.when(prints.address_derived(F.col("old")), "address-derived")
         .when(wanted > 1, "duplicate new name")
         .when(absent & F.col("n_new").isNotNull(), "already applied")
         .when(absent, "not in target")

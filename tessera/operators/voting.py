@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import prints
 from ..schema import THRESHOLDS as T
+from .anchors import unclaimed
+from .sequence import common_subsequence, filled
+
+#: columns of a fingerprint
+PRINT = ("hash", "shape", "size", "calls", "data")
 
 #: decimals to which summed weights are compared, since float sums depend on their order
 EXACT = 9
@@ -18,34 +27,50 @@ def tally(votes: DataFrame) -> DataFrame:
     )
 
 
+def described(tallied: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
+    """Tallied pairs that are plausible, with their ``similarity`` and whether a body makes them ``distinct``.
+
+    source, target: fingerprints (id, hash, shape, size, calls, data), one row an entity."""
+    rows = tallied
+    for side, prints_ in (("source", source), ("target", target)):
+        named = prints_.select(F.col("id").alias(f"{side}_id"), *(F.col(c).alias(f"__{side}_{c}") for c in PRINT))
+        rows = rows.join(named, f"{side}_id")
+    both = {c: (F.col(f"__source_{c}"), F.col(f"__target_{c}")) for c in PRINT}
+    rows = rows.where(prints.plausible(*both["size"]))
+    same = {c: a == b for c, (a, b) in both.items()}
+    alike = prints.similarity(same["hash"], same["shape"], both["size"], both["calls"], both["data"])
+    distinct = prints.distinctive(*both["hash"], *both["size"])
+    return rows.withColumns({"similarity": F.round(alike, 6), "distinct": distinct}).select(*tallied.columns, "similarity", "distinct")
+
+
+def plausible_only(votes: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
+    """Votes of pairs whose sizes (id, size) may belong together."""
+    rows = votes
+    for side, sizes in (("source", source), ("target", target)):
+        rows = rows.join(sizes.select(F.col("id").alias(f"{side}_id"), F.col("size").alias(f"__{side}")), f"{side}_id")
+    return rows.where(prints.plausible(F.col("__source"), F.col("__target"))).select(*votes.columns)
+
+
 def mutual_best(tallied: DataFrame) -> DataFrame:
     """Pairs that are each other's best without a tie, with the margin over the runners-up.
 
     margin = 1 - larger runner-up / weight; a pair without rivals has margin 1."""
-
-    def top(side: str) -> DataFrame:
-        line = Window.partitionBy(side).orderBy(F.col("weight").desc(), "source_id", "target_id")
-        ranked = tallied.withColumn("__k", F.row_number().over(line)).where("__k <= 2")
-        return ranked.groupBy(side).agg(
-            F.max(F.when(F.col("__k") == 1, F.col("weight"))).alias(f"{side}_best"),
-            F.coalesce(F.max(F.when(F.col("__k") == 2, F.col("weight"))), F.lit(0.0)).alias(f"{side}_next"),
-        )
-
-    rows = tallied.join(top("source_id"), "source_id").join(top("target_id"), "target_id")
-    best = F.col("weight")
-    rows = rows.where(
-        (best == F.col("source_id_best")) & (best == F.col("target_id_best"))
-        & (F.col("source_id_next") < best) & (F.col("target_id_next") < best)
-    )
-    margin = 1 - F.greatest("source_id_next", "target_id_next") / best
-    return rows.select("source_id", "target_id", "weight", "votes", F.round(margin, 6).alias("margin"))
+    rows = tallied
+    for side, other in (("source_id", "target_id"), ("target_id", "source_id")):
+        line = Window.partitionBy(side).orderBy(F.col("weight").desc(), other)
+        rows = rows.withColumns({f"__{side}": F.row_number().over(line), f"__next_{side}": F.coalesce(F.lead("weight").over(line), F.lit(0.0))})
+    runner_up = F.greatest("__next_source_id", "__next_target_id")
+    rows = rows.where((F.col("__source_id") == 1) & (F.col("__target_id") == 1) & (runner_up < F.col("weight")))
+    return rows.withColumn("margin", F.round(1 - runner_up / F.col("weight"), 6)).select(*tallied.columns, "margin")
 
 
 def accepted(tallied: DataFrame, least: float = T.least_confidence) -> DataFrame:
-    """Mutual best pairs with a confidence from weight and margin, from ``least`` up."""
-    rows = mutual_best(tallied)
-    confidence = F.least(F.lit(0.95), 0.45 + 0.2 * F.least(F.lit(1.0), F.col("weight") / 4) + 0.15 * F.col("margin"))
-    return rows.withColumn("confidence", F.round(confidence, 6)).where(F.col("confidence") >= least)
+    """Mutual best pairs with a confidence, from ``least`` up.
+
+    tallied has ``similarity`` and ``distinct`` (see ``described``)."""
+    corroboration = F.least(F.lit(1.0), F.col("votes") / T.full_votes)
+    confidence = prints.match_confidence(F.col("distinct"), F.col("similarity"), corroboration, F.col("margin"))
+    return mutual_best(tallied).withColumn("confidence", F.round(confidence, 6)).where(F.col("confidence") >= least)
 
 
 def sole_caller_votes(matches: DataFrame, calls: DataFrame, factor: float = 0.5) -> DataFrame:
@@ -63,6 +88,31 @@ def sole_caller_votes(matches: DataFrame, calls: DataFrame, factor: float = 0.5)
     return hit.select(F.col("source").alias("source_id"), F.col("target").alias("target_id"), (factor * F.col("confidence")).alias("weight"))
 
 
+def call_site_votes(matches: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
+    """Votes of matched pairs for callees at corresponding places of their call sequences.
+
+    source, target: (owner, ord, callee).  Callees that are matched already are fixed points; between
+    them, and before the first and behind the last, calls correspond one by one where both
+    sides have equally many.  A vote weighs the confidence of the pair that gives it."""
+    known = matches.select(F.col("source_id").alias("callee"), F.col("target_id").alias("seen"))
+    one = F.struct("ord", "callee", "seen")
+    s = source.join(known, "callee", "left").groupBy(F.col("owner").alias("source_id")).agg(F.array_sort(F.collect_list(one)).alias("x"))
+    t = target.groupBy(F.col("owner").alias("target_id")).agg(F.array_sort(F.collect_list(F.struct("ord", "callee"))).alias("y"))
+    pairs = matches.select("source_id", "target_id", "confidence").join(s, "source_id").join(t, "target_id")
+    lists = pairs.select("confidence", F.col("x.callee").alias("a"), F.col("x.seen").alias("seen"), F.col("y.callee").alias("b"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for weight, a, seen, b in zip(batch["confidence"], batch["a"], batch["seen"], batch["b"], strict=True):
+                fixed = common_subsequence([None if pd.isna(x) else int(x) for x in seen], [int(x) for x in b])
+                out += [(int(a[i]), int(b[j]), weight) for i, j in filled(fixed, len(a), len(b))]
+            yield pd.DataFrame(out, columns=["source_id", "target_id", "weight"])
+
+    votes = lists.mapInPandas(run, "source_id long, target_id long, weight double")
+    return unclaimed(votes, matches)
+
+
 def layout_votes(matches: DataFrame, source: DataFrame, target: DataFrame, keys: list[str], weight: float = 0.5) -> DataFrame:
     """Votes for rows inside equal gaps between consecutive anchors of one group.
 

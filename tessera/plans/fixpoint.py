@@ -10,17 +10,19 @@ from pyspark.sql import functions as F
 
 from ..operators.anchors import unclaimed
 from ..operators.graph import written
-from ..operators.voting import accepted, tally
+from ..operators.voting import accepted, described, tally
 from ..schema import THRESHOLDS as T
 
 Voter = Callable[[DataFrame], DataFrame]
 
 
-def propagate(anchors: DataFrame, voters: Sequence[Voter], rounds: int = T.rounds) -> DataFrame:
+def propagate(
+    anchors: DataFrame, voters: Sequence[Voter], source: DataFrame, target: DataFrame, rounds: int = T.rounds
+) -> DataFrame:
     """(source_id, target_id, method, confidence, votes, round) of anchors and all accepted rounds.
 
     A voter turns the matches so far into votes (source_id, target_id, weight); votes of
-    all kinds add.  Each round is written to the shared folder, which ends its lineage."""
+    all kinds add, and pairs of implausible fingerprints (source, target) count for nothing.  Each round is written to the shared folder, which ends its lineage."""
     columns = ["source_id", "target_id", "method", "confidence", "votes", "round"]
     matches = written(anchors.withColumns({"votes": F.lit(1).cast("long"), "round": F.lit(0)}).select(*columns))
     for k in range(1, rounds + 1):
@@ -28,7 +30,7 @@ def propagate(anchors: DataFrame, voters: Sequence[Voter], rounds: int = T.round
         for voter in voters:
             more = voter(matches)
             votes = more if votes is None else votes.unionByName(more)
-        new = accepted(tally(unclaimed(votes, matches)))
+        new = accepted(described(tally(unclaimed(votes, matches)), source, target))
         new = written(new.withColumns({"method": F.lit("vote"), "round": F.lit(k)}).select(*columns))
         if not new.limit(1).count():
             return matches

@@ -69,15 +69,18 @@ ok as (select id, word from w where length(word) between 6 and 128),
 u as (select id % 2 as v, word, min(id) as id from ok group by 1, 2 having count(*) = 1),
 l as (select s.id as source_id, t.id as target_id from u s join u t on s.word = t.word and s.v = 0 and t.v = 1),
 f as (select source_id, min(target_id) as target_id from l group by 1 having min(target_id) = max(target_id)),
-b as (select min(source_id) as source_id, target_id from l group by 2 having min(source_id) = max(source_id))"""
+b as (select min(source_id) as source_id, target_id from l group by 2 having min(source_id) = max(source_id)),
+p as (select f.source_id, f.target_id from f join b using (source_id, target_id) join documents x on x.doc_id = f.source_id join documents y on y.doc_id = f.target_id
+      where greatest(x.n_chars, y.n_chars) <= greatest(2 * least(x.n_chars, y.n_chars), least(x.n_chars, y.n_chars) + 8))"""
 
 
-@query(f"with {_WORDS} select f.source_id, f.target_id, 'literal' as method, cast(0.9 as double) as confidence from f join b using (source_id, target_id)")
+@query(f"with {_WORDS} select source_id, target_id, 'literal' as method, cast(0.9 as double) as confidence from p")
 def unique_literal_anchor(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     words = docs.select(F.col("doc_id").alias("id"), F.explode(F.regexp_extract_all("text", F.lit("[^ \\n]+"), F.lit(0))).alias("literal"))
     words = words.distinct().where(F.length("literal").between(T.literal_least, T.literal_most))
-    return anchors.by_literals(version(words, "id", 0), version(words, "id", 1))
+    sizes = docs.select(F.col("doc_id").alias("id"), F.col("n_chars").alias("size"))
+    return voting.plausible_only(anchors.by_literals(version(words, "id", 0), version(words, "id", 1)), sizes, sizes)
 
 
 @query("""
@@ -132,18 +135,41 @@ def calls(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.col("l_orderkey").alias("owner"), F.col("l_partkey").alias("callee"), F.col("l_suppkey").alias("ref"), F.col("l_returnflag").alias("kind"), F.row_number().over(line).alias("ord"))
 
 
-_VOTES = """
-v as (select a.l_orderkey as source_id, b.l_orderkey as target_id, count(*) as votes,
+#: SQL for the fingerprint of each order, and for whether those of x and y are plausible, distinct and how similar
+_PRINTS = """
+fp as (select l_orderkey as id, sha256(string_agg(cast(l_partkey as varchar), ',' order by l_linenumber, l_partkey, l_suppkey)) as hash,
+              string_agg(l_returnflag, ',' order by l_linenumber, l_partkey, l_suppkey) as shape, count(*) as size,
+              count(distinct l_partkey % 10) as calls, count(distinct l_suppkey) as data from lineitem group by 1)"""
+
+
+def _ratio(c: str) -> str:
+    return f"case when x.{c} = y.{c} then 1.0::double else least(x.{c}, y.{c})::double / greatest(x.{c}, y.{c}) end"
+
+
+_ALIKE = f"""case when x.hash = y.hash then 1.0::double else least(1.0::double, case when x.shape = y.shape then 0.5::double else 0.0::double end
+  + 0.2::double * {_ratio('size')} + 0.15::double * {_ratio('calls')} + 0.15::double * {_ratio('data')}) end"""
+_PLAUSIBLE = "greatest(x.size, y.size) <= greatest(2 * least(x.size, y.size), least(x.size, y.size) + 8)"
+_VOTES = f"""{_PRINTS},
+u as (select a.l_orderkey as source_id, b.l_orderkey as target_id, count(*) as votes,
              round(sum(case when a.l_returnflag = b.l_returnflag then 1.0::double else 0.5::double end), 9) as weight
       from lineitem a join lineitem b on a.l_partkey = b.l_partkey and a.l_linenumber = b.l_linenumber
            and a.l_orderkey % 2 = 0 and b.l_orderkey % 2 = 1 group by 1, 2),
-rs as (select *, row_number() over (partition by source_id order by weight desc, target_id) as k from v),
-rt as (select *, row_number() over (partition by target_id order by weight desc, source_id) as k from v),
-s as (select source_id, max(weight) filter (k = 1) as b, coalesce(max(weight) filter (k = 2), 0.0) as r from rs group by 1),
-t as (select target_id, max(weight) filter (k = 1) as b, coalesce(max(weight) filter (k = 2), 0.0) as r from rt group by 1),
-best as (select v.source_id, v.target_id, weight, votes, round(1 - greatest(s.r, t.r) / weight, 6) as margin
-         from v join s using (source_id) join t using (target_id)
-         where weight = s.b and weight = t.b and s.r < weight and t.r < weight)"""
+v as (select u.*, round({_ALIKE}, 6) as similarity, x.hash = y.hash and least(x.size, y.size) >= 4 as "distinct"
+      from u join fp x on x.id = source_id join fp y on y.id = target_id where {_PLAUSIBLE}),
+k as (select *, row_number() over s as sk, row_number() over t as tk, coalesce(lead(weight) over s, 0.0) as sn, coalesce(lead(weight) over t, 0.0) as tn
+      from v window s as (partition by source_id order by weight desc, target_id), t as (partition by target_id order by weight desc, source_id)),
+best as (select source_id, target_id, weight, votes, similarity, "distinct", round(1 - greatest(sn, tn) / weight, 6) as margin
+         from k where sk = 1 and tk = 1 and sn < weight and tn < weight)"""
+
+
+def order_prints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of orders: parts as the body, flags as its shape."""
+    lists = calls(spark, folder).groupBy(F.col("owner").alias("id")).agg(
+        F.array_sort(F.collect_list(F.struct("ord", "callee", "kind"))).alias("x"), F.count(F.lit(1)).alias("size"),
+        F.count_distinct(F.col("callee") % 10).alias("calls"), F.count_distinct("ref").alias("data"),
+    )
+    hash_ = F.sha2(F.array_join(F.col("x.callee").cast("array<string>"), ","), 256)
+    return lists.select("id", hash_.alias("hash"), F.array_join("x.kind", ",").alias("shape"), "size", "calls", "data")
 
 
 def line_votes(spark: SparkSession, folder: str) -> DataFrame:
@@ -154,15 +180,20 @@ def line_votes(spark: SparkSession, folder: str) -> DataFrame:
     return votes.select("source_id", "target_id", F.when(F.col("a") == F.col("b"), 1.0).otherwise(0.5).alias("weight"))
 
 
+def tallied_lines(spark: SparkSession, folder: str) -> DataFrame:
+    prints_ = order_prints(spark, folder)
+    return voting.described(voting.tally(line_votes(spark, folder)), prints_, prints_)
+
+
 @query(f"with {_VOTES} select * from best")
 def reference_vote_best(spark: SparkSession, folder: str) -> DataFrame:
-    return voting.mutual_best(voting.tally(line_votes(spark, folder)))
+    return voting.mutual_best(tallied_lines(spark, folder))
 
 
-@query(f"""with {_VOTES}, c as (select *, round(least(0.95, 0.45 + 0.2 * least(1.0, weight / 4) + 0.15 * margin), 6) as confidence from best)
+@query(f"""with {_VOTES}, c as (select *, round(case when "distinct" then 0.98 else least(0.95, 0.45 + 0.2 * similarity + 0.2 * least(1.0, votes / 3) + 0.15 * margin) end, 6) as confidence from best)
 select * from c where confidence >= 0.5""")
 def accepted_votes(spark: SparkSession, folder: str) -> DataFrame:
-    return voting.accepted(voting.tally(line_votes(spark, folder)))
+    return voting.accepted(tallied_lines(spark, folder))
 
 
 @query("""
@@ -172,9 +203,11 @@ c as (select distinct case when l_suppkey % 2 = 0 then 's' else 't' end as side,
              case when l_suppkey % 2 = 0 then l_orderkey - l_orderkey % 2 else l_orderkey - l_orderkey % 2 + 1 end as callee from lineitem),
 o as (select side, callee, min(caller) as caller from c
       where not (side = 's' and caller in (select source_id from m)) and not (side = 't' and caller in (select target_id from m))
-      group by 1, 2 having count(*) = 1)
+      group by 1, 2 having count(*) = 1),
+z as (select 1000000 + l_suppkey as id, count(*) as size from lineitem group by 1)
 select s.caller as source_id, t.caller as target_id, 0.5 * confidence as weight
-from m join o s on s.side = 's' and s.callee = m.source_id join o t on t.side = 't' and t.callee = m.target_id""")
+from m join o s on s.side = 's' and s.callee = m.source_id join o t on t.side = 't' and t.callee = m.target_id join z x on x.id = s.caller join z y on y.id = t.caller
+where greatest(x.size, y.size) <= greatest(2 * least(x.size, y.size), least(x.size, y.size) + 8)""")
 def sole_caller_vote(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders").select("o_orderkey")
     m = orders.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("source_id"), (F.col("o_orderkey") + 1).alias("target_id"))
@@ -182,7 +215,8 @@ def sole_caller_vote(spark: SparkSession, folder: str) -> DataFrame:
     even = F.col("l_suppkey") % 2 == 0
     base = F.col("l_orderkey") - F.col("l_orderkey") % 2
     c = table(spark, folder, "lineitem").select(F.when(even, "s").otherwise("t").alias("side"), (F.col("l_suppkey") + 1000000).alias("caller"), F.when(even, base).otherwise(base + 1).alias("callee"))
-    return voting.sole_caller_votes(m, c)
+    sizes = c.groupBy(F.col("caller").alias("id")).agg(F.count(F.lit(1)).alias("size"))
+    return voting.plausible_only(voting.sole_caller_votes(m, c), sizes, sizes)
 
 
 @query("""
@@ -194,12 +228,15 @@ a as (select s.user_id, s.pos as sp, t.pos as tp from m join p s on s.id = sourc
 g as (select user_id, sp, tp, lead(sp) over w as sq, lead(tp) over w as tq from a window w as (partition by user_id order by sp)),
 k as (select user_id, sp, tp, unnest(range(1, sq - sp)) as d from g where sq - sp = tq - tp and sq - sp > 1)
 select s.id as source_id, t.id as target_id, 0.5::double as weight
-from k join p s on s.v = 0 and s.user_id = k.user_id and s.pos = sp + d join p t on t.v = 1 and t.user_id = k.user_id and t.pos = tp + d""")
+from k join p s on s.v = 0 and s.user_id = k.user_id and s.pos = sp + d join p t on t.v = 1 and t.user_id = k.user_id and t.pos = tp + d
+join events x on x.event_id = s.id join events y on y.event_id = t.id
+where greatest(floor(x.value), floor(y.value)) <= greatest(2 * least(floor(x.value), floor(y.value)), least(floor(x.value), floor(y.value)) + 8)""")
 def equal_gap_layout_vote(spark: SparkSession, folder: str) -> DataFrame:
     rows = event_entities(spark, folder)
     source, target = (version(rows, "id", v) for v in (0, 1))
     matches = anchors.one_to_one(source, target, "name", "name", 1.0).select("source_id", "target_id")
-    return voting.layout_votes(matches, source.select("user_id", "id", "pos"), target.select("user_id", "id", "pos"), ["user_id"])
+    votes = voting.layout_votes(matches, source.select("user_id", "id", "pos"), target.select("user_id", "id", "pos"), ["user_id"])
+    return voting.plausible_only(votes, source, target)
 
 
 def event_entities(spark: SparkSession, folder: str) -> DataFrame:
@@ -207,25 +244,66 @@ def event_entities(spark: SparkSession, folder: str) -> DataFrame:
     line = Window.partitionBy("user_id", F.pmod("event_id", F.lit(2))).orderBy("ts", "event_id")
     name = F.concat_ws("/", "user_id", "event_type", F.floor(F.col("value") / 5).cast("long"))
     return table(spark, folder, "events").select(
-        F.col("event_id").alias("id"), "user_id", name.alias("name"), F.row_number().over(line).cast("long").alias("pos")
+        F.col("event_id").alias("id"), "user_id", "event_type", F.floor("value").cast("long").alias("size"), name.alias("name"), F.row_number().over(line).cast("long").alias("pos")
     )
 
 
+def event_calls(rows: DataFrame) -> DataFrame:
+    """An event calls the two that follow it: (owner, ord, callee)."""
+    line = Window.partitionBy("user_id").orderBy("pos")
+    both = rows.select(F.col("id").alias("owner"), F.array(F.lead("id", 1).over(line), F.lead("id", 2).over(line)).alias("next"))
+    ahead = both.select("owner", F.posexplode("next").alias("ord", "callee"))
+    return ahead.where("callee is not null")
+
+
 @query()
 def propagate_fixpoint(spark: SparkSession, folder: str) -> DataFrame:
-    """Events matched by name, then by votes of equal gaps until nothing is added."""
+    """Events matched by name, then by votes of calls, of sole callers and of equal gaps until nothing is added."""
     rows = event_entities(spark, folder)
     source, target = (version(rows, "id", v) for v in (0, 1))
     start = anchors.one_to_one(source, target, "name", "name", 1.0)
     places = [side.select("user_id", "id", "pos") for side in (source, target)]
-    return fixpoint.propagate(start, [lambda m: voting.layout_votes(m.select("source_id", "target_id"), *places, ["user_id"])])
+    sites = [event_calls(side) for side in (source, target)]
+    callers = sites[0].withColumn("side", F.lit("s")).unionByName(sites[1].withColumn("side", F.lit("t"))).select("side", F.col("owner").alias("caller"), "callee")
+    found = [
+        side.select("id", F.sha2("name", 256).alias("hash"), F.col("event_type").alias("shape"), "size", F.lit(1).alias("calls"), F.lit(1).alias("data"))
+        for side in (source, target)
+    ]
+    voters = [
+        lambda m: voting.call_site_votes(m, *sites),
+        lambda m: voting.sole_caller_votes(m, callers),
+        lambda m: voting.layout_votes(m.select("source_id", "target_id"), *places, ["user_id"]),
+    ]
+    return fixpoint.propagate(start, voters, *found)
+
+
+@query("""
+with r as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as ord from lineitem),
+m as (select o_orderkey as s, o_orderkey + 1 as t, round(0.5 + o_orderkey % 40 / 100.0, 2)::double as confidence from orders where o_orderkey % 4 = 0 and o_orderkey + 1 in (select o_orderkey from orders)),
+n as (select l_orderkey as k, count(*) as n from r group by 1),
+e as (select s, t, confidence from m join n a on a.k = s join n b on b.k = t where a.n = b.n)
+select x.l_partkey * 2 as source_id, y.l_partkey * 2 + 1 as target_id, confidence as weight
+from e join r x on x.l_orderkey = s join r y on y.l_orderkey = t and y.ord = x.ord""")
+def call_site_vote(spark: SparkSession, folder: str) -> DataFrame:
+    """Votes for callees by place where no callee is matched yet; fixed points are tested by brute force."""
+    orders = table(spark, folder, "orders").select("o_orderkey")
+    m = orders.where("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("source_id"), (F.col("o_orderkey") + 1).alias("target_id"))
+    m = m.join(orders.select(F.col("o_orderkey").alias("target_id")), "target_id", "left_semi")
+    m = m.withColumn("confidence", F.round(0.5 + F.col("source_id") % 40 / 100, 2))
+    rows = calls(spark, folder)
+    source = rows.select((F.col("owner")).alias("owner"), "ord", (F.col("callee") * 2).alias("callee"))
+    target = rows.select("owner", "ord", (F.col("callee") * 2 + 1).alias("callee"))
+    # callees are parts, pairs are orders: their numbers are kept apart, so that no callee is matched
+    apart = 1 << 40
+    far = lambda df, *cs: df.select(*(F.col(c) + apart if c in cs else F.col(c) for c in df.columns)).toDF(*df.columns)
+    return voting.call_site_votes(far(m, "source_id", "target_id"), far(source, "owner"), far(target, "owner"))
 
 
 @query("""
 with r as (select l_orderkey as owner, l_suppkey as ref, l_returnflag as kind,
                   row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as ord from lineitem),
 o as (select o_orderkey, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as k, o_custkey from orders),
-p as (select a.o_orderkey as s, b.o_orderkey as t from o a join o b on a.o_custkey = b.o_custkey and a.k = 1 and b.k = 2),
+p as (select a.o_orderkey as s, b.o_orderkey as t from o a join o b on a.o_custkey = b.o_custkey and b.k = a.k + 1),
 l as (select s, t, r.* from p join r on r.owner = s), m as (select s, t, r.* from p join r on r.owner = t),
 z as (select coalesce(l.s, m.s) as s, coalesce(l.t, m.t) as t, l.ref as a, m.ref as b, coalesce(l.kind = m.kind, false) as ok
       from l full join m on l.s = m.s and l.t = m.t and l.ord = m.ord),
@@ -236,54 +314,55 @@ where a in (select a from d group by a having count(*) = 1) and b in (select b f
 def positional_data_pairs(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders")
     line = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    orders = orders.select("o_orderkey", "o_custkey", F.row_number().over(line).alias("k"))
-    pairs = orders.where("k = 1").select("o_custkey", F.col("o_orderkey").alias("source_id")).join(
-        orders.where("k = 2").select("o_custkey", F.col("o_orderkey").alias("target_id")), "o_custkey"
-    )
+    pairs = orders.select(F.col("o_orderkey").alias("source_id"), F.lead("o_orderkey").over(line).alias("target_id")).where("target_id is not null")
     refs = calls(spark, folder)
     return voting.positional_pairs(pairs, refs, refs)
 
 
 # --- similarity ----------------------------------------------------------------
 
-_SIZES = """
-e as (select doc_id, lang, n_chars, length(text) - length(replace(text, ' ', '')) as words, length(text) - length(replace(text, chr(10), '')) as lns,
-             sha256(text) as hash, left(text, 8) as shape from documents where n_chars > 0),
-r as (select a.doc_id as a_id, b.doc_id as b_id,
-       case when a.hash = b.hash then 1.0::double else least(1.0::double,
-         case when a.shape = b.shape then 0.5::double else 0.0::double end
-         + 0.2::double * case when a.n_chars = b.n_chars then 1.0::double else least(a.n_chars, b.n_chars)::double / greatest(a.n_chars, b.n_chars) end
-         + 0.15::double * case when a.words = b.words then 1.0::double else least(a.words, b.words)::double / greatest(a.words, b.words) end
-         + 0.15::double * case when a.lns = b.lns then 1.0::double else least(a.lns, b.lns)::double / greatest(a.lns, b.lns) end) end as s
-  from e a join e b on a.shape = b.shape and a.lang = b.lang and a.doc_id < b.doc_id
-  where greatest(a.n_chars, b.n_chars) <= greatest(2 * least(a.n_chars, b.n_chars), least(a.n_chars, b.n_chars) + 8))"""
+_SIZES = r"""
+e as (select doc_id, lang, n_chars as size, length(text) - length(replace(text, ' ', '')) as calls, length(text) - length(replace(text, chr(10), '')) as data,
+             sha256(text) as hash, sha256(regexp_replace(text, '[^ \n]+', 'w', 'g')) as shape from documents where n_chars > 0),
+r as (select x.doc_id as a_id, y.doc_id as b_id, x.shape = y.shape as same_shape, {alike} as s
+  from e x join e y on x.lang = y.lang and x.doc_id <> y.doc_id and x.doc_id % 50 = 0 where {plausible})""".format(alike=_ALIKE, plausible=_PLAUSIBLE)
 
 
-@query(f"with {_SIZES} select a_id, b_id, round(s, 6) as similarity from r")
+@query(f"with {_SIZES} select a_id, b_id, same_shape, round(s, 6) as similarity from r")
 def plausible_similarity(spark: SparkSession, folder: str) -> DataFrame:
+    """Each 50th document against all of its language whose sizes may belong together.
+
+    Shape is the layout of the whole text: every word reduced to one letter.  Sizes that are
+    plausible differ by at most one in the binary logarithm of size + 8, which is joined on."""
     count = lambda c: F.length("text") - F.length(F.replace(F.col("text"), F.lit(c)))
     docs = table(spark, folder, "documents").where("n_chars > 0").select(
-        "doc_id", "lang", "n_chars", count(" ").alias("words"), count("\n").alias("lns"), F.sha2("text", 256).alias("hash"), F.left(F.col("text"), F.lit(8)).alias("shape")
+        "doc_id", "lang", F.col("n_chars").alias("size"), count(" ").alias("calls"), count("\n").alias("data"), F.sha2("text", 256).alias("hash"),
+        F.sha2(F.regexp_replace("text", "[^ \n]+", "w"), 256).alias("shape"), F.floor(F.log2(F.col("n_chars") + 8)).alias("bin"),
     )
-    b = docs.select("lang", "shape", *(F.col(c).alias(f"{c}_b") for c in ("doc_id", "n_chars", "words", "lns", "hash")))
-    pairs = docs.join(b, ["lang", "shape"]).where("doc_id < doc_id_b").where(prints.plausible(F.col("n_chars"), F.col("n_chars_b")))
+    a = docs.where("doc_id % 50 = 0").withColumn("bin", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)))
+    b = docs.select("lang", "bin", *(F.col(c).alias(f"{c}_b") for c in ("doc_id", "size", "calls", "data", "hash", "shape")))
+    pairs = a.join(b, ["lang", "bin"]).where("doc_id <> doc_id_b").where(prints.plausible(F.col("size"), F.col("size_b")))
     same = lambda c: (F.col(c), F.col(f"{c}_b"))
-    s = prints.similarity(F.col("hash") == F.col("hash_b"), F.lit(True), same("n_chars"), same("words"), same("lns"))
-    return pairs.select(F.col("doc_id").alias("a_id"), F.col("doc_id_b").alias("b_id"), F.round(s, 6).alias("similarity"))
+    alike = F.col("shape") == F.col("shape_b")
+    s = prints.similarity(F.col("hash") == F.col("hash_b"), alike, same("size"), same("calls"), same("data"))
+    return pairs.select(F.col("doc_id").alias("a_id"), F.col("doc_id_b").alias("b_id"), alike.alias("same_shape"), F.round(s, 6).alias("similarity"))
 
 
 _SHINGLES = """
 t as (select doc_id % 2 as k, doc_id as id, regexp_extract_all(text, '[^ \\n]+') as w from documents),
-s as (select distinct k, id, unnest(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))) as shingle from t where len(w) >= 8),
-n as (select k, id, count(*) as n from s group by 1, 2),
+s as (select distinct k, id, unnest(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))) as shingle, len(w) as l from t where len(w) >= 8),
+n as (select k, id, count(*) as n, max(l) as l from s group by 1, 2),
 c as (select a.id as a_id, b.id as b_id, count(*) as common from s a join s b on a.k = 0 and b.k = 1 and a.shingle = b.shingle group by 1, 2),
-j as (select a_id, b_id, common, x.n as a_n, y.n as b_n, round(common / (x.n + y.n - common), 6) as similarity
-      from c join n x on x.k = 0 and x.id = a_id join n y on y.k = 1 and y.id = b_id where y.n / x.n between 0.6 and 1.6)"""
+j as (select a_id, b_id, common, x.n as a_n, y.n as b_n, x.l as a_length, y.l as b_length, round(common / (x.n + y.n - common), 6) as similarity
+      from c join n x on x.k = 0 and x.id = a_id join n y on y.k = 1 and y.id = b_id where x.l / y.l between 0.6 and 1.6)"""
 
 
 def shingle_rows(df: DataFrame, key: str) -> DataFrame:
+    """(id, shingle, length): 64-bit hashes of the shingles, and the length of the token list."""
     words = F.regexp_extract_all("text", F.lit("[^ \\n]+"), F.lit(0))
-    return df.select(F.col(key).alias("id"), F.explode(prints.shingles(words)).alias("shingle"))
+    lists = df.select(F.col(key).alias("id"), words.alias("words"))
+    grams = F.transform(prints.shingles(F.col("words")), lambda x: F.xxhash64(x))
+    return lists.select("id", F.explode(grams).alias("shingle"), F.size("words").alias("length"))
 
 
 @query(f"with {_SHINGLES} select * from j")
@@ -294,10 +373,10 @@ def shingle_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"""with {_SHINGLES},
 r as (select a_id, b_id, similarity, row_number() over w as k, coalesce(lead(similarity) over w, 0.0) as runner_up,
-             count(*) over (partition by a_id) as field from j window w as (partition by a_id order by similarity desc, b_id)),
+             count(*) over (partition by b_id) as field from j window w as (partition by b_id order by similarity desc, a_id)),
 b as (select a_id, b_id, similarity, runner_up, field, round(similarity - runner_up, 6) as margin from r where k = 1)
 select * from b where similarity >= 0.6 and margin >= 0.1
-  and b_id in (select b_id from b where similarity >= 0.6 and margin >= 0.1 group by 1 having count(*) = 1)""")
+  and a_id in (select a_id from b where similarity >= 0.6 and margin >= 0.1 group by 1 having count(*) = 1)""")
 def shingle_margin(spark: SparkSession, folder: str) -> DataFrame:
     return fuzzy.with_lead(shingle_pairs(spark, folder))
 
@@ -440,16 +519,18 @@ def neighbour_read_set(spark: SparkSession, folder: str) -> DataFrame:
     return intervals.neighbours(rows.where("unit = 'purchase'"), rows, ["user_id"])
 
 
-@query(f"""with {_R}, q as (select user_id as k, unit, s, e from r),
-d as (select k, unit, s, e, row_number() over (partition by k order by e - s desc, s) as n from
-  (select k, unit, min(s) as s, max(e) as e from (
-    select *, sum(o) over (partition by k, unit order by s, e rows unbounded preceding) as g from (
-      select *, case when s <= max(e) over (partition by k, unit order by s, e rows between unbounded preceding and 1 preceding) then 0 else 1 end as o from q))
-   group by k, unit, g))
-select k as user_id, s as start, e as "end" from d where n = 1""")
+@query(f"""with {_R}, q as (select user_id as k, case unit when 'click' then '.text' when 'view' then '.init' when 'purchase' then '.data' else '.bss' end as section, s, e from r),
+d as (select k, section, s, e, row_number() over (partition by k, section order by e - s desc, s desc) as n from
+  (select k, section, min(s) as s, max(e) as e from (
+    select *, sum(o) over (partition by k, section order by s, e rows unbounded preceding) as g from (
+      select *, case when s <= max(e) over (partition by k, section order by s, e rows between unbounded preceding and 1 preceding) then 0 else 1 end as o from q))
+   group by k, section, g) where s % 4 <> 3)
+select k as user_id, section, s as start, e as "end" from d where n = 1 or section not in ('.text', '.init')""")
 def dominant_range(spark: SparkSession, folder: str) -> DataFrame:
-    merged = intervals.merged(ranges(spark, folder), ["user_id", "unit"])
-    return islands.dominant(merged, ["user_id"]).select("user_id", "start", "end")
+    section = F.when(F.col("unit") == "click", ".text").when(F.col("unit") == "view", ".init").when(F.col("unit") == "purchase", ".data").otherwise(".bss")
+    merged = intervals.merged(ranges(spark, folder).withColumn("section", section), ["user_id", "section"])
+    rows = merged.withColumns({"misaligned": F.col("start") % 4 == 3, "ord": F.col("start")})
+    return islands.dominant(rows, ["user_id"]).select("user_id", "section", "start", "end")
 
 
 @query(f"""with {_R}, g as (select *, s - lag(e) over (partition by user_id order by s, e) as gap from r)
@@ -487,14 +568,22 @@ _OPEN_RUNS = _RUNS.replace("event_type as unit", "nullif(event_type, 'view') as
 
 
 @query(f"""with {_OPEN_RUNS},
-a as (select user_id, run, unit, count(*) as members, sum(size) as bytes, min(event_id) as s, max(event_id) as e from q group by 1, 2, 3),
-b as (select *, unit is null and coalesce(lag(unit) over w = lead(unit) over w, false) and bytes <= 512 as br, lag(unit) over w as lu from a window w as (partition by user_id order by run)),
+w as (select *, size * 10 as bytes, case when unit is null and event_id % 4 = 0 then 'click' when unit is null and event_id % 11 = 0 then 'purchase' end as candidate, event_id % 13 = 0 as claimed from q),
+x as (select *, count(candidate) over (partition by user_id, run order by ts, event_id rows unbounded preceding) as part from w),
+y as (select user_id, run, unit, part, count(*) as members, sum(bytes) as bytes, sum(case when candidate is null then bytes else 0 end) as blind, min(candidate) as candidate,
+             bool_or(candidate is null and claimed) as claimed, min(event_id) as s, max(event_id) as e from x group by 1, 2, 3, 4),
+a as (select user_id, run, unit, sum(members) as members, sum(bytes) as bytes, max(blind) as blind, min(candidate) as lo, max(candidate) as hi, bool_or(claimed) as claimed, min(s) as s, max(e) as e from y group by 1, 2, 3),
+b as (select *, lag(unit) over w as lu, unit is null and coalesce(lag(unit) over w = lead(unit) over w, false) and (lo is null or (lo = lag(unit) over w and hi = lag(unit) over w))
+             and not claimed and blind <= 512 as br from a window w as (partition by user_id order by run)),
 c as (select *, case when br then lu else unit end as owner, case when br then bytes else 0 end as bb from b),
 d as (select *, case when owner is distinct from lag(owner) over w or row_number() over w = 1 then 1 else 0 end as o from c window w as (partition by user_id order by run)),
 f as (select *, sum(o) over (partition by user_id order by run rows unbounded preceding) as r2 from d)
 select user_id, r2 as run, owner as unit, sum(members) as members, sum(bb) as bridged, min(s) as start, max(e) as "end" from f where owner is not null group by 1, 2, 3""")
 def bridged_runs(spark: SparkSession, folder: str) -> DataFrame:
-    return islands.bridged_runs(ordered_events(spark, folder, "view"), _KEYS, _ORDER)
+    none = F.col("unit").isNull()
+    candidate = F.when(none & (F.col("event_id") % 4 == 0), "click").when(none & (F.col("event_id") % 11 == 0), "purchase")
+    rows = ordered_events(spark, folder, "view").withColumns({"size": F.col("size") * 10, "candidate": candidate, "claimed": F.col("event_id") % 13 == 0})
+    return islands.bridged_runs(rows, _KEYS, _ORDER)
 
 
 @query(f"""with {_RUNS}, a as (select user_id, run, unit, count(*) as members, min(event_id) as s, max(event_id) as e from q group by 1, 2, 3)
@@ -532,11 +621,8 @@ def adjacency_edges(spark: SparkSession, folder: str) -> DataFrame:
  case s.scenario when 'nothing' then false when 'everything' then true when 'isolated' then run % 2 = 0 else run % 5 in (2, 3, 4) end as hidden
 from q cross join (values ('nothing'), ('everything'), ('isolated'), ('consecutive')) s(scenario)""")
 def mask_windows(spark: SparkSession, folder: str) -> DataFrame:
-    rows, out = ordered_events(spark, folder), None
-    for scenario in ("nothing", "everything", "isolated", "consecutive"):
-        part = islands.mask_windows(rows, _KEYS, _ORDER, scenario).select(F.lit(scenario).alias("scenario"), "user_id", "event_id", "run", "hidden")
-        out = part if out is None else out.unionByName(part)
-    return out
+    rows = islands.number_runs(ordered_events(spark, folder), _KEYS, _ORDER)
+    return islands.all_masks(rows).select("scenario", "user_id", "event_id", "run", "hidden")
 
 
 # --- graphs and transactions --------------------------------------------------------
@@ -607,39 +693,47 @@ def transaction_apply(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""
 with p as (select p_name as old, p_brand as new, cast(p_size as varchar) as unit, case when p_partkey % 3 = 0 then 1 else 2 end as strength from part),
-ex as (select distinct p_name as name from part where p_partkey % 5 <> 0 union select p_brand from part where p_brand in ('Brand#11', 'Brand#12')),
-de as (select p_brand as name, cast(p_size as varchar) as unit from part where p_partkey % 2 = 0),
+ex as (select p_name as name, min(p_partkey) as place from part where p_partkey % 5 <> 0 group by 1
+       union all select p_brand, min(p_partkey) from part where p_brand in ('Brand#11', 'Brand#12') group by 1),
+de as (select p_brand as name, cast(p_size as varchar) as unit from part where p_partkey % 2 = 0 and p_size < 8),
+ow as (select p_partkey as place, cast(p_size as varchar) as unit from part where p_partkey % 3 <> 1),
 t as (select *, max(strength) over (partition by old) as top from p),
-o as (select old, min(new) as new, max(new) as hi, min(unit) as unit from t where strength = top group by 1),
-f as (select *, case when new <> hi then 'units disagree' when old not in (select name from ex) then 'not in symbols file'
-   when new in (select name from ex) then 'name already taken'
-   when new in (select name from de) and not exists (select 1 from de where de.name = o.new and de.unit = o.unit) then 'name defined by another unit''s source' end as first from o)
+o as (select old, min(new) as new, max(new) as hi from t where strength = top group by 1),
+j as (select o.*, a.place, b.place as other, ow.unit as here from o left join ex a on a.name = old left join ex b on b.name = new left join ow on ow.place = a.place),
+f as (select *, case when new <> hi then 'units disagree' when place is null then 'not in symbols file' when other <> place then 'name already taken'
+   when here is not null and new in (select name from de) and not exists (select 1 from de where de.name = j.new and de.unit = j.here) then 'name defined by another unit''s source' end as first from j)
 select old, case when new = hi then new end as new,
   coalesce(first, case when sum(case when first is null then 1 else 0 end) over (partition by new) > 1 then 'name claimed by several symbols' else 'resolved' end) as status from f""")
 def proposal_resolution(spark: SparkSession, folder: str) -> DataFrame:
     part = table(spark, folder, "part")
-    unit = F.col("p_size").cast("string")
+    unit, place = F.col("p_size").cast("string"), F.col("p_partkey").alias("place")
     proposals = part.select(F.col("p_name").alias("old"), F.col("p_brand").alias("new"), unit.alias("unit"), F.when(F.col("p_partkey") % 3 == 0, 1).otherwise(2).alias("strength"))
-    brands = part.where(F.col("p_brand").isin("Brand#11", "Brand#12")).select(F.col("p_brand").alias("name"))
-    existing = part.where("p_partkey % 5 <> 0").select(F.col("p_name").alias("name")).unionByName(brands)
-    defined = part.where("p_partkey % 2 = 0").select(F.col("p_brand").alias("name"), unit.alias("unit"))
-    return resolve.resolved(proposals, existing, defined)
+    brands = part.where(F.col("p_brand").isin("Brand#11", "Brand#12")).select(F.col("p_brand").alias("name"), place)
+    existing = part.where("p_partkey % 5 <> 0").select(F.col("p_name").alias("name"), place).unionByName(brands)
+    defined = part.where("p_partkey % 2 = 0 and p_size < 8").select(F.col("p_brand").alias("name"), unit.alias("unit"))
+    owners = part.where("p_partkey % 3 <> 1").select(place, unit.alias("unit"))
+    return resolve.resolved(proposals, existing, defined, owners)
 
 
 @query("""
-with o as (select s_nationkey * 100 + s_suppkey % 100 as place, s_name as name from supplier),
-n as (select place, case when place % 3 = 0 then name || '_80000000' when place % 3 = 1 then name else 'renamed ' || (place % 40) end as name from o),
+with o as (select s_nationkey * 100 + s_suppkey % 100 as place, case when s_suppkey % 4 = 1 then s_name || '_80000000' else s_name end as name from supplier),
+n as (select place, case when place % 3 = 1 then name when place % 5 = 0 then 'renamed ' || (place % 40) else 'new ' || place || name end as name from o),
 a as (select place, min(name) as old from o group by 1 having count(*) = 1), b as (select place, min(name) as new from n group by 1 having count(*) = 1),
 r as (select old, new from a join b using (place) where old <> new),
-h as (select name, count(*) as c from o group by 1)
-select r.old, r.new, case when regexp_matches(r.new, '._[0-9A-F]{8}$') then 'address-derived' when count(*) over (partition by r.new) > 1 then 'duplicate new name'
+g as (select case when place % 7 = 2 then 'new ' || place || name when place % 7 = 3 then 'gone ' || name else name end as name from o union all select name from o where place % 11 = 0),
+h as (select name, count(*) as c from g group by 1)
+select r.old, r.new, case when regexp_matches(r.old, '._[0-9A-F]{8}$') then 'address-derived' when count(*) over (partition by r.new) > 1 then 'duplicate new name'
   when x.c is null and y.c is not null then 'already applied' when x.c is null then 'not in target' when x.c > 1 then 'ambiguous in target' else 'apply' end as status
 from r left join h x on x.name = r.old left join h y on y.name = r.new""")
 def rename_sync(spark: SparkSession, folder: str) -> DataFrame:
-    old = table(spark, folder, "supplier").select((F.col("s_nationkey") * 100 + F.col("s_suppkey") % 100).alias("place"), F.col("s_name").alias("name"))
-    new = F.when(F.col("place") % 3 == 0, F.concat("name", F.lit("_80000000"))).when(F.col("place") % 3 == 1, F.col("name")).otherwise(F.concat(F.lit("renamed "), F.col("place") % 40))
+    name = F.when(F.col("s_suppkey") % 4 == 1, F.concat("s_name", F.lit("_80000000"))).otherwise(F.col("s_name"))
+    old = table(spark, folder, "supplier").select((F.col("s_nationkey") * 100 + F.col("s_suppkey") % 100).alias("place"), name.alias("name"))
+    place, fresh = F.col("place"), F.concat(F.lit("new "), "place", "name")
+    new = F.when(place % 3 == 1, F.col("name")).when(place % 5 == 0, F.concat(F.lit("renamed "), place % 40)).otherwise(fresh)
     found = resolve.renames_between(old, old.select("place", new.alias("name")))
-    return resolve.rename_plan(found.select("old", "new"), old.select("name"))
+    held = F.when(place % 7 == 2, fresh).when(place % 7 == 3, F.concat(F.lit("gone "), "name")).otherwise(F.col("name"))
+    target = old.select(held.alias("name")).unionByName(old.where("place % 11 = 0").select("name"))
+    return resolve.rename_plan(found.select("old", "new"), target)
 
 
 @query("""
@@ -718,21 +812,61 @@ def tier_precision_recall(spark: SparkSession, folder: str) -> DataFrame:
     return score.precision_recall(rows, "tier")
 
 
-#: Words of a message and the kind that they tell, first match wins.
+#: Phrases of a message and the kind that they tell; the first that occurs wins.
 REFUSALS = [
-    ("undefined", "undefined-symbol"), ("multiply", "duplicate-symbol"), ("overlap", "overlap"), ("timeout", "timeout"), ("password", "secret"),
-    ("token", "secret"), ("error", "other-error"),
+    ("timed out after", "timeout"),
+    ("retail dol bytes differ", "retail-mismatch"),
+    ("checksum mismatch", "retail-mismatch"),
+    ("checksum failed", "retail-mismatch"),
+    ("computed checksum(s) did not match", "retail-mismatch"),
+    ("sha1 mismatch", "retail-mismatch"),
+    ("hash mismatch", "retail-mismatch"),
+    ("link-order cycle", "link-order-cycle"),
+    ("cyclic dependency", "link-order-cycle"),
+    ("stale precondition", "stale-precondition"),
+    ("which this run does not permit", "dependency-not-permitted"),
+    ("would overlap", "conflicting-attribution"),
+    ("overlaps another", "conflicting-attribution"),
+    ("conflicting attribution", "conflicting-attribution"),
+    ("invalid alignment", "split-alignment"),
+    ("split alignment", "split-alignment"),
+    ("transaction refused", "illegal-split"),
+    ("illegal split", "illegal-split"),
+    ("multiply defined", "duplicate-symbol"),
+    ("multiply-defined", "duplicate-symbol"),
+    ("duplicate symbol", "duplicate-symbol"),
+    ("undefined:", "undefined-symbol"),
+    ("undefined symbol", "undefined-symbol"),
+    ("compiled source object was enabled", "source-linkage-violation"),
+    ("extracted target object is not", "source-linkage-violation"),
+    ("regresses an existing unit", "measured-regression"),
+    ("reduces source-linked code", "measured-regression"),
+    ("cannot open", "unavailable-input"),
+    ("no such file", "unavailable-input"),
+    ("file not found", "unavailable-input"),
+    ("fatal error", "source-compile-error"),
+    ("error:", "source-compile-error"),
+    ("error #", "source-compile-error"),
+]
+#: What the messages of the query say, by order.
+_SAID = [
+    "Job timed out after 30 s", "SHA1 mismatch in image", "found a cyclic dependency", "stale precondition: state changed", "needs one which this run does not permit",
+    "the range would overlap", "invalid alignment of a part", "Transaction refused by the gate", "symbol Multiply-Defined here", "undefined: name",
+    "compiled source object was enabled", "this regresses an existing unit", "No such file: part", "Error #12 in line", "nothing to report", "error: undefined symbol x",
 ]
+_SAY = "case " + " ".join(f"when o_orderkey % 16 = {i} then '{t}'" for i, t in enumerate(_SAID)) + " end"
+_KIND = "case " + " ".join(f"when contains(low, '{w}') then '{k}'" for w, k in REFUSALS) + " else 'unknown' end"
 
 
-@query("""
-with k as (select conv_id, turn, case when contains(lower(text), 'undefined') then 'undefined-symbol' when contains(lower(text), 'multiply') then 'duplicate-symbol'
-  when contains(lower(text), 'overlap') then 'overlap' when contains(lower(text), 'timeout') then 'timeout' when contains(lower(text), 'password') then 'secret'
-  when contains(lower(text), 'token') then 'secret' when contains(lower(text), 'error') then 'other-error' else 'unclassified' end as kind from conversations)
-select kind, count(*) as messages, count(distinct conv_id) as conversations from k group by 1""")
+@query(f"""
+with m as (select o_orderkey, o_orderpriority, lower(o_orderpriority || ' ' || {_SAY}) as low from orders),
+k as (select *, {_KIND} as kind from m)
+select kind, count(*) as messages, count(distinct o_orderpriority) as priorities, min(o_orderkey) as first from k group by 1""")
 def refusal_classification(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "conversations").withColumn("kind", prints.first_rule(F.col("text"), REFUSALS, "unclassified"))
-    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("messages"), F.count_distinct("conv_id").alias("conversations"))
+    said = F.element_at(F.array(*map(F.lit, _SAID)), (F.col("o_orderkey") % 16 + 1).cast("int"))
+    rows = table(spark, folder, "orders").select("o_orderkey", "o_orderpriority", F.concat_ws(" ", "o_orderpriority", said).alias("text"))
+    rows = rows.withColumn("kind", prints.first_rule(F.col("text"), REFUSALS, "unknown"))
+    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("messages"), F.count_distinct("o_orderpriority").alias("priorities"), F.min("o_orderkey").alias("first"))
 
 
 # --- sequences --------------------------------------------------------------------------------------
@@ -817,16 +951,29 @@ def edge_support(spark: SparkSession, folder: str) -> DataFrame:
     return evidence.judged_edges(laid_out(spark, folder).drop("event_id"), ["user_id"])
 
 
-@query(f"""with {_PARTS},
+_PLACED = f"""{_PARTS},
+m as (select *, event_id % 17 = 0 as amb, case when unit is not null then event_id * 7 % 1009 * 1000 + event_id % 1000 end as src from p),
+o as (select *, src = min(src) over (partition by user_id, unit) and unit is not null as fst, src = max(src) over (partition by user_id, unit) and unit is not null as lst from m)"""
+
+
+@query(f"""with {_PLACED},
 n as (select *, lag(unit) over w as b, lead(unit) over w as a, coalesce(lag(independent) over w, false) as bi, coalesce(lead(independent) over w, false) as ai,
-      lag(s) over w is null as f, lead(s) over w is null as l, coalesce(s - lag(e) over w between 0 and 31, false) as nb, coalesce(lead(s) over w - e between 0 and 31, false) as na
-      from p window w as (partition by user_id order by s, e)),
-c as (select *, case when b = a and nb and na then 'interior'
-   when na and a is not null and (f or (b is not null and bi)) and b is distinct from a then 'head'
-   when nb and b is not null and (l or (a is not null and ai)) and b is distinct from a then 'tail' end as placement from n where unit is null)
-select user_id, s as start, e as "end", placement, case when placement = 'head' then a else b end as owner from c where placement is not null""")
+      coalesce(lag(lst) over w, false) as bo, coalesce(lead(fst) over w, false) as ao, lag(src) over w as bs, lead(src) over w as sa,
+      lag(s) over w is null as f, lead(s) over w is null as l,
+      coalesce(lag(unit) over w is not null and s - lag(e) over w <= 31 and not lag(amb) over w, false) as bm,
+      coalesce(lead(unit) over w is not null and lead(s) over w - e <= 31 and not lead(amb) over w, false) as am
+      from o window w as (partition by user_id order by s, e)),
+c as (select *, f or (bm and bi and bo) as bb, l or (am and ai and ao) as ab from n where unit is null)
+select user_id, s as start, e as "end", 'interior' as placement, b as owner from c where bm and am and a = b and bs < sa
+union all select user_id, s, e, 'tail', b from c where bm and bo and ab and a is distinct from b
+union all select user_id, s, e, 'head', a from c where am and ao and bb and a is distinct from b""")
 def helper_placement(spark: SparkSession, folder: str) -> DataFrame:
-    return evidence.placed_helpers(laid_out(spark, folder).drop("event_id"), ["user_id"])
+    known = F.col("unit").isNotNull()
+    source = F.when(known, F.col("event_id") * 7 % 1009 * 1000 + F.col("event_id") % 1000)
+    rows = laid_out(spark, folder).withColumns({"ambiguous": F.col("event_id") % 17 == 0, "source": source})
+    unit = Window.partitionBy("user_id", "unit")
+    rows = rows.withColumns({"first": known & (F.col("source") == F.min("source").over(unit)), "last": known & (F.col("source") == F.max("source").over(unit))})
+    return evidence.placed_helpers(rows.drop("event_id"), ["user_id"])
 
 
 @query("""
@@ -861,14 +1008,19 @@ def unit_identification(spark: SparkSession, folder: str) -> DataFrame:
     return evidence.identified(rows)
 
 
-@query(f"""with {_R}, q as (select user_id as k, unit, s, e from r where unit = 'click'), m as (select * from {_MERGE.format('q')}),
-a as (select m.k, r.unit from m join r on r.user_id = m.k and m.s <= r.s and r.s < m.e)
-select k as unit, count(*) as named, sum(case when unit = 'click' then 1 else 0 end) as own, count(*) >= 2 and 2 * sum(case when unit = 'click' then 1 else 0 end) >= count(*) as permits from a group by 1""")
+@query(f"""with {_R}, q as (select user_id as k, s, e from r where unit = 'click'), m as (select * from {_MERGE.format('q')}),
+a as (select m.k, r.unit, r.event_id from m join r on r.user_id = m.k and m.s <= r.s and r.s < m.e),
+g as (select user_id as k, count(*) as strong from r where unit in ('click', 'purchase') or event_id % 3 = 0 group by 1),
+c as (select k, count(*) as span, count(*) filter (unit in ('click', 'purchase')) as members from a group by 1)
+select g.k as unit, strong, coalesce(members, 0) as members, coalesce(span, 0) as span,
+ coalesce(members, 0) >= 2 and 2 * coalesce(members, 0) >= strong and coalesce(span, 0) <= 2 * strong as permits from g left join c using (k)""")
 def name_support(spark: SparkSession, folder: str) -> DataFrame:
     rows = ranges(spark, folder)
     held = intervals.merged(rows.where("unit = 'click'"), ["user_id"]).withColumn("unit", F.col("user_id"))
-    names = rows.select("user_id", F.col("start").alias("at"), F.when(F.col("unit") == "click", F.col("user_id")).otherwise(F.lit(-1)).alias("owner"))
-    return evidence.name_support(held, names, ["user_id"])
+    own = F.col("unit").isin("click", "purchase")
+    names = rows.select("user_id", F.col("event_id").alias("id"), F.col("start").alias("at"), F.when(own, F.col("user_id")).alias("named"))
+    strong = rows.where(own | (F.col("event_id") % 3 == 0)).groupBy(F.col("user_id").alias("unit")).agg(F.count(F.lit(1)).alias("strong"))
+    return evidence.name_support(held, names, strong, ["user_id"])
 
 
 @query(f"""with {_R}, a as (select user_id, s as source, min(s + case when user_id % 2 = 0 or s > 60 then 7 else 9 end) as target from r where unit = 'click' group by 1, 2),
@@ -924,12 +1076,12 @@ def regressions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-with s as (select c_nationkey as unit, c_mktsegment as section from customer where c_custkey % 2 = 0), t as (select distinct c_nationkey as unit, c_mktsegment as section from customer where c_custkey % 9 = 1)
+with s as (select c_nationkey as unit, c_mktsegment as section from customer where c_custkey % 2 = 0), t as (select distinct c_nationkey as unit, c_mktsegment as section from customer where c_custkey % 2 = 1 and c_acctbal > 5000)
 select unit, count(*) as ranges, bool_and(section in ('BUILDING', 'MACHINERY')) as code_only,
   count(*) filter (section not in ('BUILDING', 'MACHINERY') and not exists (select 1 from t where t.unit = s.unit and t.section = s.section)) = 0 as covered from s group by 1""")
 def section_coverage(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "customer").select("c_custkey", F.col("c_nationkey").alias("unit"), F.col("c_mktsegment").alias("section"))
-    return evidence.section_coverage(version(rows, "c_custkey", 0), rows.where("c_custkey % 9 = 1"), ["BUILDING", "MACHINERY"])
+    rows = table(spark, folder, "customer").select("c_custkey", F.col("c_nationkey").alias("unit"), F.col("c_mktsegment").alias("section"), F.col("c_acctbal").alias("bal"))
+    return evidence.section_coverage(version(rows, "c_custkey", 0), version(rows, "c_custkey", 1).where("bal > 5000"), ["BUILDING", "MACHINERY"])
 
 
 @query("""

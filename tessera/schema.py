@@ -12,9 +12,11 @@ class Thresholds:
     distinctive_size: int = 4
     contested_margin: float = 0.15
     probable_votes: int = 2
+    full_votes: int = 3
     least_confidence: float = 0.5
     rounds: int = 100
     bridge: int = 512
+    code_sections: tuple[str, ...] = (".text", ".init")
     literal_least: int = 6
     literal_most: int = 128
     size_ratio: float = 2.5
