@@ -31,6 +31,7 @@ def ledger(truth: DataFrame, before: DataFrame, after: DataFrame, foreign: DataF
         measure("unknown", a & ~c),
         measure("changed", a != b),
         measure("inexact", a != t),
+        measure("inexact_before", b != t),
     )
 
 
@@ -57,3 +58,45 @@ def precision_recall(rows: DataFrame, key: str) -> DataFrame:
     safe = lambda a, b: F.round(F.when(b > 0, a / b).otherwise(F.lit(0.0)), 6)
     checked, correct, missed = (F.col(c) for c in ("checked", "correct", "missed"))
     return out.withColumn("precision", safe(correct, checked)).withColumn("recall", safe(correct, checked + missed))
+
+
+def selection_quality() -> Column:
+    """The verdict of a body that was selected, on a ledger whose before side is empty."""
+    return (
+        F.when(F.col("attributed") + F.col("wrong_after") + F.col("changed") == 0, "no-change")
+        .when(F.col("inexact") == 0, "exact")
+        .when(F.col("newly_wrong") > 0, "incorrect")
+        .when(F.col("attributed") > 0, "partial")
+        .otherwise("unknown")
+    )
+
+
+#: Counters of a population that sum a ledger's bytes.
+_BYTES = ("gained", "lost", "newly_wrong", "wrong_after", "missed", "unknown")
+#: Counters by verdict.
+_VERDICTS = {"exact": "exact", "partial": "partial", "wrong": "incorrect", "unowned": "unowned", "unchanged": "abstained"}
+
+
+def populations(rows: DataFrame, groups: dict[str, tuple[Column, str]]) -> DataFrame:
+    """One row of 17 counters for each population; populations may overlap.
+
+    groups: name -> (condition, scope); rows have structs named by scope with outcome, proposed,
+    selected and the ledger's bytes, and regressed and lost_exactness."""
+    member = [F.when(c, F.struct(F.lit(name).alias("population"), F.col(scope).alias("x"))) for name, (c, scope) in groups.items()]
+    each = rows.select("regressed", "lost_exactness", F.explode(F.array_compact(F.array(*member))).alias("m"))
+    each = each.select("m.population", "m.x.*", "regressed", "lost_exactness")
+    count = lambda c: F.count_if(c)
+    return each.groupBy("population").agg(
+        F.count(F.lit(1)).alias("units"),
+        *(count(F.col("outcome") == o).alias(name) for name, o in _VERDICTS.items()),
+        count(F.col("proposed")).alias("proposal_recall"), count(F.col("selected")).alias("selected_exact"),
+        count(F.col("proposed") & ~F.col("selected")).alias("ranking_failures"),
+        count(F.col("regressed")).alias("regressed"), count(F.col("lost_exactness")).alias("lost_exactness"),
+        *(F.sum(c).alias(f"{c}_bytes") for c in _BYTES),
+    )
+
+
+def faults(**kinds: Column) -> Column:
+    """The kinds of fault that hold, in the order given, comma-joined; null if none does."""
+    found = F.array_compact(F.array(*(F.when(c, F.lit(k.replace("_", "-"))) for k, c in kinds.items())))
+    return F.when(F.size(found) > 0, F.array_join(found, ","))

@@ -7,7 +7,8 @@ length; groups spread over the cluster by applyInPandas.
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -95,49 +96,95 @@ def rescued(undecided: Sequence[tuple[int, list[int]]], backbone: Sequence[tuple
     ]
 
 
-def partition(pieces: Sequence[str | None], units: Sequence[str], budget: int = 4096) -> tuple[list[int], bool] | None:
-    """Ordered assignment of pieces to ordered units; a piece's value is its independent owner or None.
-
-    Returns the unit of each piece (-1: left unknown) and whether that is decisive:
-    nothing unknown or skipped and no other partition ranks as high.  None if the
-    budget of states is spent or the lists are too long to search."""
-    memo: dict[tuple[int, int], list[tuple[tuple, tuple[int, ...]]]] = {}
-    spent = 0
-
-    def solve(u: int, p: int) -> list[tuple[tuple, tuple[int, ...]]]:
-        nonlocal spent
-        if (u, p) in memo:
-            return memo[u, p]
-        spent += 1
-        if spent > budget:
-            raise OverflowError
-        found: list[tuple[tuple, tuple[int, ...]]] = []
-        if p == len(pieces):
-            found.append(((0, 0, -sum(1 for _ in units[u:])), ()))
-        else:
-            if pieces[p] is None:
-                found += [((r[0], r[1] - 1, r[2]), (-1, *way)) for r, way in solve(u, p + 1)]
-            if u < len(units):
-                own = [k for k in range(p, len(pieces)) if pieces[k] == units[u]]
-                if not own:
-                    found += [((r[0], r[1], r[2] - 1), way) for r, way in solve(u + 1, p)]
-                k = p
-                while own and k < len(pieces) and pieces[k] in (None, units[u]):
-                    if any(pieces[x] == units[u] for x in range(p, k + 1)):
-                        found += [((r[0] + 1, r[1], r[2]), (*[u] * (k + 1 - p), *way)) for r, way in solve(u + 1, k + 1)]
-                    k += 1
-        memo[u, p] = sorted(set(found), key=lambda x: x[0], reverse=True)[:2]
-        return memo[u, p]
-
-    try:
-        ways = solve(0, 0)
-    except (OverflowError, RecursionError):
-        return None
-    if not ways:
-        return None
-    rank, way = ways[0]
-    sole = len(ways) == 1 or ways[1][0] < rank
-    return list(way), rank[1] == 0 and rank[2] == 0 and sole
+@dataclass(frozen=True)
+class Piece:
+    """A stretch of an order and the unit that independent evidence gives it, if any."""
+
+    start: int
+    end: int
+    owner: str | None
+
+
+@dataclass(frozen=True)
+class Worth:
+    """What a segment is worth to a unit: independent members, whether it is complete, explained pieces, padding."""
+
+    independent: int = 0
+    complete: bool = False
+    explained: int = 0
+    padding: int = 0
+
+
+@dataclass(frozen=True)
+class Division:
+    """The outcome: decisive, ambiguous, incomplete or exhausted; the best placements (unit, start, end) and,
+    if ambiguous, a competing way and the starts of pieces that both give to their owners."""
+
+    status: str
+    best: tuple = ()
+    competing: tuple = ()
+    shared: tuple = ()
+
+
+def divide(
+    pieces: Sequence[Piece], end: int, units: Sequence[str], worth: Callable[[str, int, int], Worth | None], budget: int = 4096
+) -> Division:
+    """The best division of ordered pieces among ordered units, one contiguous segment each.
+
+    A piece without owner may stay unknown; a unit that owns no piece ahead may be skipped; a
+    segment starts at a piece, reaches to the next segment's start or ``end``, holds a piece of its
+    unit and none of another, and must have a worth.  Ways rank by units placed, few unknown, few
+    skipped, complete, independent, explained, little padding.  Only a way that leaves nothing
+    unknown or skipped is an answer, and only if no other ranks as high.
+
+    States (units done, pieces done) are worked through in order, each with its two best ways;
+    more states than the budget give no answer.
+    """
+    if len(units) < 2 or not pieces or pieces[-1].end > end or any(a.end > b.start for a, b in zip(pieces, pieces[1:], strict=False)):
+        return Division("incomplete")
+    last = {p.owner: i for i, p in enumerate(pieces)}
+    starts = [*(p.start for p in pieces), end]
+    ways: dict[tuple[int, int], list[tuple[tuple, tuple]]] = {(0, 0): [((0,) * 7, ())]}
+
+    def reach(state: tuple[int, int], gain: tuple, placed: tuple) -> None:
+        best = ways.setdefault(state, [])
+        best += [(tuple(a + b for a, b in zip(rank, gain, strict=True)), way + placed) for rank, way in ways[here]]
+        best.sort(key=lambda x: x[0], reverse=True)
+        del best[2:]
+
+    visited = 0
+    for p in range(len(pieces) + 1):
+        for u in range(len(units) + 1):
+            here = (u, p)
+            if here not in ways:
+                continue
+            visited += 1
+            if visited > budget:
+                return Division("exhausted")
+            if p < len(pieces) and pieces[p].owner is None:
+                reach((u, p + 1), (0, -1, 0, 0, 0, 0, 0), ())
+            if u == len(units):
+                continue
+            unit = units[u]
+            if last.get(unit, -1) < p:
+                reach((u + 1, p), (0, 0, -1, 0, 0, 0, 0), ((unit, None, None),))
+            member = False
+            for q in range(p, len(pieces)):
+                if pieces[q].owner not in (None, unit):
+                    break
+                member |= pieces[q].owner == unit
+                value = worth(unit, starts[p], starts[q + 1]) if member and starts[q + 1] > starts[p] else None
+                if value is not None:
+                    gain = (1, 0, 0, int(value.complete), value.independent, value.explained, -value.padding)
+                    reach((u + 1, q + 1), gain, ((unit, starts[p], starts[q + 1]),))
+    found = ways.get((len(units), len(pieces)), [])
+    if not found or found[0][0][1] or found[0][0][2]:
+        return Division("incomplete")
+    if len(found) == 1 or found[1][0] < found[0][0]:
+        return Division("decisive", found[0][1])
+    held = [{u: (a, b) for u, a, b in way if a is not None} for _, way in found]
+    shared = tuple(x.start for x in pieces if x.owner is not None and all(x.owner in h and h[x.owner][0] <= x.start and x.end <= h[x.owner][1] for h in held))
+    return Division("ambiguous", found[0][1], found[1][1], shared)
 
 
 def align_lists(pairs: DataFrame, key: str = "pair") -> DataFrame:

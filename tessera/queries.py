@@ -93,18 +93,18 @@ def name_anchor(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-with g as (select s_nationkey as nation, s_suppkey % 2 as v, count(*) as n, min(s_suppkey) as id from supplier group by 1, 2)
-select s.id as source_id, t.id as target_id, 'single' as how from g s join g t using (nation)
-where s.v = 0 and t.v = 1 and s.n = 1 and t.n = 1
+with p as (select p_partkey as id, p_partkey % 2 as v, p_name as name, p_brand || '/' || p_size as sig from part),
+g as (select sig, v, count(*) as n, min(id) as id from p group by 1, 2),
+one as (select s.sig, s.id as source_id, t.id as target_id from g s join g t using (sig) where s.v = 0 and t.v = 1 and s.n = 1 and t.n = 1)
+select source_id, target_id, 'single' as how from one
 union all
 select s.id, t.id, 'name' from
- (select s_nationkey as nation, s_name as name, min(s_suppkey) as id from supplier where s_suppkey % 2 = 0 group by 1, 2 having count(*) = 1) s
- join (select s_nationkey as nation, s_name as name, min(s_suppkey) as id from supplier where s_suppkey % 2 = 1 group by 1, 2 having count(*) = 1) t
- using (nation, name)
- where not exists (select 1 from g a join g b using (nation) where a.v = 0 and b.v = 1 and a.n = 1 and b.n = 1 and a.nation = s.nation)""")
+ (select sig, name, min(id) as id from p where v = 0 group by 1, 2 having count(*) = 1) s
+ join (select sig, name, min(id) as id from p where v = 1 group by 1, 2 having count(*) = 1) t using (sig, name)
+ where sig not in (select sig from one)""")
 def twin_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))
-    return anchors.twins(version(rows, "id", 0), version(rows, "id", 1), ["nation"])
+    rows = table(spark, folder, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.concat_ws("/", "p_brand", "p_size").alias("sig"))
+    return anchors.twins(version(rows, "id", 0), version(rows, "id", 1), ["sig"])
 
 
 @query(f"""
@@ -692,10 +692,11 @@ def transaction_apply(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-with p as (select p_name as old, p_brand as new, cast(p_size as varchar) as unit, case when p_partkey % 3 = 0 then 1 else 2 end as strength from part),
-ex as (select p_name as name, min(p_partkey) as place from part where p_partkey % 5 <> 0 group by 1
-       union all select p_brand, min(p_partkey) from part where p_brand in ('Brand#11', 'Brand#12') group by 1),
-de as (select p_brand as name, cast(p_size as varchar) as unit from part where p_partkey % 2 = 0 and p_size < 8),
+with q as (select *, p_name || ' ' || (p_partkey // 2) as old from part),
+p as (select old, p_brand || '/' || (p_partkey // 3 % 40) as new, cast(p_size as varchar) as unit, case when p_partkey % 3 = 0 then 1 else 2 end as strength from q),
+ex as (select old as name, min(p_partkey) as place from q where p_partkey % 5 <> 0 group by 1
+       union all select p_brand || '/' || (p_partkey // 3 % 40), min(p_partkey) from part where p_brand in ('Brand#11', 'Brand#12') group by 1),
+de as (select p_brand || '/' || (p_partkey // 3 % 40) as name, cast(p_size as varchar) as unit from part where p_partkey % 4 = 0),
 ow as (select p_partkey as place, cast(p_size as varchar) as unit from part where p_partkey % 3 <> 1),
 t as (select *, max(strength) over (partition by old) as top from p),
 o as (select old, min(new) as new, max(new) as hi from t where strength = top group by 1),
@@ -707,10 +708,12 @@ select old, case when new = hi then new end as new,
 def proposal_resolution(spark: SparkSession, folder: str) -> DataFrame:
     part = table(spark, folder, "part")
     unit, place = F.col("p_size").cast("string"), F.col("p_partkey").alias("place")
-    proposals = part.select(F.col("p_name").alias("old"), F.col("p_brand").alias("new"), unit.alias("unit"), F.when(F.col("p_partkey") % 3 == 0, 1).otherwise(2).alias("strength"))
-    brands = part.where(F.col("p_brand").isin("Brand#11", "Brand#12")).select(F.col("p_brand").alias("name"), place)
-    existing = part.where("p_partkey % 5 <> 0").select(F.col("p_name").alias("name"), place).unionByName(brands)
-    defined = part.where("p_partkey % 2 = 0 and p_size < 8").select(F.col("p_brand").alias("name"), unit.alias("unit"))
+    old = F.concat_ws(" ", "p_name", F.floor(F.col("p_partkey") / 2))
+    new = F.concat_ws("/", "p_brand", F.floor(F.col("p_partkey") / 3) % 40)
+    proposals = part.select(old.alias("old"), new.alias("new"), unit.alias("unit"), F.when(F.col("p_partkey") % 3 == 0, 1).otherwise(2).alias("strength"))
+    brands = part.where(F.col("p_brand").isin("Brand#11", "Brand#12")).select(new.alias("name"), place)
+    existing = part.where("p_partkey % 5 <> 0").select(old.alias("name"), place).unionByName(brands)
+    defined = part.where("p_partkey % 4 = 0").select(new.alias("name"), unit.alias("unit"))
     owners = part.where("p_partkey % 3 <> 1").select(place, unit.alias("unit"))
     return resolve.resolved(proposals, existing, defined, owners)
 
@@ -737,11 +740,12 @@ def rename_sync(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-with s as (select c_nationkey as unit, sum(c_acctbal) as source_bytes from customer where c_custkey % 2 = 0 group by 1),
-t as (select c_nationkey as unit, sum(c_acctbal) as target_bytes from customer where c_custkey % 2 = 1 group by 1)
+with s as (select c_nationkey * 10 + c_custkey // 2 % 10 as unit, sum(c_acctbal) as source_bytes from customer where c_custkey % 2 = 0 group by 1),
+t as (select c_nationkey * 10 + c_custkey // 2 % 10 as unit, sum(c_acctbal) as target_bytes from customer where c_custkey % 2 = 1 group by 1)
 select unit, round(source_bytes, 2) as source_bytes, round(target_bytes, 2) as target_bytes from s join t using (unit) where target_bytes < 0.5 * source_bytes""")
 def stunted_units(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "customer").select("c_custkey", F.col("c_nationkey").alias("unit"), F.col("c_acctbal").alias("bytes"))
+    unit = F.col("c_nationkey") * 10 + F.floor(F.col("c_custkey") / 2) % 10
+    rows = table(spark, folder, "customer").select("c_custkey", unit.alias("unit"), F.col("c_acctbal").alias("bytes"))
     out = resolve.stunted(version(rows, "c_custkey", 0), version(rows, "c_custkey", 1))
     return out.select("unit", F.round("source_bytes", 2).alias("source_bytes"), F.round("target_bytes", 2).alias("target_bytes"))
 
@@ -770,17 +774,21 @@ m as (select user_id, sum(case when t and b then e - s else 0 end) as retained,
   sum(case when t and not a then e - s else 0 end) as missed, sum(case when f and b then e - s else 0 end) as wrong_before,
   sum(case when f and a then e - s else 0 end) as wrong_after, sum(case when f and a and not b then e - s else 0 end) as newly_wrong,
   sum(case when a and not c then e - s else 0 end) as unknown, sum(case when a <> b then e - s else 0 end) as changed,
-  sum(case when a <> t then e - s else 0 end) as inexact from z group by 1)"""
+  sum(case when a <> t then e - s else 0 end) as inexact, sum(case when b <> t then e - s else 0 end) as inexact_before from z group by 1)"""
 _OUTCOME = """case when changed = 0 then 'abstained' when newly_wrong > 0 then 'incorrect' when inexact = 0 then 'exact' when attributed > 0 then 'partial' else 'unowned' end"""
 
 
 @query(f"with {_R}, {_LEDGER} select *, {_OUTCOME} as outcome from m")
 def ownership_ledger(spark: SparkSession, folder: str) -> DataFrame:
-    rows = ranges(spark, folder)
+    return ledger_of(ranges(spark, folder))
+
+
+def ledger_of(rows: DataFrame, before: bool = True) -> DataFrame:
+    """Each user's ledger, with claims of the first and of the last days of the month as before and after."""
     day, unit = F.dayofmonth("ts"), F.col("unit")
     held = unit.isin("click", "purchase")
     truth, foreign = rows.where(unit.isin("click", "view")), rows.where(~unit.isin("click", "view"))
-    book = score.ledger(truth, rows.where(held & (day <= 15)), rows.where(held & (day > 10)), foreign, rows.where("unit <> 'signup'"), ["user_id"])
+    book = score.ledger(truth, rows.where(held & (day <= 15) & F.lit(before)), rows.where(held & (day > 10)), foreign, rows.where("unit <> 'signup'"), ["user_id"])
     return book.withColumn("outcome", score.outcome())
 
 
@@ -902,25 +910,44 @@ def offset_transform(spark: SparkSession, folder: str) -> DataFrame:
     return sequence.offset_transforms(rows, "k")
 
 
+def divided(pieces: list[sequence.Piece], units: list[str]) -> sequence.Division:
+    """Pieces divided among units; a segment of more than 12 pieces without owner has no worth."""
+    total = {u: sum(p.owner == u for p in pieces) for u in units}
+
+    def worth(unit: str, start: int, end: int) -> sequence.Worth | None:
+        inside = [p for p in pieces if start <= p.start and p.end <= end]
+        own = sum(p.owner == unit for p in inside)
+        gaps = end - start - sum(p.end - p.start for p in inside)
+        return None if len(inside) - own > 12 else sequence.Worth(own, own == total[unit], len(inside) - own, gaps)
+
+    return sequence.divide(pieces, pieces[-1].end, units, worth)
+
+
 @query()
 def joint_partition(spark: SparkSession, folder: str) -> DataFrame:
-    """Each user's events as ordered pieces, assigned to the user's units in order of first sight."""
-    line = Window.partitionBy("user_id").orderBy(*_ORDER)
-    rows = ordered_events(spark, folder, "view").withColumn("k", F.row_number().over(line))
-    lists = rows.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("k", "unit"))).alias("x")).select("user_id", F.transform("x", lambda x: x["unit"]).alias("pieces"))
+    """Each order's lines, laid out by quantity, divided among the units of two lines each.
+
+    Two lines of seven have no owner; the units are those that the order's lines could have."""
+    rows = table(spark, folder, "lineitem")
+    line = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    size = F.col("l_quantity").cast("long")
+    rows = rows.select("l_orderkey", "l_partkey", size.alias("size"), F.row_number().over(line).alias("k"), F.sum(size + F.col("l_suppkey") % 2).over(line.rowsBetween(Window.unboundedPreceding, 0)).alias("stop"))
+    owner = F.when(F.col("l_partkey") % 7 > 1, F.concat(F.lit("u"), F.floor((F.col("k") - 1) / 2)))
+    pieces = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("k", (F.col("stop") - F.col("size")).alias("start"), "stop", owner.alias("owner")))).alias("x"))
 
     def run(batches):
         import pandas as pd
 
         for batch in batches:
             out = []
-            for user, pieces in zip(batch["user_id"], batch["pieces"], strict=True):
-                units = list(dict.fromkeys(p for p in pieces if p is not None))
-                found = sequence.partition(list(pieces), units)
-                out.append((user, ",".join(map(str, found[0])) if found else None, bool(found and found[1])))
-            yield pd.DataFrame(out, columns=["user_id", "assignment", "decisive"])
-
-    return lists.mapInPandas(run, "user_id long, assignment string, decisive boolean")
+            for order, x in zip(batch["l_orderkey"], batch["x"], strict=True):
+                listed = [sequence.Piece(int(p["start"]), int(p["stop"]), p["owner"]) for p in x]
+                found = divided(listed, [f"u{i}" for i in range((len(listed) + 1) // 2)])
+                show = lambda way: ",".join(f"{u}:{a}-{b}" for u, a, b in way)
+                out.append((order, found.status, show(found.best), show(found.competing), len(found.shared)))
+            yield pd.DataFrame(out, columns=["l_orderkey", "status", "best", "competing", "shared"])
+
+    return pieces.mapInPandas(run, "l_orderkey long, status string, best string, competing string, shared long")
 
 
 # --- evidence -----------------------------------------------------------------------------------

@@ -220,11 +220,56 @@ def test_transaction_round_trip_and_refusals(spark):
     assert transactions.retry_key(good).first().key == transactions.retry_key(good.repartition(3)).first().key
 
 
-def test_partition_cases():
-    assert sequence.partition(["A", "B", "C"], ["A", "B", "C"]) == ([0, 1, 2], True)
-    found = sequence.partition(["A", None, "B"], ["A", "B"])
-    assert found is not None and not found[1]
-    assert sequence.partition(["A", "B"], ["A", "B"], budget=1) is None
+def brute_divide(pieces, end, units, worth):
+    """Every way to cut the pieces, ranked."""
+    starts, ways = [*(p.start for p in pieces), end], []
+
+    def go(u, p, rank, way):
+        if u == len(units) and p == len(pieces):
+            ways.append((tuple(rank), way))
+            return
+        add = lambda *d: [a + b for a, b in zip(rank, d, strict=True)]
+        if p < len(pieces) and pieces[p].owner is None:
+            go(u, p + 1, add(0, -1, 0, 0, 0, 0, 0), way)
+        if u < len(units):
+            if all(x.owner != units[u] for x in pieces[p:]):
+                go(u + 1, p, add(0, 0, -1, 0, 0, 0, 0), [*way, (units[u], None, None)])
+            for q in range(p + 1, len(pieces) + 1):
+                owners = {x.owner for x in pieces[p:q]}
+                w = worth(units[u], starts[p], starts[q]) if units[u] in owners and owners <= {None, units[u]} else None
+                if w:
+                    go(u + 1, q, add(1, 0, 0, int(w.complete), w.independent, w.explained, -w.padding), [*way, (units[u], starts[p], starts[q])])
+
+    go(0, 0, [0] * 7, [])
+    ways.sort(key=lambda x: x[0], reverse=True)
+    if not ways or ways[0][0][1] or ways[0][0][2]:
+        return "incomplete", None
+    return ("decisive", ways[0][1]) if len(ways) == 1 or ways[1][0] < ways[0][0] else ("ambiguous", None)
+
+
+def test_division_equals_brute_force():
+    rng, seen = random.Random(3), set()
+    for _ in range(400):
+        at, pieces = 0, []
+        for i in range(rng.randrange(1, 8)):
+            at += rng.randrange(0, 3)
+            pieces.append(sequence.Piece(at, at + 2, rng.choice([None, f"u{min(i // 2, 2)}", f"u{min(i // 2, 2)}"])))
+            at += 2
+        units, n = [f"u{i}" for i in range(rng.randrange(2, 4))], rng.randrange(2, 9)
+        worth = lambda u, a, b: sequence.Worth(1, b - a > 4, (b - a) % 3, (b - a) % 2) if b - a <= 3 * n else None  # noqa: B023, E731
+        got, want = sequence.divide(pieces, at, units, worth), brute_divide(pieces, at, units, worth)
+        assert got.status == want[0]
+        assert want[1] is None or list(got.best) == want[1]
+        seen.add(got.status)
+    assert seen == {"decisive", "ambiguous", "incomplete"}
+
+
+def test_division_of_long_lists_and_spent_budgets():
+    pieces = [sequence.Piece(i, i + 1, "a" if i == 0 else "b" if i == 2999 else None) for i in range(3000)]
+    worth = lambda u, a, b: sequence.Worth(1, True, b - a, 0) if (a == 0) == (u == "a") else None
+    assert sequence.divide(pieces, 3000, ["a", "b"], worth, budget=10**6).status == "ambiguous"
+    assert sequence.divide(pieces, 3000, ["a", "b"], worth, budget=1000).status == "exhausted"
+    assert sequence.divide(pieces, 3000, ["a"], worth).status == "incomplete"
 
 
 def test_sequences():
