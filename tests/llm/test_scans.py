@@ -130,6 +130,15 @@ def test_urls(spark):
     assert {r.verdict for r in url_filter.filter_urls(pages).collect()} == {"allow"}
 
 
+def test_rules_beyond_one_cascade_are_sliced(spark, monkeypatch):
+    rules = [url_filter.Rule("block", f"h{i}.org", "/a") for i in range(40)] + [url_filter.Rule("allow", f"h{i}.org", "/a") for i in range(10)]
+    urls = [f"http://h{i}.org/{p}" for i in range(60) for p in ("a", "b")]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    want = {i: ("allow" if int(u.split("h")[2].split(".")[0]) < 10 or int(u.split("h")[2].split(".")[0]) >= 40 or u.endswith("b") else "block") for i, u in enumerate(urls)}
+    monkeypatch.setattr(url_filter, "fits", lambda count, size: count <= 15)
+    assert {r.page_id: r.verdict for r in url_filter.filter_urls(pages, rules).collect()} == want
+
+
 def test_cascade_is_exact_over_its_universe(spark):
     universe = spark.range(4000).selectExpr("concat('k', id) as key")
     cascade = url_filter.build_cascade(universe.where("hash(key) % 9 = 0"), universe)
@@ -309,6 +318,37 @@ def test_packing_fits_and_wastes_little(sizes):
         assert spans[-1][1] <= capacity[b] and capacity[b] == min(c for c in (16, 32, 64) if c >= sum(y - x for x, y in spans))
 
 
+def brute_pack(sizes, lengths):
+    """Best fit by looking at every bin and every piece each time."""
+    left, free, where = sorted(range(len(sizes)), key=lambda i: -sizes[i]), [], [0] * len(sizes)
+    while left:
+        i = left.pop(0)
+        fits = [b for b in range(len(free)) if free[b] >= sizes[i] and free[b] > 0]
+        if fits:
+            b = min(fits, key=lambda b: (free[b], b))
+        else:
+
+            def cost(c, i=i):
+                room = c - sizes[i]
+                for j in left:
+                    if 0 < sizes[j] <= room:
+                        room -= sizes[j]
+                return (c + lengths.overhead) / max(1, c - room)
+
+            free.append(min((c for c in lengths.permitted if c >= sizes[i]), key=lambda c: (cost(c), c)))
+            b = len(free) - 1
+        where[i] = b
+        free[b] -= sizes[i]
+    return where
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 64), max_size=30))
+def test_packing_equals_brute_force(sizes):
+    lengths = packing.Lengths(permitted=(16, 32, 64), overhead=4)
+    assert packing.pack(sizes, lengths)[0] == brute_pack(sizes, lengths)
+
+
 def test_packing_opens_the_size_that_costs_least():
     lengths = packing.Lengths(permitted=(16, 32, 64), overhead=4)
     assert packing.pack([8, 9, 9], lengths)[2] == [32]
