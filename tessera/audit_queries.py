@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import audit, intervals, score
-from .queries import _LEDGER, _MERGE, _OUTCOME, _R, ORACLE_SQL, ledger_of, ownership_ledger, ownership_transfers, query, ranges, table, version
+from .functions import prints
+from .operators import anchors, audit, intervals, score, sequence
+from .queries import _LEDGER, _MERGE, _OUTCOME, _R, _VOTES, ORACLE_SQL, accepted_votes, ledger_of, ownership_ledger, ownership_transfers, query, ranges, table, version
+from .schema import THRESHOLDS as T
 
 _EVEN = _R.replace("from events)", "from events where event_id % 2 = 0)")
 _SOME = "(user_id % 2 = 1 or unit in ('click', 'view')) and (user_id % 5 <> 1 or unit = 'view')"
@@ -217,3 +219,50 @@ def scope_conflicts(spark: SparkSession, folder: str) -> DataFrame:
     kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("o_orderkey") % 7 + 1).cast("int"))
     rows = table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), kind.alias("kind"), (F.col("o_custkey") % 400).alias("name"), "o_orderstatus")
     return audit.scope_conflicts(rows.where("o_orderstatus <> 'P'"), rows.where("o_orderstatus = 'P'"))
+
+
+@query("""
+with p as (select p_partkey as id, p_partkey % 2 as v, case when p_partkey % 3 > 0 then p_brand || '/' || (p_partkey // 6) end as name, p_type || '/' || (p_partkey // 8) as hash, p_size as size from part),
+un as (select v, name, min(id) as id from p where name is not null group by 1, 2 having count(*) = 1), uh as (select v, hash, min(id) as id from p where size >= 4 group by 1, 2 having count(*) = 1),
+n as (select s.id as source_id, t.id as target_id from un s join un t on s.name = t.name and s.v = 0 and t.v = 1),
+b as (select s.id as source_id, t.id as target_id from uh s join uh t on s.hash = t.hash and s.v = 0 and t.v = 1)
+select source_id, target_id, 'name' as method, 1.0::double as confidence from n
+union all select source_id, target_id, 'exact-body', 0.97::double from b where source_id not in (select source_id from n) and target_id not in (select target_id from n)""")
+def anchor_cascade(spark: SparkSession, folder: str) -> DataFrame:
+    """Anchors by name, and by body among what names leave open."""
+    key = F.col("p_partkey")
+    name = F.when(key % 3 > 0, F.concat_ws("/", "p_brand", F.floor(key / 6)))
+    rows = table(spark, folder, "part").select(key.alias("id"), name.alias("name"), F.concat_ws("/", "p_type", F.floor(key / 8)).alias("hash"), F.col("p_size").alias("size"))
+    return anchors.anchors(version(rows, "id", 0), version(rows, "id", 1))
+
+
+@query(f"""with {_VOTES}, c as (select *, round(case when "distinct" then 0.98 else least(0.95, 0.45 + 0.2 * similarity + 0.2 * least(1.0, votes / 3) + 0.15 * margin) end, 6) as confidence from best)
+select source_id, target_id, confidence, case when margin < 0.15 then 'candidate' when "distinct" then 'confident' when votes >= 2 then 'probable' else 'candidate' end as tier from c where confidence >= 0.5""")
+def match_tiers(spark: SparkSession, folder: str) -> DataFrame:
+    """The kind of evidence of each accepted pair, whatever its confidence."""
+    tier = prints.tier(F.lit("vote"), F.col("votes"), F.col("distinct"), F.col("margin") < T.contested_margin)
+    return accepted_votes(spark, folder).select("source_id", "target_id", "confidence", tier.alias("tier"))
+
+
+@query("""
+with n as (select p_partkey, case p_partkey % 6 when 0 then 'lbl_' || p_partkey when 1 then p_name || '_8000ABCD' when 2 then '0x0x' || p_partkey when 3 then 'src/' || p_partkey || '/file.v2.cpp' when 4 then '_8000ABCD' else p_name end as name from part)
+select p_partkey, name, regexp_matches(name, '^(lbl_|fn_|data_|gap_|func_)') as placeholder, regexp_matches(name, '._[0-9A-F]{8}$') as derived, regexp_replace(name, '^(0x)+', '') as bare, regexp_replace(name, '[.][^./]*$', '') as unit from n""")
+def name_predicates(spark: SparkSession, folder: str) -> DataFrame:
+    key, name = F.col("p_partkey"), F.col("p_name")
+    kinds = [F.concat(F.lit("lbl_"), key), F.concat(name, F.lit("_8000ABCD")), F.concat(F.lit("0x0x"), key), F.concat(F.lit("src/"), key, F.lit("/file.v2.cpp")), F.lit("_8000ABCD"), name]
+    rows = table(spark, folder, "part").select("p_partkey", F.element_at(F.array(*kinds), (key % 6 + 1).cast("int")).alias("name"))
+    n = F.col("name")
+    return rows.select(
+        "p_partkey", "name", prints.placeholder_name(n).alias("placeholder"), prints.address_derived(n).alias("derived"),
+        prints.without_hex_prefix(n).alias("bare"), prints.unit_key(n).alias("unit"),
+    )
+
+
+@query()
+def chain_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """The longest chain of equal parts, of equal length the heaviest, in both orders' own order, of each order and the next key."""
+    rows = table(spark, folder, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("k"), (F.col("l_partkey") % 10).alias("part"), F.col("l_quantity").cast("double").alias("w"))
+    a = version(rows, "l_orderkey", 0).select(F.col("l_orderkey").alias("pair"), F.col("k").alias("i"), "part", F.col("w").alias("wa"))
+    b = version(rows, "l_orderkey", 1).select((F.col("l_orderkey") - 1).alias("pair"), F.col("k").alias("j"), "part", F.col("w").alias("wb"))
+    edges = a.join(b, ["pair", "part"]).groupBy("pair", "i", "j").agg(F.max(F.col("wa") + F.col("wb")).alias("w"))
+    return sequence.chains(edges, "pair")

@@ -202,6 +202,20 @@ def align_lists(pairs: DataFrame, key: str = "pair") -> DataFrame:
     return pairs.mapInPandas(run, f"{key} {pairs.schema[key].dataType.simpleString()}, i long, j long, how string")
 
 
+def chains(edges: DataFrame, group: str) -> DataFrame:
+    """(group, edges, chain, weight) of each group's longest chain of edges (i, j, w), of equal length the heaviest; i:j joined by commas."""
+    kind = edges.schema[group].dataType.simpleString()
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["i", "j"])
+        every = list(zip(part["i"].tolist(), part["j"].tolist(), part["w"].tolist(), strict=True))
+        picked, weight = heaviest_chain(every)
+        text = ",".join(f"{every[x][0]}:{every[x][1]}" for x in picked)
+        return pd.DataFrame([(key[0], len(every), text, weight)], columns=[group, "edges", "chain", "weight"])
+
+    return edges.groupBy(group).applyInPandas(run, f"{group} {kind}, edges long, chain string, weight double")
+
+
 def spine(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:
     """rows of each group with ``on_spine``: whether they are on a longest increasing chain of value in order."""
     schema = rows.select(group, order, value).schema.simpleString()[7:-1].replace(":", " ")

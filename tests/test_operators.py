@@ -280,6 +280,26 @@ def test_sequences():
     assert sequence.rescued([(2, [9, 3]), (3, [4])], [(1, 1), (5, 6)]) == [(2, 3), (3, 4)]
 
 
+def test_longest_chains_equal_brute_force(spark):
+    from itertools import combinations
+
+    rng = random.Random(11)
+    data = sorted({(g, rng.randrange(6), rng.randrange(6)): rng.randrange(1, 9) for g in range(12) for _ in range(rng.randrange(1, 8))}.items())
+    edges = spark.createDataFrame([(*k, float(w)) for k, w in data], "g long, i long, j long, w double")
+    got = {r.g: (r.edges, r.weight, r.chain) for r in sequence.chains(edges, "g").collect()}
+    for g in range(12):
+        own = [(i, j, w) for (h, i, j), w in data if h == g]
+        best = (0, 0)
+        for n in range(1, len(own) + 1):
+            for c in combinations(own, n):
+                if all(a[0] < b[0] and a[1] < b[1] for a, b in zip(c, c[1:])):  # noqa: B905
+                    best = max(best, (n, sum(w for _, _, w in c)))
+        assert got[g][:2] == (len(own), best[1])
+        weight = {f"{i}:{j}": w for i, j, w in own}
+        picked = got[g][2].split(",")
+        assert (len(picked), sum(weight[x] for x in picked)) == best
+
+
 def test_ledger_of_one_user(spark):
     truth, before, after = spans(spark, (0, 10, "t")), spans(spark, (0, 4, "t")), spans(spark, (2, 12, "t"))
     book = score.ledger(truth, before, after, spans(spark, (10, 20, "f")), spans(spark, (0, 11, "c")), ["k"]).withColumn("o", score.outcome()).first()
