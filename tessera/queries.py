@@ -652,20 +652,23 @@ def footprint_components(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def changes(spark: SparkSession, folder: str) -> list[DataFrame]:
-    """A world of suppliers' ranges, and transactions that move each nation's first supplier."""
+    """A world of suppliers' ranges, and transactions that move each nation's first supplier; of seven,
+    one expects another world, one leaves an empty range and one gives overlapping ranges."""
     low = F.floor(F.col("s_acctbal") + 1000).cast("long")
     world = table(spark, folder, "supplier").select(F.col("s_suppkey").cast("string").alias("unit"), F.col("s_nationkey").alias("section"), low.alias("start"), (low + 20).alias("end"))
     first = world.withColumn("k", F.row_number().over(Window.partitionBy("section").orderBy("start", "unit"))).where("k = 1").drop("k")
     before = first.select(F.col("section").alias("txn"), "unit", F.lit("before").alias("phase"), "section", "start", "end")
     stale = F.when(F.col("txn") % 7 == 0, F.col("start") + 1).otherwise(F.col("start"))
-    after = before.withColumn("phase", F.lit("after")).withColumn("start", F.col("start") + 5).withColumn("end", F.col("end") + 5)
-    return [world, before.withColumn("start", stale).unionByName(after)]
+    moved = F.when(F.col("txn") % 7 == 1, F.col("start") + 5).otherwise(F.col("end") + 5)
+    after = before.withColumn("phase", F.lit("after")).withColumn("end", moved).withColumn("start", F.col("start") + 5)
+    twice = after.where("txn % 7 = 2").withColumns({"start": F.col("start") + 1, "end": F.col("end") + 1})
+    return [world, before.withColumn("start", stale).unionByName(after).unionByName(twice)]
 
 
 @query("""
 with w as (select s_suppkey, s_nationkey as section, cast(floor(s_acctbal + 1000) as bigint) as s from supplier),
 f as (select distinct section from w)
-select section as txn, 'world differs' as reason from f where section % 7 = 0""")
+select section as txn, case section % 7 when 0 then 'world differs' when 1 then 'empty range' else 'overlap' end as reason from f where section % 7 < 3""")
 def transaction_refusals(spark: SparkSession, folder: str) -> DataFrame:
     return transactions.refused(*changes(spark, folder))
 
@@ -681,7 +684,7 @@ def transaction_apply_undo(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""
 with w as (select s_suppkey, s_nationkey as section, cast(floor(s_acctbal + 1000) as bigint) as s, row_number() over (partition by s_nationkey order by cast(floor(s_acctbal + 1000) as bigint), cast(s_suppkey as varchar)) as k from supplier)
-select cast(s_suppkey as varchar) as unit, section, s + case when k = 1 and section % 7 <> 0 then 5 else 0 end as start, s + 20 + case when k = 1 and section % 7 <> 0 then 5 else 0 end as "end" from w""")
+select cast(s_suppkey as varchar) as unit, section, s + case when k = 1 and section % 7 > 2 then 5 else 0 end as start, s + 20 + case when k = 1 and section % 7 > 2 then 5 else 0 end as "end" from w""")
 def transaction_apply(spark: SparkSession, folder: str) -> DataFrame:
     world, moves = changes(spark, folder)
     good = moves.join(transactions.refused(world, moves).select("txn"), "txn", "left_anti")
