@@ -1,12 +1,15 @@
 """The pipeline on a small corpus, stage by stage against brute force."""
 
 import random
+import zlib
 
 import pytest
 
+from tessera.llm import packing, toxicity
+
 from .fixtures import corpus, frame, prose
 from .test_pairs import brute_lines, brute_near
-from .test_scans import brute_contained
+from .test_scans import brute_contained, brute_pack, brute_scores
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -39,6 +42,10 @@ def test_stages(spark, folder):
         after = {r.doc_id: r for r in docs.collect()}
         if name == "toxicity":
             clean = [d for d, _ in before if d < 6000]
+            marks = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1}
+            learn = sorted((d, t, marks[d]) for d, t in before if d in marks and t is not None and len(t) <= toxicity.Settings().longest)
+            scores = brute_scores(toxicity.train([t for _, t, _ in learn], [y for _, _, y in learn]), before)
+            assert all((d in after) == (x < 0.7) for d, x in scores.items() if abs(x - 0.7) > 1e-4)
             assert len([d for d in after if d >= 6000]) <= 12 and len([d for d in after if d < 6000]) >= 0.97 * len(clean)
         elif name == "line dedup":
             gone = {d: g for d, _, g in brute_lines(before)}
@@ -51,7 +58,22 @@ def test_stages(spark, folder):
             assert sorted(after) == [d for d, hits in brute_contained(before, items) if not hits]
         docs = spark.createDataFrame(list(after.values()), docs.schema)
     last = pipeline.STAGES[-1][1](spark, docs, folder)
-    assert {r.doc_id for r in last.collect()} == {r.doc_id for r in docs.collect()}
+    rows = last.collect()
+    assert {r.doc_id for r in rows} == {r.doc_id for r in docs.collect()}
+    bins, want = {}, {}
+    for r in rows:
+        bins.setdefault((r.bin_id, r.capacity), []).append(r.n_tokens)
+    lengths = packing.Lengths()
+    sizes = [n for r in docs.collect() for n in pieces_of(len((r.text or "").split()) + 1, max(lengths.permitted))]
+    for n, b in zip(sizes, brute_pack(sizes, lengths), strict=True):
+        want.setdefault(b, []).append(n)
+    full = [(min(c for c in lengths.permitted if c >= sum(x)), sorted(x)) for x in want.values()]
+    assert sorted((c, sorted(x)) for (_, c), x in bins.items()) == sorted(full)
+
+
+def pieces_of(n, most):
+    """A length cut into pieces of the largest permitted one and a rest."""
+    return [most] * ((n - 1) // most) + [n - (n - 1) // most * most]
 
 
 def test_run(spark, folder):
