@@ -10,12 +10,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .collocations import collocations
 from .decontaminate import contained_items, contaminated
 from .exact_dedup import exact_dedup
 from .html_text import extract_text
 from .line_dedup import removed_lines
 from .near_dedup import near_dedup
 from .packing import pack_documents
+from .quality import judge_quality
+from .resample import importance_resample
 from .secrets import scan_secrets
 from .substring_dedup import substring_dedup
 from .toxicity import score_toxicity
@@ -116,6 +119,20 @@ def op10_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup(table(spark, folder, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    drawn = importance_resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    judged = judge_quality(table(spark, folder, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op13_phrase_mining(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -129,6 +146,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_url_filter,
         op9_toxicity,
         op10_near_dedup,
+        op11_importance_resampling,
+        op12_quality_rules,
+        op13_phrase_mining,
     )
 }
 
@@ -267,7 +287,108 @@ select doc_id, len(ls) as n_lines, coalesce(n_removed, 0) as n_removed, coalesce
 from d left join a using (doc_id)
 """
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: CRC-32 by its polynomial: a table of 256 steps, folded over the bytes of each distinct feature.
+_SQL_RESAMPLE = rf"""
+with recursive step(b, c, k) as (
+  select b, b::bigint, 0 from range(256) r(b)
+  union all
+  select b, case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end, k + 1 from step where k < 8
+), crc(t) as (select list(c order by b) from step where k = 8
+), w as (
+  select false as target, doc_id, regexp_extract_all({_LOWER}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') as w from documents
+  union all
+  select true, item_id, regexp_extract_all({_LOWER}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') from benchmark
+), f as (
+  select target, doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as f from w
+), n as (select target, doc_id, f, count(*) as n from f group by all
+), u as (select distinct f from n
+), h as (select f, hex(encode(f)) as x from u
+), b as (
+  select f, xor(list_reduce(list_concat([4294967295], list_transform(range(1, length(x), 2), lambda i: ('0x' || substr(x, i, 2))::bigint)),
+           lambda c, v: xor(c // 256, t[xor(c % 256, v) + 1])), 4294967295) % 10000 as bucket
+  from h, crc
+), s as (select bucket, sum(n) filter (not target) as s, sum(n) filter (target) as t from n join b using (f) group by 1
+), z as (select sum(s) as s0, sum(t) as t0 from s
+), g as (
+  select bucket, floor(1000 * ln(((coalesce(t, 0) + 1)::double * (s0 + 10000)::double) / ((coalesce(s, 0) + 1)::double * (t0 + 10000)::double)))::bigint as gain
+  from s, z
+), v as (select doc_id, sum(n)::bigint as n, floor(sum(n * gain) / sum(n))::bigint as weight from n join b using (f) join g using (bucket) where not target group by 1
+), d as (
+  select w.doc_id, len(w.w) as n_words, coalesce(n, 0) as n_features, coalesce(weight, 0) as weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('7:' || w.doc_id), 8))::bigint + 0.5::double) / 4294967296::double)))::bigint as score
+  from w left join v on v.doc_id = w.doc_id where not target
+), r as (
+  select doc_id, row_number() over (order by score desc, doc_id) as rank, count(*) over () * 25 // 100 as quota from d where n_words >= 20
+)
+select doc_id, n_features::bigint as n_features, weight, score, case when rank <= quota then rank end as rank from d left join r using (doc_id)
+"""
+
+_SQL_QUALITY = r"""
+with d as (
+  select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls
+  from documents
+), p as (
+  select doc_id, unnest(range(1, len(w) - 1)) as i, w from d where len(w) > 3
+), g as (
+  select doc_id, i, count(*) over (partition by doc_id, w[i], w[i + 1], w[i + 2]) as n from p
+), c as (
+  select doc_id, count(distinct j) as n from (select doc_id, unnest([i, i + 1, i + 2]) as j from g where n > 1) group by 1
+), m as (
+  select doc_id, t, w, len(ls) as n_lines, len(w) as n_words, length(array_to_string(w, '')) as word_chars,
+         len(regexp_extract_all(t, '[#*$%&|<>]')) as n_symbols, len(ls) - len(list_distinct(ls)) as n_dup_lines,
+         coalesce(c.n, 0) as n_repeat_words
+  from d left join c using (doc_id)
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+       not (n_words < 50 or 100 * n_repeat_words > 50 * n_words
+            or 100 * n_symbols > 10 * n_words
+            or word_chars < 2 * n_words or word_chars > 15 * n_words
+            or 100 * n_dup_lines > 50 * n_lines
+            or 100 * len(regexp_extract_all(t, '!')) > 50 * n_words
+            or 100 * len(regexp_extract_all(t, '\p{Lu}\p{Lu}+')) > 50 * n_words
+            or 100 * len(regexp_extract_all(t, '(\.\.\.|…)[\x20\x09\x0D]*(\n|\z)')) > 30 * n_lines
+            or 100 * len(regexp_extract_all(t, '(\A|\n)[\x20\x09]*[-*•‣◦][\x20\x09]')) > 90 * n_lines
+            or 100 * len(list_filter(w, lambda x: not regexp_matches(x, '\p{L}'))) > 50 * n_words) as kept
+from m
+"""
+
+_SQL_PHRASES = rf"""
+with d as (
+  select doc_id, coalesce(lang, 'und') as lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) as piece from documents
+), p as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from d
+), o as (
+  select lang, unnest(w) as phrase, 1 as size from p
+  union all
+  select lang, unnest(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' '))), 2 from p
+  union all
+  select lang, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))), 3 from p
+), f as (select lang, phrase, size, count(*) as f from o group by all
+), n as (select lang, sum(f) as n from f where size = 1 group by 1
+), c as (select lang, phrase, size, f as a, string_split(phrase, ' ') as w from f where size > 1 and f >= 10
+), x as (
+  select c.lang, c.phrase, size, a, k, array_to_string(w[:k], ' ') as head, array_to_string(w[k + 1:], ' ') as tail
+  from c, lateral (select unnest(range(1, size)) as k)
+), s as (
+  select x.lang, x.phrase, x.size, a, k, l.f as l, r.f as r, (1000000::hugeint * a * a) // (l.f::hugeint * r.f) as score
+  from x join f l on l.lang || ':' || l.phrase = x.lang || ':' || head join f r on r.lang || ':' || r.phrase = x.lang || ':' || tail
+), b as (select * from s qualify row_number() over (partition by lang, phrase order by score, k) = 1
+), long as (
+  select lang, array_to_string(w[j:j + 1], ' ') as phrase, max(a) as covered from (select lang, a, w, unnest([1, 2]) as j from c where size = 3) group by 1, 2
+), k as (
+  select b.*, row_number() over (partition by lang order by score desc, a desc, phrase) as rank
+  from b left join long using (lang, phrase) where covered is null or 100 * covered < 50 * a
+)
+select lang, rank, phrase, a, l, r, n::bigint as n, score::bigint as score from k join n using (lang) where rank <= 2000
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_importance_resampling": _SQL_RESAMPLE,
+    "op12_quality_rules": _SQL_QUALITY,
+    "op13_phrase_mining": _SQL_PHRASES,
     "op4_line_dedup": _SQL_LINES,
     "op1_substring_dedup": _SQL_SUBSTRING,
     "op3_decontamination": _SQL_CONTAINED,
