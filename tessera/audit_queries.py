@@ -258,7 +258,14 @@ def name_predicates(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query()
+@query("""with recursive l as (select l_orderkey, l_linenumber as k, l_partkey % 10 as part, l_quantity as w from lineitem),
+e as (select a.l_orderkey as pair, a.k as i, b.k as j, max(a.w + b.w) as w from l a join l b on b.l_orderkey = a.l_orderkey + 1 and a.part = b.part where a.l_orderkey % 2 = 0 group by 1, 2, 3),
+c as (select pair, i, j, 1 as n, w, [(i, j)] as path from e union all
+      select e.pair, e.i, e.j, n + 1, c.w + e.w, list_append(path, (e.i, e.j)) from c join e on e.pair = c.pair and e.i > c.i and e.j > c.j),
+r as (select *, row_number() over (partition by pair order by n desc, w desc, path[-1] desc, list_reverse(path[:-2])) as k, max(n) over (partition by pair) as longest from c),
+s as (select pair, max(w) as second from r where k > 1 and n = longest group by 1)
+select r.pair, (select count(*) from e where e.pair = r.pair) as edges, array_to_string(list_transform(path, lambda x: x[1] || ':' || x[2]), ',') as chain, w as weight, coalesce(second, 0) as second
+from r left join s on s.pair = r.pair where k = 1""")
 def chain_alignment(spark: SparkSession, folder: str) -> DataFrame:
     """The longest chain of equal parts, of equal length the heaviest, in both orders' own order, of each order and the next key."""
     rows = table(spark, folder, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("k"), (F.col("l_partkey") % 10).alias("part"), F.col("l_quantity").cast("double").alias("w"))

@@ -68,30 +68,59 @@ def disjoint_only(ranges: DataFrame, keys: Sequence[str]) -> DataFrame:
     return ranges.withColumn("__clear", clear).where("__clear").drop("__clear")
 
 
-def _bins(df: DataFrame, low: Column, high: Column, width: int) -> DataFrame:
-    return df.withColumn("__bin", F.explode(F.sequence(F.floor(low / width), F.floor(high / width))))
+#: Bins of a level are this many times as wide as those of the level below.
+_STEP = 16
+
+
+def _level(low: Column, high: Column, width: int) -> Column:
+    """The least level at which [low, high] lies in at most 17 bins; level k has bins of width * 16**k."""
+    return F.greatest(F.lit(0), F.ceil(F.log(float(_STEP), (high - low + 1).cast("double") / (width * _STEP)))).cast("int")
+
+
+def _bins(df: DataFrame, low: Column, high: Column, width: int, top: Column, own: str) -> DataFrame:
+    """``df`` with a row for each bin that [low, high] meets, at its own level and at all up to ``top``.
+
+    Two ranges meet at the larger of their levels; a range has 17 bins there at most, and two above."""
+    df = df.withColumns({own: _level(low, high, width), "__top": top})
+    df = df.withColumn("__k", F.explode(F.sequence(F.col(own), F.greatest("__top", own)))).drop("__top")
+    return df.withColumn("__bin", F.explode(F.sequence(_bin(low, width), _bin(high, width))))
+
+
+def _bin(at: Column, width: int) -> Column:
+    """The number of the bin of level __k that holds a position."""
+    return F.floor(at / (width * F.pow(F.lit(float(_STEP)), F.col("__k")))).cast("long")
+
+
+def _top(ranges: DataFrame, low: Column, high: Column, width: int) -> Column:
+    """The highest level of any range, as a subquery."""
+    return F.coalesce(ranges.agg(F.max(_level(low, high, width))).scalar(), F.lit(0))
 
 
 def owners_at(points: DataFrame, ranges: DataFrame, keys: Sequence[str], width: int = 256) -> DataFrame:
     """points (keys, id, at) with the one unit that covers each; null for none or several."""
-    asked = points.withColumn("__bin", F.floor(F.col("at") / width))
-    held = _bins(ranges.where("start < end"), F.col("start"), F.col("end") - 1, width)
-    hit = asked.join(held.select(*keys, "__bin", "unit", "start", "end"), [*keys, "__bin"]).where("start <= at and at < end")
+    held = ranges.where("start < end").select(*keys, "unit", "start", "end")
+    low, high = F.col("start"), F.col("end") - 1
+    asked = _bins(points, F.col("at"), F.col("at"), width, _top(held, low, high, width), "__of_point")
+    held = _bins(held, low, high, width, F.lit(0), "__of_range").where("__k = __of_range")
+    hit = asked.join(held, [*keys, "__k", "__bin"]).where("start <= at and at < end")
     one = hit.groupBy(*keys, "id").agg(F.min("unit").alias("lo"), F.max("unit").alias("hi"))
     owner = one.select(*keys, "id", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("owner"))
     return points.join(owner, [*keys, "id"], "left")
 
 
 def overlapping(left: DataFrame, right: DataFrame, keys: Sequence[str], width: int = 256, touching: bool = False) -> DataFrame:
-    """Pairs of ranges that overlap (or touch); the right side's columns must have other names: start2, end2."""
+    """Pairs of ranges that overlap (or touch); the right side's columns must have other names: start2, end2.
+
+    A range costs at most 17 rows and two for each level that longer ranges need, however long it is."""
     extra = 0 if touching else -1
-    a = _bins(left, F.col("start"), F.col("end") + extra, width)
-    b = _bins(right, F.col("start2"), F.col("end2") + extra, width)
+    sides = ((left, "start", "end", "__left"), (right, "start2", "end2", "__right"))
+    tops = [_top(df, F.col(a), F.col(b) + extra, width) for df, a, b, _ in sides]
+    a, b = (_bins(df.where(F.col(s) <= F.col(e) + extra), F.col(s), F.col(e) + extra, width, top, own) for (df, s, e, own), top in zip(sides, reversed(tops), strict=True))
     meet = (F.col("start") <= F.col("end2")) & (F.col("start2") <= F.col("end"))
     if not touching:
         meet = (F.col("start") < F.col("end2")) & (F.col("start2") < F.col("end"))
-    home = F.col("__bin") == F.floor(F.greatest("start", "start2") / width)
-    return a.join(b, [*keys, "__bin"]).where(meet & home).drop("__bin")
+    home = (F.col("__bin") == _bin(F.greatest("start", "start2"), width)) & (F.col("__k") == F.greatest("__left", "__right"))
+    return a.join(b, [*keys, "__k", "__bin"]).where(meet & home).drop("__k", "__bin", "__left", "__right")
 
 
 def transfers(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFrame:

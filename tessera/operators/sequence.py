@@ -1,7 +1,10 @@
 """Alignment of ordered lists: common subsequences, increasing chains, partitions.
 
 Each group is one pair of lists (or one run of pieces) and is bounded by its
-length; groups spread over the cluster by applyInPandas.
+length; groups spread over the cluster by applyInPandas.  Chains are found by two sweeps
+over a Fenwick tree, in E log E steps: the best chain that ends at each edge, and the best
+that starts there.  Together they give the best chain through every edge, so the best chain
+that differs from the chosen one needs no second search.
 """
 
 from __future__ import annotations
@@ -59,25 +62,56 @@ def increasing(values: Sequence) -> list[int]:
     return out[::-1]
 
 
-def heaviest_chain(edges: Sequence[tuple[int, int, float]]) -> tuple[list[int], float]:
-    """Indices and weight of the longest chain increasing on both sides; of equal length, the heaviest."""
-    order = sorted(range(len(edges)), key=lambda e: edges[e][:2])
-    best: dict[int, tuple[int, float, int]] = {}
-    for e in order:
-        s, t, w = edges[e]
-        top = (0, 0.0, -1)
-        for p in order:
-            if p in best and edges[p][0] < s and edges[p][1] < t and best[p][:2] > top[:2]:
-                top = (best[p][0], best[p][1], p)
-        best[e] = (top[0] + 1, top[1] + w, top[2])
-    if not best:
-        return [], 0.0
-    e = max(order, key=lambda x: best[x][:2])
-    weight, out = best[e][1], []
-    while e >= 0:
-        out.append(e)
-        e = best[e][2]
-    return out[::-1], weight
+#: Length, score, and what prefers the earlier of equals.
+_Best = tuple[int, float, int]
+_NOTHING: _Best = (0, 0.0, 0)
+
+
+def _ends(edges: Sequence[tuple[int, int, float]]) -> list[_Best]:
+    """For each edge (sorted by i) the best chain that ends there, with the place of the edge before it as -1 - place."""
+    columns = {j: k for k, j in enumerate(sorted({j for _, j, _ in edges}), 1)}
+    tree = [_NOTHING] * (len(columns) + 1)
+    out: list[_Best] = []
+    open_from = 0
+    for e, (i, j, w) in enumerate(edges):
+        if edges[open_from][0] != i:
+            for p in range(open_from, e):  # edges of one i do not follow each other
+                k, value = columns[edges[p][1]], (out[p][0], out[p][1], -1 - p)
+                while k < len(tree):
+                    if value > tree[k]:
+                        tree[k] = value
+                    k += k & -k
+            open_from = e
+        k, best = columns[j] - 1, _NOTHING
+        while k:
+            if tree[k] > best:
+                best = tree[k]
+            k -= k & -k
+        out.append((best[0] + 1, best[1] + w, best[2]))
+    return out
+
+
+def best_chain(edges: Sequence[tuple[int, int, float]]) -> tuple[list[int], float, float]:
+    """Places, score and runner-up score of the longest chain that rises in i and j, of equal length the heaviest.
+
+    Edges are sorted by i; of equal predecessors the first counts, of equal chains the last.
+    The runner-up is the best other chain of the same length, 0 if there is none."""
+    if not edges:
+        return [], 0.0, 0.0
+    ends = _ends(edges)
+    back = [(-i, -j, w) for i, j, w in reversed(edges)]
+    starts = _ends(back)[::-1]
+    last = max(range(len(edges)), key=lambda e: (ends[e][:2], e))
+    length, score = ends[last][:2]
+    picked, e = [], last
+    while True:
+        picked.append(e)
+        if not ends[e][2]:
+            break
+        e = -1 - ends[e][2]
+    used = set(picked)
+    through = (a[1] + b[1] - x[2] for e, (a, b, x) in enumerate(zip(ends, starts, edges, strict=True)) if e not in used and a[0] + b[0] - 1 == length)
+    return picked[::-1], score, max(through, default=0.0)
 
 
 def rescued(undecided: Sequence[tuple[int, list[int]]], backbone: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -203,17 +237,19 @@ def align_lists(pairs: DataFrame, key: str = "pair") -> DataFrame:
 
 
 def chains(edges: DataFrame, group: str) -> DataFrame:
-    """(group, edges, chain, weight) of each group's longest chain of edges (i, j, w), of equal length the heaviest; i:j joined by commas."""
+    """(group, edges, chain, weight, second) of each group's longest chain of edges (i, j, w), of equal length the heaviest; i:j joined by commas.
+
+    ``second`` is the weight of the best other chain of that length, 0 if there is none."""
     kind = edges.schema[group].dataType.simpleString()
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["i", "j"])
         every = list(zip(part["i"].tolist(), part["j"].tolist(), part["w"].tolist(), strict=True))
-        picked, weight = heaviest_chain(every)
+        picked, weight, second = best_chain(every)
         text = ",".join(f"{every[x][0]}:{every[x][1]}" for x in picked)
-        return pd.DataFrame([(key[0], len(every), text, weight)], columns=[group, "edges", "chain", "weight"])
+        return pd.DataFrame([(key[0], len(every), text, weight, second)], columns=[group, "edges", "chain", "weight", "second"])
 
-    return edges.groupBy(group).applyInPandas(run, f"{group} {kind}, edges long, chain string, weight double")
+    return edges.groupBy(group).applyInPandas(run, f"{group} {kind}, edges long, chain string, weight double, second double")
 
 
 def spine(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:

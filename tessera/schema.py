@@ -35,6 +35,20 @@ class Thresholds:
     same_name: float = 0.9
     stunted: float = 0.5
     padding: int = 31
+    sequence_functions: int = 4
+    sequence_match: float = 0.75
+    sequence_order: float = 0.9
+    sequence_bytes: int = 512
+    sequence_cover: float = 0.4
+    sequence_strong: int = 2
+    sequence_anchors: int = 2
+    sequence_anchor: int = 16
+    sequence_margin: float = 0.1
+    layout_functions: int = 4
+    layout_bytes: int = 1024
+    layout_changed: int = 16
+    layout_size: float = 0.02
+    layout_count: int = 1
 
 
 THRESHOLDS = Thresholds()

@@ -276,7 +276,7 @@ def test_sequences():
     assert sequence.common_subsequence("abcde", "xbdcey") in ([(1, 1), (3, 2), (4, 4)], [(1, 1), (2, 3), (4, 4)])
     assert list(sequence.filled([(1, 1), (4, 4)], 6, 7)) == [(0, 0), (2, 2), (3, 3)]
     assert sequence.increasing([5, 1, 2, 9, 3]) == [1, 2, 4]
-    assert sequence.heaviest_chain([(0, 0, 1.0), (1, 1, 1.0), (1, 2, 5.0), (2, 1, 9.0)]) == ([0, 3], 10.0)
+    assert sequence.best_chain([(0, 0, 1.0), (1, 1, 1.0), (1, 2, 5.0), (2, 1, 9.0)]) == ([0, 3], 10.0, 6.0)
     assert sequence.rescued([(2, [9, 3]), (3, [4])], [(1, 1), (5, 6)]) == [(2, 3), (3, 4)]
 
 
