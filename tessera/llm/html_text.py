@@ -7,8 +7,9 @@ are the capacities to the two terminals.  Blocks that follow each other, and
 blocks of one parent that do not, are tied by smoothness edges that cost the more
 to cut the closer they are in the DOM.  The minimum cut gives the labelling of
 least total cost.  Blocks whose terminal outweighs all their ties are labelled
-first, which leaves most pages without any search; the rest is solved by
-augmenting paths.
+first, which leaves most pages without any search; the rest is solved by blocking
+flows.  Reading a page takes time in proportion to its length, however deep or broken
+its markup: open elements are kept by tag, so no end tag walks the stack in vain.
 """
 
 from __future__ import annotations
@@ -80,7 +81,9 @@ class Node:
     bias: float
     dropped: bool
     parent: Node | None
-    inside: bool = False
+    inside: bool = False  # an article or main element
+    within: bool = False  # that, or an element whose name says so
+    in_p: bool = False  # the nearest block is an open paragraph
 
 
 @dataclass
@@ -92,30 +95,31 @@ class Block:
     cost: float = field(default=0.0)
 
 
-def _bias(tag: str, attributes: str, inside: bool) -> tuple[float, bool]:
-    """The bias that an element adds for all below it, and whether it is hidden."""
-    score, hidden = 0.0, False
+def _bias(tag: str, attributes: str, within: bool) -> tuple[float, bool, bool]:
+    """The bias that an element adds for all below it, whether it is hidden, and whether its name is that of a text."""
+    score, hidden, named = 0.0, False, False
     if tag in BOILER_TAGS:
-        score += BOILER_TAGS[tag] if not (inside and tag == "header") else 1.0
+        score += BOILER_TAGS[tag] if not (within and tag == "header") else 1.0
     elif tag in CONTENT_TAGS:
         score -= CONTENT_TAGS[tag]
     if attributes:
         for m in _NAMES.finditer(attributes):
             name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
             if name in ("class", "id"):
-                if inside and _DOUBTFUL_NAME.search(value) and not _BOILER_NAME.search(_DOUBTFUL_NAME.sub(" ", value)):
+                if within and _DOUBTFUL_NAME.search(value) and not _BOILER_NAME.search(_DOUBTFUL_NAME.sub(" ", value)):
                     score += 3.0
                 elif _BOILER_NAME.search(value):
                     score += 8.0 if tag not in ("body", "html") else 0.0
                 elif _CONTENT_NAME.search(value):
                     score -= 2.0
+                    named = tag not in ("body", "html")
             elif name == "role":
                 score += _ROLES.get(value, -2.0 if value in ("main", "article") else 0.0)
             elif name == "style":
                 hidden |= "display:none" in value.replace(" ", "")
             else:
                 hidden |= name == "hidden" or value == "true"
-    return score, hidden
+    return score, hidden, named and score < 0
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -125,6 +129,17 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     linked, links, at, n = 0, 0, 0, len(page)
+    opened: dict[str, list[Node]] = {}  # the open elements of each tag, outermost first
+    lists: list[Node] = []
+
+    def close(node: Node) -> None:
+        """Closes the open elements down to ``node``."""
+        nonlocal top
+        while top is not node.parent:
+            opened[top.tag].pop()
+            if top.tag in LISTS:
+                lists.pop()
+            top = top.parent
 
     def flush() -> None:
         nonlocal parts, links
@@ -158,51 +173,42 @@ def blocks_of(page: str) -> list[Block]:
                 linked = max(0, linked - 1)
             if tag == "p" or tag in BLOCK:
                 flush()
-            node = top
-            while node.parent is not None and node.tag != tag:
-                if node.tag in LISTS and tag in CLOSED_BY:
-                    break
-                node = node.parent
-            if node.tag == tag and node.parent is not None:
-                top = node.parent
+            node = opened[tag][-1] if opened.get(tag) else None
+            if node is not None and not (tag in CLOSED_BY and lists and lists[-1].depth > node.depth):
+                close(node)
             continue
         if tag == "br":
             add(" ")
             continue
         if tag in BLOCK:
             flush()
-            while top.tag == "p" or top.tag in ("b", "i", "em", "strong", "u", "span", "a", "font", "small") and _in_p(top):
+            while top.tag == "p" or top.tag in ("b", "i", "em", "strong", "u", "span", "a", "font", "small") and top.in_p:
                 linked = 0 if top.tag == "a" else linked
-                top = top.parent
-        for closes in (CLOSED_BY.get(top.tag),):
-            if closes and tag in closes and top.parent is not None:
-                top = top.parent
+                close(top)
+        if tag in CLOSED_BY.get(top.tag, ()):
+            close(top)
         if tag in VOID:
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        bias, hidden = _bias(tag, attributes, top.inside)
-        hidden |= tag == "button" and not _in_p(top)
+        bias, hidden, named = _bias(tag, attributes, top.within)
+        hidden |= tag == "button" and not top.in_p
         count += 1
         top = Node(
             tag, attributes.strip(), count, top.depth + 1, top.bias + bias, top.dropped or hidden or tag in DROPPED, top,
-            top.inside or tag in CONTENT_TAGS,
+            top.inside or tag in CONTENT_TAGS, top.within or named or tag in CONTENT_TAGS, tag == "p" or (tag not in BLOCK and top.in_p),
         )
+        opened.setdefault(tag, []).append(top)
+        if tag in LISTS:
+            lists.append(top)
         if tag == "a":
             linked += 1
     flush()
     return out
 
 
-def _in_p(node: Node) -> bool:
-    """Whether an inline element stands in an open paragraph (which a block ends)."""
-    while node is not None and node.tag not in BLOCK:
-        node = node.parent
-    return node is not None and node.tag == "p"
-
-
 def classify(blocks: Sequence[Block]) -> list[float]:
     """Cost of calling each block content minus that of calling it boilerplate."""
     article = any(b.node.inside for b in blocks)
@@ -218,8 +224,10 @@ def classify(blocks: Sequence[Block]) -> list[float]:
             cost -= 0.5
         if article and not b.node.inside:
             cost += 6.0
-        elif not article and size < 40:
+        elif not article and size < 40 and b.tag != "p":
             cost += 1.0
+        if b.text[0] == "©":
+            cost += 3.0
         costs.append(cost)
     return costs
 
@@ -290,34 +298,52 @@ def _max_flow(rest: list[int], pull: list[float], near: list[dict[int, float]])
     """Blocks on the content side of the cut: those that residual flow from the source reaches.
 
     The source feeds blocks that want to be content; the sink takes from the others.
-    Shortest augmenting paths (breadth first).
+    Blocking flows: each phase ranks blocks by their distance from the source and fills
+    all shortest paths, trying no edge twice.
     """
     supply = {i: -pull[i] for i in rest if pull[i] < 0}
     demand = {i: pull[i] for i in rest if pull[i] > 0}
     residual = {i: dict(near[i]) for i in rest}
     while True:
-        came: dict[int, int | None] = {i: None for i in rest if supply.get(i, 0.0) > 1e-12}
-        queue, sink = deque(came), None
-        while queue and sink is None:
+        level = {i: 0 for i in rest if supply.get(i, 0.0) > 1e-12}
+        queue, found = deque(level), False
+        while queue:
             i = queue.popleft()
-            if demand.get(i, 0.0) > 1e-12:
-                sink = i
-                break
+            found |= demand.get(i, 0.0) > 1e-12
             for j, w in residual[i].items():
-                if w > 1e-12 and j not in came:
-                    came[j] = i
+                if w > 1e-12 and j not in level:
+                    level[j] = level[i] + 1
                     queue.append(j)
-        if sink is None:
-            return set(came)
-        path = [sink]
-        while came[path[-1]] is not None:
-            path.append(came[path[-1]])
-        flow = min(supply[path[-1]], demand[sink], *(residual[b][a] for a, b in zip(path, path[1:], strict=False)))
-        supply[path[-1]] -= flow
-        demand[sink] -= flow
-        for a, b in zip(path, path[1:], strict=False):
-            residual[b][a] -= flow
-            residual[a][b] += flow
+        if not found:
+            return set(level)
+        near_of, at = {i: list(residual[i]) for i in level}, dict.fromkeys(level, 0)
+        for start in [i for i, k in level.items() if k == 0]:
+            path = [start]
+            while path:
+                i = path[-1]
+                if demand.get(i, 0.0) > 1e-12:
+                    flow = min(supply[start], demand[i], *(residual[a][b] for a, b in zip(path, path[1:], strict=False)))
+                    supply[start] -= flow
+                    demand[i] -= flow
+                    for a, b in zip(path, path[1:], strict=False):
+                        residual[a][b] -= flow
+                        residual[b][a] += flow
+                    if supply[start] <= 1e-12:
+                        break
+                    full = next((k for k, (a, b) in enumerate(zip(path, path[1:], strict=False)) if residual[a][b] <= 1e-12), None)
+                    if full is not None:
+                        del path[full + 1 :]
+                    continue
+                while at[i] < len(near_of[i]):
+                    j = near_of[i][at[i]]
+                    if residual[i][j] > 1e-12 and level.get(j) == level[i] + 1:
+                        path.append(j)
+                        break
+                    at[i] += 1
+                else:
+                    path.pop()
+                    if path:
+                        at[path[-1]] += 1
 
 
 def main_text(page: str | None) -> str:
@@ -332,8 +358,11 @@ def main_text(page: str | None) -> str:
 def extract_text(df: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
     """``df`` with the main text of each page.
 
-    Null and empty pages, and pages without content, give an empty text.  Pages
-    are read whole; markup cut off at the end is read as far as it goes.  A
+    Null and empty pages, and pages without content, give an empty text; an
+    empty table gives an empty result.  Pages are read whole, in time that
+    follows their length (some seconds for 4 MB of any markup); markup cut off
+    at the end is read as far as it goes.  Repeated rows give equal texts, each
+    by itself; nothing is compared across rows, so there are no ties.  A
     column named ``text_col`` is replaced, all others pass through.
     """
 

@@ -181,7 +181,7 @@ def test_minimum_cut_is_least(data):
 LONG = "This sentence of a paragraph is long enough to count as a part of the text of an article, with commas."
 CUTS = {
     "short lines among paragraphs": (
-        f"<body><div><p>{LONG}</p><p>Why not</p><p>{LONG}</p><p>{LONG}</p></div></body>",
+        f"<body><div><p>{LONG}</p><div>Why not</div><p>{LONG}</p><p>{LONG}</p></div></body>",
         [LONG, "Why not", LONG, LONG],
     ),
     "a long item of a list of links": (
@@ -230,6 +230,32 @@ def test_article_content_stays_and_markup_goes():
         assert got.startswith(LONG + "\n") and got.endswith("Hello world, this is text.") and "<" not in got and "class" not in got
 
 
+def test_short_paragraphs_and_doubtful_names_within_a_text_stay():
+    assert html_text.main_text("<h1>Title of it</h1><p>Short one.</p><p>Another short.</p>") == "Title of it\nShort one.\nAnother short."
+    prose_ = LONG + " And some more words follow it, so that it is a paragraph of prose."
+    page = f"<body><div class='entry'><p>{LONG}</p><section class='tags-and-tools'><p>{prose_}</p></section></div><p>© 2020 Someone</p></body>"
+    assert html_text.main_text(page) == f"{LONG}\n{prose_}"
+
+
+HARD = {
+    "blocks between content and boilerplate": "<body>" + "".join(f"<ul><li><a href=/>Home {i}</a><li>Item of text {i}.</ul><div>one two three</div><p>{LONG}</p>" for i in range(24_000)),
+    "siblings of one look": "<body><ul>" + "".join(f"<li><a href=/>More of {i}</a> {'w' * (20 + i * 7 % 70)}" for i in range(50_000)),
+    "stray end tags": "<body>" + "<div>" * 20_000 + "x</section></li>" * 240_000,
+    "stray items in deep lists": "<body><ul><li><ul>" + "<span>" * 200_000 + "</li>" * 500_000,
+    "blocks in open paragraphs": "<body><p>" + "<b>" * 200_000 + "<div>a</div>" * 260_000,
+    "depth": "<div>" * 300_000 + "text " + "</div>a" * 360_000,
+    "unclosed quotes": "<p class='y\">a b c" * 220_000,
+    "unclosed comments": "<!-- " * 800_000,
+}
+
+
+@pytest.mark.parametrize("name", HARD)
+def test_hard_pages_of_some_megabytes_take_seconds(name):
+    began = time.process_time()
+    html_text.main_text(HARD[name])
+    assert len(HARD[name]) > 3_500_000 and time.process_time() - began < 10
+
+
 def test_pages_of_an_empty_table_repeated_rows_and_a_long_page(spark):
     assert html_text.extract_text(spark.createDataFrame([], "page_id long, html string")).collect() == []
     page = "<article>" + f"<p>{LONG}</p>" * 3000 + "</article>"
