@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ._words import NOT_ALNUM, Words, chunks, grams
 
@@ -108,7 +109,7 @@ def document_sets(words: Words, k: int) -> Iterator[np.ndarray]:
             yield grams(h[a:b], b - a, salt=1) if b > a else np.zeros(0, _U)
 
 
-def _search(held):
+def _search(held, listed: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = held.value
         for batch in batches:
@@ -129,16 +130,13 @@ def _search(held):
                     pairs = items.contained(np.unique(hits), whole) if len(hits) else []
                     found.append([{"item": items.ids[i], "common": n, "of": len(items.sets[i])} for i, n in pairs])
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(batch.num_columns) if i != 1), pa.array(found, _HITS)],
+                [*(batch.column(i) for i in range(batch.num_columns) if i != 1), pa.array(found, listed)],
                 [*(n for i, n in enumerate(batch.schema.names) if i != 1), "hits"],
             )
 
     return run
 
 
-_HITS = pa.list_(pa.struct([("item", pa.int64()), ("common", pa.int64()), ("of", pa.int64())]))
-
-
 def contained_items(
     docs: DataFrame,
     items: DataFrame,
@@ -155,32 +153,37 @@ def contained_items(
     Words are runs of letters and digits, A-Z lower-cased, so case and punctuation
     do not matter.  Texts of fewer than ``shingle`` words are one shingle, which
     only an equally short text can contain; texts without words contain and match
-    nothing.  Null item ids are ignored; an item id that stands on several rows
-    gives a hit for each row that matches.  Repeated documents repeat the result.
+    nothing.  Item ids keep their type; null ones are ignored, and an item id that
+    stands on several rows gives a hit for each row that matches.  Repeated documents
+    repeat the result.  Texts of any length are read whole; without documents the
+    result is empty, without items every list of hits is.  Other columns of both
+    tables are ignored, whatever their names.
     """
     spark = docs.sparkSession
-    known = items.select(items[item_col].cast("long").alias("id"), items[item_text_col].alias("text")).where(
+    known = items.select(items[item_col].alias("id"), items[item_text_col].alias("text")).where(
         "id is not null and text is not null"
     )
     total = known.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_chars))
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    hits = "hits array<struct<item: bigint, common: bigint, of: bigint>>"
+    item = known.schema["id"].dataType
+    listed = f"array<struct<item: {item.simpleString()}, common: bigint, of: bigint>>"
+    hits, arrow = f"hits {listed}", pa.list_(pa.struct([("item", to_arrow_type(item)), ("common", pa.int64()), ("of", pa.int64())]))
     if blocks == 1:
-        found = rows.mapInArrow(_search(_held(spark, known, shingle, percent)), f"id {kind}, {hits}")
+        found = rows.mapInArrow(_search(_held(spark, known, shingle, percent), arrow), f"id {kind}, {hits}")
     else:
         keyed = rows.select("id", "text", F.sha2("text", 256).alias("sha"))
         found = keyed.select("id", "sha")
         parts = None
         for b in range(blocks):
             block = known.where(F.pmod(F.xxhash64("text", "id"), F.lit(blocks)) == b)
-            part = keyed.mapInArrow(_search(_held(spark, block, shingle, percent)), f"id {kind}, sha string, {hits}")
+            part = keyed.mapInArrow(_search(_held(spark, block, shingle, percent), arrow), f"id {kind}, sha string, {hits}")
             part = part.where(F.size("hits") > 0).distinct()
             parts = part if parts is None else parts.unionByName(part)
         merged = parts.groupBy("id", "sha").agg(F.flatten(F.collect_list("hits")).alias("hits"))
         same = found["id"].eqNullSafe(merged["id"]) & found["sha"].eqNullSafe(merged["sha"])
-        empty = F.array().cast("array<struct<item: bigint, common: bigint, of: bigint>>")
+        empty = F.array().cast(listed)
         found = found.join(merged, same, "left").select(found["id"], F.coalesce(merged["hits"], empty).alias("hits"))
     return found.select(F.col("id").alias(id_col), F.sort_array("hits").alias("hits"))
 
@@ -192,17 +195,17 @@ def _held(spark, known: DataFrame, shingle: int, percent: int):
 
 
 def contaminated(df: DataFrame) -> DataFrame:
-    """Rows of ``contained_items`` as id, contaminated, n_items, item_ids, best_item_id, best_share."""
-    share = F.transform(
-        "hits", lambda h: F.struct((h["common"] / h["of"]).alias("share"), (-h["item"]).alias("back"))
-    )
-    best = F.array_max(share)
+    """Rows of ``contained_items`` as id, contaminated, n_items, item_ids, best_item_id, best_share.
+
+    Of equal shares the smallest item id is the best one."""
+    share = F.transform("hits", lambda h: F.struct((-h["common"] / h["of"]).alias("less"), h["item"].alias("item")))
+    best = F.array_min(share)
     ids = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item"])))
     return df.select(
         *[c for c in df.columns if c != "hits"],
         (F.size("hits") > 0).alias("contaminated"),
         F.size(ids).cast("long").alias("n_items"),
         F.array_join(ids.cast("array<string>"), ",").alias("item_ids"),
-        (-best["back"]).alias("best_item_id"),
-        F.round(best["share"], 6).alias("best_share"),
+        best["item"].alias("best_item_id"),
+        F.round(-best["less"], 6).alias("best_share"),
     )

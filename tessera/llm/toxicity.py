@@ -4,7 +4,8 @@ A word is the mean of the embeddings of its character n-grams (hashed bytes with
 word edges marked), a segment of some 16 words is the mean of its words, and a
 linear softmax over that mean gives the odds of label 1.  A document scores as
 its most toxic segment, so a few words weigh the same in a short note and in a
-book.  Embeddings and softmax are trained jointly in numpy by Adam, the loss
+book.  Embeddings and softmax are trained jointly in numpy by gradient steps with
+momentum, each array's step scaled by its largest recent gradient, the loss
 being taken at each document's currently highest segment.  Since a misspelt or
 inflected word shares most n-grams with the words seen, it shares their score.
 
@@ -339,7 +340,8 @@ def score_toxicity(
     ``training_docs`` (by default ``docs``).  Null, empty and white texts
     get the score of an empty bag; without labels of both classes all scores are
     the share of label 1 (0 without labels).  Repeated rows repeat the score.
-    A column named ``score_col`` is replaced.
+    An empty table gives an empty result.  A column named ``score_col`` is replaced,
+    all others pass through.
     """
     rows = training_rows(docs if training_docs is None else training_docs, labels, settings, id_col, text_col, label_col)
     model = fitted(rows.select("id", "text", "label"), settings)

@@ -140,6 +140,16 @@ def test_rules_beyond_one_cascade_are_sliced(spark, monkeypatch):
     assert {r.page_id: r.verdict for r in url_filter.filter_urls(pages, rules).collect()} == want
 
 
+def test_hosts_beyond_one_cascade_are_sliced_too(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, f"http://a.h{i}.org/") for i in range(60)], "page_id long, url string")
+    hosts = spark.createDataFrame([(f"h{i}.org",) for i in range(40)] * 2 + [(None,), ("other.net",)], "key string")
+    monkeypatch.setattr(url_filter, "fits", lambda count, size: count <= 6)
+    monkeypatch.setattr(url_filter, "MAX_BITS", 1 << 12)
+    out = url_filter.filter_urls(pages, (), hosts)
+    assert {r.page_id: r.verdict for r in out.collect()} == {i: "block" if i < 40 else "allow" for i in range(60)}
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_cascade_is_exact_over_its_universe(spark):
     universe = spark.range(4000).selectExpr("concat('k', id) as key")
     cascade = url_filter.build_cascade(universe.where("hash(key) % 9 = 0"), universe)
@@ -295,6 +305,17 @@ def test_contained_items(spark, block):
     assert flags.where("contaminated").count() == sum(bool(x) for _, x in rows)
 
 
+def test_item_ids_of_any_type(spark):
+    rng = random.Random(8)
+    texts = [prose(rng, 40) for _ in range(3)]
+    items = spark.createDataFrame([(f"q-{i}", t) for i, t in enumerate(texts)] + [(None, texts[0]), ("a", texts[1])], "item_id string, text string")
+    docs = frame(spark, [(1, f"{prose(rng, 9)} {texts[1]} {texts[2]}"), (2, prose(rng, 60)), (3, texts[0])])
+    for block in (10**6, 300):
+        got = decontaminate.contaminated(decontaminate.contained_items(docs, items, block_chars=block))
+        assert sorted((r.doc_id, r.contaminated, r.item_ids, r.best_item_id) for r in got.collect()) == [(1, True, "a,q-1,q-2", "a"), (2, False, "", None), (3, True, "q-0", "q-0")]
+    assert decontaminate.contained_items(docs.limit(0), items).collect() == []
+
+
 def test_small_documents_never_ask_large_classes():
     rng = random.Random(5)
     items = decontaminate.Items(list(range(8)), [prose(rng, n) for n in (6, 9, 12, 30, 60, 100, 300, 700)], 5, 80)
