@@ -49,6 +49,9 @@ class Thresholds:
     layout_changed: int = 16
     layout_size: float = 0.02
     layout_count: int = 1
+    joint_units: int = 6
+    joint_functions: int = 40
+    joint_reach: int = 3
 
 
 THRESHOLDS = Thresholds()
