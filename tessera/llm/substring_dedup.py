@@ -14,6 +14,10 @@ windows of all documents, old and new.
 Documents of one word sequence are folded first: each of their windows repeats, so
 they lose all words, and stand in for their copies in one row.  Texts are shuffled
 once, compressed; later phases meet them where they lie.
+
+An index in a folder also keeps each batch's compressed texts and the places of its
+fingerprints.  A further batch reads them through filters of fixed size: only rows that
+share a fingerprint with the batch are shuffled, and only texts that do are opened.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._marks import among
 from ._pack import pack, unpack
 from ._spark import cut, release
 from ._words import WHITE, Words, chunks, grams, string_buffers, within
@@ -41,12 +46,15 @@ class FingerprintIndex:
     """Sorted runs (fp, n) of fingerprint counts; ``fanout`` runs of a level merge into one of the next.
 
     With a ``folder`` the runs are Parquet tables in it, and a log of its versions says which
-    runs are in force, so that a later session opens the index as it was after the last batch."""
+    runs and batches are in force, so that a later session opens the index as it was after the
+    last batch.  A batch whose writing breaks off leaves tables that no version names.  Of two
+    writers that started from one version, the second fails."""
 
     def __init__(self, spark: SparkSession, folder: str | None = None, fanout: int = 2):
         self.spark, self.folder, self.fanout = spark, folder, fanout
         self.levels: list[list[tuple[str, DataFrame]]] = []
         self.version = 0
+        self.batches: list[str] = []
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str, fanout: int = 2) -> FingerprintIndex:
@@ -54,9 +62,12 @@ class FingerprintIndex:
         index = cls(spark, folder, fanout)
         log = spark.read.parquet(f"{folder}/log")
         rows = log.join(log.agg(F.max("version").alias("version")), "version").orderBy("level", "place").collect()
-        for r in rows:  # one row for each run: as many as levels times fanout
-            index._place(r["name"], spark.read.parquet(f"{folder}/{r['name']}"), r["level"])
+        for r in rows:  # one row for each run, as many as levels times fanout, and one for each batch
             index.version = r["version"]
+            if r["level"] < 0:
+                index.batches.append(r["name"])
+                continue
+            index._place(r["name"], spark.read.parquet(f"{folder}/{r['name']}"), r["level"])
         return index
 
     def runs(self) -> list[DataFrame]:
@@ -68,7 +79,7 @@ class FingerprintIndex:
         The new run is merge-joined with every earlier run before it is added."""
         name, run = self._written(fingerprints.groupBy("fp").agg(F.count(F.lit(1)).alias("n")))
         seen = [run.where("n > 1").select("fp")]
-        seen += [run.select("fp").join(old.select("fp").hint("merge"), "fp", "left_semi") for old in self.runs()]
+        seen += [run.select("fp").join(self._near(old, run, "fp").select("fp").hint("merge"), "fp", "left_semi") for old in self.runs()]
         found = cut(reduce(DataFrame.unionByName, seen).distinct())
         self._place(name, run, 0)
         level = 0
@@ -80,6 +91,29 @@ class FingerprintIndex:
         self._log()
         return found
 
+    def _near(self, stored: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+        """The rows of a stored table whose key ``asked`` may have, found without a shuffle."""
+        return stored if self.folder is None else among(stored, F.col(key), asked, F.col(key))
+
+    def keep(self, texts: DataFrame, places: DataFrame) -> tuple[str, DataFrame]:
+        """Write a batch's texts (k1, k2, z, copies) and places (fp, k1, k2); its name, and the places as written."""
+        name = f"batch-{uuid.uuid4().hex}"
+        texts.write.parquet(f"{self.folder}/{name}-texts")
+        places.write.parquet(f"{self.folder}/{name}-places")
+        return name, self.spark.read.parquet(f"{self.folder}/{name}-places")
+
+    def documents(self, names: list[str], fingerprints: DataFrame) -> DataFrame | None:
+        """The texts (k1, k2, z, copies) of the named batches that have one of the fingerprints, one row a batch and text."""
+        keys = [
+            self._near(self.spark.read.parquet(f"{self.folder}/{n}-places"), fingerprints, "fp").join(fingerprints, "fp", "left_semi").select("k1", "k2")
+            for n in names
+        ]
+        if not keys:
+            return None
+        wanted = cut(reduce(DataFrame.unionByName, keys).distinct())
+        texts = [self._near(self.spark.read.parquet(f"{self.folder}/{n}-texts"), wanted, "k1") for n in names]
+        return reduce(DataFrame.unionByName, texts).join(wanted, ["k1", "k2"], "left_semi")
+
     def _place(self, name: str, run: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
@@ -96,6 +130,10 @@ class FingerprintIndex:
         if self.folder is not None:
             self.version += 1
             rows = [(self.version, k, i, name) for k, level in enumerate(self.levels) for i, (name, _) in enumerate(level)]
+            rows += [(self.version, -1, i, name) for i, name in enumerate(self.batches)]
+            claim = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/claims/{self.version}")
+            if not claim.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).createNewFile(claim):
+                raise RuntimeError(f"version {self.version} of the index in {self.folder} was written by another writer")
             log = self.spark.createDataFrame(rows, "version int, level int, place int, name string")
             log.coalesce(1).write.mode("append").parquet(f"{self.folder}/log")
 
@@ -265,15 +303,23 @@ def substring_dedup(
     whatever their ids, are other places to each other.  Other columns are ignored.
 
     Without an ``index`` the documents are ingested in ``batches`` parts into a new one.
-    With one, they are a further batch: ``history`` has the documents (text_col) of its
-    earlier runs, against which windows are verified; its rows get no result.
+    With one, they are a further batch, and windows are verified against the documents of
+    the earlier ones: an index in a folder has kept them and looks at no ``history``, for
+    others ``history`` has them (text_col).  Earlier documents get no result.  An index that
+    neither has kept its documents nor is given them is refused.
+
+    Texts of any length are read whole; a task's memory follows its longest text.  An
+    empty table gives an empty result.  A dozen jobs run before this returns.
     """
     spark = docs.sparkSession
+    kept = index is not None and index.folder is not None
+    if index is not None and index.runs() and not index.batches and (kept or history is None):
+        raise ValueError("an index of earlier batches needs their documents: a folder that has kept them, or history")
     source = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     every = cut(source.mapInArrow(_documents, f"id {kind}, n long, k1 long, k2 int, sha binary"))
     packed = source.select("text").mapInArrow(_texts(window), "k1 long, k2 int, z binary").withColumn("fresh", F.lit(True))
-    if history is not None:
+    if history is not None and not kept:
         old = history.select(history[text_col].cast("string").alias("text")).mapInArrow(_texts(window), "k1 long, k2 int, z binary")
         packed = packed.unionByName(old.withColumn("fresh", F.lit(False)))
     texts = cut(
@@ -286,9 +332,19 @@ def substring_dedup(
         index, parts = FingerprintIndex(spark), [texts.where(F.pmod("k1", F.lit(batches)) == b) for b in range(batches)]
     else:
         parts = [texts.where("fresh")]
-    prints = [p.select("k1", "k2", "z").mapInArrow(_fingerprints(window, gram), "fp long, k1 long, k2 int").select("fp") for p in parts]
+    prints = [p.select("k1", "k2", "z").mapInArrow(_fingerprints(window, gram), "fp long, k1 long, k2 int") for p in parts]
+    earlier = []
+    if kept:
+        earlier = list(index.batches)
+        name, prints[0] = index.keep(texts.select("k1", "k2", "z", "copies"), prints[0])
+        index.batches.append(name)
+    prints = [p.select("fp") for p in prints]
     # written, so that both sides of the join below are plain shuffles and a common fingerprint can be split
     repeats = cut(reduce(DataFrame.unionByName, [index.ingest(p) for p in prints]).distinct())
+    old = index.documents(earlier, repeats) if earlier else None
+    if old is not None:
+        both = texts.unionByName(old.withColumn("fresh", F.lit(False)))
+        texts = cut(both.groupBy("k1", "k2").agg(F.first("z").alias("z"), F.sum("copies").alias("copies"), F.max("fresh").alias("fresh")), dealt=True)
     places = texts.select("k1", "k2", "z").mapInArrow(_fingerprints(window, gram), "fp long, k1 long, k2 int")
     nominated = cut(
         places.join(repeats, "fp").groupBy("k1", "k2").agg(F.collect_set("fp").alias("fps"))

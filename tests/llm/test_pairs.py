@@ -1,6 +1,7 @@
 """Substring, line, exact and near deduplication against brute force, with odd rows."""
 
 import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -10,7 +11,7 @@ import pytest
 from tessera.llm import _words, line_dedup, near_dedup, substring_dedup
 from tessera.llm.exact_dedup import exact_dedup
 
-from .fixtures import corpus, frame
+from .fixtures import corpus, frame, prose
 
 SPACE = "[\x20\x09-\x0d]+"
 
@@ -78,18 +79,48 @@ def test_index_finds_repeats_across_batches_and_compacts(spark):
     assert sorted(r.fp for r in index.repeated().collect()) == [1, 2, 3, 4]
 
 
-def test_a_second_batch_is_held_against_a_stored_first_one(spark, tmp_path):
+def test_further_batches_are_held_against_a_stored_index(spark, tmp_path):
     rows = corpus(seed=12)
-    first, second = rows[::2], rows[1::2]
+    folder, seen = str(tmp_path / "index"), []
+    for k in range(3):
+        batch = rows[k::3]
+        seen += batch
+        index = substring_dedup.FingerprintIndex.open(spark, folder) if k else substring_dedup.FingerprintIndex(spark, folder)
+        got = substring_dedup.substring_dedup(frame(spark, batch), index=index).collect()
+        ids = {d for d, _ in batch}
+        assert sorted(map(tuple, got)) == [r for r in brute_windows(seen) if r[0] in ids]
+    assert sum(r.n_removed for r in got) > sum(r[2] for r in brute_windows(batch))
+    again = substring_dedup.FingerprintIndex.open(spark, folder)
+    assert again.version == 3 and [len(level) for level in again.levels] == [1, 1] and len(again.batches) == 3
+
+
+def test_only_texts_that_share_a_fingerprint_are_opened_again(spark, tmp_path):
+    rng = random.Random(3)
+    first = [(i, prose(rng, 60)) for i in range(40)]
+    index = substring_dedup.FingerprintIndex(spark, str(tmp_path / "index"))
+    substring_dedup.substring_dedup(frame(spark, first), index=index).collect()
+    known = spark.read.parquet(f"{index.folder}/{index.batches[0]}-places")
+    some = known.orderBy("fp").limit(3)
+    found = index.documents(index.batches, some.select("fp")).collect()
+    assert {(r.k1, r.k2) for r in found} == {(r.k1, r.k2) for r in some.collect()}
+    got = substring_dedup.substring_dedup(frame(spark, [(100, first[7][1]), (101, prose(rng, 50))]), index=index).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {100: 60, 101: 0}
+
+
+def test_an_index_without_its_documents_and_a_second_writer_are_refused(spark, tmp_path):
+    rows = frame(spark, corpus(seed=12)[:20])
+    loose = substring_dedup.FingerprintIndex(spark)
+    substring_dedup.substring_dedup(rows, index=loose)
+    with pytest.raises(ValueError, match="documents"):
+        substring_dedup.substring_dedup(rows, index=loose)
+    assert len(substring_dedup.substring_dedup(rows, index=loose, history=rows).collect()) == 20
     folder = str(tmp_path / "index")
-    substring_dedup.substring_dedup(frame(spark, first), index=substring_dedup.FingerprintIndex(spark, folder)).collect()
-    index = substring_dedup.FingerprintIndex.open(spark, folder)
-    got = substring_dedup.substring_dedup(frame(spark, second), index=index, history=frame(spark, first)).collect()
-    ids = {d for d, _ in second}
-    assert sorted(map(tuple, got)) == [r for r in brute_windows(rows) if r[0] in ids]
-    assert sum(r.n_removed for r in got) > sum(r[2] for r in brute_windows(second))
-    third = substring_dedup.FingerprintIndex.open(spark, folder)
-    assert third.version == 2 and [len(level) for level in third.levels] == [0, 1]
+    substring_dedup.substring_dedup(rows, index=substring_dedup.FingerprintIndex(spark, folder))
+    one, two = (substring_dedup.FingerprintIndex.open(spark, folder) for _ in range(2))
+    substring_dedup.substring_dedup(rows, index=one)
+    with pytest.raises(RuntimeError, match="another writer"):
+        substring_dedup.substring_dedup(rows, index=two)
+    assert substring_dedup.FingerprintIndex.open(spark, folder).batches == one.batches
 
 
 def test_exact_dedup(spark):
