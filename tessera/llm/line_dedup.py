@@ -181,7 +181,9 @@ def removed_lines(
     Lines without words stay; null texts have no lines.
     Null ids come last; documents that share an id are ordered by a hash of their
     text.  Rows that repeat id and text count as one document and get one result.
-    ``mark`` is that hash, to find the document again.
+    ``mark`` is that hash, to find the document again.  Texts of any length are read
+    whole, and lines of any length; an empty table gives an empty result.  Other columns
+    are ignored, whatever their names.  A dozen jobs run before this returns.
     """
     spark = docs.sparkSession
     source = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))

@@ -203,7 +203,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whether it is the row's own.  Null, empty and white texts have no shingles, are
     linked with nothing and keep their own id.  Null ids are never the smallest
     (a component of null ids only has a null component_id and is kept).  Rows that
-    repeat id and text repeat the result.  Other columns are ignored.
+    repeat id and text repeat the result.  Texts of any length are read whole; a task's
+    memory follows its longest text.  An empty table gives an empty result.  Other columns
+    are ignored, whatever their names.  A dozen jobs run before this returns.
     """
     spark = docs.sparkSession
     source = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))

@@ -193,7 +193,9 @@ def scan_secrets(
 
     Offsets count code points, ends are exclusive, order is by start and then
     kind (assign, access, hex, entropy).  Spans of different kinds may overlap;
-    base spans are never suppressed.  Null and empty texts have no spans.
+    base spans are never suppressed.  Null and empty texts have no spans.  Texts
+    of any length are scanned whole.  Repeated rows give equal spans, an empty
+    table an empty result.
     Columns of ``df`` with those two names are replaced; all others pass through.
     """
 
