@@ -49,6 +49,9 @@ class Thresholds:
     layout_changed: int = 16
     layout_size: float = 0.02
     layout_count: int = 1
+    shift_functions: int = 2
+    shift_bytes: int = 128
+    shift_changed: int = 4
     joint_units: int = 6
     joint_functions: int = 40
     joint_reach: int = 3
