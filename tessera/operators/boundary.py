@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import THRESHOLDS as T
+from .graph import written
 from .intervals import overlapping
 from .sequence import best_chain
 
@@ -109,10 +110,11 @@ def boundary_sequences(
 
     anchors: (unit, section, start, end, size) are independent pairs of equal bodies; they count if
     they lie in the gap.  A gap is accepted by its matched sequence or by layout support; reasons
-    against the gap itself (size, other owners, alignment) refuse it either way."""
+    against the gap itself (size, other owners, alignment) refuse it either way.  Gaps and edges
+    are written to the shared folder before this returns."""
     keys = ["section", "unit"]
-    found = gaps(source_ranges, target_ranges)
-    edges = sequence_edges(found, source, target, matches)
+    found = written(gaps(source_ranges, target_ranges))
+    edges = written(sequence_edges(found, source, target, matches))
     chain = aligned(edges, keys)
     strong = F.col("primary") & (F.col("tier") != "candidate")
     chosen = chain.groupBy(*keys).agg(

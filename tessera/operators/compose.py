@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import THRESHOLDS as T
+from .graph import written
 from .intervals import overlapping
 
 _UNIT = ["unit", "section"]
@@ -97,11 +98,12 @@ def compositions(drafts: DataFrame, members: DataFrame, functions: DataFrame, ra
     at = lambda side: F.collect_list(F.when(F.col("side") == side, F.col("address")))
     one = good.groupBy(*_UNIT).agg(at("left").alias("l"), at("right").alias("r")).where("size(l) = 1 and size(r) = 1")
     found = one.select(*_UNIT, F.col("l")[0].alias("start"), F.col("r")[0].alias("end")).where("start < end")
-    found = found.join(drafts.select(*_UNIT, "start", "end"), [*_UNIT, "start", "end"], "left_anti")
+    found = written(found.join(drafts.select(*_UNIT, "start", "end"), [*_UNIT, "start", "end"], "left_anti"))
     wide = found.select(*_UNIT, F.col("start").alias("start2"), F.col("end").alias("end2"))
     held = ranges.where("start < end").select("section", F.col("unit").alias("holder"), "start", "end")
     reached = overlapping(held, wide, ["section"]).where("holder <> unit").select(*_UNIT).distinct()
-    found = found.join(reached, _UNIT, "left_anti").join(tiled(found, functions), [*_UNIT, "start", "end"], "left_semi")
+    found = written(found.join(reached, _UNIT, "left_anti"))
+    found = found.join(tiled(found, functions), [*_UNIT, "start", "end"], "left_semi")
     placed = drafts.select(*_UNIT, "draft", "family", F.col("start").alias("d_start"), F.col("end").alias("d_end")).join(found, _UNIT)
     number = F.struct("draft", "family")
     sides = placed.groupBy(*_UNIT, "start", "end").agg(*(F.sort_array(F.collect_list(F.when(F.col(f"d_{e}") == F.col(e), number))).alias(e[0]) for e in ("start", "end")))
