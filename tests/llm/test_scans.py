@@ -131,6 +131,21 @@ def test_urls(spark):
     assert {r.verdict for r in url_filter.filter_urls(pages).collect()} == {"allow"}
 
 
+def test_url_rules_are_those_of_the_contract(spark):
+    want = {
+        "http://a.com/en/1": ("com/en/", "block"),
+        "http://example.com/en/7": ("example.com/en/7", "allow"),
+        "http://other.net/de/8": ("net/de/", "allow"),
+        "http://casino-win.example.net/de/9": ("net/de/", "allow"),
+        "http://example.net/de/8": ("example.net/de/8", "block"),
+        "http://b.org/es/": ("org/es/", "block"),
+        "http://casino-win.example.net/": (None, "block"),
+    }
+    pages = spark.createDataFrame(list(enumerate(want)), "page_id long, url string")
+    got = url_filter.filter_urls(pages, URL_RULES, BLOCKED_HOSTS).collect()
+    assert {list(want)[r.page_id]: (r.rule, r.verdict) for r in got} == want
+
+
 def test_rules_beyond_one_cascade_are_sliced(spark, monkeypatch):
     rules = [url_filter.Rule("block", f"h{i}.org", "/a") for i in range(40)] + [url_filter.Rule("allow", f"h{i}.org", "/a") for i in range(10)]
     urls = [f"http://h{i}.org/{p}" for i in range(60) for p in ("a", "b")]
