@@ -62,8 +62,11 @@ class Slab:
     langs: list[str]
 
 
-def _slabs(batches: Iterator[pa.RecordBatch], salt: int, words: int = BLOCK) -> Iterator[Slab]:
-    """The words of batches (text, lang, hash of lang), about ``words`` at a time, whole documents each."""
+def _slabs(batches: Iterator[pa.RecordBatch], salt: int, words: int = BLOCK, strings: bool = True) -> Iterator[Slab]:
+    """The words of batches (text, lang, hash of lang), about ``words`` at a time, whole documents each.
+
+    Without ``strings`` a slab has hashes and links only; those need a fifth of the memory."""
+    none, no_bytes = np.zeros(0, np.int64), np.zeros(0, np.uint8)
     held: list[Slab] = []
     for batch in batches:
         langs, marks = batch.column(1).to_pylist(), np.asarray(batch.column(2)).view(_U)
@@ -73,12 +76,15 @@ def _slabs(batches: Iterator[pa.RecordBatch], salt: int, words: int = BLOCK) ->
             piece = np.cumsum(BREAK[w.data], dtype=np.int64)[w.start]
             linked = np.zeros(len(h), bool)
             linked[:-1] = (piece[1:] == piece[:-1]) & (doc[1:] == doc[:-1])
-            held.append(Slab(np.maximum(h, _U(1)), w.data, w.start, w.end, doc, linked, langs[w.lo : w.hi]))
+            h = np.maximum(h, _U(1))
+            held.append(Slab(h, w.data, w.start, w.end, doc, linked, langs[w.lo : w.hi]) if strings else Slab(h, no_bytes, none, none, none, linked, []))
             if sum(len(s.h) for s in held) >= words:
-                yield _joined(held)
-                held = []
+                full, held = _joined(held), []  # the parts go before the whole is used
+                yield full
+                del full
     if held:
-        yield _joined(held)
+        full, held = _joined(held), []
+        yield full
 
 
 def _joined(held: list[Slab]) -> Slab:
@@ -157,7 +163,7 @@ def pointers(texts: DataFrame, salt: int, frequent: np.ndarray, hot: np.ndarray,
     A part has all pointers of a prefix, and of a spread prefix all that continue with one word."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s in _slabs(batches, salt):
+        for s in _slabs(batches, salt, strings=False):
             often = _passes(frequent, s.h)
             able = np.zeros(len(s.h) + 2, bool)
             able[: len(often)][:-1] = s.linked[:-1] & often[:-1] & often[1:]

@@ -1,5 +1,6 @@
 """Resampling, quality rules and phrases against brute force."""
 
+import gc
 import hashlib
 import math
 import random
@@ -9,6 +10,7 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -212,6 +214,20 @@ def mined(df, **args):
     return sorted(tuple(r) for r in collocations.collocations(df, **args).collect())
 
 
+def test_slabs_let_their_parts_go_and_need_no_strings():
+    texts = [f"one two, three{i} four." for i in range(3_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(["en"] * len(texts)), pa.array(np.full(len(texts), 7))], ["text", "lang", "mark"])
+    full = list(collocations._slabs(iter([batch]), 0))
+    lean = collocations._slabs(iter([batch]), 0, strings=False)
+    slab = next(lean)
+    gc.collect()
+    alive = [x for x in gc.get_objects() if isinstance(x, collocations.Slab)]
+    assert len(full) == 1 and len(alive) == 2  # the full one and the lean one, none of their parts
+    assert np.array_equal(slab.h, full[0].h) and np.array_equal(slab.linked, full[0].linked)
+    assert not len(slab.data) and not len(slab.start) and not slab.langs
+    assert next(lean, None) is None
+
+
 @pytest.mark.parametrize("spread", [False, True])
 def test_phrases_equal_brute_force_also_with_spread_prefixes(spark, monkeypatch, spread):
     if spread:  # many tasks, and prefixes that are dealt by their third word too
