@@ -65,7 +65,7 @@ class Slab:
 def _slabs(batches: Iterator[pa.RecordBatch], salt: int, words: int = BLOCK, strings: bool = True) -> Iterator[Slab]:
     """The words of batches (text, lang, hash of lang), about ``words`` at a time, whole documents each.
 
-    Without ``strings`` a slab has hashes and links only; those need a fifth of the memory."""
+    Without ``strings`` a slab has hashes and links only."""
     none, no_bytes = np.zeros(0, np.int64), np.zeros(0, np.uint8)
     held: list[Slab] = []
     for batch in batches:
