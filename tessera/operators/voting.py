@@ -68,9 +68,14 @@ def accepted(tallied: DataFrame, least: float = T.least_confidence) -> DataFrame
     """Mutual best pairs with a confidence, from ``least`` up.
 
     tallied has ``similarity`` and ``distinct`` (see ``described``)."""
+    return confident(mutual_best(tallied), least)
+
+
+def confident(best: DataFrame, least: float = T.least_confidence) -> DataFrame:
+    """Described best pairs with a confidence, from ``least`` up."""
     corroboration = F.least(F.lit(1.0), F.col("votes") / T.full_votes)
     confidence = prints.match_confidence(F.col("distinct"), F.col("similarity"), corroboration, F.col("margin"))
-    return mutual_best(tallied).withColumn("confidence", F.round(confidence, 6)).where(F.col("confidence") >= least)
+    return best.withColumn("confidence", F.round(confidence, 6)).where(F.col("confidence") >= least)
 
 
 def sole_caller_votes(matches: DataFrame, calls: DataFrame, factor: float = 0.5) -> DataFrame:
