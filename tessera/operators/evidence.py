@@ -63,10 +63,10 @@ def complete_sequences(matches: DataFrame, source: DataFrame, target: DataFrame)
     """(unit, members, complete): whether a unit's source members map, in order and without
     gaps or strangers, onto one contiguous run of target members.
 
-    source: (id, unit, pos); target: (id, pos); matches: (source_id, target_id)."""
-    hit = source.join(matches.withColumnRenamed("source_id", "id"), "id", "left").join(
-        target.select(F.col("id").alias("target_id"), F.col("pos").alias("target_pos")), "target_id", "left"
-    )
+    source: (id, unit, pos); target: (id, pos); matches: (source_id, target_id).  Places are joined to
+    the matches first: members without a match have no key that would bring them all to one task."""
+    placed = matches.join(target.select(F.col("id").alias("target_id"), F.col("pos").alias("target_pos")), "target_id", "left")
+    hit = source.join(placed.select(F.col("source_id").alias("id"), "target_pos"), "id", "left")
     line = Window.partitionBy("unit").orderBy("pos")
     step = (F.col("target_pos") - F.lag("target_pos").over(line) == 1) & (F.col("pos") - F.lag("pos").over(line) == 1)
     good = F.when(F.row_number().over(line) == 1, F.col("target_pos").isNotNull()).otherwise(F.coalesce(step, F.lit(False)))
