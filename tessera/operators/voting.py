@@ -139,14 +139,16 @@ def layout_votes(matches: DataFrame, source: DataFrame, target: DataFrame, keys:
 def positional_pairs(pairs: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
     """Zip of the ordered references of paired owners.
 
-    refs: (owner, ord, ref, kind).  A pair of owners counts only if both have as many
-    references and all kinds agree; kept are (source_ref, target_ref) unique both ways."""
-    s = source.select(F.col("owner").alias("source_id"), "ord", F.col("ref").alias("source_ref"), F.col("kind").alias("sk"))
-    t = target.select(F.col("owner").alias("target_id"), "ord", F.col("ref").alias("target_ref"), F.col("kind").alias("tk"))
-    left = pairs.select("source_id", "target_id").join(s, "source_id")
-    right = pairs.select("source_id", "target_id").join(t, "target_id")
-    zipped = left.join(right, ["source_id", "target_id", "ord"], "full_outer")
-    good = zipped.groupBy("source_id", "target_id").agg(F.bool_and(F.coalesce(F.col("sk") == F.col("tk"), F.lit(False))).alias("ok")).where("ok")
-    links = zipped.join(good, ["source_id", "target_id"], "left_semi").select("source_ref", "target_ref").distinct()
+    refs: (owner, ord, ref, kind), ord numbering an owner's.  A pair of owners counts only if both have as
+    many references and all kinds agree; kept are (source_ref, target_ref) unique both ways.  An
+    owner's references travel as one list, and only the lists of pairs that count are opened."""
+
+    def lists(refs: DataFrame, side: str, as_: str) -> DataFrame:
+        return refs.groupBy(F.col("owner").alias(f"{side}_id")).agg(F.array_sort(F.collect_list(F.struct("ord", "kind", "ref"))).alias(as_))
+
+    both = pairs.select("source_id", "target_id").join(lists(source, "source", "s"), "source_id").join(lists(target, "target", "t"), "target_id")
+    same = lambda a, b: F.coalesce((a["ord"] == b["ord"]) & (a["kind"] == b["kind"]), F.lit(False))
+    both = both.where((F.size("s") == F.size("t")) & F.forall(F.zip_with("s", "t", same), lambda ok: ok))
+    links = both.select(F.explode(F.zip_with("s", "t", lambda a, b: F.struct(a["ref"].alias("source_ref"), b["ref"].alias("target_ref")))).alias("x")).select("x.*").distinct()
     once = [links.groupBy(c).agg(F.count(F.lit(1)).alias("n")).where("n = 1").select(c) for c in ("source_ref", "target_ref")]
     return links.join(once[0], "source_ref", "left_semi").join(once[1], "target_ref", "left_semi").select("source_ref", "target_ref")
