@@ -139,12 +139,10 @@ def misplaced(ranges: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def chosen_alternatives(rows: DataFrame, key: str, scores: Sequence[str], k: int) -> DataFrame:
     """The k best candidates of each key by each of several scores, without repeats."""
-    out = None
-    for score in scores:
-        line = Window.partitionBy(key).orderBy(F.col(score).desc(), "candidate")
-        top = rows.withColumn("__k", F.row_number().over(line)).where(f"__k <= {k}").drop("__k")
-        out = top if out is None else out.unionByName(top)
-    return out.distinct()
+    names = [f"__{score}" for score in scores]
+    lines = [Window.partitionBy(key).orderBy(F.col(score).desc(), "candidate") for score in scores]
+    ranked = rows.withColumns({n: F.row_number().over(line) for n, line in zip(names, lines, strict=True)})
+    return ranked.where(F.least(*names) <= k).drop(*names).distinct()
 
 
 def regressed(before: DataFrame, after: DataFrame) -> DataFrame:
