@@ -35,8 +35,7 @@ def drafted(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, Dat
     line, own = Window.partitionBy("section").orderBy("pos"), Window.partitionBy("unit").orderBy("pos")
     part = F.col("part")
     owner = F.when(F.col("tax") <= 0.05, F.when(part % 29 == 1, F.lag("unit").over(line)).when(part % 29 != 0, F.col("unit")))
-    fn = rows["target"].join(rows["source"].select("id", F.col("start").alias("source_start")), "id")
-    fn = fn.withColumns({"owner": owner, "k": F.row_number().over(own), "n": F.count(F.lit(1)).over(Window.partitionBy("unit"))})
+    fn = rows["target"].withColumns({"owner": owner, "k": F.row_number().over(own), "n": F.count(F.lit(1)).over(Window.partitionBy("unit"))})
     pick = lambda c, when: F.max(F.when(when, F.col(c)))
     ex = fn.groupBy("unit", "section").agg(
         F.min("start").alias("s"), F.max("end").alias("e"), pick("end", F.col("k") == 1).alias("e1"), pick("start", F.col("k") == F.col("n")).alias("sn"),

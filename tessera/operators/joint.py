@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import THRESHOLDS as T
-from .graph import written
+from .graph import stored
 from .intervals import overlapping
 from .sequence import Piece, Worth, divide
 
@@ -133,10 +133,11 @@ def joint_runs(source: DataFrame, functions: DataFrame, ranges: DataFrame) -> Da
     (section, unit, start, end), what is placed now.  Status: decisive, ambiguous, incomplete,
     exhausted, or function-limit-reached for windows of more than 40 functions, which are not
     searched.  Windows that stray from their bounds or have nothing to change give no row.  The
-    functions, the order and the windows are written to the shared folder before this returns."""
-    functions = written(_housed(functions, ranges))
-    order = written(needing(source_order(source), functions, ranges))
-    found = written(bounded(windows(order), order, functions))
+    functions, the order, the windows and the divisions are written to the shared folder before this
+    returns, so that the search runs once however often its result is read."""
+    functions = stored(_housed(functions, ranges))
+    order = stored(needing(source_order(source), functions, ranges))
+    found = stored(bounded(windows(order), order, functions))
     wide = F.col("right") - F.col("left") > T.joint_functions
     over = found.where(wide).select("section", "units", (F.col("right") - F.col("left")).cast("long").alias("functions"), F.lit("function-limit-reached").alias("status"), F.array().cast("array<string>").alias("placements"))
     rows = found.where(~wide).withColumn("index", F.explode(F.sequence(F.col("left") - 1, F.col("right"))))
@@ -153,7 +154,7 @@ def joint_runs(source: DataFrame, functions: DataFrame, ranges: DataFrame) -> Da
     rows = rows.where((head - F.coalesce("opened", head) <= T.padding) & (end - tail <= T.padding))
     rows = rows.withColumn("divided", _divided(T.padding)("units", "pieces", end))
     rows = rows.select("section", "units", F.size("pieces").cast("long").alias("functions"), "divided.status", "divided.placements")
-    return _joined(rows.unionByName(over))
+    return stored(_joined(rows.unionByName(over)))
 
 
 def _joined(rows: DataFrame) -> DataFrame:
