@@ -82,11 +82,14 @@ def sole_caller_votes(matches: DataFrame, calls: DataFrame, factor: float = 0.5)
     """Votes of matched callees for their callers, where each side has exactly one unmatched caller.
 
     calls: (side 's' or 't', caller, callee); matches: (source_id, target_id, confidence)."""
-    known = matches.select(F.lit("s").alias("side"), F.col("source_id").alias("caller")).unionByName(
-        matches.select(F.lit("t").alias("side"), F.col("target_id").alias("caller"))
+    known = matches.select(F.lit("s").alias("side"), F.col("source_id").alias("known")).unionByName(
+        matches.select(F.lit("t").alias("side"), F.col("target_id").alias("known"))
     )
-    open_ = calls.select("side", "caller", "callee").distinct().join(known, ["side", "caller"], "left_anti")
-    sole = open_.groupBy("side", "callee").agg(F.count(F.lit(1)).alias("n"), F.min("caller").alias("caller")).where("n = 1")
+    asked = calls.select("side", "caller", "callee").join(known.withColumnRenamed("known", "callee"), ["side", "callee"], "left_semi")
+    open_ = asked.join(known.withColumnRenamed("known", "caller"), ["side", "caller"], "left_anti")
+    least = F.min("caller").alias("caller")  # repeated calls count once, and so do callers that are null
+    sole = open_.groupBy("side", "callee").agg(least, F.max("caller").alias("most"), F.count_if(F.col("caller").isNull()).alias("nulls"))
+    sole = sole.where("caller <=> most and (nulls = 0 or caller is null)")
     s = sole.where("side = 's'").select(F.col("callee").alias("source_id"), F.col("caller").alias("source"))
     t = sole.where("side = 't'").select(F.col("callee").alias("target_id"), F.col("caller").alias("target"))
     hit = matches.join(s, "source_id").join(t, "target_id")
@@ -101,7 +104,8 @@ def call_site_votes(matches: DataFrame, source: DataFrame, target: DataFrame) ->
     sides have equally many.  A vote weighs the confidence of the pair that gives it."""
     known = matches.select(F.col("source_id").alias("callee"), F.col("target_id").alias("seen"))
     one = F.struct("ord", "callee", "seen")
-    s = source.join(known, "callee", "left").groupBy(F.col("owner").alias("source_id")).agg(F.array_sort(F.collect_list(one)).alias("x"))
+    asked = source.join(matches.select(F.col("source_id").alias("owner")), "owner", "left_semi")
+    s = asked.join(known, "callee", "left").groupBy(F.col("owner").alias("source_id")).agg(F.array_sort(F.collect_list(one)).alias("x"))
     t = target.groupBy(F.col("owner").alias("target_id")).agg(F.array_sort(F.collect_list(F.struct("ord", "callee"))).alias("y"))
     pairs = matches.select("source_id", "target_id", "confidence").join(s, "source_id").join(t, "target_id")
     lists = pairs.select("confidence", F.col("x.callee").alias("a"), F.col("x.seen").alias("seen"), F.col("y.callee").alias("b"))
