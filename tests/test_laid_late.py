@@ -1,7 +1,7 @@
 """Layouts and divisions are computed once, however often they are read."""
 
 from tessera import boundary_queries, compose_queries
-from tessera.operators import joint
+from tessera.operators import joint, layout
 
 SMOKE = "/root/testdata/sf0.001"
 
@@ -31,3 +31,10 @@ def test_divisions_are_searched_once(spark):
     out = joint.joint_runs(source, functions, ranges)
     assert "Python" not in _plan(out)
     assert [(r.units, r.functions, r.status, r.placements, r.conflict) for r in joint.contested(out).collect()] == [("a|b", 4, "decisive", "a:0-200|b:200-400", False)]
+
+
+def test_digests_travel_as_bytes(spark):
+    steps = spark.createDataFrame([(1, 1, "a", 8), (1, 2, "b", None), (2, 1, "a", 16), (2, 2, "b", None)], "id long, n int, code string, offset long")
+    one, two = layout.bodies(steps).orderBy("id").collect()
+    assert len(one.masked) == len(one.exact) == 32
+    assert one.masked == two.masked and one.exact != two.exact
